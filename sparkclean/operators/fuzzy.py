@@ -186,7 +186,7 @@ def _kind(rule: Overlap | WordCover) -> str:
 
 
 def element_table(keys: DataFrame, kinds: list[str]) -> DataFrame:
-    """(rank, key, block, kind, items): the elements of every key, rarest first.
+    """(rank, key, block, one array per kind): the elements of every key, rarest first.
 
     A repeated element becomes element#1, element#2 ..., so sharing counts with multiplicity. Any fixed
     total order is correct; the counts of the most frequent elements only make the signatures rare.
@@ -206,9 +206,11 @@ def element_table(keys: DataFrame, kinds: list[str]) -> DataFrame:
         .orderBy(F.col("rows").desc(), "kind", "element").limit(FREQUENT_ELEMENTS)
     )
     placed = counted.join(F.broadcast(frequent), ["kind", "element"], "left")
-    items = F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "element")))
-    lists = placed.groupBy("rank", "kind").agg(F.transform(items, lambda e: e["element"]).alias("items"))
-    return lists.join(keys, "rank").select("rank", "key", "block", "kind", "items")
+    entry = F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "element")
+    lists = placed.groupBy("rank").agg(*[
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, entry))), lambda e: e["element"]).alias(k)
+        for k in kinds])
+    return keys.join(lists, "rank").select("rank", "key", "block", *kinds)
 
 
 # --- signatures -----------------------------------------------------------------------------------
@@ -251,46 +253,75 @@ def _at_least(bound: tuple[float, float], n: Column) -> Column:
     return F.greatest(F.ceil(F.lit(bound[0]) * n + F.lit(bound[1] - EPSILON)).cast("int"), F.lit(1))
 
 
+def _none(kind: str = "bigint") -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
 def _first(items: Column, needed: Column, size: int) -> Column:
     """The leading elements among which a key must share `size` if it shares `needed` in all."""
     keep = F.size(items) - needed + size
-    return F.when(keep >= size, F.slice(items, 1, F.greatest(keep, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.when(keep >= size, F.slice(items, 1, F.greatest(keep, F.lit(1)))).otherwise(_none("string"))
+
+
+def _with_sizes(signatures: Column, **sizes: Column) -> Column:
+    named = [size.alias(name) for name, size in sizes.items()]
+    return F.transform(signatures, lambda s: F.struct(s.alias("sig"), *named))
 
 
-def _overlap_signatures(rule: Overlap, table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    n = F.size("items")
-    rows = table.where(F.col("kind") == rule.elements)
-    if rule.prefix:
-        rows = rows.where(F.length("key") >= rule.prefix)
+def _overlap_signatures(rule: Overlap, largest: int) -> tuple[Column, Column]:
+    """`largest` is the largest number of elements of any key: size classes above it are left out."""
+    items = F.col(rule.elements)
+    n = F.size(items)
     start = F.substring("key", 1, rule.prefix) if rule.prefix else F.lit("")
+    long_enough = F.length("key") >= rule.prefix
     if rule.contains:
         tag = F.concat(F.lit(f"{rule.name}/"), F.col("block"))
         length = n if rule.elements.endswith("letters") else n + 1
-        small = rows.where(length >= rule.min_length)
+        small = length >= rule.min_length
         if rule.max_length is not None:
-            small = small.where(length <= rule.max_length)
-        needed = _at_least(rule.small, n)
-        index = small.select("rank", n.alias("n"), F.explode(
-            _combinations(_first(F.col("items"), needed, 1), 1, tag)).alias("sig"))
-        probe = rows.select("rank", n.alias("n"), F.explode(_combinations(F.col("items"), 1, tag)).alias("sig"))
-        return index, probe
+            small &= length <= rule.max_length
+        index = F.when(small, _combinations(_first(items, _at_least(rule.small, n), 1), 1, tag)).otherwise(_none())
+        return index, _combinations(items, 1, tag)
     indexes, probes = [], []
     for low, high, wanted in SIZE_CLASSES:
+        if low >= max(largest, 1):
+            break
+        high = min(high, largest)
         fewest = max(1, ceil(rule.small[0] * (low + 1) + rule.small[1] - EPSILON))
         size = _signature_size(rule, low, high, wanted)
         tag = F.concat(F.lit(f"{rule.name}/{low}/"), start, F.col("block"))
-        items = F.col("items")
-        mine = rows.where((n > low) & (n <= high))
-        indexes.append(mine.select("rank", n.alias("n"), F.explode(
-            _combinations(_first(items, _at_least(rule.small, n), size), size, tag)).alias("sig")))
-        larger = rows.where((n > low) & (F.floor(n * rule.reach) <= high))
+        mine = long_enough & (n > low) & (n <= high)
+        indexes.append(F.when(mine, _combinations(_first(items, _at_least(rule.small, n), size), size, tag))
+                       .otherwise(_none()))
+        larger = long_enough & (n > low) & (F.floor(n * rule.reach) <= high)
         needed = F.greatest(_at_least(rule.large, n), F.lit(fewest))
-        probes.append(larger.select("rank", n.alias("n"), F.explode(
-            _combinations(_first(items, needed, size), size, tag)).alias("sig")))
-    return reduce(DataFrame.union, indexes), reduce(DataFrame.union, probes)
+        probes.append(F.when(larger, _combinations(_first(items, needed, size), size, tag)).otherwise(_none()))
+    return F.concat(*indexes), F.concat(*probes)
+
+
+def _weights(words: Column) -> Column:
+    """Length + 1 of each word (the words carry '#1')."""
+    return F.transform(words, lambda w: F.length(w) - 1)
 
 
-def _word_signatures(rule: WordCover, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _total(weights: Column) -> Column:
+    return F.aggregate(weights, F.lit(0), lambda s, w: s + w)
+
+
+def _cover_needed(rule: WordCover, total: Column) -> Column:
+    return F.lit(rule.share) * (total - 1) + (1 - EPSILON)
+
+
+def _word_columns(table: DataFrame) -> DataFrame:
+    """Add the words' weights, their sum, and what stands from each word to the end of the list."""
+    left = F.aggregate(
+        F.reverse("weights"), _none("int"),
+        lambda done, w: F.concat(F.array(w + F.coalesce(F.get(done, F.lit(0)), F.lit(0))), done))
+    return table.withColumn("weights", _weights(F.col("words"))).withColumns(
+        {"total": _total(F.col("weights")), "left": left})
+
+
+def _word_signatures(rule: WordCover) -> tuple[Column, Column]:
     """Signatures for weighted word cover.
 
     Let the covered key's words stand rarest first. Its first shared word must leave enough weight behind
@@ -298,51 +329,30 @@ def _word_signatures(rule: WordCover, table: DataFrame) -> tuple[DataFrame, Data
     covered key emits single words that suffice alone and pairs otherwise; the other key emits all its
     words and pairs. Keys of many words use single words only, to keep the number of pairs small.
     """
-    rows = table.where(F.col("kind") == "words").withColumn("n", F.size("items"))
-    weight = F.transform("items", lambda w: F.length(w) - 1)  # without '#1', and one for the blank
-    total = F.aggregate("weights", F.lit(0), lambda s, w: s + w)
-    needed = F.lit(rule.share) * (F.col("total") - 1) + 1 - EPSILON
-    rows = rows.withColumn("weights", weight).withColumn("total", total).withColumn("needed", needed)
-    # What stands from each word to the end of the list.
-    left = F.aggregate(
-        F.reverse("weights"), F.array().cast("array<int>"),
-        lambda done, w: F.concat(F.array(w + F.coalesce(F.get(done, F.lit(0)), F.lit(0))), done))
-    rows = rows.withColumn("left", left)
-    items, weights, rest, need = F.col("items"), F.col("weights"), F.col("left"), F.col("needed")
+    items, weights, rest = F.col("words"), F.col("weights"), F.col("left")
+    n, need = F.size(items), _cover_needed(rule, F.col("total"))
 
     def tagged(name: str) -> Column:
         return F.concat(F.lit(f"{rule.name}/{name}/"), F.col("block"))
 
     leading = F.filter(items, lambda w, i: F.get(rest, i) >= need)
     alone = F.filter(leading, lambda w, i: F.get(weights, i) >= need)
+
+    def second(i: Column) -> Column:
+        after = F.transform(F.slice(items, i + 2, n), lambda v, j: F.struct(
+            v.alias("word"), (F.get(weights, i) + F.get(rest, i + j + 1)).alias("reaches")))
+        return F.filter(after, lambda s: s["reaches"] >= need)
+
     paired = F.flatten(F.transform(leading, lambda w, i: F.when(
-        F.get(weights, i) < need,
-        F.transform(
-            F.filter(F.transform(F.slice(items, i + 2, F.col("n")), lambda v, j: F.struct(
-                v.alias("word"), (F.get(weights, i) + F.get(rest, i + j + 1)).alias("reaches"))),
-                lambda s: s["reaches"] >= need),
-            lambda s: F.xxhash64(tagged("short"), w, s["word"])),
-    ).otherwise(F.array().cast("array<bigint>"))))
-
-    def emit(part: DataFrame, signatures: Column) -> DataFrame:
-        return part.select("rank", "n", F.explode(signatures).alias("sig"))
-
-    short, long = rows.where(F.col("n") <= SHORT_COVER), rows.where(F.col("n") > SHORT_COVER)
-    few, many = rows.where(F.col("n") <= SHORT_OTHER), rows.where(F.col("n") > SHORT_OTHER)
-    index = [
-        emit(short, F.concat(_combinations(alone, 1, tagged("short")), paired, _combinations(leading, 1, tagged("to-long")))),
-        emit(long, F.concat(_combinations(leading, 1, tagged("to-long")), _combinations(leading, 1, tagged("from-long")))),
-    ]
-    probe = [
-        emit(few, F.concat(_combinations(items, 1, tagged("short")), _combinations(items, 2, tagged("short")),
-                           _combinations(items, 1, tagged("from-long")))),
-        emit(many, F.concat(_combinations(items, 1, tagged("to-long")))),
-    ]
-    return reduce(DataFrame.union, index), reduce(DataFrame.union, probe)
-
-
-def signatures(rule: Overlap | WordCover, table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _word_signatures(rule, table) if isinstance(rule, WordCover) else _overlap_signatures(rule, table)
+        F.get(weights, i) < need, F.transform(second(i), lambda s: F.xxhash64(tagged("short"), w, s["word"]))
+    ).otherwise(_none())))
+    to_long = _combinations(leading, 1, tagged("to-long"))
+    index = F.when(n <= SHORT_COVER, F.concat(_combinations(alone, 1, tagged("short")), paired, to_long)).otherwise(
+        F.concat(to_long, _combinations(leading, 1, tagged("from-long"))))
+    probe = F.when(n <= SHORT_OTHER, F.concat(
+        _combinations(items, 1, tagged("short")), _combinations(items, 2, tagged("short")),
+        _combinations(items, 1, tagged("from-long")))).otherwise(_combinations(items, 1, tagged("to-long")))
+    return index, probe
 
 
 # --- candidate pairs ------------------------------------------------------------------------------
@@ -354,26 +364,22 @@ def _pair_counts(index: DataFrame, probe: DataFrame) -> DataFrame:
     return both.groupBy("sig").agg(F.sum("i").alias("i"), F.sum("p").alias("p")).where("i > 0 AND p > 0")
 
 
-def _workload(pairs: list[tuple[DataFrame, DataFrame]]) -> tuple[int, list[int]]:
-    """Candidate pairs over all rules, and per rule how many signatures are hot."""
-    total, hot = 0, []
-    for index, probe in pairs:
-        row = _pair_counts(index, probe).agg(
-            F.coalesce(F.sum(F.col("i").cast("double") * F.col("p")), F.lit(0.0)).alias("total"),
-            F.count_if(_is_hot()).alias("hot")).first()
-        total += int(row["total"])
-        hot.append(row["hot"])
-    return total, hot
-
-
 def _is_hot() -> Column:
     return F.col("i").cast("double") * F.col("p") > CELL_ROWS * CELL_ROWS
 
 
-def _pair_up(rule: Overlap | WordCover, index: DataFrame, probe: DataFrame, n_hot: int) -> DataFrame:
-    """Distinct (a, b) rank pairs, a < b, that share a signature and can differ in size as they do."""
-    left = index.select("sig", F.col("rank").alias("ri"), F.col("n").alias("ni"))
-    right = probe.select("sig", F.col("rank").alias("rp"), F.col("n").alias("np"))
+def _workload(index: DataFrame, probe: DataFrame) -> tuple[float, int]:
+    """Number of candidate pairs, and number of hot signatures."""
+    row = _pair_counts(index, probe).agg(
+        F.coalesce(F.sum(F.col("i").cast("double") * F.col("p")), F.lit(0.0)).alias("total"),
+        F.count_if(_is_hot()).alias("hot")).first()
+    return row["total"], row["hot"]
+
+
+def _pair_up(index: DataFrame, probe: DataFrame, n_hot: int) -> DataFrame:
+    """(a, b) rank pairs, a < b, that share a signature and whose sizes fit; pairs may repeat."""
+    left = index.withColumnRenamed("rank", "ri")
+    right = probe.withColumnRenamed("rank", "rp")
     on = ["sig"]
     if n_hot:
         # A hot signature is cut into a grid: each side falls into chunks, each chunk meets each chunk.
@@ -382,11 +388,10 @@ def _pair_up(rule: Overlap | WordCover, index: DataFrame, probe: DataFrame, n_ho
             F.ceil(F.col("p") / CELL_ROWS).cast("int").alias("down"))
         if n_hot <= FREQUENT_ELEMENTS:
             grid = F.broadcast(grid)
-        one = F.lit(1)
 
         def spread(side: DataFrame, rank: str, own: str, other: str) -> DataFrame:
             sized = side.join(grid, "sig", "left").withColumns(
-                {"across": F.coalesce("across", one), "down": F.coalesce("down", one)})
+                {"across": F.coalesce("across", F.lit(1)), "down": F.coalesce("down", F.lit(1))})
             chunk = F.pmod(F.xxhash64(rank), F.col(own)).cast("int")
             return (sized.withColumn(f"at_{own}", chunk)
                     .withColumn(f"at_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
@@ -394,72 +399,79 @@ def _pair_up(rule: Overlap | WordCover, index: DataFrame, probe: DataFrame, n_ho
 
         left, right = spread(left, "ri", "across", "down"), spread(right, "rp", "down", "across")
         on = ["sig", "at_across", "at_down"]
-    joined = left.join(right, on).where("ri <> rp")
-    if isinstance(rule, Overlap):
-        smaller = F.col("ni") <= F.col("np")
-        joined = joined.where(smaller & (F.col("ni") + 1 >= F.col("np") * F.lit(rule.reach)))
-    return joined.select(F.least("ri", "rp").alias("a"), F.greatest("ri", "rp").alias("b")).distinct()
+    joined = left.join(right, on).where("ri <> rp AND n BETWEEN low AND high")
+    return joined.select(F.least("ri", "rp").alias("a"), F.greatest("ri", "rp").alias("b"))
+
+
+def _enough(rule: Overlap | WordCover) -> Column:
+    """Does a pair share as many elements as the rule asks for? Tested before any text is scored."""
+    a, b = F.col(f"{_kind(rule)}_a"), F.col(f"{_kind(rule)}_b")
+    shared = F.array_intersect(a, b)
+    if isinstance(rule, WordCover):
+        smaller = F.least(_total(_weights(a)), _total(_weights(b)))
+        return _total(_weights(shared)) >= _cover_needed(rule, smaller)
+    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    needed = _at_least(rule.small, small)
+    if not rule.contains:
+        needed = F.greatest(needed, _at_least(rule.large, large))
+    return F.size(shared) >= needed
 
 
 class Matcher:
     """Finds pairs of representatives that reach the threshold, within a set or between two sets."""
 
     def __init__(self, keys: DataFrame, algorithm: str, threshold: float):
-        self.rules = rules_for(algorithm, threshold)
+        rules = rules_for(algorithm, threshold)
         self.floor = 100 * threshold - EPSILON
         self.score = scorer_udf(algorithm)
-        kinds = sorted({_kind(r) for r in self.rules})
+        kinds = sorted({_kind(r) for r in rules})
         self.table = written(element_table(keys, kinds), "fuzzy-elements")
-        self.keys = keys
-
-    def _of(self, ranks: DataFrame) -> DataFrame:
-        return self.table.join(ranks.select("rank"), "rank", "left_semi")
-
-    def within(self, ranks: DataFrame) -> list[tuple]:
-        part = self._of(ranks)
-        return [(rule, *signatures(rule, part)) for rule in self.rules]
-
-    def between(self, first: DataFrame, second: DataFrame) -> list[tuple]:
-        one, two = self._of(first), self._of(second)
-        out = []
+        largest = self.table.agg(*[F.max(F.size(k)).alias(k) for k in kinds]).first()
+        self.rules = [r for r in rules if largest[_kind(r)]]
+        # Built once; every set of keys goes through the same expressions.
+        index, probe = [], []
         for rule in self.rules:
-            index_one, probe_one = signatures(rule, one)
-            index_two, probe_two = signatures(rule, two)
-            out += [(rule, index_one, probe_two), (rule, index_two, probe_one)]
-        return out
-
-    def matches(self, work: list[tuple], hot: list[int]) -> DataFrame:
-        """(a, b, score) of the candidate pairs that reach the threshold."""
-        candidates = [self._checked(rule, _pair_up(rule, i, p, h)) for (rule, i, p), h in zip(work, hot)]
-        pairs = candidates[0] if len(candidates) == 1 else reduce(DataFrame.union, candidates).distinct()
-        left = self.keys.select(F.col("rank").alias("a"), F.col("key").alias("key_a"), F.col("block").alias("block_a"))
-        right = self.keys.select(F.col("rank").alias("b"), F.col("key").alias("key_b"), F.col("block").alias("block_b"))
-        both = pairs.join(left, "a").join(right, "b").where("block_a = block_b")
-        scored = both.withColumn("score", self.score("key_a", "key_b"))
-        return scored.where(F.col("score") >= self.floor)
-
-    def _checked(self, rule: Overlap | WordCover, pairs: DataFrame) -> DataFrame:
-        """Drop pairs that share too few elements, before any text is scored."""
-        items = self.table.where(F.col("kind") == _kind(rule))
-        left = items.select(F.col("rank").alias("a"), F.col("items").alias("items_a"))
-        right = items.select(F.col("rank").alias("b"), F.col("items").alias("items_b"))
-        both = pairs.join(left, "a").join(right, "b")
-        shared = F.array_intersect("items_a", "items_b")
-        if isinstance(rule, WordCover):
-            smaller = F.least(_weight(F.col("items_a")), _weight(F.col("items_b")))
-            enough = _weight(shared) >= rule.share * (smaller - 1) + 1 - EPSILON
-        else:
-            na, nb = F.size("items_a"), F.size("items_b")
-            needed = _at_least(rule.small, F.least(na, nb))
-            if not rule.contains:
-                needed = F.greatest(needed, _at_least(rule.large, F.greatest(na, nb)))
-            enough = F.size(shared) >= needed
-        return both.where(enough).select("a", "b")
-
-
-def _weight(words: Column) -> Column:
-    """Length + 1 of each word, summed (the words carry '#1')."""
-    return F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w) - 1)
+            if isinstance(rule, WordCover):
+                smaller, larger = _word_signatures(rule)
+                n = low = F.lit(0)
+            else:
+                smaller, larger = _overlap_signatures(rule, largest[rule.elements])
+                n = F.size(rule.elements)
+                low = F.floor(n * rule.reach).cast("int")
+            index.append(_with_sizes(smaller, n=n))
+            probe.append(_with_sizes(larger, low=low, high=n))
+        self.sides = [F.inline(F.concat(*cells)) for cells in (index, probe) if cells]
+        self.enough = reduce(Column.__or__, map(_enough, self.rules)) if self.rules else F.lit(False)
+
+    def _signed(self, ranks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(rank, sig, n) of the smaller and (rank, sig, low, high) of the larger key of a pair.
+
+        One pass over the table per side emits the signatures of all rules.
+        """
+        part = self.table if ranks is None else self.table.join(ranks.select("rank"), "rank", "left_semi")
+        if any(isinstance(r, WordCover) for r in self.rules):
+            part = _word_columns(part)
+        index, probe = self.sides
+        return part.select("rank", index), part.select("rank", probe)
+
+    def within(self, ranks: DataFrame | None = None) -> list[tuple[DataFrame, DataFrame]]:
+        return [self._signed(ranks)] if self.rules else []
+
+    def between(self, first: DataFrame, second: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+        if not self.rules:
+            return []
+        (index_one, probe_one), (index_two, probe_two) = self._signed(first), self._signed(second)
+        return [(index_one, probe_two), (index_two, probe_one)]
+
+    def matches(self, work: list[tuple[DataFrame, DataFrame]], hot: list[int]) -> DataFrame:
+        """(a, b, key_a, key_b, score) of the candidate pairs that reach the threshold."""
+        pairs = reduce(DataFrame.union, [_pair_up(i, p, h) for (i, p), h in zip(work, hot)]).distinct()
+        names = self.table.columns
+        left = self.table.toDF(*[f"{c}_a" for c in names])
+        right = self.table.toDF(*[f"{c}_b" for c in names])
+        both = pairs.join(left, F.col("a") == F.col("rank_a")).join(right, F.col("b") == F.col("rank_b"))
+        fitting = both.where((F.col("block_a") == F.col("block_b")) & self.enough).select("a", "b", "key_a", "key_b")
+        return fitting.withColumn("score", self.score("key_a", "key_b")).where(F.col("score") >= self.floor)
 
 
 # --- resolution in row order ----------------------------------------------------------------------
@@ -502,7 +514,8 @@ def _kept(matcher: Matcher, ranks: DataFrame, budget: int | None, min_rows: int)
             kept.append(todo)
             break
         work = matcher.within(todo)
-        total, hot = _workload([(i, p) for _, i, p in work])
+        loads = [_workload(i, p) for i, p in work]
+        total, hot = sum(load[0] for load in loads), [load[1] for load in loads]
         limit = budget or max(MIN_PAIR_BUDGET, PAIRS_PER_ROW * n)
         if total <= limit or n <= min_rows:
             if total:
@@ -522,7 +535,7 @@ def _kept(matcher: Matcher, ranks: DataFrame, budget: int | None, min_rows: int)
         first = _kept(matcher, head, budget, min_rows)
         kept.append(first)
         across = matcher.between(first, tail)
-        _, hot = _workload([(i, p) for _, i, p in across])
+        hot = [_workload(i, p)[1] for i, p in across]
         # All rows of the tail come later, so b is always the one to go.
         hit = matcher.matches(across, hot).select(F.col("b").alias("rank")).distinct()
         todo = written(tail.join(hit, "rank", "left_anti"), "fuzzy-tail")
@@ -603,7 +616,8 @@ def fuzzy_pairs(
     distinct = df.select(key.alias("key"), F.lit("").alias("block")).where(~_never_matches(algorithm, F.col("key"))).distinct()
     keys = written(distinct.withColumn("rank", F.monotonically_increasing_id()), "fuzzy-keys")
     matcher = Matcher(keys, algorithm, threshold)
-    work = matcher.within(keys)
-    _, hot = _workload([(i, p) for _, i, p in work])
-    found = matcher.matches(work, hot)
+    work = matcher.within()
+    if not work:
+        return df.sparkSession.createDataFrame([], "key_a string, key_b string, score double")
+    found = matcher.matches(work, [_workload(i, p)[1] for i, p in work])
     return found.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "score")

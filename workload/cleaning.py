@@ -311,7 +311,7 @@ SUBSET_SQL = """
     WITH w AS (SELECT source AS words FROM documents UNION ALL SELECT lang || ' ' || source FROM documents
                UNION ALL SELECT c_mktsegment || ' ' || c_name FROM customer),
     k AS (SELECT DISTINCT array_to_string(list_sort(list_distinct(string_split(words, ' '))), ' ') AS key FROM w)
-    SELECT a.key AS key_a, b.key AS key_b, 100.0 AS score FROM k a JOIN k b ON a.key < b.key
+    SELECT a.key AS key_a, b.key AS key_b, CAST(100 AS DOUBLE) AS score FROM k a JOIN k b ON a.key < b.key
     WHERE list_has_all(string_split(a.key, ' '), string_split(b.key, ' '))
        OR list_has_all(string_split(b.key, ' '), string_split(a.key, ' '))"""
 
@@ -385,17 +385,19 @@ SUFFIX_SQL = """
     FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
-def join_hot_key(spark, sf):
-    """Orders by status: three keys hold all rows, so each is joined apart from the others."""
-    left = table(spark, sf, "orders").selectExpr("o_orderstatus AS status", "o_orderkey")
-    right = spark.createDataFrame([("F", "finished"), ("O", "open"), ("X", "unused")], "status string, meaning string")
-    return merge.merge_datasets(left, right, "status", "outer", hot_key_rows=1000).df
+def merge_hot_key(spark, sf):
+    """Events with totals per event type: a few keys hold all rows, so each is joined apart."""
+    events = dirty(spark, sf, "dirty_events")
+    totals = events.where("event_type IS NULL OR event_type <> 'click'").groupBy("event_type").agg(
+        F.count("value").alias("known_values"))
+    return merge.merge_datasets(events.select("event_type", "event_id"), totals, "event_type", "outer", hot_key_rows=1000).df
 
 
-HOT_SQL = """
-    SELECT coalesce(o_orderstatus, status) AS status, o_orderkey, meaning
-    FROM orders FULL JOIN (VALUES ('F', 'finished'), ('O', 'open'), ('X', 'unused')) v(status, meaning)
-    ON o_orderstatus = status"""
+HOT_SQL = f"""
+    WITH r AS (SELECT event_type, count(value) AS known_values FROM {EVENTS} t
+               WHERE event_type IS NULL OR event_type <> 'click' GROUP BY event_type)
+    SELECT coalesce(l.event_type, r.event_type) AS event_type, event_id, known_values
+    FROM {EVENTS} l FULL JOIN r ON l.event_type IS NOT DISTINCT FROM r.event_type"""
 
 
 def join_key_duplicates(spark, sf):
@@ -492,7 +494,7 @@ QUERIES = {
     "merge_inner": (_merge("inner"), _merge_sql("inner")),
     "merge_outer": (_merge("outer"), _merge_sql("full")),
     "merge_suffix": (merge_suffix, SUFFIX_SQL),
-    "merge_hot_key": (join_hot_key, HOT_SQL),
+    "merge_hot_key": (merge_hot_key, HOT_SQL),
     "join_key_duplicates": (join_key_duplicates, KEY_DUPLICATES_SQL),
     "match_stats": (match_stats, MATCH_SQL),
     "cleaning_plan": (cleaning_plan, PLAN_SQL),

@@ -221,7 +221,7 @@ ANOMALY_SQL = _union([
     *[f"""SELECT '{c}' AS name, 'high_missingness' AS anomaly_type,
                  printf('%.1f', pct) || '% of values are missing.' AS description, miss AS affected_count,
                  round(pct, 2) AS affected_pct FROM {_line_missing(c)} WHERE pct > 20""" for c in _LINE_COLUMNS],
-    *[f"""SELECT '{c}', 'constant_column', 'Column has only one unique value — likely uninformative.', n, 100.0
+    *[f"""SELECT '{c}', 'constant_column', 'Column has only one unique value — likely uninformative.', n, CAST(100 AS DOUBLE)
           FROM {_line_missing(c)} WHERE uniq <= 1 AND n > 1""" for c in _LINE_COLUMNS],
     *[f"""SELECT '{c}', 'possible_outliers', k || ' potential outliers detected via IQR method.', k,
                  round(100.0 * k / n, 2)
@@ -297,13 +297,13 @@ _ISSUES = _union([
       for c, fill in zip(_LINE_COLUMNS, ("median", "median", "mode", "mode"))],
     f"""SELECT 'near_duplicates', CASE WHEN 100.0 * k / n > 5 THEN 'error' ELSE 'warning' END, '',
                'Dataset contains ' || k || ' duplicate rows (' || printf('%.1f', 100.0 * k / n) || '%).',
-               'Run deduplicate_dataset to remove duplicates.', CASE WHEN 100.0 * k / n > 5 THEN 8.0 ELSE 3.0 END
+               'Run deduplicate_dataset to remove duplicates.', CAST(CASE WHEN 100.0 * k / n > 5 THEN 8 ELSE 3 END AS DOUBLE)
         FROM (SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(c - 1) AS BIGINT) AS k
               FROM (SELECT count(*) AS c FROM {dirty_sql('line_constant')} t GROUP BY {', '.join(_LINE_COLUMNS)}))
         WHERE 100.0 * k / n > 1""",
     *[f"""SELECT 'constant_column', 'warning', '{c}',
                  'Column ''{c}'' has only one unique value and is likely uninformative.',
-                 'Consider dropping this column.', 2.0
+                 'Consider dropping this column.', CAST(2 AS DOUBLE)
           FROM {_line_missing(c)} WHERE uniq <= 1 AND n > 1""" for c in _LINE_COLUMNS],
 ])
 
@@ -329,7 +329,7 @@ def mixed_types(spark, sf):
 
 
 MIXED_SQL = """
-    SELECT 'ref' AS name, 'warning' AS severity, 3.0 AS penalty
+    SELECT 'ref' AS name, 'warning' AS severity, CAST(3 AS DOUBLE) AS penalty
     FROM (SELECT count(TRY_CAST(ref AS DOUBLE)) / count(ref) AS share
           FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE CAST(o_custkey AS VARCHAR) END AS ref FROM orders))
     WHERE share BETWEEN 0.05 AND 0.95"""
