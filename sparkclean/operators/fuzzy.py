@@ -34,7 +34,7 @@ from sparkclean.sources.scratch import written
 
 # Candidate pairs worked on at once: so many per row, but at least the floor.
 PAIRS_PER_ROW = 500
-MIN_PAIR_BUDGET = 5_000_000
+MIN_PAIR_BUDGET = 10_000_000
 # A signature shared by more pairs than this is spread over a grid of tasks.
 CELL_ROWS = 5_000
 # The element order uses the counts of this many most frequent elements (the broadcast is bounded).

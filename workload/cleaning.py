@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from sparkclean.functions.keys import composite_key
 from sparkclean.operators import dedup, fuzzy, impute, merge, standardize
 from sparkclean.plans.cleaning import CleaningPlan, Step
+from sparkclean.sources.scratch import scratch_path
+from sparkclean.sources.snapshots import Snapshots
 from workload.tables import dirty, dirty_sql, table
 
 EVENTS = dirty_sql("dirty_events")
@@ -427,7 +429,7 @@ MATCH_SQL = f"""
 
 
 def cleaning_plan(spark, sf):
-    """Standardize, fill, remove copies and join a lookup table."""
+    """Standardize, fill, remove copies and join a lookup table; every step is written once and read back."""
     orders = table(spark, sf, "orders").select(
         F.col("o_custkey").cast("string").alias("Cust Key"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("$"), F.format_number("o_totalprice", 2))).alias("Price"),
@@ -442,7 +444,7 @@ def cleaning_plan(spark, sf):
         Step("deduplicate_dataset"),
         Step("merge_datasets", {"right": customers, "join_key": "cust_key", "join_type": "left"}),
     ])
-    done = plan.run(copies)
+    done = plan.run(copies, Snapshots(spark, scratch_path(spark, "plan")))
     if done.error:
         raise done.error
     return done.df.withColumns({"order_date": F.col("order_date").cast("timestamp_ntz"), "price": F.round("price", 3)})
