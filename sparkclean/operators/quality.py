@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkclean.audit import StepLog, StepResult
+from sparkclean.functions.missing import col, columns_of
+from sparkclean.functions.parsing import try_num
 from sparkclean.operators.profile import HIGH_CARDINALITY_RATIO, TableProfile, build_profile
 
 PASS_SCORE = 70.0
@@ -34,10 +37,8 @@ class QualityResult(StepResult):
     summary: DataFrame
 
 
-def issues_of(profile: TableProfile, rules: str = "standard") -> list[tuple]:
-    """Issues in rule order: missing values, duplicates, constant columns, then the opt-in rules."""
-    if rules not in ("standard", "extended"):
-        raise ValueError(f"rules must be 'standard' or 'extended', not {rules!r}")
+def issues_of(profile: TableProfile) -> list[tuple]:
+    """Issues in rule order: missing values, duplicates, constant columns."""
     out = []
     for p in profile.columns:
         if p.missing_pct == 0:
@@ -58,15 +59,25 @@ def issues_of(profile: TableProfile, rules: str = "standard") -> list[tuple]:
             out.append(("constant_column", "warning", [p.name],
                         f"Column '{p.name}' has only one unique value and is likely uninformative.",
                         "Consider dropping this column.", 2.0))
-    if rules == "extended":
-        out += _extended_issues(profile)
     return out
 
 
-def _extended_issues(profile: TableProfile) -> list[tuple]:
-    out = []
+def numeric_text_shares(df: DataFrame) -> dict[str, float]:
+    """Share of the non-null values of each text column that read as numbers; one aggregate."""
+    texts = columns_of(df, (T.StringType,))
+    if not texts:
+        return {}
+    row = df.agg(*[
+        (F.count(try_num(col(c))) / F.nullif(F.count(col(c)), F.lit(0))).alias(f"s{i}") for i, c in enumerate(texts)
+    ]).first()
+    return {c: row[f"s{i}"] for i, c in enumerate(texts) if row[f"s{i}"] is not None}
+
+
+def extended_issues(df: DataFrame, profile: TableProfile) -> list[tuple]:
+    """The opt-in rules: text columns of mixed type, and text columns of nearly unique values."""
+    shares, out = numeric_text_shares(df), []
     for p in profile.columns:
-        if p.numeric_text_share is not None and MIXED_SHARE[0] <= p.numeric_text_share <= MIXED_SHARE[1]:
+        if MIXED_SHARE[0] <= shares.get(p.name, 0.0) <= MIXED_SHARE[1]:
             out.append(("mixed_types", "warning", [p.name],
                         f"Column '{p.name}' appears to contain mixed data types.",
                         "Run standardize_formats to coerce consistent types.", 3.0))
@@ -89,9 +100,13 @@ def validate_dataset(df: DataFrame, rules: str = "standard", profile: TableProfi
     Pass the profile of the same table version to avoid profiling it again. `rules="extended"` adds the
     mixed-type and high-cardinality rules; they are off by default so scores stay comparable.
     """
+    if rules not in ("standard", "extended"):
+        raise ValueError(f"rules must be 'standard' or 'extended', not {rules!r}")
     spark = df.sparkSession
     profile = profile or build_profile(df)
-    issues = issues_of(profile, rules)
+    issues = issues_of(profile)
+    if rules == "extended":
+        issues += extended_issues(df, profile)
     score = round(score_of(issues), 2)
     passed = score >= PASS_SCORE
     summary = spark.createDataFrame(

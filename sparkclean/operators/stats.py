@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from sparkclean.audit import row_hash
 from sparkclean.functions.missing import as_text, col, is_numeric
 
-# Up to this many rows the built-in exact percentile (which holds a column in one task) is used.
+# Up to this many rows one task sorts the distinct values of a column.
 SMALL_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
 
@@ -60,18 +61,23 @@ def top_k(freq: DataFrame, k: int = 10) -> DataFrame:
     return freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: row count and rows beyond the first of each group of equal rows (NULL equals NULL)."""
+def duplicate_rows(df: DataFrame) -> tuple[int, int]:
+    """Row count, and rows beyond the first of each group of equal rows (NULL equals NULL).
+
+    Rows are counted by a 64-bit hash first, so only 8 bytes per row are shuffled. Equal rows have equal
+    hashes: if no hash repeats there are no duplicates, which is so for any table with a key. Only
+    otherwise are whole rows grouped, with the copies counted before the shuffle.
+    """
+    hashed = df.select(row_hash(df).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("cnt"))
+    seen = hashed.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("rows"), F.max("cnt").alias("most")).first()
+    if (seen["most"] or 0) <= 1:
+        return seen["rows"], 0
     types = {f.name: f.dataType for f in df.schema}
     keys = [
         (F.to_json(col(c)) if isinstance(types[c], T.MapType) else col(c)).alias(f"k{i}")
         for i, c in enumerate(df.columns)
     ]
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
-    return groups.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).alias("duplicate_count"),
-    )
+    return seen["rows"], seen["rows"] - df.groupBy(*keys).agg(F.lit(1)).count()
 
 
 @dataclass
@@ -87,38 +93,36 @@ class _Target:
 
 
 def exact_percentiles(
-    df: DataFrame, probs: dict[str, list[float]], small_rows: int = SMALL_ROWS, accuracy: int = SKETCH_ACCURACY
+    df: DataFrame, probs: dict[str, list[float]], small_rows: int = SMALL_ROWS, accuracy: int = SKETCH_ACCURACY,
+    known: dict[str, tuple[int, float, float]] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated percentiles of numeric columns.
 
-    Small tables use the built-in aggregate. It gathers all distinct values of a column in one task, so
-    beyond `small_rows` the wanted ranks are located by narrowing: a mergeable sketch gives a value range
-    that must hold the rank, a counting pass confirms it, and this repeats until the range is small.
-    Every pass is a column-pruned scan with map-side aggregation; nothing is sorted or gathered.
+    The value at a rank is read off the running counts of the distinct values, which one task per column
+    sorts. Beyond `small_rows` rows that would be too many, so the range of values that holds the rank is
+    narrowed first: a mergeable sketch proposes a range, a counting pass confirms it, and this repeats
+    until the range is small. Every pass is a column-pruned scan with map-side aggregation.
+
+    `known` gives (count, min, max) per column if the caller has them.
     """
     names = list(probs)
     if not names:
         return {}
-    # Added zero folds -0.0 into 0.0, which NaN-safe comparison would keep apart.
+    # Added zero folds -0.0 into 0.0.
     numbers = df.select(*[(col(c).cast("double") + F.lit(0.0)).alias(c) for c in names])
-    first = numbers.agg(*[
-        agg for i, c in enumerate(names)
-        for agg in (F.count(col(c)).alias(f"n{i}"), F.min(col(c)).alias(f"lo{i}"), F.max(col(c)).alias(f"hi{i}"))
-    ]).first()
-    counts = {c: first[f"n{i}"] for i, c in enumerate(names)}
-    if max(counts.values()) <= small_rows:
-        row = numbers.agg(*[
-            F.percentile(col(c), F.array(*map(F.lit, probs[c]))).alias(f"p{i}") for i, c in enumerate(names)
+    if known is None:
+        first = numbers.agg(*[
+            agg for i, c in enumerate(names)
+            for agg in (F.count(col(c)).alias(f"n{i}"), F.min(col(c)).alias(f"lo{i}"), F.max(col(c)).alias(f"hi{i}"))
         ]).first()
-        return {c: list(row[f"p{i}"]) if row[f"p{i}"] is not None else [None] * len(probs[c])
-                for i, c in enumerate(names)}
-
+        known = {c: (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(names)}
+    counts = {c: known[c][0] for c in names}
     targets: dict[tuple[str, int], _Target] = {}
-    for i, c in enumerate(names):
-        for p in probs[c] if counts[c] else []:
-            position = p * (counts[c] - 1)
-            for rank in {floor(position), ceil(position)}:
-                targets[c, rank] = _Target(c, rank, first[f"lo{i}"], first[f"hi{i}"], 0, counts[c])
+    for c in names:
+        n, lowest, highest = known[c]
+        for p in probs[c] if n else []:
+            for rank in {floor(p * (n - 1)), ceil(p * (n - 1))}:
+                targets[c, rank] = _Target(c, rank, lowest, highest, 0, n)
 
     def wide() -> list[_Target]:
         return [t for t in targets.values() if t.lo < t.hi and t.inside > small_rows]
@@ -167,26 +171,29 @@ def _halved(numbers: DataFrame, t: _Target) -> _Target:
 def _read_off(numbers, probs, counts, targets) -> dict[str, list[float | None]]:
     """Read the wanted values from ranges that hold one value or at most `small_rows` rows each."""
     found = {key: t.lo for key, t in targets.items() if t.lo == t.hi}
-    open_targets = [t for key, t in targets.items() if key not in found]
-    if open_targets:
-        cells = F.filter(
-            F.array(*[
-                F.struct(F.lit(i).alias("t"), F.when(col(t.column).between(t.lo, t.hi), col(t.column)).alias("v"))
-                for i, t in enumerate(open_targets)
-            ]),
-            lambda cell: cell["v"].isNotNull(),
-        )
-        wanted = F.create_map(*[F.lit(x) for i, t in enumerate(open_targets) for x in (i, t.rank - t.below)])
-        running = F.sum("cnt").over(Window.partitionBy("t").orderBy("v"))
+    ranges: dict[tuple[str, float, float], list[_Target]] = {}
+    for key, t in targets.items():
+        if key not in found:
+            ranges.setdefault((t.column, t.lo, t.hi), []).append(t)
+    if ranges:
+        cells = F.array(*[
+            F.struct(F.lit(i).alias("r"), F.when(col(c).between(lo, hi), col(c)).alias("v"))
+            for i, (c, lo, hi) in enumerate(ranges)
+        ])
+        ranks = F.create_map(*[
+            x for i, ts in enumerate(ranges.values())
+            for x in (F.lit(i), F.array(*[F.lit(t.rank - t.below).cast("bigint") for t in ts]))
+        ])
         values = (
-            numbers.select(F.inline(cells)).groupBy("t", "v").agg(F.count(F.lit(1)).alias("cnt"))
-            .withColumn("upto", running)
-            .where(F.col("upto") > wanted[F.col("t")])
-            .groupBy("t").agg(F.min("v").alias("v"))
+            numbers.select(F.inline(cells)).where("v IS NOT NULL").groupBy("r", "v").agg(F.count(F.lit(1)).alias("cnt"))
+            .withColumn("upto", F.sum("cnt").over(Window.partitionBy("r").orderBy("v")))
+            .where(F.exists(ranks[F.col("r")], lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("cnt"))))
         )
-        for row in values.collect():  # one row per wanted percentile
-            t = open_targets[row["t"]]
-            found[t.column, t.rank] = row["v"]
+        at = list(ranges.values())
+        for row in values.collect():  # at most one row per wanted rank
+            for t in at[row["r"]]:
+                if row["upto"] - row["cnt"] <= t.rank - t.below < row["upto"]:
+                    found[t.column, t.rank] = row["v"]
     out: dict[str, list[float | None]] = {}
     for c, ps in probs.items():
         out[c] = []

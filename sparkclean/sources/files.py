@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +26,8 @@ def _suffix(path: str) -> str:
     return "." + last.rsplit(".", 1)[-1].lower() if "." in last else ""
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop_path)
-    return found is not None and len(found) > 0
+def path_is_missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
 
 
 def load_dataset(
@@ -43,11 +41,14 @@ def load_dataset(
     if is_secondary and not secondary_name:
         raise ValueError("a secondary dataset needs secondary_name")
     kind = format or FORMATS.get(_suffix(path))
-    if not _exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
     if kind not in FORMATS.values():
         raise ValueError(f"Unsupported file format: {format or _suffix(path)}. Expected .csv or .parquet.")
-    df = read_csv(spark, path, multiline) if kind == "csv" else spark.read.parquet(path)
+    try:
+        df = read_csv(spark, path, multiline) if kind == "csv" else spark.read.parquet(path)
+    except AnalysisException as error:
+        if path_is_missing(error):
+            raise FileNotFoundError(f"File not found: {path}") from error
+        raise
     if is_secondary:
         df.createOrReplaceTempView(secondary_name)
     log = StepLog("load_dataset", 0, len(df.columns), 1.0, 0, None,

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkclean.audit import StepLog, StepResult, audit_log, checksum_columns, checksum_text, schema_digest
+from sparkclean.sources.files import path_is_missing
 
 KINDS = ("dataset", "profile", "log", "report")
 
@@ -38,15 +40,12 @@ class Snapshots:
         return f"{self.root}/{key}"
 
     def versions(self) -> DataFrame:
-        folder = f"{self.root}/_versions"
-        if not self._exists(folder):
+        try:
+            return self.spark.read.schema(VERSIONS_SCHEMA).json(f"{self.root}/_versions")
+        except AnalysisException as error:
+            if not path_is_missing(error):
+                raise
             return self.spark.createDataFrame([], VERSIONS_SCHEMA)
-        return self.spark.read.schema(VERSIONS_SCHEMA).json(folder)
-
-    def _exists(self, path: str) -> bool:
-        hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return hadoop_path.getFileSystem(conf).exists(hadoop_path)
 
     def next_version(self, step: str) -> int:
         newest = self.versions().where(F.col("step_name") == step).agg(F.max("version")).first()[0]
@@ -85,9 +84,12 @@ class Snapshots:
         one.write.mode("append").json(f"{self.root}/_versions")
 
     def read(self, key: str) -> DataFrame:
-        if not self._exists(self.path(key)):
-            raise FileNotFoundError(f"no snapshot under key {key}")
-        return self.spark.read.parquet(self.path(key))
+        try:
+            return self.spark.read.parquet(self.path(key))
+        except AnalysisException as error:
+            if path_is_missing(error):
+                raise FileNotFoundError(f"no snapshot under key {key}") from error
+            raise
 
     def latest(self) -> DataFrame:
         """The newest version of each step."""
