@@ -154,4 +154,5 @@ def scorer_udf(algorithm: str):
     def score_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    return score_pairs
+    # Without this a filter on the score is pushed below it and every pair is scored twice.
+    return score_pairs.asNondeterministic()

@@ -42,7 +42,7 @@ FREQUENT_ELEMENTS = 50_000
 # Up to this many edges are resolved by one task; beyond, in rounds over the edge list.
 SMALL_EDGES = 500_000
 # Sets of this many rows are never split further.
-MIN_SPLIT_ROWS = 2_000
+MIN_SPLIT_ROWS = 200
 EPSILON = 1e-9
 
 
@@ -193,7 +193,9 @@ def element_table(keys: DataFrame, kinds: list[str]) -> DataFrame:
     """
     cells = F.array(*[F.struct(F.lit(k).alias("kind"), _elements(k, F.col("key")).alias("all")) for k in kinds])
     # Partitioned by rank before the elements are spelled out: the groupings below need no other shuffle.
-    spelled = keys.repartition("rank").select("rank", F.inline(cells))
+    # The number is fixed because a key turns into hundreds of signatures: small input is much work.
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spelled = keys.repartition(n, "rank").select("rank", F.inline(cells))
     exploded = spelled.select("rank", "kind", F.explode("all").alias("element"))
     counted = (
         exploded.groupBy("rank", "kind", "element").agg(F.count(F.lit(1)).alias("times"))
@@ -217,7 +219,7 @@ def element_table(keys: DataFrame, kinds: list[str]) -> DataFrame:
 
 # Number of elements of the smaller key -> elements per signature. Longer combinations are rarer, but
 # their number grows with the key; both sides of a pair agree on the class of the smaller key.
-SIZE_CLASSES = ((0, 4, 1), (4, 24, 3), (24, 128, 2), (128, 2**31 - 1, 1))
+SIZE_CLASSES = ((0, 4, 1), (4, 12, 3), (12, 20, 3), (20, 32, 3), (32, 64, 2), (64, 128, 2), (128, 2**31 - 1, 1))
 MAX_COMBINATIONS = 5_000
 SHORT_COVER, SHORT_OTHER = 12, 24
 
@@ -399,7 +401,9 @@ def _pair_up(index: DataFrame, probe: DataFrame, n_hot: int) -> DataFrame:
 
         left, right = spread(left, "ri", "across", "down"), spread(right, "rp", "down", "across")
         on = ["sig", "at_across", "at_down"]
-    joined = left.join(right, on).where("ri <> rp AND n BETWEEN low AND high")
+    # Both sides are many times larger than the scan they come from, so a size estimate must not make one
+    # of them a broadcast.
+    joined = left.join(right.hint("merge"), on).where("ri <> rp AND n BETWEEN low AND high")
     return joined.select(F.least("ri", "rp").alias("a"), F.greatest("ri", "rp").alias("b"))
 
 
@@ -507,26 +511,28 @@ def _removed_by(edges: DataFrame, n_edges: int) -> DataFrame:
 def _kept(matcher: Matcher, ranks: DataFrame, budget: int | None, min_rows: int) -> DataFrame:
     """The kept rows of a set that no earlier kept row outside the set touches."""
     kept: list[DataFrame] = []
-    todo = ranks
+    todo, before = ranks, float("inf")
     while True:
         n = todo.count()
         if n <= 1:
             kept.append(todo)
             break
         work = matcher.within(todo)
-        loads = [_workload(i, p) for i, p in work]
+        loads = _loads(work, n, n, always=n > min_rows)
         total, hot = sum(load[0] for load in loads), [load[1] for load in loads]
         limit = budget or max(MIN_PAIR_BUDGET, PAIRS_PER_ROW * n)
         if total <= limit or n <= min_rows:
-            if total:
+            if work:
                 edges = written(matcher.matches(work, hot).select("a", "b"), "fuzzy-edges")
                 gone = _removed_by(edges, edges.count())
                 todo = written(todo.join(gone, "rank", "left_anti"), "fuzzy-kept")
             kept.append(todo)
             break
-        # Pairs grow with the square of the rows: take the share that should fit the budget.
-        share = min(0.5, max((limit / total) ** 0.5, 2 / n))
-        cut = todo.agg(F.percentile_approx("rank", share, 10_000)).first()[0]
+        # A few rows clear a group of near-copies, so the first part is small. Where that did not lower the
+        # number of pairs by much, the part is as large as the budget allows (pairs grow with its square).
+        share = limit / total if total < before / 2 else (limit / total) ** 0.5
+        before = total
+        cut = todo.agg(F.percentile_approx("rank", min(0.5, max(share, min_rows / n)), 10_000)).first()[0]
         head = written(todo.where(F.col("rank") <= cut), "fuzzy-head")
         tail = todo.where(F.col("rank") > cut)
         if tail.isEmpty():
@@ -535,13 +541,20 @@ def _kept(matcher: Matcher, ranks: DataFrame, budget: int | None, min_rows: int)
         first = _kept(matcher, head, budget, min_rows)
         kept.append(first)
         across = matcher.between(first, tail)
-        hot = [_workload(i, p)[1] for i, p in across]
+        hot = [load[1] for load in _loads(across, first.count(), n)]
         # All rows of the tail come later, so b is always the one to go.
         hit = matcher.matches(across, hot).select(F.col("b").alias("rank")).distinct()
         todo = written(tail.join(hit, "rank", "left_anti"), "fuzzy-tail")
     return reduce(DataFrame.union, kept)
 
 
+def _loads(work: list[tuple[DataFrame, DataFrame]], n: int, m: int, always: bool = False) -> list[tuple[float, int]]:
+    """Workload of each join. Sets too small to have a hot signature are counted only if asked for."""
+    if always or n * m > CELL_ROWS * CELL_ROWS:
+        return [_workload(index, probe) for index, probe in work]
+    return [(0.0, 0) for _ in work]
+
+
 # --- operators ------------------------------------------------------------------------------------
 
 def check_arguments(df: DataFrame, columns: list[str], algorithm: str, threshold: float,
@@ -619,5 +632,6 @@ def fuzzy_pairs(
     work = matcher.within()
     if not work:
         return df.sparkSession.createDataFrame([], "key_a string, key_b string, score double")
-    found = matcher.matches(work, [_workload(i, p)[1] for i, p in work])
+    n = keys.count()
+    found = matcher.matches(work, [load[1] for load in _loads(work, n, n)])
     return found.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "score")

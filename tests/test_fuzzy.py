@@ -56,17 +56,17 @@ def table(spark, keys):
 @pytest.mark.parametrize("algorithm", list(SCORERS))
 @pytest.mark.parametrize("threshold,keep,seed", [(0.85, "first", 1), (0.85, "last", 2), (0.7, "first", 3)])
 def test_equals_scan_over_all_pairs(spark, algorithm, threshold, keep, seed):
-    keys = random_keys(120, seed)
+    keys = random_keys(90, seed)
     found = fuzzy.fuzzy_dedup(table(spark, keys), ["name"], threshold, algorithm, keep, ["id"])
     expected = scan(keys, SCORERS[algorithm], threshold, keep)
     assert sorted(r["id"] for r in found.df.collect()) == expected
     assert found.rows_removed == len(keys) - len(expected)
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9, 0.95, 1.0])
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95, 1.0])
 @pytest.mark.parametrize("algorithm", ["token_set_ratio", "jaro_winkler", "partial_ratio"])
 def test_pairs_are_complete(spark, algorithm, threshold):
-    keys = random_keys(90, int(threshold * 100))
+    keys = random_keys(70, int(threshold * 100))
     found = fuzzy.fuzzy_pairs(table(spark, keys), ["name"], threshold, algorithm).collect()
     names = sorted({" ".join(sorted(set(k.split()))) if algorithm == "token_set_ratio" else k for k in keys})
     score = SCORERS[algorithm]
