@@ -237,53 +237,55 @@ def _signature_size(rule: Overlap, low: int, high: int, wanted: int) -> int:
     return size
 
 
-def _combinations(items: Column, size: int, tag: Column) -> Column:
+# The expressions below are SQL text: they nest deeply, and text is parsed in one step.
+
+NO_SIGNATURES = "cast(array() AS array<bigint>)"
+
+
+def _number(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """`body` with `name` standing for `value`, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _combinations(items: str, size: int, tag: str) -> str:
     """64-bit hashes of all combinations of `size` elements, in list order. A hash collision only adds a
     candidate, which the score then rejects."""
-    n = F.size(items)
     if size == 1:
-        return F.transform(items, lambda a: F.xxhash64(tag, a))
+        return f"transform({items}, a -> xxhash64({tag}, a))"
     if size == 2:
-        return F.flatten(F.transform(items, lambda a, i: F.transform(
-            F.slice(items, i + 2, n), lambda b: F.xxhash64(tag, a, b))))
-    return F.flatten(F.flatten(F.transform(items, lambda a, i: F.transform(
-        F.slice(items, i + 2, n), lambda b, j: F.transform(
-            F.slice(items, i + j + 3, n), lambda c: F.xxhash64(tag, a, b, c))))))
-
-
-def _at_least(bound: tuple[float, float], n: Column) -> Column:
-    return F.greatest(F.ceil(F.lit(bound[0]) * n + F.lit(bound[1] - EPSILON)).cast("int"), F.lit(1))
+        body = f"flatten(transform(p, (a, i) -> transform(slice(p, i + 2, size(p)), b -> xxhash64({tag}, a, b))))"
+    else:
+        body = (f"flatten(flatten(transform(p, (a, i) -> transform(slice(p, i + 2, size(p)), (b, j) -> "
+                f"transform(slice(p, i + j + 3, size(p)), c -> xxhash64({tag}, a, b, c))))))")
+    return _let("p", items, body)
 
 
-def _none(kind: str = "bigint") -> Column:
-    return F.array().cast(f"array<{kind}>")
+def _at_least(bound: tuple[float, float], n: str) -> str:
+    return f"greatest(cast(ceil({_number(bound[0])} * {n} + {_number(bound[1] - EPSILON)}) AS int), 1)"
 
 
-def _first(items: Column, needed: Column, size: int) -> Column:
+def _first(items: str, needed: str, size: int) -> str:
     """The leading elements among which a key must share `size` if it shares `needed` in all."""
-    keep = F.size(items) - needed + size
-    return F.when(keep >= size, F.slice(items, 1, F.greatest(keep, F.lit(1)))).otherwise(_none("string"))
-
+    return (f"CASE WHEN size({items}) >= {needed} THEN slice({items}, 1, size({items}) - {needed} + {size}) "
+            f"ELSE cast(array() AS array<string>) END")
 
-def _with_sizes(signatures: Column, **sizes: Column) -> Column:
-    named = [size.alias(name) for name, size in sizes.items()]
-    return F.transform(signatures, lambda s: F.struct(s.alias("sig"), *named))
 
-
-def _overlap_signatures(rule: Overlap, largest: int) -> tuple[Column, Column]:
+def _overlap_signatures(rule: Overlap, largest: int) -> tuple[str, str]:
     """`largest` is the largest number of elements of any key: size classes above it are left out."""
-    items = F.col(rule.elements)
-    n = F.size(items)
-    start = F.substring("key", 1, rule.prefix) if rule.prefix else F.lit("")
-    long_enough = F.length("key") >= rule.prefix
+    items = rule.elements
+    n = f"size({items})"
+    start = f"substring(key, 1, {rule.prefix})" if rule.prefix else "''"
     if rule.contains:
-        tag = F.concat(F.lit(f"{rule.name}/"), F.col("block"))
-        length = n if rule.elements.endswith("letters") else n + 1
-        small = length >= rule.min_length
-        if rule.max_length is not None:
-            small &= length <= rule.max_length
-        index = F.when(small, _combinations(_first(items, _at_least(rule.small, n), 1), 1, tag)).otherwise(_none())
-        return index, _combinations(items, 1, tag)
+        tag = f"concat('{rule.name}/', block)"
+        length = n if items.endswith("letters") else f"({n} + 1)"
+        most = 2**31 - 1 if rule.max_length is None else rule.max_length
+        index = _combinations(_first(items, _at_least(rule.small, n), 1), 1, tag)
+        small = f"{length} BETWEEN {rule.min_length} AND {most}"
+        return f"CASE WHEN {small} THEN {index} ELSE {NO_SIGNATURES} END", _combinations(items, 1, tag)
     indexes, probes = [], []
     for low, high, wanted in SIZE_CLASSES:
         if low >= max(largest, 1):
@@ -291,39 +293,36 @@ def _overlap_signatures(rule: Overlap, largest: int) -> tuple[Column, Column]:
         high = min(high, largest)
         fewest = max(1, ceil(rule.small[0] * (low + 1) + rule.small[1] - EPSILON))
         size = _signature_size(rule, low, high, wanted)
-        tag = F.concat(F.lit(f"{rule.name}/{low}/"), start, F.col("block"))
-        mine = long_enough & (n > low) & (n <= high)
-        indexes.append(F.when(mine, _combinations(_first(items, _at_least(rule.small, n), size), size, tag))
-                       .otherwise(_none()))
-        larger = long_enough & (n > low) & (F.floor(n * rule.reach) <= high)
-        needed = F.greatest(_at_least(rule.large, n), F.lit(fewest))
-        probes.append(F.when(larger, _combinations(_first(items, needed, size), size, tag)).otherwise(_none()))
-    return F.concat(*indexes), F.concat(*probes)
-
-
-def _weights(words: Column) -> Column:
-    """Length + 1 of each word (the words carry '#1')."""
-    return F.transform(words, lambda w: F.length(w) - 1)
+        tag = f"concat('{rule.name}/{low}/', {start}, block)"
+        fits = f"length(key) >= {rule.prefix} AND {n} > {low}"
+        mine = _combinations(_first(items, _at_least(rule.small, n), size), size, tag)
+        indexes.append(f"CASE WHEN {fits} AND {n} <= {high} THEN {mine} ELSE {NO_SIGNATURES} END")
+        needed = f"greatest({_at_least(rule.large, n)}, {fewest})"
+        theirs = _combinations(_first(items, needed, size), size, tag)
+        probes.append(f"CASE WHEN {fits} AND floor({n} * {_number(rule.reach)}) <= {high} THEN {theirs} "
+                      f"ELSE {NO_SIGNATURES} END")
+    return f"concat({', '.join(indexes)})", f"concat({', '.join(probes)})"
 
 
-def _total(weights: Column) -> Column:
-    return F.aggregate(weights, F.lit(0), lambda s, w: s + w)
+def _total_weight(words: str) -> str:
+    """Length + 1 of each word (the words carry '#1'), summed."""
+    return f"aggregate({words}, 0, (s, w) -> s + length(w) - 1)"
 
 
-def _cover_needed(rule: WordCover, total: Column) -> Column:
-    return F.lit(rule.share) * (total - 1) + (1 - EPSILON)
+def _cover_needed(rule: WordCover, total: str) -> str:
+    return f"({_number(rule.share)} * ({total} - 1) + {_number(1 - EPSILON)})"
 
 
 def _word_columns(table: DataFrame) -> DataFrame:
     """Add the words' weights, their sum, and what stands from each word to the end of the list."""
-    left = F.aggregate(
-        F.reverse("weights"), _none("int"),
-        lambda done, w: F.concat(F.array(w + F.coalesce(F.get(done, F.lit(0)), F.lit(0))), done))
-    return table.withColumn("weights", _weights(F.col("words"))).withColumns(
-        {"total": _total(F.col("weights")), "left": left})
+    return table.withColumn("weights", F.expr("transform(words, w -> length(w) - 1)")).withColumns({
+        "total": F.expr(_total_weight("words")),
+        "rest": F.expr("aggregate(reverse(weights), cast(array() AS array<int>), "
+                       "(done, w) -> concat(array(w + coalesce(get(done, 0), 0)), done))"),
+    })
 
 
-def _word_signatures(rule: WordCover) -> tuple[Column, Column]:
+def _word_signatures(rule: WordCover) -> tuple[str, str]:
     """Signatures for weighted word cover.
 
     Let the covered key's words stand rarest first. Its first shared word must leave enough weight behind
@@ -331,29 +330,23 @@ def _word_signatures(rule: WordCover) -> tuple[Column, Column]:
     covered key emits single words that suffice alone and pairs otherwise; the other key emits all its
     words and pairs. Keys of many words use single words only, to keep the number of pairs small.
     """
-    items, weights, rest = F.col("words"), F.col("weights"), F.col("left")
-    n, need = F.size(items), _cover_needed(rule, F.col("total"))
-
-    def tagged(name: str) -> Column:
-        return F.concat(F.lit(f"{rule.name}/{name}/"), F.col("block"))
-
-    leading = F.filter(items, lambda w, i: F.get(rest, i) >= need)
-    alone = F.filter(leading, lambda w, i: F.get(weights, i) >= need)
-
-    def second(i: Column) -> Column:
-        after = F.transform(F.slice(items, i + 2, n), lambda v, j: F.struct(
-            v.alias("word"), (F.get(weights, i) + F.get(rest, i + j + 1)).alias("reaches")))
-        return F.filter(after, lambda s: s["reaches"] >= need)
-
-    paired = F.flatten(F.transform(leading, lambda w, i: F.when(
-        F.get(weights, i) < need, F.transform(second(i), lambda s: F.xxhash64(tagged("short"), w, s["word"]))
-    ).otherwise(_none())))
-    to_long = _combinations(leading, 1, tagged("to-long"))
-    index = F.when(n <= SHORT_COVER, F.concat(_combinations(alone, 1, tagged("short")), paired, to_long)).otherwise(
-        F.concat(to_long, _combinations(leading, 1, tagged("from-long"))))
-    probe = F.when(n <= SHORT_OTHER, F.concat(
-        _combinations(items, 1, tagged("short")), _combinations(items, 2, tagged("short")),
-        _combinations(items, 1, tagged("from-long")))).otherwise(_combinations(items, 1, tagged("to-long")))
+    need = _cover_needed(rule, "total")
+    short, to_long, from_long = (f"concat('{rule.name}/{x}/', block)" for x in ("short", "to-long", "from-long"))
+    after = ("transform(slice(words, i + 2, size(words)), (v, j) -> named_struct("
+             "'word', v, 'reaches', get(weights, i) + get(rest, i + j + 1)))")
+    second = f"transform(filter({after}, r -> r.reaches >= {need}), r -> xxhash64({short}, w, r.word))"
+    paired = (f"flatten(transform(leading, (w, i) -> CASE WHEN get(weights, i) < {need} THEN {second} "
+              f"ELSE {NO_SIGNATURES} END))")
+    alone = f"filter(leading, (w, i) -> get(weights, i) >= {need})"
+    leading = f"filter(words, (w, i) -> get(rest, i) >= {need})"
+    index = _let("leading", leading, (
+        f"CASE WHEN size(words) <= {SHORT_COVER} THEN "
+        f"concat({_combinations(alone, 1, short)}, {paired}, {_combinations('leading', 1, to_long)}) "
+        f"ELSE concat({_combinations('leading', 1, to_long)}, {_combinations('leading', 1, from_long)}) END"))
+    probe = (
+        f"CASE WHEN size(words) <= {SHORT_OTHER} THEN concat({_combinations('words', 1, short)}, "
+        f"{_combinations('words', 2, short)}, {_combinations('words', 1, from_long)}) "
+        f"ELSE {_combinations('words', 1, to_long)} END")
     return index, probe
 
 
@@ -407,18 +400,17 @@ def _pair_up(index: DataFrame, probe: DataFrame, n_hot: int) -> DataFrame:
     return joined.select(F.least("ri", "rp").alias("a"), F.greatest("ri", "rp").alias("b"))
 
 
-def _enough(rule: Overlap | WordCover) -> Column:
+def _enough(rule: Overlap | WordCover) -> str:
     """Does a pair share as many elements as the rule asks for? Tested before any text is scored."""
-    a, b = F.col(f"{_kind(rule)}_a"), F.col(f"{_kind(rule)}_b")
-    shared = F.array_intersect(a, b)
+    a, b = f"{_kind(rule)}_a", f"{_kind(rule)}_b"
+    shared = f"array_intersect({a}, {b})"
     if isinstance(rule, WordCover):
-        smaller = F.least(_total(_weights(a)), _total(_weights(b)))
-        return _total(_weights(shared)) >= _cover_needed(rule, smaller)
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    needed = _at_least(rule.small, small)
+        smaller = f"least({_total_weight(a)}, {_total_weight(b)})"
+        return f"{_total_weight(shared)} >= {_cover_needed(rule, smaller)}"
+    needed = _at_least(rule.small, f"least(size({a}), size({b}))")
     if not rule.contains:
-        needed = F.greatest(needed, _at_least(rule.large, large))
-    return F.size(shared) >= needed
+        needed = f"greatest({needed}, {_at_least(rule.large, f'greatest(size({a}), size({b}))')})"
+    return f"size({shared}) >= {needed}"
 
 
 class Matcher:
@@ -436,16 +428,15 @@ class Matcher:
         index, probe = [], []
         for rule in self.rules:
             if isinstance(rule, WordCover):
-                smaller, larger = _word_signatures(rule)
-                n = low = F.lit(0)
+                (smaller, larger), n, low = _word_signatures(rule), "0", "0"
             else:
                 smaller, larger = _overlap_signatures(rule, largest[rule.elements])
-                n = F.size(rule.elements)
-                low = F.floor(n * rule.reach).cast("int")
-            index.append(_with_sizes(smaller, n=n))
-            probe.append(_with_sizes(larger, low=low, high=n))
-        self.sides = [F.inline(F.concat(*cells)) for cells in (index, probe) if cells]
-        self.enough = reduce(Column.__or__, map(_enough, self.rules)) if self.rules else F.lit(False)
+                n = f"size({rule.elements})"
+                low = f"cast(floor({n} * {_number(rule.reach)}) AS int)"
+            index.append(f"transform({smaller}, s -> named_struct('sig', s, 'n', {n}))")
+            probe.append(f"transform({larger}, s -> named_struct('sig', s, 'low', {low}, 'high', {n}))")
+        self.sides = [F.expr(f"inline(concat({', '.join(cells)}))") for cells in (index, probe) if cells]
+        self.enough = F.expr(" OR ".join(f"({_enough(rule)})" for rule in self.rules) or "false")
 
     def _signed(self, ranks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """(rank, sig, n) of the smaller and (rank, sig, low, high) of the larger key of a pair.

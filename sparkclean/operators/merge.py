@@ -98,9 +98,16 @@ def join_key_duplicates(left: DataFrame, right: DataFrame, key: str) -> DataFram
         "left_duplicates", "right_duplicates")
 
 
+def _registered(left: DataFrame, name: str) -> DataFrame:
+    spark = left.sparkSession
+    if not spark.catalog.tableExists(name):
+        raise ValueError(f"Secondary dataset '{name}' is not registered.")
+    return spark.table(name)
+
+
 def merge_datasets(
     left: DataFrame,
-    right: DataFrame,
+    right: DataFrame | str,
     join_key: str,
     join_type: str = "left",
     validate_key_uniqueness: bool = True,
@@ -109,8 +116,10 @@ def merge_datasets(
 ) -> MergeResult:
     """Equi-join on one column. NULL keys match NULL keys; colliding right columns get `_right`.
 
-    The key counts needed for the statistics also show the hot keys and the exact output size.
+    `right` is a table or the name of a registered secondary dataset. The key counts needed for the statistics also show the hot keys and the exact output size.
     """
+    if isinstance(right, str):
+        right, secondary_name = _registered(left, right), secondary_name or right
     _check_key(left, right, join_key, join_type)
     left, right = nan_to_null(left), nan_to_null(right)
     right, added = _without_collisions(left, right, join_key)

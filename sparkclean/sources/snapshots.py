@@ -54,15 +54,16 @@ class Snapshots:
     def write(self, result: StepResult, input_key: str | None = None) -> str:
         """Write the output of a step. Row count and checksum are observed during the write itself."""
         log, df = result.log, result.df
-        version = self.next_version(log.step_name)
+        related = (F.col("step_name") == log.step_name) | F.col("artifact_key").eqNullSafe(F.lit(input_key))
+        known = self.versions().where(related).collect()  # one row per version of the step
+        version = 1 + max((v["version"] for v in known if v["step_name"] == log.step_name), default=0)
         key = artifact_key(log.step_name, version)
         watch = Observation()
         df.observe(watch, *checksum_columns(df)).write.mode("errorifexists").parquet(self.path(key))
         seen = watch.get
         log.rows_after, log.checksum_after = seen["row_count"], checksum_text(seen["row_count"], seen["hash_sum"])
-        if input_key is not None:
-            before = self.versions().where(F.col("artifact_key") == input_key).first()
-            if before is not None:
+        for before in known:
+            if before["artifact_key"] == input_key:
                 log.rows_before, log.checksum_before = before["row_count"], before["checksum"]
         self.register(key, log.step_name, version, df, seen["row_count"], log.checksum_after, input_key)
         self.logs.append(log)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkclean.audit import audit_log, schema_digest, table_checksum
 from sparkclean.operators.impute import handle_missing_values
+from sparkclean.operators.merge import merge_datasets
 from sparkclean.plans.cleaning import CleaningPlan, Step
 from sparkclean.sources.files import load_dataset, read_csv, schema_summary, spans_lines, with_row_order
 from sparkclean.sources.report import generate_output, quality_report_markdown
@@ -56,6 +57,11 @@ def test_load_errors_and_secondary(spark, tmp_path, departments):
         load_dataset(spark, path, is_secondary=True)
     load_dataset(spark, path, is_secondary=True, secondary_name="departments")
     assert spark.table("departments").count() == 3
+    people = spark.createDataFrame([("Alice", 1), ("Zoe", 2)], "Name string, id long")
+    merged = merge_datasets(people, "departments", "Name")
+    assert merged.df.count() == 2 and merged.log.detail["secondary_name"] == "departments"
+    with pytest.raises(ValueError, match="not registered"):
+        merge_datasets(people, "no_such_table", "Name")
 
 
 def test_schema_summary_and_row_order(spark, tmp_path):
