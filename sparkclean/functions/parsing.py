@@ -10,13 +10,12 @@ CURRENCY_SIGNS = "[$€£¥₹₽]"
 CURRENCY_STRIP = r"[$€£¥₹₽]\s*|,(?=\d{3})"
 
 # Spark's cast takes '1d' and '5f' as numbers, so the text form is checked before the cast.
-_DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_INFINITY = r"^\s*[+-]?(?i:inf|infinity)\s*$"
+_NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 _INTEGER = r"^\s*[+-]?\d+\s*$"
 
 
 def try_num(text: Column) -> Column:
-    return F.when(text.rlike(_DECIMAL) | text.rlike(_INFINITY), F.trim(text).try_cast("double"))
+    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
 def try_long(text: Column) -> Column:
@@ -64,20 +63,41 @@ _DATE_SHAPES = (
 _LOOKS_LIKE_DATE = r"^(\d{1,4}[-/]\d{1,2}[-/]\d|[A-Z][a-z]{2,} \d|\d{1,2} [A-Z][a-z]{2}|(19|20)\d{6}$)"
 
 
+def _families(t: Column) -> list[tuple[Column, str]]:
+    """A cheap test per family of shapes, and what the shapes of the family start with."""
+    year_first = F.substring(t, 5, 1).isin("-", "/") & ~F.substring(t, 2, 1).isin("-", "/") & ~F.substring(
+        t, 3, 1).isin("-", "/")
+    return [
+        (year_first, r"^\d{4}"),
+        (F.substring(t, 1, 1).between("A", "Z"), "^[A-Z]"),
+        (F.contains(t, F.lit("/")) | F.contains(t, F.lit("-")), r"^\d{1,2}[/-]"),
+        (F.contains(t, F.lit(" ")), r"^\d{1,2} "),
+        (F.length(t) == 8, "^(19|20)"),
+    ]
+
+
 def try_ts(text: Column) -> Column:
     """Timestamp of text in any of the accepted date formats, else NULL.
 
     Bare years, bare times, 'now' and 'today' are not dates: their meaning would depend on the clock.
     """
     t = F.trim(text)
-    parsed = None
-    for shape, formats in _DATE_SHAPES:
-        value = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])
-        hit = t.rlike(shape)
+    chosen = None
+    for guard, start in _families(t):
         # Two shapes may cover one text ('May 3 2020' is short and long month): fall through on NULL.
-        value = F.when(hit, value)
-        parsed = [value] if parsed is None else [*parsed, value]
-    return F.when(t.rlike(_LOOKS_LIKE_DATE), F.coalesce(*parsed))
+        values = [
+            F.when(t.rlike(shape), F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]))
+            for shape, formats in _DATE_SHAPES if _starts(shape) == start
+        ]
+        chosen = F.when(guard, F.coalesce(*values)) if chosen is None else chosen.when(guard, F.coalesce(*values))
+    return F.when(t.rlike(_LOOKS_LIKE_DATE), chosen)
+
+
+def _starts(shape: str) -> str:
+    for start in (r"^\d{4}", "^[A-Z]", r"^\d{1,2} ", "^(19|20)"):
+        if shape.startswith(start):
+            return start
+    return r"^\d{1,2}[/-]"
 
 
 # Strptime directives and the matching datetime pattern letters.
