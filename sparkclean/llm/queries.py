@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclean.llm import bpe
+from sparkclean.llm import bpe, packing, token_counts
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op4_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{TOKENIZERS}/byte_bpe_50k.json"
     ids = bpe.encode_texts(_table(spark, sf_dir, "documents"), path)
@@ -23,4 +32,4 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op9_bpe_roundtrip,)}
+QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op4_count_tokens, op9_bpe_roundtrip)}
