@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclean.llm import bpe, packing, token_counts
+from sparkclean.llm import bpe, packing, secret_scan, token_counts
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -20,6 +20,20 @@ def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op4_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -32,4 +46,4 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op4_count_tokens, op9_bpe_roundtrip)}
+QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op4_count_tokens, op9_bpe_roundtrip)}
