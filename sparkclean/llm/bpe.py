@@ -19,7 +19,7 @@ from sparkclean.llm.common import byte_slices, ragged, texts_of
 #: Fixed value: how the byte-level pre-tokenizer cuts words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words and word parts whose ids a Python worker keeps; others are encoded anew each time.
-KEPT = 600_000
+KEPT = 450_000
 
 
 def byte_names() -> list[str]:
