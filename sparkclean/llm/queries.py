@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclean.llm import bpe, packing, secret_scan, token_counts
+from sparkclean.llm import bpe, packing, quality, secret_scan, token_counts
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -34,6 +34,15 @@ def op2_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -46,4 +55,4 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op4_count_tokens, op9_bpe_roundtrip)}
+QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op9_bpe_roundtrip)}
