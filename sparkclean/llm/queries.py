@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclean.llm import bpe, packing, quality, secret_scan, shingle_join, token_counts
+from sparkclean.llm import bpe, packing, quality, secret_scan, shingle_join, token_counts, topk
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -47,6 +47,10 @@ def op4_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op6_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_join_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join_shingles(_table(spark, sf_dir, "documents"), width=4, least=85)
 
@@ -59,4 +63,4 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op8_join_shingles, op9_bpe_roundtrip)}
+QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op6_topk_vectors, op8_join_shingles, op9_bpe_roundtrip)}
