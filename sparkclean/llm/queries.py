@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclean.llm import bpe, packing, quality, secret_scan, shingle_join, token_counts, topk
+from sparkclean.llm import bpe, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -63,4 +63,8 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op6_topk_vectors, op8_join_shingles, op9_bpe_roundtrip)}
+def op10_dedup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op6_topk_vectors, op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors)}
