@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclean.llm import bpe, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup
+from sparkclean.llm import bpe, html_text, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -51,6 +51,11 @@ def op6_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract_text(pages, html_text.learn_weights(pages))
+
+
 def op8_join_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join_shingles(_table(spark, sf_dir, "documents"), width=4, least=85)
 
@@ -67,4 +72,4 @@ def op10_dedup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op6_topk_vectors, op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors)}
+QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op6_topk_vectors, op7_extract_pages, op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors)}
