@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclean.llm import bpe, html_text, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup
+from sparkclean.llm import bpe, chat_format, html_text, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -47,6 +47,13 @@ def op4_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op5_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from transcripts; the roles of two thirds of the conversations train the model."""
+    turns = _table(spark, sf_dir, "conversations")
+    model = chat_format.fit_chat(turns, F.crc32(F.col("conv_id").cast("string")) % 3 != 1)
+    return chat_format.parse_transcripts(chat_format.transcripts(turns), model).withColumnRenamed("id", "conv_id")
+
+
 def op6_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -72,4 +79,4 @@ def op10_dedup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op6_topk_vectors, op7_extract_pages, op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors)}
+QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op5_format_chats, op6_topk_vectors, op7_extract_pages, op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors)}
