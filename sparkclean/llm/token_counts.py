@@ -20,6 +20,8 @@ from sparkclean.llm.common import byte_slices, texts_of
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: the white space that the tokenizer drops. Python's own adds four control characters.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Lower cases of Unicode 16 that Python does not have yet.
+NEW_LOWER = {0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B, **{0x10D50 + k: 0x10D70 + k for k in range(22)}}
 _controls = re.compile("[\x1c-\x1f]")
 #: Distinct words whose counts a Python worker keeps; others are counted anew in each batch.
 KEPT = 1_000_000
@@ -28,7 +30,9 @@ NONE = np.iinfo(np.int32).max
 
 def lowered(text: str) -> str:
     """NFC, then each character's own lower case (no final sigma)."""
-    text = unicodedata.normalize("NFC", text)
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text).translate(NEW_LOWER)
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
