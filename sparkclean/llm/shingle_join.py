@@ -14,7 +14,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkclean.llm.common import byte_slices, label_components, utf8_views, written
@@ -23,7 +23,7 @@ from sparkclean.llm.shingles import distinct_by_text, mix, shingle_sets
 #: A token that stands in more prefixes is frequent; the table under a rarer one makes at most FREQUENT / 2 pairs a row.
 FREQUENT = 64
 #: Buckets of the frequency sketch and its parts. It sets the order of tokens, so it can't change the result.
-SKETCH_BITS, SKETCH_PARTS = 22, 64
+SKETCH_BITS, SKETCH_PARTS = 24, 64
 #: Sets of a chunk when all sets under one combination are compared, two chunks a task.
 CHUNK = 512
 #: Bits of the filter that keeps texts of no candidate from being moved.
@@ -41,6 +41,14 @@ class Threshold:
         """Fewest tokens that a set of n tokens shares with a set that it links to."""
         return -(-n * self.least // self.parts)
 
+    def both(self, sizes: str) -> str:
+        """SQL of the fewest shared tokens of two linked sets of `sizes` tokens in all."""
+        return f"({self.least} * {sizes} + {self.parts + self.least - 1}) div {self.parts + self.least}"
+
+    def behind(self, n: str) -> str:
+        """SQL of the number of tokens behind the longest extended prefix of a set of n tokens."""
+        return f"greatest(({self.least} * {n} + {self.parts - 1}) div {self.parts} - 1 - shiftleft(1, length(bin({n} div 64)) - 1), 0)"
+
     def alone(self, n: np.ndarray) -> np.ndarray:
         """Whether a set of n tokens is too small to link to another one."""
         return n * self.parts < self.least * (n + 1)
@@ -48,19 +56,22 @@ class Threshold:
 
 def levels(n: np.ndarray) -> np.ndarray:
     """Size class: frequent tokens of sets of 64 * 2^level tokens are dealt into 2^level groups."""
-    return np.maximum(np.log2(np.maximum(n, 1) / 64).astype(np.int64), 0)
-
-
-def _sketch_part(counts: np.ndarray) -> list[tuple[int, bytes]]:
-    """The counts that aren't 0, as compressed places and numbers, by part of the sketch."""
-    width, out = len(counts) // SKETCH_PARTS, []
-    for part in range(SKETCH_PARTS):
-        own = counts[part * width : (part + 1) * width]
-        at = np.flatnonzero(own)
-        if len(at):
-            raw = np.concatenate([at, own[at]]).astype("<u4").tobytes()
-            out.append((part, zstandard.ZstdCompressor(level=1).compress(raw)))
-    return out
+    return np.maximum(np.frexp(n // 64)[1] - 1, 0)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts below 255 as a byte each, then the places and numbers of the larger ones; compressed."""
+    large = np.flatnonzero(counts >= 255)
+    raw = np.minimum(counts, 255).astype(np.uint8).tobytes() + np.concatenate([large, np.minimum(counts[large], 0xFFFFFFFF)]).astype("<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpacked(blob: bytes, size: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    counts = np.frombuffer(raw, np.uint8, size).astype(np.uint64)
+    at, n = np.frombuffer(raw, "<u4", offset=size).reshape(2, -1)
+    counts[at] = n
+    return counts
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -78,11 +89,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
                  nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
-        if id_type is not None and (found := _sketch_part(counts)):
-            none = pa.nulls(len(found))
-            parts, blobs = zip(*found)
+        if id_type is not None:
+            none, blobs = pa.nulls(SKETCH_PARTS), [_packed(x) for x in np.split(counts, SKETCH_PARTS)]
             yield pa.RecordBatch.from_arrays(
-                [none.cast(id_type), *[none.cast(pa.int64())] * 3, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names)
+                [none.cast(id_type), *[none.cast(pa.int64())] * 3, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(blobs, pa.binary())], names)
 
     schema = f"id {kind}, n long, node long, check long, part int, counts binary"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).mapInArrow(run, schema)
@@ -95,25 +105,23 @@ def _keys(hashed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _classes(sets: DataFrame) -> np.ndarray:
-    """Logarithm of the number of shingles in each bucket of the sketch: 4 MB, whatever the input."""
+    """Logarithm of the number of shingles in each bucket of the sketch: 16 MB, whatever the input."""
+    size = (1 << SKETCH_BITS) // SKETCH_PARTS
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, total = (1 << SKETCH_BITS) // SKETCH_PARTS, {}
+        total = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = total.setdefault(part, np.zeros(size, np.uint64))
-                at, n = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4").reshape(2, -1)
-                own[at] += n
+                own += _unpacked(blob, size)
         for part, own in total.items():
-            at = np.flatnonzero(own)
-            raw = np.concatenate([at, np.minimum(own[at], 0xFFFFFFFF)]).astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(raw)], pa.binary())], ["part", "counts"])
-
-    parts = sets.where("part is not null").select("part", "counts")
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint8)
-    merged = parts.mapInArrow(merge, "part int, counts binary").repartition(SKETCH_PARTS, "part").mapInArrow(merge, "part int, counts binary")
-    for row in merged.toLocalIterator():
-        at, n = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), "<u4").reshape(2, -1)
-        out[row["part"]][at] = np.log2(n)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(own)], pa.binary())], ["part", "counts"])
+
+    schema = "part int, counts binary"
+    merged = sets.where("part is not null").select("part", "counts").mapInArrow(merge, schema)
+    out = np.zeros((SKETCH_PARTS, size), np.uint8)
+    for row in merged.repartition(SKETCH_PARTS, "part").mapInArrow(merge, schema).collect():  # SKETCH_PARTS rows
+        out[row["part"]] = np.log2(np.maximum(_unpacked(row["counts"], size), 1))
     return out.ravel()
 
 
@@ -143,14 +151,24 @@ def _prefixes(docs: DataFrame, text_col: str, width: int, limit: Threshold, clas
     return rows.groupBy("node", "check").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).drop("check")
 
 
-def _sizes_fit(limit: Threshold):
-    return f"a.node < b.node and {limit.parts} * least(a.n, b.n) >= {limit.least} * greatest(a.n, b.n)"
-
-
 def _pairs_under(postings: DataFrame, limit: Threshold) -> DataFrame:
     """Pairs of sets under the same token, of sizes that can link. Only for tokens of at most FREQUENT sets."""
     a, b = postings.alias("a"), postings.alias("b")
-    return a.join(b, F.expr(f"a.token = b.token and {_sizes_fit(limit)}")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    fit = f"a.token = b.token and a.node < b.node and {limit.parts} * least(a.n, b.n) >= {limit.least} * greatest(a.n, b.n)"
+    return a.join(b, F.expr(fit)).selectExpr("a.node as a", "b.node as b", "a.n as na", "b.n as nb")
+
+
+def _possible(rare: DataFrame, further: DataFrame, frequent: DataFrame, limit: Threshold) -> DataFrame:
+    """Those of all candidate pairs that share so many prefix tokens that their sets can reach the threshold.
+
+    `rare` has a row for each rare token that a pair shares. Of frequent tokens, a pair shares at most as many as either
+    set has. Tokens behind the prefix that ends first can all be shared, others not.
+    """
+    counted = rare.withColumn("c", F.lit(1)).union(further.withColumn("c", F.lit(0))).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    tokens = frequent.groupBy("node").agg(F.count("*").alias("f"))
+    known = counted.join(tokens.withColumnsRenamed({"node": "a", "f": "fa"}), "a", "left").join(tokens.withColumnsRenamed({"node": "b", "f": "fb"}), "b", "left")
+    most = f"c + if(fa is null or fb is null, 0, least(fa, fb)) + greatest({limit.behind('na')}, {limit.behind('nb')})"
+    return known.where(f"{most} >= {limit.both('(na + nb)')}").select("a", "b")
 
 
 def _combinations(frequent: DataFrame, limit: Threshold) -> DataFrame:
@@ -183,8 +201,9 @@ def _combinations(frequent: DataFrame, limit: Threshold) -> DataFrame:
 
 def _counted(postings: DataFrame, label: str) -> DataFrame:
     """Postings under tokens of two sets or more, with the number c of those sets and the smallest, lo."""
-    shared = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("lo")).where("c > 1")
-    return written(postings.join(shared, "token"), label)
+    same = Window.partitionBy("token")
+    counted = postings.withColumns({"c": F.count("*").over(same), "lo": F.min("node").over(same), "lo_n": F.min(F.struct("node", "n")).over(same)["n"]})
+    return written(counted.where("c > 1"), label)
 
 
 def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -325,14 +344,14 @@ def join_shingles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     limit = Threshold(least, parts)
     docs = df.select(F.col(id_col), F.col(text_col))
     sets = written(_sets(docs, id_col, text_col, width), "shingle-sets")
-    prefix = written(_prefixes(docs, text_col, width, limit, _classes(sets)), "shingle-prefixes")
+    prefix = _prefixes(docs, text_col, width, limit, _classes(sets))
     postings = _counted(prefix.select("node", "n", F.posexplode("tokens").alias("pos", "token")), "shingle-postings")
     rare, frequent = postings.where(f"c <= {FREQUENT}"), postings.where(f"c > {FREQUENT}")
     combined = _counted(_combinations(frequent, limit), "shingle-combined")
     dense = combined.where(f"c > {FREQUENT}")
-    stars = dense.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
-    pairs = _pairs_under(rare, limit).union(_pairs_under(combined.where(f"c <= {FREQUENT}"), limit)).union(stars)
-    pairs = written(pairs.distinct(), "shingle-pairs")
+    stars = dense.where("node <> lo").selectExpr("lo as a", "node as b", "lo_n as na", "n as nb")
+    further = _pairs_under(combined.where(f"c <= {FREQUENT}"), limit).union(stars)
+    pairs = written(_possible(_pairs_under(rare, limit), further, frequent, limit), "shingle-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = _texts(docs, sets, nodes, id_col, text_col, width)
     links = written(_verified(pairs, texts, width, limit), "shingle-links")
