@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
 
 def snake_case(name: str) -> str:
-    words = re.sub(r"[\s\-]+", "_", name.strip())
-    words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", words)
-    words = re.sub(r"_+", "_", re.sub(r"\W", "", words))
-    return words.lower().strip("_")
+    """The words of a name in lower case, joined by underscores.
+
+    White space, hyphens and underscores end a word, and so does a capital A-Z behind a-z or a digit. Any other sign is
+    left out and joins what stands on both sides of it.
+    """
+    words, before = [""], ""
+    for sign in name:
+        if sign.isspace() or sign in "-_":
+            words.append("")
+        elif sign.isalnum():
+            if "A" <= sign <= "Z" and ("a" <= before <= "z" or "0" <= before <= "9"):
+                words.append("")
+            words[-1] += sign
+        before = sign
+    return "_".join(w for w in words if w).lower()
 
 
 def unique_names(names: list[str]) -> list[str]:

@@ -36,93 +36,117 @@ def currency_to_num(text: Column) -> Column:
     return try_num(F.trim(F.regexp_replace(text, CURRENCY_STRIP, "")))
 
 
-# Shape of the text -> formats to try, in order. The shape test keeps the (costly) failing parse away
-# from text that is no date. Slash and dash dates are month-first, day-first where that is impossible.
-_ZONE = r"([Zz]|[+-]\d{2}:?\d{2})"
-_DATE_SHAPES = (
+# Dates are read in two parts. Shapes of the day part -> formats to try, in order; slash and dash dates are month-first,
+# day-first where that is impossible. Years of two digits count from 1969 on, as strptime has it.
+_DAY_SHAPES = (
     (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", ("yyyy-M-d H:mm",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", ("yyyy-M-d H:mm:ss",)),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}\.\d{1,6}$", ("yyyy-M-d H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]",)),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$", ("yyyy-MM-dd'T'HH:mm",)),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", ("yyyy-MM-dd'T'HH:mm:ss",)),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,6}$", ("yyyy-MM-dd'T'HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]",)),
-    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}" + _ZONE + "$", ("yyyy-MM-dd['T'][ ]HH:mm:ssXXX", "yyyy-MM-dd['T'][ ]HH:mm:ssXX")),
-    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\.\d{3}" + _ZONE + "$", ("yyyy-MM-dd['T'][ ]HH:mm:ss.SSSXXX", "yyyy-MM-dd['T'][ ]HH:mm:ss.SSSXX")),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ("M/d/yyyy H:mm", "d/M/yyyy H:mm")),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", ("M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss")),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
-    (r"^[A-Z][a-z]{2} \d{1,2},? \d{4}$", ("MMM d[,] yyyy",)),
-    (r"^[A-Z][a-z]{2,} \d{1,2},? \d{4}$", ("MMMM d[,] yyyy",)),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", ("d MMM yyyy",)),
-    (r"^\d{1,2} [A-Z][a-z]{2,} \d{4}$", ("d MMMM yyyy",)),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy", "d/M/yy")),
+    (r"(?i)^[a-z]{3} \d{1,2},? \d{4}$", ("MMM d[,] yyyy",)),
+    (r"(?i)^[a-z]{3,} \d{1,2},? \d{4}$", ("MMMM d[,] yyyy",)),
+    (r"(?i)^\d{1,2}[ -][a-z]{3}[ -]\d{4}$", ("d MMM yyyy", "d-MMM-yyyy")),
+    (r"(?i)^\d{1,2} [a-z]{3,} \d{4}$", ("d MMMM yyyy",)),
     (r"^(19|20)\d{2}(0[1-9]|1[0-2])\d{2}$", ("yyyyMMdd",)),
 )
-_LOOKS_LIKE_DATE = r"^(\d{1,4}[-/]\d{1,2}[-/]\d|[A-Z][a-z]{2,} \d|\d{1,2} [A-Z][a-z]{2}|(19|20)\d{6}$)"
+# What a date can begin with; keeps the costly parts away from other text.
+_LOOKS_LIKE_DATE = r"(?i)^(\d{1,4}[-/]\d{1,2}[-/]\d|[a-z]{3,9}\.?,? [a-z0-9]+|\d{1,2}[ -][a-z]{3}|(19|20)\d{6}$)"
+# Names of days, which may stand before a date.
+_DAY_NAMES = r"(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?"
+_PARTS = (
+    rf"(?i)^(?:{_DAY_NAMES}\.?,? )?(.*?[^ T])"
+    r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(?: ?([ap]m)| ?(z|[+-]\d{2}:?\d{2}))?)?$")
 
 
-def _families(t: Column) -> list[tuple[Column, str]]:
-    """A cheap test per family of shapes, and what the shapes of the family start with."""
-    year_first = F.substring(t, 5, 1).isin("-", "/") & ~F.substring(t, 2, 1).isin("-", "/") & ~F.substring(
-        t, 3, 1).isin("-", "/")
-    return [
-        (year_first, r"^\d{4}"),
-        (F.substring(t, 1, 1).between("A", "Z"), "^[A-Z]"),
-        (F.contains(t, F.lit("/")) | F.contains(t, F.lit("-")), r"^\d{1,2}[/-]"),
-        (F.contains(t, F.lit(" ")), r"^\d{1,2} "),
-        (F.length(t) == 8, "^(19|20)"),
-    ]
+def _recent(day: Column) -> Column:
+    """A day read from a year of two digits, which Spark puts into 2000-2099."""
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+
+
+def _day(text: Column) -> Column:
+    values = []
+    for shape, formats in _DAY_SHAPES:
+        days = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
+        found = F.coalesce(*[_recent(d) if "yyyy" not in f else d for d, f in zip(days, formats)])
+        values.append(F.when(text.rlike(shape), found))
+    return F.coalesce(*values)
 
 
 def try_ts(text: Column) -> Column:
     """Timestamp of text in any of the accepted date formats, else NULL.
 
-    Bare years, bare times, 'now' and 'today' are not dates: their meaning would depend on the clock.
+    A day, with or without a day name, and after a space or T a time: hours of a day or a.m. and p.m., seconds,
+    fractions (cut at microseconds) and a zone. Bare years, bare times, 'now' and 'today' are not dates: their meaning
+    would depend on the clock.
     """
     t = F.trim(text)
-    chosen = None
-    for guard, start in _families(t):
-        # Two shapes may cover one text ('May 3 2020' is short and long month): fall through on NULL.
-        values = [
-            F.when(t.rlike(shape), F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]))
-            for shape, formats in _DATE_SHAPES if _starts(shape) == start
-        ]
-        chosen = F.when(guard, F.coalesce(*values)) if chosen is None else chosen.when(guard, F.coalesce(*values))
-    return F.when(t.rlike(_LOOKS_LIKE_DATE), chosen)
+    parts = F.split(F.regexp_replace(t, _PARTS, "\x01".join(f"${k}" for k in range(1, 8))), "\x01")
+    # A lambda binds the parts, so they are found once however often they are used.
+    return F.when(t.rlike(_LOOKS_LIKE_DATE), F.get(F.transform(F.array(parts), _at), F.lit(0)))
 
 
-def _starts(shape: str) -> str:
-    for start in (r"^\d{4}", "^[A-Z]", r"^\d{1,2} ", "^(19|20)"):
-        if shape.startswith(start):
-            return start
-    return r"^\d{1,2}[/-]"
+def _at(parts: Column) -> Column:
+    day, hour, minute, second, fraction, noon, zone = (F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k in range(7))
+    hours = F.nullif(hour, F.lit("")).cast("int")
+    hours = F.when(noon == "", hours).when(hours.between(1, 12), hours % 12 + F.when(F.lower(noon) == "pm", 12).otherwise(0))
+    clock = F.concat(F.lpad(hours.cast("string"), 2, "0"), F.lit(":"), minute, F.lit(":"), F.when(second == "", "00").otherwise(second),
+                     F.lit("."), F.rpad(F.substring(fraction, 1, 6), 6, "0"), F.upper(zone))
+    found = _day(day)
+    return F.when(hour == "", found.cast("timestamp")).otherwise(F.concat(found.cast("string"), F.lit(" "), clock).try_cast("timestamp"))
 
 
-# Strptime directives and the matching datetime pattern letters.
+# Strptime directives and the matching datetime pattern letters; of numbers the letter for one digit or
+# more, and the width that a number next to another one has.
 _DIRECTIVES = {
-    "Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "b": "MMM", "B": "MMMM",
-    "y": "yy", "p": "a", "I": "hh", "f": "SSSSSS", "z": "XX", "j": "DDD", "a": "EEE", "A": "EEEE",
+    "Y": ("yyyy", 4), "m": ("M", 2), "d": ("d", 2), "H": ("H", 2), "M": ("m", 2), "S": ("s", 2), "b": ("MMM", 0),
+    "B": ("MMMM", 0), "y": ("yy", 2), "p": ("a", 0), "I": ("h", 2), "f": ("SSSSSS", 0), "z": ("XX", 0), "j": ("D", 3),
 }
+_DAY_DIRECTIVES = {"a", "A"}
 
 
-def java_pattern(strptime_format: str) -> str:
-    """Translate a strptime format to Spark's pattern; an unknown directive raises ValueError."""
+def _split_format(strptime_format: str) -> list[str]:
+    """Directives with their percent sign, and single other characters."""
     out, chars = [], iter(strptime_format)
     for ch in chars:
-        if ch == "%":
-            directive = next(chars, "")
-            if directive == "%":
-                out.append("%")
-            elif directive in _DIRECTIVES:
-                out.append(_DIRECTIVES[directive])
-            else:
-                raise ValueError(f"unsupported directive '%{directive}' in date format '{strptime_format}'")
-        elif ch == "'":
+        out.append(ch + next(chars, "") if ch == "%" else ch)
+    return out
+
+
+def java_pattern(strptime_format: str) -> str:
+    """Translate a strptime format to Spark's pattern; an unknown directive raises ValueError.
+
+    Names of days stand for nothing: `parse_with` takes them out of the text.
+    """
+    parts = _split_format(strptime_format)
+
+    def is_number(k: int) -> bool:
+        return 0 <= k < len(parts) and bool(_DIRECTIVES.get(parts[k][1:], ("", 0))[1]) and parts[k][0] == "%"
+
+    out = []
+    for k, part in enumerate(parts):
+        if part[0] == "%" and part != "%%":
+            if part[1:] in _DAY_DIRECTIVES:
+                continue
+            if part[1:] not in _DIRECTIVES:
+                raise ValueError(f"unsupported directive '{part}' in date format '{strptime_format}'")
+            letters, width = _DIRECTIVES[part[1:]]
+            out.append(letters[0] * width if width and (is_number(k - 1) or is_number(k + 1)) else letters)
+        elif part == "'":
             out.append("''")
-        elif ch.isalpha() or ch in "[]{}#":
-            out.append(f"'{ch}'")
+        elif part.isalpha() or part in "[]{}#":
+            out.append(f"'{part}'")
         else:
-            out.append(ch)
+            out.append(part[-1])
     return "".join(out)
+
+
+def parse_with(text: Column, strptime_format: str) -> Column:
+    """Timestamp of text in a strptime format, else NULL. Numbers may leave out leading zeros next to a delimiter."""
+    parts = _split_format(strptime_format)
+    if any(p[0] == "%" and p[1:] in _DAY_DIRECTIVES for p in parts):
+        text = F.when(text.rlike(rf"(?i)\b{_DAY_NAMES}\b"), F.regexp_replace(text, rf"(?i)\b{_DAY_NAMES}\b", ""))
+    found = F.try_to_timestamp(text, F.lit(java_pattern(strptime_format)))
+    if "%y" in parts:
+        found = F.when(F.year(found) >= 2069, F.add_months(found, -1200).cast("timestamp") + (found - F.date_trunc("day", found))).otherwise(found)
+    return found

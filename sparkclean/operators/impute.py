@@ -70,7 +70,7 @@ def handle_missing_values(
     dropped = _sparse(rows, nulls, drop_threshold)
     for c in dropped:
         warnings.append(
-            f"Column '{c}' dropped: {nulls[c] / rows * 100:.1f}% missing (threshold={drop_threshold * 100:.0f}%)")
+            f"'{c}' was removed: {nulls[c]} of {rows} cells are empty, more than the allowed share of {drop_threshold:g}.")
     if set(dropped) & set(order + keys):
         raise ValueError(f"order_by or partition_by column is too sparse: {dropped}")
     out = df.drop(*dropped)
@@ -126,11 +126,11 @@ def _checked(df: DataFrame, config: dict[str, str], constants: dict[str, Any], o
     steps = {}
     for c, strategy in config.items():
         if c not in types:
-            warnings.append(f"Column '{c}' not found (possibly dropped); skipping.")
+            warnings.append(f"There is no column '{c}' (any more), so its strategy has no effect.")
         elif strategy not in STRATEGIES:
-            warnings.append(f"Unknown strategy '{strategy}' for column '{c}'; skipping.")
+            warnings.append(f"'{c}' keeps its gaps: no strategy is called '{strategy}'.")
         elif strategy == "constant" and c not in constants:
-            warnings.append(f"strategy=constant for '{c}' but no value in constant_fill_values; skipping.")
+            warnings.append(f"'{c}' keeps its gaps: constant_fill_values has no value for it.")
         else:
             if strategy in ("mean", "median") and not (is_numeric(types[c]) or is_time(types[c])):
                 raise ValueError(f"strategy={strategy} needs a numeric or time column; '{c}' is {types[c].simpleString()}")
@@ -164,7 +164,13 @@ def _fill(df, segment, constants, rows, order, keys, accuracy, max_group_rows, r
     return fill_directional(df, directed, order, keys, rows, max_group_rows) if directed else df
 
 
+class EpochMicros(int):
+    """A time as microseconds since 1970 in the session's zone, whatever the zone of the driver."""
+
+
 def _filled(name: str, dtype: T.DataType, value: Any):
+    if isinstance(value, EpochMicros):
+        return F.coalesce(col(name), F.timestamp_micros(F.lit(int(value))).cast(dtype))
     whole = isinstance(dtype, T.IntegralType)
     if whole and isinstance(value, float) and not value.is_integer():
         return F.coalesce(col(name).cast("double"), F.lit(value))
@@ -172,7 +178,7 @@ def _filled(name: str, dtype: T.DataType, value: Any):
 
 
 def fill_values(df: DataFrame, strategies: dict[str, str], accuracy: int | None = None) -> dict[str, Any]:
-    """Mean, median or mode per column; None where a column has no value."""
+    """Mean, median or mode per column; None where a column has no value. Means of times are EpochMicros."""
     types = {f.name: f.dataType for f in df.schema}
     out: dict[str, Any] = {}
 
@@ -194,7 +200,7 @@ def fill_values(df: DataFrame, strategies: dict[str, str], accuracy: int | None
         out.update({c: v[0] for c, v in found.items()})
     for c in measured:
         if is_time(types[c]) and out[c] is not None:
-            out[c] = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(out[c]))
+            out[c] = EpochMicros(out[c])
     for c, s in strategies.items():
         if s == "mode":
             out[c] = mode_value(df, c)

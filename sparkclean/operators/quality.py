@@ -37,29 +37,68 @@ class QualityResult(StepResult):
     summary: DataFrame
 
 
-def issues_of(profile: TableProfile) -> list[tuple]:
-    """Issues in rule order: missing values, duplicates, constant columns."""
-    out = []
-    for p in profile.columns:
-        if p.missing_pct == 0:
-            continue
-        severity, penalty = (
-            ("error", 10.0) if p.missing_pct > 50 else ("warning", 5.0) if p.missing_pct > 20 else ("info", 1.0))
-        fix = (f"Apply {p.recommended_strategy} imputation." if p.recommended_strategy
-               else "Review and impute manually.")
-        out.append(("high_missingness", severity, [p.name],
-                    f"Column '{p.name}' has {p.missing_pct:.1f}% missing values.", fix, penalty))
-    if profile.duplicate_pct > 1:
-        severity, penalty = ("error", 8.0) if profile.duplicate_pct > 5 else ("warning", 3.0)
-        out.append(("near_duplicates", severity, [],
-                    f"Dataset contains {profile.duplicate_count} duplicate rows ({profile.duplicate_pct:.1f}%).",
-                    "Run deduplicate_dataset to remove duplicates.", penalty))
-    for p in profile.columns:
-        if any(a["anomaly_type"] == "constant_column" for a in p.anomalies):
-            out.append(("constant_column", "warning", [p.name],
-                        f"Column '{p.name}' has only one unique value and is likely uninformative.",
-                        "Consider dropping this column.", 2.0))
-    return out
+@dataclass(frozen=True)
+class Rule:
+    """One row of the rule table: SQL over the facts of a column, or of the table if `whole`.
+
+    Bands (above, severity, penalty) go from the strictest down; the rule is silent at or below the last.
+    """
+
+    kind: str
+    measure: str
+    bands: tuple[tuple[float, str, float], ...]
+    text: str
+    fix: str
+    whole: bool = False
+
+
+# Limits and penalties of the bands.
+STANDARD = (
+    Rule("high_missingness", "missing_pct", ((50, "error", 10.0), (20, "warning", 5.0), (0, "info", 1.0)),
+         "format_string('%.1f%% of %s is empty', missing_pct, name)",
+         "coalesce('impute with ' || strategy, 'decide by hand how to fill it')"),
+    Rule("near_duplicates", "duplicate_pct", ((5, "error", 8.0), (1, "warning", 3.0)),
+         "format_string('%d rows repeat others (%.1f%% of the table)', duplicates, duplicate_pct)",
+         "'run deduplicate_dataset'", whole=True),
+    Rule("constant_column", "int(rows > 1 and unique_count < 2)", ((0, "warning", 2.0),),
+         "name || ' never changes'", "'leave the column out'"),
+)
+EXTENDED = (
+    Rule("mixed_types", f"int(numeric_share between {MIXED_SHARE[0]} and {MIXED_SHARE[1]})", ((0, "warning", 3.0),),
+         "format_string('%.1f%% of the text in %s reads as numbers', 100 * numeric_share, name)", "'run standardize_formats'"),
+    Rule("high_cardinality", "if(kind = 'text', unique_count / greatest(rows, 1), 0)", ((HIGH_CARDINALITY_RATIO, "info", 1.0),),
+         "format_string('%d different values in %s, %.1f%% of the rows', unique_count, name, 100 * unique_count / greatest(rows, 1))",
+         "'leave it out if it is a key, else encode it'"),
+)
+
+
+def _judged(facts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The rules that speak up, for all columns and the table, in the order of the table of rules."""
+    cells = []
+    for number, rule in enumerate(rules):
+        measure, who = F.expr(rule.measure), F.col("name").isNull() if rule.whole else F.col("name").isNotNull()
+        severity, penalty = F.lit(None).cast("string"), F.lit(None).cast("double")
+        for above, level, cost in reversed(rule.bands):
+            severity, penalty = F.when(measure > above, level).otherwise(severity), F.when(measure > above, cost).otherwise(penalty)
+        cells.append(F.when(who & (measure > rule.bands[-1][0]), F.struct(
+            F.lit(number).alias("number"), F.lit(rule.kind).alias("issue_type"), severity.alias("severity"),
+            F.array_compact(F.array("name")).alias("affected_columns"), F.expr(rule.text).alias("description"),
+            F.expr(rule.fix).alias("suggested_fix"), penalty.alias("penalty"))))
+    found = facts.select("position", F.explode(F.array_compact(F.array(*cells))).alias("x")).select("position", "x.*")
+    return found.orderBy("number", "position").select(*[f.name for f in ISSUE_SCHEMA])
+
+
+def issues_of(df: DataFrame, profile: TableProfile, rules: str = "standard") -> list[tuple]:
+    """Issues by rule and column: missing values, duplicates, constant columns; then those of the extended rules."""
+    shares = numeric_text_shares(df) if rules == "extended" else {}
+    table = (profile.rows, profile.duplicate_count, profile.duplicate_pct)
+    rows = [(p.position, p.name, p.missing_pct, p.recommended_strategy, p.unique_count, p.inferred_type, shares.get(p.name), *table)
+            for p in profile.columns]
+    rows.append((len(rows), None, None, None, None, None, None, *table))
+    facts = df.sparkSession.createDataFrame(rows, (
+        "position int, name string, missing_pct double, strategy string, unique_count long, kind string, numeric_share double, "
+        "rows long, duplicates long, duplicate_pct double"))
+    return [tuple(r) for r in _judged(facts, STANDARD + (EXTENDED if rules == "extended" else ())).collect()]
 
 
 def numeric_text_shares(df: DataFrame) -> dict[str, float]:
@@ -73,23 +112,6 @@ def numeric_text_shares(df: DataFrame) -> dict[str, float]:
     return {c: row[f"s{i}"] for i, c in enumerate(texts) if row[f"s{i}"] is not None}
 
 
-def extended_issues(df: DataFrame, profile: TableProfile) -> list[tuple]:
-    """The opt-in rules: text columns of mixed type, and text columns of nearly unique values."""
-    shares, out = numeric_text_shares(df), []
-    for p in profile.columns:
-        if MIXED_SHARE[0] <= shares.get(p.name, 0.0) <= MIXED_SHARE[1]:
-            out.append(("mixed_types", "warning", [p.name],
-                        f"Column '{p.name}' appears to contain mixed data types.",
-                        "Run standardize_formats to coerce consistent types.", 3.0))
-    for p in profile.columns:
-        ratio = p.unique_count / max(profile.rows, 1)
-        if p.inferred_type == "text" and ratio > HIGH_CARDINALITY_RATIO:
-            out.append(("high_cardinality", "info", [p.name],
-                        f"Column has {p.unique_count} unique values ({ratio * 100:.1f}% of rows).",
-                        "Consider encoding or dropping this column if it's an ID.", 1.0))
-    return out
-
-
 def score_of(issues: list[tuple]) -> float:
     return max(0.0, min(100.0, 100.0 - sum(issue[-1] for issue in issues)))
 
@@ -104,9 +126,7 @@ def validate_dataset(df: DataFrame, rules: str = "standard", profile: TableProfi
         raise ValueError(f"rules must be 'standard' or 'extended', not {rules!r}")
     spark = df.sparkSession
     profile = profile or build_profile(df)
-    issues = issues_of(profile)
-    if rules == "extended":
-        issues += extended_issues(df, profile)
+    issues = issues_of(df, profile, rules)
     score = round(score_of(issues), 2)
     passed = score >= PASS_SCORE
     summary = spark.createDataFrame(

@@ -31,7 +31,7 @@ def test_employees_statistics(employees):
 def test_thresholds(spark):
     df = spark.createDataFrame([(1, 1.0)] + [(i, None) for i in range(2, 6)], "id long, junk double")
     assert handle_missing_values(df, {}).columns_dropped == ["junk"]
-    assert "80.0% missing (threshold=50%)" in handle_missing_values(df, {}).log.warnings[0]
+    assert "4 of 5 cells are empty" in handle_missing_values(df, {}).log.warnings[0]
     assert handle_missing_values(df, {}, drop_threshold=0.8).columns_dropped == []
     assert handle_missing_values(df, {}, drop_threshold=1.5).columns_dropped == []
     assert handle_missing_values(df, {}, drop_threshold=0).columns_dropped == ["junk"]
@@ -209,7 +209,7 @@ def test_no_match(spark):
     right = spark.createDataFrame([(10, "x"), (20, "y")], "id long, label string")
     result = merge_datasets(left, right, "id")
     assert (result.match_rate, result.left_unmatched, result.right_unmatched) == (0.0, 3, 2)
-    assert result.log.confidence == 0.5 and "Low match rate" in result.log.warnings[0]
+    assert result.log.confidence == 0.5 and "Few matches" in result.log.warnings[0]
     assert tuple(match_stats(left, right, "id").first()) == (0, 3, 2, 0.0)
 
 

@@ -49,7 +49,7 @@ def test_anomalies(spark):
                                "salary double, status string, gone string")
     cols = by_name(P.build_profile(df))
     assert cols["salary"].anomalies == [{
-        "anomaly_type": "possible_outliers", "description": "1 potential outliers detected via IQR method.",
+        "anomaly_type": "possible_outliers", "description": "1 values lie outside the quartile fences",
         "affected_count": 1, "affected_pct": 20.0}]
     assert [a["anomaly_type"] for a in cols["status"].anomalies] == ["constant_column"]
     assert [a["anomaly_type"] for a in cols["gone"].anomalies] == ["high_missingness", "constant_column"]

@@ -136,7 +136,7 @@ def test_plan_end_to_end(spark, tmp_path, sales, stored):
         logs = spark.read.json(store.path(out.log_key)).collect()
         assert [r["step_name"] for r in logs] == [s.name for s in STEPS]  # without the export itself
         text = "\n".join(r["value"] for r in spark.read.text(store.path(out.report_key)).collect())
-        assert "# Data Cleaning Quality Report" in text and "No missing values" in text and "### Step 4" in text
+        assert "## Result" in text and "## Empty cells" in text and "| 4 | " in text
         assert load_dataset(spark, store.path(out.csv_key), format="csv").df.count() == 5
         with pytest.raises(ValueError):
             generate_output(done.df, store, output_format="xlsx")

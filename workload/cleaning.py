@@ -173,6 +173,59 @@ DATE_OVERRIDE_SQL = """
                                   ELSE strftime(o_orderdate, '%d.%m.%Y') END AS text FROM orders)"""
 
 
+_LOOSE = ["%-m/%-d/%Y", "%-m/%-d/%y", "%A, %B %-d, %Y"]
+
+
+def date_override_loose(spark, sf):
+    """Text without leading zeros, with years of two digits and with names of days, each in its own column."""
+    day = F.col("o_orderdate")
+    texts = [F.date_format(day, "M/d/yyyy"), F.date_format(day, "M/d/yy"), F.date_format(day, "EEEE, MMMM d, yyyy")]
+    df = table(spark, sf, "orders").select("o_orderkey", *[t.alias(f"d{k}") for k, t in enumerate(texts)])
+    out = standardize.standardize_formats(
+        df, column_overrides={"d0": "%m/%d/%Y", "d1": "%m/%d/%y", "d2": "%A, %B %d, %Y"}, **_only()).df
+    return out.select("o_orderkey", *[F.col(f"d{k}").cast("timestamp_ntz").alias(f"d{k}") for k in range(3)])
+
+
+LOOSE_SQL = f"""
+    SELECT o_orderkey, {', '.join(f"strptime(strftime(o_orderdate, '{f}'), '{f.replace('-', '')}') AS d{k}" for k, f in enumerate(_LOOSE))}
+    FROM orders"""
+
+# Formats as Spark writes them, and as the checking engine does; the order's number tells which one its date has.
+_WIDE = [("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "%Y-%m-%dT%H:%M:%S.%fZ"), ("yyyy-MM-dd'T'HH:mm:ss'+00:00'", "%Y-%m-%dT%H:%M:%S+00:00"),
+         ("MM/dd/yyyy hh:mm a", "%m/%d/%Y %I:%M %p"), ("dd-MMM-yyyy", "%d-%b-%Y"), ("MM/dd/yy", "%m/%d/%y"),
+         ("yyyy-MM-dd HH:mm:ss.SSSSSSSSS", "%Y-%m-%d %H:%M:%S.%n"), ("EEEE, MMMM d, yyyy", "%A, %B %-d, %Y"), ("d MMM yyyy", "%-d %b %Y")]
+
+
+def parse_dates_wide(spark, sf):
+    """Eight ways to write a date in one column, months in lower case among them."""
+    which, day = F.pmod("o_orderkey", F.lit(len(_WIDE))), F.col("o_orderdate")
+    text = F.lit(None).cast("string")
+    for k, (fmt, _) in enumerate(_WIDE):
+        text = F.when(which == k, F.lower(F.date_format(day, fmt)) if k == 7 else F.date_format(day, fmt)).otherwise(text)
+    df = table(spark, sf, "orders").select("o_orderkey", text.alias("ordered"))
+    out = standardize.standardize_formats(df, **_only(parse_dates=True)).df
+    return out.withColumn("ordered", F.col("ordered").cast("timestamp_ntz"))
+
+
+WIDE_SQL = f"""
+    SELECT o_orderkey, CASE o_orderkey % {len(_WIDE)} {' '.join(
+        f"WHEN {k} THEN strptime(strftime(o_orderdate, '{f}'), '{f.replace('-d', 'd')}')" for k, (_, f) in enumerate(_WIDE))} END AS ordered
+    FROM orders"""
+
+
+def impute_mean_time(spark, sf):
+    """The mean date stands in for the dates of open orders."""
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS ordered")
+    out = impute.handle_missing_values(orders, {"ordered": "mean"}, drop_threshold=1.0).df
+    return out.select("o_orderkey", F.date_trunc("second", "ordered").cast("timestamp_ntz").alias("ordered"))
+
+
+MEAN_TIME_SQL = """
+    SELECT o_orderkey, date_trunc('second', coalesce(CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END,
+           (SELECT make_timestamp(CAST(floor(avg(epoch_us(o_orderdate))) AS BIGINT)) FROM orders WHERE o_orderstatus <> 'O'))) AS ordered
+    FROM orders"""
+
+
 def parse_currency(spark, sf):
     """Prices as $1,234.50; low priority orders have no price yet."""
     price = F.concat(F.lit("$ "), F.format_number("o_totalprice", 2))
@@ -318,30 +371,147 @@ SUBSET_SQL = """
        OR list_has_all(string_split(b.key, ' '), string_split(a.key, ' '))"""
 
 
+def _lcs_sql(x: str, y: str) -> str:
+    """Length of the longest common subsequence of two texts: one row of the usual table after the other."""
+    return f"""list_reduce(string_split({x}, ''), lambda prev, ch: list_reduce(range(1, length({y}) + 1), lambda line, j:
+               list_append(line, CASE WHEN substr({y}, CAST(j AS INTEGER), 1) = ch THEN prev[j] + 1
+                                      ELSE greatest(prev[j + 1], line[j]) END), [CAST(0 AS BIGINT)]),
+               list_transform(range(0, length({y}) + 1), lambda i: CAST(0 AS BIGINT)))[-1]"""
+
+
+def _words_sql(*columns: str) -> str:
+    words = " || ' ' || ".join(columns)
+    return f"list_sort(list_distinct(string_split({words}, ' ')))"
+
+
+def _token_links_sql(keys: str, extra: str = "true") -> str:
+    """Pairs of keys (sorted distinct words) with their token-set score. `extra` may leave out pairs that can't reach it."""
+    return f"""
+    w AS (SELECT key, string_split(key, ' ') AS words FROM {keys}),
+    p AS (SELECT a.key AS key_a, b.key AS key_b, list_filter(a.words, lambda t: list_contains(b.words, t)) AS shared,
+                 array_to_string(list_filter(a.words, lambda t: NOT list_contains(b.words, t)), ' ') AS x,
+                 array_to_string(list_filter(b.words, lambda t: NOT list_contains(a.words, t)), ' ') AS y
+          FROM w a JOIN w b ON a.key < b.key),
+    q AS (SELECT *, length(array_to_string(shared, ' ')) AS base, least(len(shared), 1) AS gap FROM p WHERE {extra}),
+    r AS (SELECT *, CASE WHEN x = '' OR y = '' THEN 0 ELSE {_lcs_sql('x', 'y')} END AS same FROM q),
+    links AS MATERIALIZED (SELECT key_a, key_b, CASE WHEN gap = 1 AND (x = '' OR y = '') THEN 100.0 ELSE greatest(
+                  100.0 * (2 * (base + gap) + 2 * same) / (2 * (base + gap) + length(x) + length(y)),
+                  CASE WHEN gap = 1 THEN 200.0 * base / (2 * base + gap + least(length(x), length(y))) ELSE 0 END) END AS score
+              FROM r)"""
+
+
 def fuzzy_pairs_token(spark, sf):
-    return fuzzy.fuzzy_pairs(table(spark, sf, "part"), ["p_name", "p_type"], 0.85, "token_set_ratio")
+    out = fuzzy.fuzzy_pairs(table(spark, sf, "part"), ["p_name", "p_type"], 0.85, "token_set_ratio")
+    return out.withColumn("score", F.round("score", 4))
+
+
+PART_KEYS = f"(SELECT DISTINCT array_to_string({_words_sql('p_name', 'p_type')}, ' ') AS key FROM part)"
+TOKEN_SQL = f"""
+    WITH {_token_links_sql(PART_KEYS)}
+    SELECT key_a, key_b, CAST(round(score, 4) AS DOUBLE) AS score FROM links WHERE score >= 85 - 1e-9"""
 
 
 def fuzzy_pairs_partial(spark, sf):
-    return fuzzy.fuzzy_pairs(table(spark, sf, "part"), ["p_name"], 0.7, "partial_ratio")
+    out = fuzzy.fuzzy_pairs(table(spark, sf, "part"), ["p_name"], 0.7, "partial_ratio")
+    return out.withColumn("score", F.round("score", 4))
+
+
+PARTIAL_SQL = f"""
+    WITH k AS (SELECT DISTINCT p_name AS key FROM part),
+    p AS (SELECT a.key AS key_a, b.key AS key_b, a.key AS s, b.key AS l FROM k a JOIN k b ON a.key < b.key AND length(a.key) <= length(b.key)
+          UNION ALL
+          SELECT a.key, b.key, b.key, a.key FROM k a JOIN k b ON a.key < b.key AND length(a.key) >= length(b.key)),
+    starts AS (SELECT *, unnest(range(1 - length(s), length(l))) AS pos FROM p),
+    windows AS (SELECT DISTINCT key_a, key_b, s, substr(l, CAST(greatest(pos, 0) + 1 AS INTEGER), CAST(pos + length(s) - greatest(pos, 0) AS INTEGER)) AS w
+                FROM starts),
+    scores AS (SELECT key_a, key_b, max(200.0 * {_lcs_sql('s', 'w')} / (length(s) + length(w))) AS score FROM windows GROUP BY ALL)
+    SELECT key_a, key_b, CAST(round(score, 4) AS DOUBLE) AS score FROM scores WHERE score >= 70 - 1e-9"""
 
 
 def fuzzy_pairs_wratio(spark, sf):
     return fuzzy.fuzzy_pairs(table(spark, sf, "part"), ["p_name"], 0.86, "wratio")
 
 
+def _greedy_sql(threshold: float) -> str:
+    """Keys left by the scan in the order of n (1, 2, ...): a kept key removes every later one that it is linked to.
+
+    Reads the tables k (key, n) and links (key_a, key_b, score).
+    """
+    return f"""
+    near AS MATERIALIZED (SELECT k.n, list(o.n) AS earlier FROM k
+             JOIN (SELECT key_a AS x, key_b AS y FROM links WHERE score >= {100 * threshold} - 1e-9
+                   UNION ALL SELECT key_b, key_a FROM links WHERE score >= {100 * threshold} - 1e-9) l ON l.x = k.key
+             JOIN k o ON o.key = l.y AND o.n < k.n GROUP BY k.n),
+    scan AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept
+             UNION ALL
+             SELECT scan.n + 1, CASE WHEN list_has_any(scan.kept, coalesce(near.earlier, [])) THEN scan.kept
+                                     ELSE list_append(scan.kept, scan.n + 1) END
+             FROM scan LEFT JOIN near ON near.n = scan.n + 1 WHERE scan.n < (SELECT count(*) FROM k)),
+    left_over AS (SELECT unnest(kept) AS n FROM (SELECT kept FROM scan ORDER BY n DESC LIMIT 1))"""
+
+
 def dedup_fuzzy(spark, sf):
     return dedup.deduplicate_dataset(
         table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), exact_dedup=False, fuzzy_dedup=True,
         fuzzy_columns=["c_name", "c_mktsegment"], fuzzy_threshold=0.95, order_by="c_custkey").df
 
 
+# A pair without a common word needs nearly all letters in common; letters are counted before the costly comparison.
+_LETTERS = """(gap = 1 OR 200.0 * list_sum(list_transform(list_distinct(string_split(x, '')), lambda c:
+               least(length(x) - length(replace(x, c, '')), length(y) - length(replace(y, c, '')))))
+               / (length(x) + length(y)) >= 95 - 1e-9)"""
+DEDUP_FUZZY_SQL = f"""
+    WITH RECURSIVE rows AS (SELECT *, array_to_string({_words_sql('c_name', 'c_mktsegment')}, ' ') AS key FROM customer),
+    k AS MATERIALIZED (SELECT key, row_number() OVER (ORDER BY min(c_custkey)) AS n, min(c_custkey) AS c_custkey FROM rows GROUP BY key),
+    {_token_links_sql('k', _LETTERS)}, {_greedy_sql(0.95)}
+    SELECT c_custkey, c_name, c_mktsegment FROM left_over JOIN k USING (n) JOIN customer USING (c_custkey)"""
+
+
 def dedup_fuzzy_last(spark, sf):
     return dedup.deduplicate_dataset(
         table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), exact_dedup=False, fuzzy_dedup=True,
         fuzzy_columns=["p_name", "p_type"], fuzzy_threshold=0.8, order_by="p_partkey", dedup_keep="last").df
 
 
+DEDUP_LAST_SQL = f"""
+    WITH RECURSIVE rows AS (SELECT *, array_to_string({_words_sql('p_name', 'p_type')}, ' ') AS key FROM part),
+    k AS MATERIALIZED (SELECT key, row_number() OVER (ORDER BY max(p_partkey) DESC) AS n, max(p_partkey) AS p_partkey FROM rows GROUP BY key),
+    {_token_links_sql('k')}, {_greedy_sql(0.8)}
+    SELECT p_partkey, p_name, p_type FROM left_over JOIN k USING (n) JOIN part USING (p_partkey)"""
+
+
+def _near_names(spark, sf, keep):
+    return dedup.deduplicate_dataset(
+        table(spark, sf, "supplier").select("s_suppkey", "s_name"), exact_dedup=False, fuzzy_dedup=True, fuzzy_columns=["s_name"],
+        fuzzy_threshold=0.97, fuzzy_algorithm="jaro_winkler", order_by="s_suppkey", dedup_keep=keep)
+
+
+def dedup_fuzzy_jw(spark, sf):
+    return _near_names(spark, sf, "first").df
+
+
+def dedup_report_fuzzy(spark, sf):
+    return dedup.dedup_report(_near_names(spark, sf, "last"))
+
+
+def _near_names_sql(pick: str, direction: str) -> str:
+    return f"""
+    k AS MATERIALIZED (SELECT s_name AS key, row_number() OVER (ORDER BY {pick}(s_suppkey) {direction}) AS n, {pick}(s_suppkey) AS s_suppkey
+          FROM supplier GROUP BY s_name),
+    links AS (SELECT a.key AS key_a, b.key AS key_b, 100 * jaro_winkler_similarity(a.key, b.key) AS score
+              FROM k a JOIN k b ON a.key < b.key), {_greedy_sql(0.97)}"""
+
+
+DEDUP_JW_SQL = f"""
+    WITH RECURSIVE {_near_names_sql('min', 'ASC')}
+    SELECT s_suppkey, s_name FROM left_over JOIN k USING (n) JOIN supplier USING (s_suppkey)"""
+REPORT_FUZZY_SQL = f"""
+    WITH RECURSIVE {_near_names_sql('max', 'DESC')},
+    c AS (SELECT (SELECT count(*) FROM supplier) AS a, (SELECT count(*) FROM left_over) AS b)
+    SELECT a AS rows_before, b AS rows_after, CAST(0 AS BIGINT) AS exact_removed, a - b AS fuzzy_removed, a - b AS rows_removed,
+           CAST(0.85 AS DOUBLE) AS confidence FROM c"""
+
+
 # --- joins --------------------------------------------------------------------------------------
 
 
@@ -388,16 +558,16 @@ SUFFIX_SQL = """
 
 
 def merge_hot_key(spark, sf):
-    """Events with totals per event type: a few keys hold all rows, so each is joined apart."""
+    """Events with totals per event type, one of which has another name there: a few keys hold all rows."""
     events = dirty(spark, sf, "dirty_events")
-    totals = events.where("event_type IS NULL OR event_type <> 'click'").groupBy("event_type").agg(
-        F.count("value").alias("known_values"))
+    kind = F.expr("CASE WHEN event_type = 'click' THEN 'tap' ELSE event_type END").alias("event_type")
+    totals = events.groupBy(kind).agg(F.count("value").alias("known_values"))
     return merge.merge_datasets(events.select("event_type", "event_id"), totals, "event_type", "outer", hot_key_rows=1000).df
 
 
 HOT_SQL = f"""
-    WITH r AS (SELECT event_type, count(value) AS known_values FROM {EVENTS} t
-               WHERE event_type IS NULL OR event_type <> 'click' GROUP BY event_type)
+    WITH r AS (SELECT CASE WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS event_type, count(value) AS known_values
+               FROM {EVENTS} t GROUP BY 1)
     SELECT coalesce(l.event_type, r.event_type) AS event_type, event_id, known_values
     FROM {EVENTS} l FULL JOIN r ON l.event_type IS NOT DISTINCT FROM r.event_type"""
 
@@ -436,8 +606,8 @@ def cleaning_plan(spark, sf):
         F.date_format("o_orderdate", "MM/dd/yyyy").alias("OrderDate"),
         F.expr("NULLIF(o_orderstatus, 'P')").alias("Status"))
     copies = orders.union(orders.where("Status = 'F'"))
-    customers = table(spark, sf, "customer").selectExpr("c_custkey AS cust_key", "c_mktsegment AS segment").where(
-        "segment <> 'MACHINERY'")
+    customers = table(spark, sf, "customer").selectExpr(
+        "CASE WHEN c_mktsegment = 'MACHINERY' THEN -c_custkey ELSE c_custkey END AS cust_key", "c_mktsegment AS segment")
     plan = CleaningPlan([
         Step("standardize_formats"),
         Step("handle_missing_values", {"strategy_config": {"status": "mode", "price": "median"}}),
@@ -459,7 +629,7 @@ PLAN_SQL = """
                  coalesce(status, (SELECT status FROM u WHERE status IS NOT NULL GROUP BY status
                                    ORDER BY count(*) DESC, status LIMIT 1)) AS status FROM u)
     SELECT cust_key, round(price, 3) AS price, order_date, status, c_mktsegment AS segment
-    FROM f LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY') ON c_custkey = cust_key"""
+    FROM f LEFT JOIN customer ON CASE WHEN c_mktsegment = 'MACHINERY' THEN -c_custkey ELSE c_custkey END = cust_key"""
 
 QUERIES = {
     "drop_sparse_columns": (drop_sparse_columns, DROP_SPARSE_SQL),
@@ -475,6 +645,9 @@ QUERIES = {
     "impute_report": (impute_report, IMPUTE_REPORT_SQL),
     "snake_case_headers": (snake_case_headers, SNAKE_SQL),
     "date_override": (date_override, DATE_OVERRIDE_SQL),
+    "date_override_loose": (date_override_loose, LOOSE_SQL),
+    "parse_dates_wide": (parse_dates_wide, WIDE_SQL),
+    "impute_mean_time": (impute_mean_time, MEAN_TIME_SQL),
     "parse_currency": (parse_currency, CURRENCY_SQL),
     "coerce_numeric": (coerce_numeric, COERCE_SQL),
     "parse_dates": (parse_dates, DATES_SQL),
@@ -486,11 +659,13 @@ QUERIES = {
     "fuzzy_key": (fuzzy_key, FUZZY_KEY_SQL),
     "fuzzy_pairs_jw": (fuzzy_pairs_jw, FUZZY_JW_SQL),
     "fuzzy_pairs_subset": (fuzzy_pairs_subset, SUBSET_SQL),
-    "fuzzy_pairs_token": (fuzzy_pairs_token, None),
-    "fuzzy_pairs_partial": (fuzzy_pairs_partial, None),
+    "fuzzy_pairs_token": (fuzzy_pairs_token, TOKEN_SQL),
+    "fuzzy_pairs_partial": (fuzzy_pairs_partial, PARTIAL_SQL),
     "fuzzy_pairs_wratio": (fuzzy_pairs_wratio, None),
-    "dedup_fuzzy": (dedup_fuzzy, None),
-    "dedup_fuzzy_last": (dedup_fuzzy_last, None),
+    "dedup_fuzzy": (dedup_fuzzy, DEDUP_FUZZY_SQL),
+    "dedup_fuzzy_jw": (dedup_fuzzy_jw, DEDUP_JW_SQL),
+    "dedup_report_fuzzy": (dedup_report_fuzzy, REPORT_FUZZY_SQL),
+    "dedup_fuzzy_last": (dedup_fuzzy_last, DEDUP_LAST_SQL),
     "merge_left": (_merge("left"), _merge_sql("left")),
     "merge_right": (_merge("right"), _merge_sql("right")),
     "merge_inner": (_merge("inner"), _merge_sql("inner")),

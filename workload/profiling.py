@@ -219,11 +219,11 @@ def _line_missing(c: str) -> str:
 
 ANOMALY_SQL = _union([
     *[f"""SELECT '{c}' AS name, 'high_missingness' AS anomaly_type,
-                 printf('%.1f', pct) || '% of values are missing.' AS description, miss AS affected_count,
+                 printf('%.1f', pct) || '% of the cells are empty' AS description, miss AS affected_count,
                  round(pct, 2) AS affected_pct FROM {_line_missing(c)} WHERE pct > 20""" for c in _LINE_COLUMNS],
-    *[f"""SELECT '{c}', 'constant_column', 'Column has only one unique value — likely uninformative.', n, CAST(100 AS DOUBLE)
+    *[f"""SELECT '{c}', 'constant_column', 'all cells hold the same value, or none', n, CAST(100 AS DOUBLE)
           FROM {_line_missing(c)} WHERE uniq <= 1 AND n > 1""" for c in _LINE_COLUMNS],
-    *[f"""SELECT '{c}', 'possible_outliers', k || ' potential outliers detected via IQR method.', k,
+    *[f"""SELECT '{c}', 'possible_outliers', k || ' values lie outside the quartile fences', k,
                  round(100.0 * k / n, 2)
           FROM (SELECT count(*) AS n, count(*) FILTER (q3 > q1 AND ({c} < q1 - 1.5 * (q3 - q1)
                        OR {c} > q3 + 1.5 * (q3 - q1))) AS k
@@ -266,14 +266,13 @@ def high_priority_issues(spark, sf):
 
 
 HIGH_SQL = _union([
-    *[f"""SELECT 'Column ''{c}'' has ' || printf('%.1f', pct) || '% missing — consider ' ||
-                 CASE WHEN pct > 50 THEN 'drop_row' ELSE '{fill}' END || ' imputation.' AS issue
+    *[f"""SELECT '{c}: ' || printf('%.1f', pct) || '% of the cells are empty; suggested: ' ||
+                 CASE WHEN pct > 50 THEN 'drop_row' ELSE '{fill}' END AS issue
           FROM {_line_missing(c)} WHERE pct > 20"""
       for c, fill in zip(_LINE_COLUMNS, ("median", "median", "mode", "mode"))],
-    *[f"""SELECT 'Column ''{c}'': Column has only one unique value — likely uninformative.'
+    *[f"""SELECT '{c}: all cells hold the same value, or none'
           FROM {_line_missing(c)} WHERE uniq <= 1 AND n > 1""" for c in _LINE_COLUMNS],
-    f"""SELECT 'Dataset has ' || k || ' duplicate rows (' || printf('%.1f', 100.0 * k / n) ||
-               '%) — consider deduplication.'
+    f"""SELECT k || ' rows repeat others (' || printf('%.1f', 100.0 * k / n) || '% of the table)'
         FROM (SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(c - 1) AS BIGINT) AS k
               FROM (SELECT count(*) AS c FROM {dirty_sql('line_constant')} t GROUP BY {', '.join(_LINE_COLUMNS)}))
         WHERE 100.0 * k / n > 1""",
@@ -290,20 +289,19 @@ _ISSUES = _union([
     *[f"""SELECT 'high_missingness' AS issue_type,
                  CASE WHEN pct > 50 THEN 'error' WHEN pct > 20 THEN 'warning' ELSE 'info' END AS severity,
                  '{c}' AS affected_columns,
-                 'Column ''{c}'' has ' || printf('%.1f', pct) || '% missing values.' AS description,
-                 'Apply ' || CASE WHEN pct > 50 THEN 'drop_row' ELSE '{fill}' END || ' imputation.' AS suggested_fix,
+                 printf('%.1f', pct) || '% of {c} is empty' AS description,
+                 'impute with ' || CASE WHEN pct > 50 THEN 'drop_row' ELSE '{fill}' END AS suggested_fix,
                  CAST(CASE WHEN pct > 50 THEN 10 WHEN pct > 20 THEN 5 ELSE 1 END AS DOUBLE) AS penalty
           FROM {_line_missing(c)} WHERE pct > 0"""
       for c, fill in zip(_LINE_COLUMNS, ("median", "median", "mode", "mode"))],
     f"""SELECT 'near_duplicates', CASE WHEN 100.0 * k / n > 5 THEN 'error' ELSE 'warning' END, '',
-               'Dataset contains ' || k || ' duplicate rows (' || printf('%.1f', 100.0 * k / n) || '%).',
-               'Run deduplicate_dataset to remove duplicates.', CAST(CASE WHEN 100.0 * k / n > 5 THEN 8 ELSE 3 END AS DOUBLE)
+               k || ' rows repeat others (' || printf('%.1f', 100.0 * k / n) || '% of the table)',
+               'run deduplicate_dataset', CAST(CASE WHEN 100.0 * k / n > 5 THEN 8 ELSE 3 END AS DOUBLE)
         FROM (SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(c - 1) AS BIGINT) AS k
               FROM (SELECT count(*) AS c FROM {dirty_sql('line_constant')} t GROUP BY {', '.join(_LINE_COLUMNS)}))
         WHERE 100.0 * k / n > 1""",
     *[f"""SELECT 'constant_column', 'warning', '{c}',
-                 'Column ''{c}'' has only one unique value and is likely uninformative.',
-                 'Consider dropping this column.', CAST(2 AS DOUBLE)
+                 '{c} never changes', 'leave the column out', CAST(2 AS DOUBLE)
           FROM {_line_missing(c)} WHERE uniq <= 1 AND n > 1""" for c in _LINE_COLUMNS],
 ])
 
@@ -334,7 +332,24 @@ MIXED_SQL = """
           FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE CAST(o_custkey AS VARCHAR) END AS ref FROM orders))
     WHERE share BETWEEN 0.05 AND 0.95"""
 
+def high_cardinality(spark, sf):
+    """Nearly unique text beside text of few values."""
+    orders = table(spark, sf, "orders").select(
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), "o_orderpriority",
+        F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("buyer"))
+    found = Q.validate_dataset(orders, rules="extended").df.where("issue_type = 'high_cardinality'")
+    return found.select(F.array_join("affected_columns", ",").alias("name"), "severity", "description", "penalty")
+
+
+CARDINALITY_SQL = _union([
+    f"""SELECT '{name}' AS name, 'info' AS severity,
+               u || ' different values in {name}, ' || printf('%.1f', 100.0 * u / n) || '% of the rows' AS description,
+               CAST(1 AS DOUBLE) AS penalty
+        FROM (SELECT count(DISTINCT {c}) AS u, count(*) AS n FROM orders) WHERE u / n > 0.9"""
+    for name, c in (("title", "o_orderkey"), ("buyer", "o_custkey"))])
+
 QUERIES = {
+    "high_cardinality": (high_cardinality, CARDINALITY_SQL),
     "profile_columns": (profile_columns, _profile_columns_sql()),
     "profile_dataset": (profile_dataset, PROFILE_DATASET_SQL),
     "missingness_overview": (missingness_overview, MISSINGNESS_SQL),
