@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from sparkclean.functions.names import free_name  # noqa: E402
 from sparkclean.llm import packing, quality, queries, secret_scan, shingle_join  # noqa: E402
 from sparkclean.sources.scratch import written  # noqa: E402
 
@@ -19,20 +20,27 @@ SHINGLE_WORDS, LEAST_PERCENT = 5, 80
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones, doesn't reject."""
-    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model, score_col="_score").where("_score >= 0.5").select(docs.columns)
+    model, score = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), free_name("score", set(docs.columns))
+    return quality.score_quality(docs, model, score_col=score).where(F.col(score) >= 0.5).select(docs.columns)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; documents without words are no copies."""
-    groups = shingle_join.join_shingles(docs, width=SHINGLE_WORDS, least=LEAST_PERCENT)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies: that with the smallest id, then the first row; null ids come last.
+
+    Texts without words are copies of nothing. Rows are told apart by their place in `docs`, a stored table, so repeated
+    and null ids do no harm.
+    """
+    row = free_name("row", set(docs.columns))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    groups = shingle_join.join_shingles(numbered.select(key.alias("key"), "text"), "key", width=SHINGLE_WORDS, least=LEAST_PERCENT)
+    gone = groups.where("key <> component_id").select(F.col("key.row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mask in place of each secret."""
-    return secret_scan.redact_secrets(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    """All documents, with a mask in place of each secret, and their new numbers of characters."""
+    return secret_scan.redact_secrets(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
