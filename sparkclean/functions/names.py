@@ -45,3 +45,10 @@ def free_name(wanted: str, taken: set[str]) -> str:
     while candidate.lower() in lowered:
         candidate, n = f"{wanted}{n}", n + 1
     return candidate
+
+
+def free_prefix(wanted: str, taken: list[str]) -> str:
+    """`wanted` with underscores behind it, so many that no name begins with it (case-insensitive)."""
+    while any(t.lower().startswith(wanted.lower()) for t in taken):
+        wanted += "_"
+    return wanted

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from math import ceil
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 
 from sparkclean.audit import Lineage, StepLog, StepResult
 from sparkclean.functions.missing import col, is_numeric, is_time, nan_to_null
+from sparkclean.functions.names import free_prefix
 from sparkclean.operators import stats
 from sparkclean.sources.scratch import written
 
@@ -53,8 +55,8 @@ def handle_missing_values(
     """Apply the strategies in the order of the dict.
 
     `drop_row` is a barrier: what follows sees only the remaining rows. All fills between two barriers
-    share one statistics pass and one projection. `order_by` (unique values) gives the row order that
-    ffill and bfill need, `partition_by` keeps fills within groups. `accuracy` switches the median to a
+    share one statistics pass and one projection. `order_by` gives the row order that ffill and bfill need
+    (rows of equal values follow a hash of the row), `partition_by` keeps fills within groups. `accuracy` switches the median to a
     sketch. A threshold of 1 or more never drops a column.
     """
     if drop_threshold < 0:
@@ -227,40 +229,45 @@ def fill_directional(
     a table with one row per group and range. No task then holds more than one range, however large a
     group is.
     """
-    columns = df.columns
+    columns, own = df.columns, free_prefix("_fill", df.columns)
+    # Rows of equal order values are ordered by a hash of the row, so the answer doesn't depend on the scheme.
+    cells = [F.to_json(col(f.name)) if isinstance(f.dataType, T.MapType) else col(f.name) for f in df.schema]
+    df = df.withColumn(f"{own}tie", F.xxhash64(*cells))
+    order_by = [*order_by, f"{own}tie"]
+    rows = df.count() if rows is None else rows
+    biggest = rows
     if partition_by:
         biggest = df.groupBy(*map(col, partition_by)).count().agg(F.max("count")).first()[0] or 0
-    else:
-        biggest = df.count() if rows is None else rows
     if biggest <= max_group_rows:
-        return df.withColumns({c: _window_fill(c, s, partition_by, order_by) for c, s in strategies.items()})
+        return df.withColumns({c: _window_fill(c, s, partition_by, order_by) for c, s in strategies.items()}).select(*map(col, columns))
 
+    ranges = max(ceil(rows / max(max_group_rows, 1)), 2) if max_group_rows else 8
     ranged = written(
-        df.repartitionByRange(*map(col, order_by)).withColumn("_range", F.spark_partition_id()), "fill-ranges")
+        df.repartitionByRange(ranges, *map(col, order_by)).withColumn(f"{own}range", F.spark_partition_id()), "fill-ranges")
     place = F.struct(*map(col, order_by))
     carries = []
     for i, (c, s) in enumerate(strategies.items()):
         pick = F.max_by if s == "ffill" else F.min_by
-        carries.append(pick(col(c), F.when(col(c).isNotNull(), place)).alias(f"_edge{i}"))
-    edges = ranged.groupBy(*map(col, partition_by), "_range").agg(*carries)
-    across = Window.partitionBy(*map(col, partition_by)).orderBy("_range")
+        carries.append(pick(col(c), F.when(col(c).isNotNull(), place)).alias(f"{own}edge{i}"))
+    edges = ranged.groupBy(*map(col, partition_by), f"{own}range").agg(*carries)
+    across = Window.partitionBy(*map(col, partition_by)).orderBy(f"{own}range")
     for i, s in enumerate(strategies.values()):
         earlier = across.rowsBetween(Window.unboundedPreceding, -1)
         later = across.rowsBetween(1, Window.unboundedFollowing)
-        carried = (F.last(f"_edge{i}", ignorenulls=True).over(earlier) if s == "ffill"
-                   else F.first(f"_edge{i}", ignorenulls=True).over(later))
-        edges = edges.withColumn(f"_carry{i}", carried)
-    renamed = [col(c).alias(f"_key{i}") for i, c in enumerate(partition_by)]
-    carry = edges.select(*renamed, F.col("_range").alias("_at"), *[f"_carry{i}" for i in range(len(strategies))])
+        carried = (F.last(f"{own}edge{i}", ignorenulls=True).over(earlier) if s == "ffill"
+                   else F.first(f"{own}edge{i}", ignorenulls=True).over(later))
+        edges = edges.withColumn(f"{own}carry{i}", carried)
+    renamed = [col(c).alias(f"{own}key{i}") for i, c in enumerate(partition_by)]
+    carry = edges.select(*renamed, F.col(f"{own}range").alias(f"{own}at"), *[f"{own}carry{i}" for i in range(len(strategies))])
     if not partition_by:
-        carry = F.broadcast(carry)  # one row per range: bounded by the number of shuffle partitions
-    match = F.col("_range") == F.col("_at")
+        carry = F.broadcast(carry)  # one row a range: the rows of the table by max_group_rows
+    match = F.col(f"{own}range") == F.col(f"{own}at")
     for i, c in enumerate(partition_by):
-        match &= col(c).eqNullSafe(F.col(f"_key{i}"))
+        match &= col(c).eqNullSafe(F.col(f"{own}key{i}"))
     joined = ranged.join(carry, match, "left")
-    inner = [*partition_by, "_range"]
+    inner = [*partition_by, f"{own}range"]
     filled = joined.withColumns({
-        c: F.coalesce(_window_fill(c, s, inner, order_by), F.col(f"_carry{i}"))
+        c: F.coalesce(_window_fill(c, s, inner, order_by), F.col(f"{own}carry{i}"))
         for i, (c, s) in enumerate(strategies.items())
     })
     return filled.select(*map(col, columns))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sparkclean.audit import Lineage, StepLog, StepResult
 from sparkclean.functions.missing import col, is_numeric, is_time, nan_to_null
-from sparkclean.functions.names import free_name
+from sparkclean.functions.names import free_name, free_prefix
 
 JOIN_TYPES = ("left", "right", "inner", "outer")
 # Match rate that brings a warning, and the confidence above a match rate.
@@ -18,9 +18,8 @@ FEW_MATCHES = 0.5
 CONFIDENCE = ((0.9, 1.0), (0.5, 0.75), (-1.0, 0.5))
 # A key with more rows than this on one side is joined apart from the rest.
 HOT_KEY_ROWS = 1_000_000
-# At most this many keys can be hot, and at most this many rows are broadcast for them.
-MAX_HOT_KEYS = 1_000
-MAX_BROADCAST_ROWS = 100_000
+# At most this many keys can be hot; their list is broadcast.
+MAX_HOT_KEYS = 100_000
 
 
 @dataclass
@@ -138,7 +137,7 @@ def merge_datasets(
         counts.unpersist()
 
     if hot:
-        joined = _join_with_hot_keys(left, right, join_key, join_type, hot, counts.schema["key"].dataType)
+        joined = _join_with_hot_keys(left, right, join_key, join_type, hot, counts.schema["key"].dataType, limit)
     else:
         joined = _join(left, right, join_key, join_type)
 
@@ -181,38 +180,46 @@ def _without_collisions(left: DataFrame, right: DataFrame, key: str) -> tuple[Da
 
 def _join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     """One output key column, filled from whichever side has the row."""
-    l, r = left.alias("l"), right.withColumnRenamed(key, "_right_key").alias("r")
-    joined = l.join(r, col(key).eqNullSafe(col("_right_key")), how)
-    merged = [F.coalesce(col(c), col("_right_key")).alias(c) if c == key else col(c) for c in left.columns]
+    other = free_name("_right_key", {*left.columns, *right.columns})
+    l, r = left.alias("l"), right.withColumnRenamed(key, other).alias("r")
+    joined = l.join(r, col(key).eqNullSafe(col(other)), how)
+    merged = [F.coalesce(col(c), col(other)).alias(c) if c == key else col(c) for c in left.columns]
     return joined.select(*merged, *[col(c) for c in right.columns if c != key])
 
 
-def _join_with_hot_keys(left, right, key, how, hot, key_type) -> DataFrame:
+def _join_with_hot_keys(left, right, key, how, hot, key_type, limit) -> DataFrame:
     """Join the hot keys apart, so that their rows are not shuffled to one task.
 
-    Hot keys present on both sides join as an inner join (every such row has a partner). The side with
-    few rows for these keys is broadcast after its size is known from the counts; where both sides are
-    large, adaptive skew splitting may cut both sides of the inner join. Hot keys present on one side
-    only need no join: their rows are kept with NULLs or left out, as the join type says.
+    Hot keys present on both sides join as an inner join (every such row has a partner), salted: the side with more rows
+    of a key is dealt into chunks of at most about `limit` rows, and the other side's rows meet each chunk. Hot keys
+    present on one side only need no join: their rows are kept with NULLs or left out, as the join type says.
     """
-    spark = left.sparkSession
-    schema = T.StructType([T.StructField("_hot", key_type), T.StructField("_both", T.BooleanType())])
-    listed = F.broadcast(spark.createDataFrame(
-        [(r["key"], r["left_count"] > 0 and r["right_count"] > 0) for r in hot], schema))
+    spark, own = left.sparkSession, free_prefix("_merge", [*left.columns, *right.columns])
+    schema = T.StructType([
+        T.StructField(f"{own}key", key_type), T.StructField(f"{own}both", T.BooleanType()),
+        T.StructField(f"{own}left", T.IntegerType()), T.StructField(f"{own}right", T.IntegerType())])
+    listed = F.broadcast(spark.createDataFrame([
+        (r["key"], r["left_count"] > 0 and r["right_count"] > 0,
+         *((-(-r["left_count"] // limit), 1) if r["left_count"] >= r["right_count"] else (1, -(-r["right_count"] // limit)))) for r in hot], schema))
+    helpers = [f.name for f in schema]
 
     def split(df):
-        cold = df.join(listed, col(key).eqNullSafe(F.col("_hot")), "left_anti")
-        warm = df.join(listed, col(key).eqNullSafe(F.col("_hot")), "inner")
-        return cold, warm.where("_both").drop("_hot", "_both"), warm.where("NOT _both").drop("_hot", "_both")
+        cold = df.join(listed, col(key).eqNullSafe(F.col(f"{own}key")), "left_anti")
+        warm = df.join(listed, col(key).eqNullSafe(F.col(f"{own}key")), "inner")
+        return cold, warm.where(f"{own}both"), warm.where(f"NOT {own}both").drop(*helpers)
+
+    def dealt(df, chunks: str, copies: str):
+        """Rows of the larger side of a key in chunks; those of the other side once for each chunk."""
+        mine = F.pmod(F.xxhash64(*[F.to_json(col(f.name)) if isinstance(f.dataType, T.MapType) else col(f.name) for f in df.schema]), F.col(chunks))
+        slots = F.when(F.col(chunks) > 1, F.array(mine)).otherwise(F.sequence(F.lit(0), F.col(copies) - 1).cast("array<bigint>"))
+        return df.withColumn(f"{own}slot", F.explode(slots)).drop(*helpers)
 
     left_cold, left_both, left_only = split(left)
     right_cold, right_both, right_only = split(right)
-    shared = [r for r in hot if r["left_count"] and r["right_count"]]
-    if sum(r["right_count"] for r in shared) <= MAX_BROADCAST_ROWS:
-        right_both = F.broadcast(right_both)
-    elif sum(r["left_count"] for r in shared) <= MAX_BROADCAST_ROWS:
-        left_both = F.broadcast(left_both)
-    parts = [_join(left_cold, right_cold, key, how), _join(left_both, right_both, key, "inner")]
+    l = dealt(left_both, f"{own}left", f"{own}right")
+    r = dealt(right_both, f"{own}right", f"{own}left").withColumnsRenamed({key: f"{own}key", f"{own}slot": f"{own}at"})
+    met = l.join(r, col(key).eqNullSafe(col(f"{own}key")) & (F.col(f"{own}slot") == F.col(f"{own}at")))
+    parts = [_join(left_cold, right_cold, key, how), met.drop(f"{own}slot", f"{own}at", f"{own}key")]
     if how in ("left", "outer"):
         parts.append(left_only)
     if how in ("right", "outer"):

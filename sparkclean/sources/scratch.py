@@ -7,27 +7,22 @@ pruning, and gives the next plan real sizes to choose joins by.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
-
 
 def scratch_root(spark: SparkSession) -> str:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="sparkclean-")
-    return _local_roots[app]
+    """The folder in spark.checkpoint.dir; where that is not set, one under the warehouse, which executors share, too."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
+def _drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a folder when the application ends: lazy results may read it until then."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -38,5 +33,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once and return it as a scan of the written table."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _drop_at_end(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

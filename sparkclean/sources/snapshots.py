@@ -29,7 +29,8 @@ def artifact_key(step: str, version: int, kind: str = "dataset") -> str:
 class Snapshots:
     """Snapshots under one root folder on any Hadoop file system.
 
-    The versions table is itself a folder of small JSON files, one per version, so a writer only adds.
+    The versions table is itself a folder of small JSON files, one per version, so a writer only adds. A version exists
+    once it is registered there; data that a writer left before that is replaced by the next one. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -59,7 +60,7 @@ class Snapshots:
         version = 1 + max((v["version"] for v in known if v["step_name"] == log.step_name), default=0)
         key = artifact_key(log.step_name, version)
         watch = Observation()
-        df.observe(watch, *checksum_columns(df)).write.mode("errorifexists").parquet(self.path(key))
+        df.observe(watch, *checksum_columns(df)).write.mode("overwrite").parquet(self.path(key))
         seen = watch.get
         log.rows_after, log.checksum_after = seen["row_count"], checksum_text(seen["row_count"], seen["hash_sum"])
         for before in known:
@@ -73,7 +74,7 @@ class Snapshots:
         """Write a small table about a dataset (profile, quality report) as a version of its own."""
         version = self.next_version(step)
         key = artifact_key(step, version, kind)
-        df.coalesce(1).write.mode("errorifexists").json(self.path(key))
+        df.coalesce(1).write.mode("overwrite").json(self.path(key))
         self.register(key, step, version, df, log.rows_after, "", input_key)
         self.logs.append(log)
         return key

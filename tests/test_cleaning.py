@@ -1,16 +1,18 @@
 import datetime as dt
 import random
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sparkclean.functions.names import snake_case, unique_names
-from sparkclean.functions.parsing import java_pattern, try_long, try_num, try_ts
+from sparkclean.functions.parsing import java_pattern, parse_with, try_long, try_num, try_ts
 from sparkclean.operators import impute
 from sparkclean.operators.dedup import deduplicate_dataset, drop_exact_duplicates
-from sparkclean.operators.impute import handle_missing_values
+from sparkclean.operators.impute import fill_directional, handle_missing_values
 from sparkclean.operators.merge import match_stats, merge_datasets
+from sparkclean.operators.profile import build_profile
 from sparkclean.operators.standardize import standardize_formats
 
 
@@ -171,7 +173,7 @@ def test_override_and_share(spark):
     assert dict(result.df.dtypes)["mostly"] == "string"  # 75% is not enough
     with pytest.raises(ValueError, match="directive"):
         standardize_formats(df, column_overrides={"when": "%Q"})
-    assert java_pattern("%Y-%m-%dT%H:%M") == "yyyy-MM-dd'T'HH:mm"
+    assert java_pattern("%Y-%m-%dT%H:%M") == "yyyy-M-d'T'H:m"
 
 
 def test_header_collisions(spark):
@@ -220,15 +222,13 @@ def test_suffix_and_errors(spark):
     for key, how in (("nope", "left"), ("k", "cross")):
         with pytest.raises(ValueError):
             merge_datasets(left, right, key, how)
-    with pytest.raises(ValueError, match="incompatible"):
+    with pytest.raises(ValueError, match="compared"):
         merge_datasets(left, right.withColumn("k", F.lit("1")), "k")
 
 
 @pytest.mark.parametrize("how", ["left", "right", "inner", "outer"])
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_hot_keys_equal_pandas_merge(spark, monkeypatch, how, broadcast_rows):
-    from sparkclean.operators import merge as module
-    monkeypatch.setattr(module, "MAX_BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("hot_rows", [3, 20])
+def test_hot_keys_equal_pandas_merge(spark, how, hot_rows):
     rng = random.Random(7)
     pick = [None, None, "hot", "hot", "hot", "left-only", "a", "b", "c"]
     left = pd.DataFrame({"k": [rng.choice(pick) for _ in range(80)], "x": range(80)})
@@ -236,7 +236,7 @@ def test_hot_keys_equal_pandas_merge(spark, monkeypatch, how, broadcast_rows):
     expected = left.merge(right, on="k", how=how, suffixes=("", "_right"))
     found = merge_datasets(spark.createDataFrame(left.astype(object).where(left.notna(), None), "k string, x long"),
                            spark.createDataFrame(right.astype(object).where(right.notna(), None), "k string, x long"),
-                           "k", how, hot_key_rows=3)
+                           "k", how, hot_key_rows=hot_rows)
 
     def rows(frame):
         return sorted(tuple("~" if v is None or v != v else str(int(v) if not isinstance(v, str) else v) for v in r)
@@ -244,3 +244,55 @@ def test_hot_keys_equal_pandas_merge(spark, monkeypatch, how, broadcast_rows):
 
     assert rows(map(tuple, found.df.collect())) == rows(expected.itertuples(index=False, name=None))
     assert found.log.rows_after == len(expected)
+
+
+def test_dates_of_many_shapes(spark):
+    want = {
+        "2023-01-22T10:30:05.123456Z": "2023-01-22 10:30:05.123456", "2023-01-22T10:30:05+05:30": "2023-01-22 05:00:05",
+        "01/22/2023 10:30 PM": "2023-01-22 22:30:00", "2023-01-22 12:00 AM": "2023-01-22 00:00:00", "22-Jan-2023": "2023-01-22 00:00:00",
+        "01/22/23": "2023-01-22 00:00:00", "1/2/75": "1975-01-02 00:00:00", "2023-01-22 10:30:05.123456789": "2023-01-22 10:30:05.123456",
+        "jan 5, 2023": "2023-01-05 00:00:00", "Sunday, January 22, 2023": "2023-01-22 00:00:00", "2023": None, "12:30": None, "Note one": None,
+        "2023-02-30": None, "2023-01-22 24:10": None}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert dict(df.select("t", try_ts(F.col("t")).cast("string")).collect()) == want
+
+
+def test_loose_overrides(spark):
+    cases = [("1/5/2023", "%m/%d/%Y", "2023-01-05"), ("01/05/75", "%m/%d/%y", "1975-01-05"), ("1/5/99", "%d/%m/%y", "1999-05-01"),
+             ("Sunday, January 22, 2023", "%A, %B %d, %Y", "2023-01-22"), ("xx 22.01.2023", "%a %d.%m.%Y", None), ("20230105", "%Y%m%d", "2023-01-05")]
+    for text, fmt, day in cases:
+        assert spark.createDataFrame([(text,)], "t string").select(parse_with(F.col("t"), fmt).cast("date").cast("string")).first()[0] == day
+
+
+def test_mean_time_outside_utc(spark, monkeypatch):
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        df = spark.sql("SELECT * FROM VALUES (timestamp'2020-01-01', timestamp_ntz'2020-01-01'), (timestamp'2020-01-03', timestamp_ntz'2020-01-03'), (NULL, NULL) t(a, b)")
+        out = handle_missing_values(df, {"a": "mean", "b": "mean"}, drop_threshold=1.0).df
+        assert {tuple(r) for r in out.select(F.col("a").cast("string"), F.col("b").cast("string")).collect()} == {
+            (f"2020-01-0{k} 00:00:00",) * 2 for k in (1, 2, 3)}
+    finally:
+        monkeypatch.delenv("TZ")
+        time.tzset()
+
+
+def test_ties_fill_alike_in_windows_and_ranges(spark):
+    df = spark.range(400).selectExpr("id", "id DIV 40 AS tied", "IF(pmod(hash(id), 3) = 0, NULL, id) AS value")
+    one, many = (fill_directional(df, {"value": "ffill"}, ["tied"], [], max_group_rows=n) for n in (10_000, 0))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_map_columns_and_helper_names(spark):
+    df = spark.sql("SELECT * FROM VALUES (map('a', 1), '5', '2020-01-01'), (map('a', 1), '5', '2020-01-01') t(m, _number0, _parsed0)")
+    assert drop_exact_duplicates(df).count() == 1
+    assert standardize_formats(df.drop("m"), normalize_headers=False).df.count() == 2 and len(build_profile(df.drop("m")).columns) == 2
+
+
+@pytest.mark.parametrize("how", ["left", "right", "inner", "outer"])
+def test_salted_hot_keys(spark, how):
+    left = spark.range(300).selectExpr("IF(id < 200, 1, id) AS k", "id AS a")
+    right = spark.range(60).selectExpr("CASE WHEN id < 5 THEN 1 WHEN id < 50 THEN 7 ELSE id + 200 END AS k", "id AS b", "'x' AS _merge1")
+    plain = left.join(right, "k", "full" if how == "outer" else how).select("k", "a", "b", "_merge1").collect()
+    found = merge_datasets(left, right, "k", how, hot_key_rows=10).df.select("k", "a", "b", "_merge1").collect()
+    assert sorted(map(str, found)) == sorted(map(str, plain))
