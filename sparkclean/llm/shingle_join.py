@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from sparkclean.llm.common import byte_slices, label_components, utf8_views, written
 from sparkclean.llm.shingles import distinct_by_text, mix, shingle_sets
 
-#: A token that stands in more prefixes is frequent; the table under a rarer one makes at most FREQUENT / 2 pairs a row.
-FREQUENT = 64
+#: A token that stands in more prefixes is frequent; a rarer one makes at most FREQUENT / 2 pairs a row.
+FREQUENT = 32
+#: Bytes of text that are cut into shingles at a time; arrays take some fifty times as much.
+SLICE = 1 << 20
 #: Buckets of the frequency sketch and its parts. It sets the order of tokens, so it can't change the result.
 SKETCH_BITS, SKETCH_PARTS = 24, 64
 #: Sets of a chunk when all sets under one combination are compared, two chunks a task.
@@ -62,13 +64,13 @@ def levels(n: np.ndarray) -> np.ndarray:
 def _packed(counts: np.ndarray) -> bytes:
     """Counts below 255 as a byte each, then the places and numbers of the larger ones; compressed."""
     large = np.flatnonzero(counts >= 255)
-    raw = np.minimum(counts, 255).astype(np.uint8).tobytes() + np.concatenate([large, np.minimum(counts[large], 0xFFFFFFFF)]).astype("<u4").tobytes()
+    raw = np.minimum(counts, 255).astype(np.uint8).tobytes() + np.concatenate([large, counts[large]]).astype("<u4").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpacked(blob: bytes, size: int) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    counts = np.frombuffer(raw, np.uint8, size).astype(np.uint64)
+    counts = np.frombuffer(raw, np.uint8, size).astype(np.uint32)
     at, n = np.frombuffer(raw, "<u4", offset=size).reshape(2, -1)
     counts[at] = n
     return counts
@@ -81,7 +83,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(1 << SKETCH_BITS, np.uint32), None
-        for batch in byte_slices(batches, text_col):
+        for batch in byte_slices(batches, text_col, SLICE):
             hashed, sizes = shingle_sets(*utf8_views(batch, text_col), width)
             np.add.at(counts, (hashed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             keys = _keys(hashed, sizes)
@@ -90,9 +92,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
                  nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         if id_type is not None:
-            none, blobs = pa.nulls(SKETCH_PARTS), [_packed(x) for x in np.split(counts, SKETCH_PARTS)]
+            blobs = [_packed(x) for x in np.split(counts, SKETCH_PARTS)]
             yield pa.RecordBatch.from_arrays(
-                [none.cast(id_type), *[none.cast(pa.int64())] * 3, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(blobs, pa.binary())], names)
+                [pa.nulls(SKETCH_PARTS, id_type), *[pa.nulls(SKETCH_PARTS, pa.int64())] * 3, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(blobs, pa.binary())], names)
 
     schema = f"id {kind}, n long, node long, check long, part int, counts binary"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).mapInArrow(run, schema)
@@ -112,8 +114,9 @@ def _classes(sets: DataFrame) -> np.ndarray:
         total = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = total.setdefault(part, np.zeros(size, np.uint64))
-                own += _unpacked(blob, size)
+                own = total.setdefault(part, np.zeros(size, np.uint32))
+                more = _unpacked(blob, size)
+                own += np.minimum(more, ~own)  # counts stop at the largest number
         for part, own in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(own)], pa.binary())], ["part", "counts"])
 
@@ -131,7 +134,7 @@ def _prefixes(docs: DataFrame, text_col: str, width: int, limit: Threshold, clas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for batch in byte_slices(batches, text_col):
+        for batch in byte_slices(batches, text_col, SLICE):
             hashed, sizes = shingle_sets(*utf8_views(batch, text_col), width)
             keys = _keys(hashed, sizes)
             tokens = (order[(hashed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix(hashed) >> np.uint64(6))
@@ -216,7 +219,7 @@ def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.unpackbits(shared.value).astype(bool)
-        for batch in byte_slices(batches, text_col):
+        for batch in byte_slices(batches, text_col, SLICE):
             batch = batch.filter(pa.array(keep[batch.column("bit").to_numpy()]))
             if batch.num_rows:
                 keys = _keys(*shingle_sets(*utf8_views(batch, text_col), width))
@@ -229,7 +232,7 @@ def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, limit: Threshold) -> DataFrame:
     """Those of the pairs a, b whose sets reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, "text_a"):
+        for batch in byte_slices(batches, "text_a", SLICE):
             (x, nx), (y, ny) = (shingle_sets(*utf8_views(batch, c), width) for c in ("text_a", "text_b"))
             rows = np.arange(len(nx))
             tokens, owner = np.concatenate([x, y]), np.concatenate([np.repeat(rows, nx), np.repeat(rows, ny)])
