@@ -12,18 +12,46 @@ from sparkclean.audit import StepLog, StepResult
 from sparkclean.operators.dedup import deduplicate_dataset
 from sparkclean.operators.impute import handle_missing_values
 from sparkclean.operators.merge import merge_datasets
+from sparkclean.operators.profile import TableProfile, build_profile, profile_columns
 from sparkclean.operators.quality import quality_report, validate_dataset
 from sparkclean.operators.standardize import standardize_formats
+from sparkclean.sources.files import load_dataset
+from sparkclean.sources.report import generate_output
 from sparkclean.sources.snapshots import Snapshots
 
+
+@dataclass
+class ProfileResult(StepResult):
+    profile: TableProfile | None = None
+
+
+def profile_dataset(df: DataFrame, approx_rsd: float | None = None, accuracy: int | None = None) -> ProfileResult:
+    """The profile of a table as a step with a log entry."""
+    profile = build_profile(df, approx_rsd, accuracy)
+    log = StepLog("profile_dataset", profile.cols, profile.cols, 1.0, profile.rows, profile.rows,
+                  detail={"quality_score_estimate": profile.quality_score_estimate, "high_priority_issues": profile.high_priority_issues})
+    return ProfileResult(df, log, profile)
+
+
+def load_into(df: DataFrame | None, path: str, **options: Any) -> StepResult:
+    """The first step of a plan: the table in `path` instead of `df`."""
+    from pyspark.sql import SparkSession
+
+    return load_dataset(df.sparkSession if df is not None else SparkSession.active(), path, **options)
+
+
 STEPS: dict[str, Callable[..., StepResult]] = {
+    "load_dataset": load_into,
+    "profile_dataset": profile_dataset,
     "handle_missing_values": handle_missing_values,
     "standardize_formats": standardize_formats,
     "deduplicate_dataset": deduplicate_dataset,
     "merge_datasets": merge_datasets,
     "validate_dataset": validate_dataset,
+    "generate_output": generate_output,
 }
-READ_ONLY_STEPS = {"validate_dataset"}
+#: Steps that leave the table as it is.
+READ_ONLY_STEPS = {"profile_dataset", "validate_dataset", "generate_output"}
 
 
 @dataclass
@@ -57,18 +85,35 @@ class CleaningPlan:
     def __init__(self, steps: list[Step]):
         self.steps = steps
 
-    def run(self, df: DataFrame, snapshots: Snapshots | None = None, input_key: str | None = None) -> PlanResult:
+    def run(self, df: DataFrame | None = None, snapshots: Snapshots | None = None, input_key: str | None = None) -> PlanResult:
+        """`df` may be left out if the first step loads a table. A profile made since the last change is used again."""
         out = PlanResult(df, [], [])
+        profile: TableProfile | None = None
         for number, step in enumerate(self.steps):
             try:
-                result = STEPS[step.name](out.df, **step.arguments)
+                arguments = dict(step.arguments)
+                if step.name == "validate_dataset" and profile is not None:
+                    arguments.setdefault("profile", profile)
+                if step.name == "generate_output":
+                    if snapshots is None:
+                        raise ValueError("generate_output needs snapshots to write to")
+                    result = generate_output(out.df, snapshots, input_key=input_key, **arguments)
+                else:
+                    result = STEPS[step.name](out.df, **arguments)
                 if step.name not in READ_ONLY_STEPS:
+                    profile = None
                     if snapshots is not None:
                         input_key = snapshots.write(result, input_key)
                         result.df = snapshots.read(input_key)
                     out.df = result.df
-                elif snapshots is not None:
-                    snapshots.write_summary(step.name, "report", quality_report(result), result.log, input_key)
+                elif step.name == "profile_dataset":
+                    profile = result.profile
+                    if snapshots is not None:
+                        snapshots.write_summary(step.name, "profile", profile_columns(out.df, profile), result.log, input_key)
+                elif step.name == "validate_dataset":
+                    profile = result.profile
+                    if snapshots is not None:
+                        snapshots.write_summary(step.name, "report", quality_report(result), result.log, input_key)
             except Exception as error:  # the failed step is reported, not skipped
                 out.failed_step, out.error = number, error
                 break

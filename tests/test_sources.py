@@ -173,3 +173,15 @@ def test_a_crashed_write_leaves_the_step_usable(spark, tmp_path, employees):
     employees.limit(1).write.parquet(store.path("load_dataset/v1/dataset"))  # written, never registered
     key = store.write(StepResult(employees, StepLog("load_dataset", 4, 4, 1.0)))
     assert key == "load_dataset/v1/dataset" and store.read(key).count() == employees.count()
+
+
+def test_all_steps_of_a_plan(spark, tmp_path, sales):
+    sales.write.parquet(str(tmp_path / "raw"))
+    store = Snapshots(spark, str(tmp_path / "store"))
+    steps = [Step("load_dataset", {"path": str(tmp_path / "raw"), "format": "parquet"}), Step("standardize_formats"), Step("deduplicate_dataset"),
+             Step("profile_dataset"), Step("validate_dataset"), Step("generate_output")]
+    done = CleaningPlan(steps).run(None, store)
+    assert done.error is None and [x.step_name for x in done.logs] == [s.name for s in steps]
+    assert done.results[4].profile is done.results[3].profile  # made once
+    assert done.df.count() == 5 and spark.read.option("header", True).csv(store.path(done.results[-1].csv_key)).count() == 5
+    assert CleaningPlan([Step("generate_output")]).run(sales).failed_step == 0

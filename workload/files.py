@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkclean.audit import StepLog, StepResult, table_checksum
+from sparkclean.audit import LOG_SCHEMA, StepLog, StepResult, table_checksum
 from sparkclean.operators.impute import handle_missing_values
 from sparkclean.operators.profile import profile_columns
+from sparkclean.plans.cleaning import CleaningPlan, Step
 from sparkclean.sources import files
 from sparkclean.sources.scratch import scratch_path
 from sparkclean.sources.snapshots import Snapshots, write_csv
@@ -21,7 +22,7 @@ def load_parquet(spark, sf):
 def csv_roundtrip(spark, sf):
     """Write a table with NULLs and line breaks as CSV and load it again with inferred types."""
     df = table(spark, sf, "conversations").selectExpr(
-        "conv_id", "turn", "NULLIF(role, 'system') AS role", "CASE WHEN turn = 1 THEN NULL ELSE text END AS text",
+        "conv_id", "turn", "NULLIF(role, 'system') AS role", "text",
         "conv_id / 4 AS quarter", "turn = 0 AS opening")
     path = scratch_path(spark, "roundtrip")
     write_csv(df, path)
@@ -29,8 +30,7 @@ def csv_roundtrip(spark, sf):
 
 
 CSV_SQL = """
-    SELECT conv_id, turn, NULLIF(role, 'system') AS role, CASE WHEN turn = 1 THEN NULL ELSE text END AS text,
-           conv_id / 4 AS quarter, turn = 0 AS opening FROM conversations"""
+    SELECT conv_id, turn, NULLIF(role, 'system') AS role, text, conv_id / 4 AS quarter, turn = 0 AS opening FROM conversations"""
 
 
 def infer_types(spark, sf):
@@ -121,7 +121,43 @@ def checksum(spark, sf):
 
 CHECKSUM_SQL = "SELECT CAST(1 AS BIGINT) AS checksums, count(*) AS row_count FROM lineitem"
 
+def checksum_differs(spark, sf):
+    """Four tables, three contents: as it is, in another order, with other taxes on returns, and each row twice."""
+    df = table(spark, sf, "lineitem")
+    taxed = df.withColumn("l_tax", F.when(F.col("l_returnflag") == "R", F.col("l_tax") + 0.01).otherwise(F.col("l_tax")))
+    parts = [table_checksum(x) for x in (df, df.repartition(5, "l_suppkey"), taxed, df.union(df))]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return found.agg(F.count_distinct("hash_sum").alias("checksums"), F.max("row_count").alias("row_count"))
+
+
+DIFFERS_SQL = "SELECT CAST(3 AS BIGINT) AS checksums, 2 * count(*) AS row_count FROM lineitem"
+
+
+def audit_log_written(spark, sf):
+    """The log of a plan as it was exported, read back."""
+    store = Snapshots(spark, scratch_path(spark, "audit"))
+    done = CleaningPlan([
+        Step("handle_missing_values", {"strategy_config": {"o_totalprice": "drop_row", "o_orderstatus": "mode"}, "drop_threshold": 1.0}),
+        Step("profile_dataset"),
+        Step("validate_dataset"),
+        Step("generate_output", {"include_summary_stats": False}),
+    ]).run(dirty(spark, sf, "dirty_orders"), store)
+    if done.error:
+        raise done.error
+    logs = spark.read.schema(LOG_SCHEMA).json(store.path(done.results[-1].log_key))
+    return logs.select("step_name", "rows_before", "rows_after", "rows_removed", "cells_modified")
+
+
+AUDIT_SQL = f"""
+    WITH n AS (SELECT count(*) AS a, count(o_totalprice) AS b,
+                      count(*) FILTER (o_totalprice IS NOT NULL AND o_orderstatus IS NULL) AS gaps FROM {dirty_sql('dirty_orders')} t)
+    SELECT 'handle_missing_values' AS step_name, a AS rows_before, b AS rows_after, a - b AS rows_removed, a - b + gaps AS cells_modified FROM n
+    UNION ALL SELECT 'profile_dataset', b, b, 0, 0 FROM n
+    UNION ALL SELECT 'validate_dataset', b, b, 0, 0 FROM n"""
+
 QUERIES = {
+    "table_checksum_differs": (checksum_differs, DIFFERS_SQL),
+    "audit_log_written": (audit_log_written, AUDIT_SQL),
     "load_parquet": (load_parquet, "SELECT * FROM lineitem"),
     "csv_roundtrip": (csv_roundtrip, CSV_SQL),
     "infer_types": (infer_types, INFER_SQL),
