@@ -22,6 +22,9 @@ from sparkclean.llm.shingles import distinct_by_text, mix, shingle_sets
 
 #: A token that stands in more prefixes is frequent; a rarer one makes at most FREQUENT / 2 pairs a row.
 FREQUENT = 32
+#: Near sets share most of their combinations, so only combinations of at most so many sets make pairs; sets under a larger
+#: one are compared with one of them first, then in chunks what that hasn't connected.
+PAIRED = 4
 #: Bytes of text that are cut into shingles at a time; arrays take some fifty times as much.
 SLICE = 1 << 20
 #: Buckets of the frequency sketch and its parts. It sets the order of tokens, so it can't change the result.
@@ -155,7 +158,7 @@ def _prefixes(docs: DataFrame, text_col: str, width: int, limit: Threshold, clas
 
 
 def _pairs_under(postings: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs of sets under the same token, of sizes that can link. Only for tokens of at most FREQUENT sets."""
+    """Pairs of sets under the same token, of sizes that can link. Only for tokens of few sets."""
     a, b = postings.alias("a"), postings.alias("b")
     fit = f"a.token = b.token and a.node < b.node and {limit.parts} * least(a.n, b.n) >= {limit.least} * greatest(a.n, b.n)"
     return a.join(b, F.expr(fit)).selectExpr("a.node as a", "b.node as b", "a.n as na", "b.n as nb")
@@ -285,7 +288,7 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _dense_links(postings: DataFrame, known: DataFrame, texts: DataFrame, width: int, limit: Threshold) -> DataFrame:
-    """Links among sets under the same combination of more than FREQUENT sets, where `known` links leave several parts.
+    """Links among sets under the same combination of more than PAIRED sets, where `known` links leave several parts.
 
     Sets that such combinations connect make a family, cut into chunks; a large part that is already connected has
     chunks of its own, and two chunks of the same part are not compared. Every other two chunks meet in one task.
@@ -351,9 +354,9 @@ def join_shingles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     postings = _counted(prefix.select("node", "n", F.posexplode("tokens").alias("pos", "token")), "shingle-postings")
     rare, frequent = postings.where(f"c <= {FREQUENT}"), postings.where(f"c > {FREQUENT}")
     combined = _counted(_combinations(frequent, limit), "shingle-combined")
-    dense = combined.where(f"c > {FREQUENT}")
+    dense = combined.where(f"c > {PAIRED}")
     stars = dense.where("node <> lo").selectExpr("lo as a", "node as b", "lo_n as na", "n as nb")
-    further = _pairs_under(combined.where(f"c <= {FREQUENT}"), limit).union(stars)
+    further = _pairs_under(combined.where(f"c <= {PAIRED}"), limit).union(stars)
     pairs = written(_possible(_pairs_under(rare, limit), further, frequent, limit), "shingle-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = _texts(docs, sets, nodes, id_col, text_col, width)
