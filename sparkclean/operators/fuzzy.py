@@ -24,9 +24,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkclean.functions.keys import composite_key, token_set_key, tokens_of
 from sparkclean.functions.missing import col, nan_to_null
+from sparkclean.functions.names import free_prefix
 from sparkclean.functions.similarity import (
     PARTIAL_SCALE, PREFIX_FROM, PREFIX_MAX, PREFIX_WEIGHT, SCORERS, TOKEN_SCALE, scorer_udf,
 )
@@ -552,9 +554,9 @@ def check_arguments(df: DataFrame, columns: list[str], algorithm: str, threshold
                     block_by: list[str] | None = None) -> None:
     missing = [c for c in [*columns, *(block_by or [])] if c not in df.columns]
     if missing:
-        raise ValueError(f"fuzzy_columns not found in DataFrame: {missing}")
+        raise ValueError(f"there are no columns {missing} to compare")
     if algorithm not in SCORERS:
-        raise ValueError(f"Unknown fuzzy algorithm: '{algorithm}'. Choose from: {list(SCORERS)}")
+        raise ValueError(f"{algorithm!r} is no scorer; there are {', '.join(SCORERS)}")
     if threshold < 0:
         raise ValueError("fuzzy_threshold must not be negative")
 
@@ -579,30 +581,33 @@ def fuzzy_dedup(
     check_arguments(df, columns, algorithm, threshold, block_by)
     df = nan_to_null(df)
     names = df.columns
-    # Range partitions in order, rows sorted inside: the generated id rises with the row order.
-    placed = df
-    if order_by:
-        placed = df.repartitionByRange(*map(col, order_by)).sortWithinPartitions(*map(col, order_by))
+    # Range partitions in order, rows sorted inside: the generated id rises with the row order. Rows of equal order
+    # values, and all rows where no order is given, follow a hash of the row: the result then never depends on files.
+    own = free_prefix("_fuzzy", names)
+    rank, tie = f"{own}rank", f"{own}tie"
+    cells = [F.to_json(col(f.name)) if isinstance(f.dataType, T.MapType) else col(f.name) for f in df.schema]
+    order = [*map(col, order_by or []), F.col(tie)]
+    placed = df.withColumn(tie, F.xxhash64(*cells)).repartitionByRange(*order).sortWithinPartitions(*order)
     sign = 1 if keep == "first" else -1
-    placed = placed.withColumn("_rank", sign * F.monotonically_increasing_id())
+    placed = placed.withColumn(rank, sign * F.monotonically_increasing_id()).drop(tie)
     if exact_first:
-        placed = placed.groupBy(*map(col, names)).agg(F.min("_rank").alias("_rank"))
+        placed = placed.groupBy(*map(col, names)).agg(F.min(rank).alias(rank))
     block = F.to_json(F.struct(*map(col, block_by))) if block_by else F.lit("")
-    placed = placed.withColumns({"_key": _key(df, columns, algorithm), "_block": block})
+    placed = placed.withColumns({f"{own}key": _key(df, columns, algorithm), f"{own}block": block})
     rows = written(placed, "fuzzy-rows")
     total = df.count()
 
     if threshold > 1:
         survivors = rows
     elif threshold <= 0:
-        first = rows.agg(F.min("_rank")).first()[0]
-        survivors = rows.where(F.col("_rank") == first) if first is not None else rows
+        first = rows.agg(F.min(rank)).first()[0]
+        survivors = rows.where(F.col(rank) == first) if first is not None else rows
     else:
-        blank = _never_matches(algorithm, F.col("_key"))
-        keys = rows.where(~blank).groupBy(F.col("_key").alias("key"), F.col("_block").alias("block"))
-        keys = written(keys.agg(F.min("_rank").alias("rank")), "fuzzy-keys")
+        blank = _never_matches(algorithm, F.col(f"{own}key"))
+        keys = rows.where(~blank).groupBy(F.col(f"{own}key").alias("key"), F.col(f"{own}block").alias("block"))
+        keys = written(keys.agg(F.min(rank).alias("rank")), "fuzzy-keys")
         kept = _kept(Matcher(keys, algorithm, threshold), keys.select("rank"), pair_budget, min_rows)
-        survivors = rows.join(kept.withColumnRenamed("rank", "_rank"), "_rank", "left_semi").unionByName(
+        survivors = rows.join(kept.withColumnRenamed("rank", rank), rank, "left_semi").unionByName(
             rows.where(blank))
     survivors = written(survivors.select(*map(col, names)), "fuzzy-result")
     return FuzzyResult(survivors, total - survivors.count())
