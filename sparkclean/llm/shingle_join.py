@@ -22,6 +22,8 @@ from sparkclean.llm.shingles import distinct_by_text, mix, shingle_sets
 
 #: A token that stands in more prefixes is frequent; a rarer one makes at most FREQUENT / 2 pairs a row.
 FREQUENT = 32
+#: Tokens of a set for each group of its frequent ones: more groups make fewer combinations and longer prefixes.
+GROUP = 32
 #: Near sets share most of their combinations, so only combinations of at most so many sets make pairs; sets under a larger
 #: one are compared with one of them first, then in chunks what that hasn't connected.
 PAIRED = 4
@@ -52,7 +54,7 @@ class Threshold:
 
     def behind(self, n: str) -> str:
         """SQL of the number of tokens behind the longest extended prefix of a set of n tokens."""
-        return f"greatest(({self.least} * {n} + {self.parts - 1}) div {self.parts} - 1 - shiftleft(1, length(bin({n} div 64)) - 1), 0)"
+        return f"greatest(({self.least} * {n} + {self.parts - 1}) div {self.parts} - 1 - shiftleft(1, length(bin({n} div {GROUP})) - 1), 0)"
 
     def alone(self, n: np.ndarray) -> np.ndarray:
         """Whether a set of n tokens is too small to link to another one."""
@@ -60,8 +62,8 @@ class Threshold:
 
 
 def levels(n: np.ndarray) -> np.ndarray:
-    """Size class: frequent tokens of sets of 64 * 2^level tokens are dealt into 2^level groups."""
-    return np.maximum(np.frexp(n // 64)[1] - 1, 0)
+    """Size class: frequent tokens of sets of GROUP * 2^level tokens are dealt into 2^level groups."""
+    return np.maximum(np.frexp(n // GROUP)[1] - 1, 0)
 
 
 def _packed(counts: np.ndarray) -> bytes:
