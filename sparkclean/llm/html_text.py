@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import log
 
 import pyarrow as pa
@@ -34,45 +36,96 @@ MARKS = frozenset(
     "widget widgets".split())
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({OPAQUE})(?=[\s/>]){_attributes}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_attributes})/?>", re.S | re.I)
-_marked = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_word = re.compile(r"[A-Za-z]+")
+#: Furniture even where it holds most of a page's words.
+ALWAYS = frozenset("nav footer button menu".split())
+#: Marks of readers' answers; each of them is often an article of its own.
+ANSWERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Elements whose ids come from headings and names.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED = HEADINGS | frozenset("section p dt dd".split())
+_attribute = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_word = re.compile(r"[^\W\d_]+")
 #: Elements that hold the content of labelled pages.
 LABELS = ("article", "main")
 #: Score of a word, and the least and most that a tag costs.
 WORD, CHEAP, DEAR = 1.0, 0.05, 12.0
+#: Score of a word of a marked element that holds most of the page's words, or an article after the first.
+LOWERED = 0.5
 #: Labelled pages that weights are taken from, those with the smallest hash of their id; and kinds of tags that have own weights.
 SAMPLE_PAGES, KINDS = 2000, 2000
 
 
 @dataclass
 class Node:
-    """A tag, or a run of text; `hidden` if it lies in page furniture."""
+    """A tag, or a run of text; `hidden` if it lies in page furniture, `lowered` if in what only looks like it."""
 
     kind: str
     text: str = ""
     hidden: bool = False
     tag: str = ""
     ends: bool = False
+    words: int = 0
+    lowered: bool = False
 
 
-def furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE:
-        return True
-    if tag in ("html", "body", *LABELS):
-        return False
-    return any(w.lower() in MARKS for m in _marked.finditer(attributes) for w in _word.findall(m[1] or m[2] or m[3] or ""))
+def marks(tag: str, attributes: str) -> set[str]:
+    """Words of the whole tokens of class, id and role that mark furniture; each word of such a token does."""
+    if tag in HEADINGS or tag in ("html", "body", *LABELS):
+        return set()
+    tokens = {k.lower(): (a or b or c).lower().split() for k, a, b, c in reversed(_attribute.findall(attributes))}
+    if tag in NAMED or "section" in tokens.get("class", ()):
+        tokens.pop("id", None)
+    found = (set(_word.findall(t)) for k in ("class", "id", "role") for t in tokens.get(k, ()))
+    return {w for words in found if words <= MARKS for w in words}
+
+
+@dataclass
+class Suspect:
+    """An element that looks like page furniture: its tag and marks, and the nodes it spans."""
+
+    tag: str
+    marks: set[str]
+    begin: int
+    depth: int
+    end: int = 0
+
+
+def hide(nodes: list[Node], suspects: list[Suspect]) -> None:
+    """Hide furniture. Not hidden are elements that hold an article or main, or most of the words of a page without others.
+
+    Readers' answers are hidden with their articles, unless the first one of the page is among them.
+    """
+    labels = [i for i, n in enumerate(nodes) if n.tag in LABELS and not n.ends]
+    words = list(accumulate((n.words for n in nodes), initial=0))
+    reached = 0
+    for x in suspects:
+        if x.begin < reached:
+            continue
+        first, last = bisect_left(labels, x.begin), bisect_left(labels, x.end)
+        holds = first < last and (first == 0 or not x.marks & ANSWERS)
+        most = not labels and x.tag not in ALWAYS and 2 * (words[x.end] - words[x.begin]) > words[-1]
+        if not holds and not most:
+            reached = x.end
+        if holds and not first:
+            continue
+        for n in nodes[x.begin : x.end]:
+            if holds or most:
+                n.lowered = True
+            else:
+                n.hidden = True
 
 
 def nodes_of(page: str) -> list[Node]:
     """Tags and texts in order. An end tag closes the elements it is the end of; furniture ends with its element."""
     out: list[Node] = []
     open_tags: list[str] = []
-    hidden = 0  # 1 + place in `open_tags` of the outermost open furniture, or 0
+    suspects: list[Suspect] = []
+    open_suspects: list[Suspect] = []
     at = 0
 
     def text(until: int) -> None:
         if until > at:
-            out.append(Node("#text", page[at:until], bool(hidden)))
+            out.append(Node("#text", page[at:until], words=len(page[at:until].split())))
 
     closes = Counter(m.lower() for m in re.findall(r"</([a-zA-Z][a-zA-Z0-9:-]*)", page))
     for m in TOKEN.finditer(page):
@@ -83,21 +136,23 @@ def nodes_of(page: str) -> list[Node]:
         tag = m[3].lower()
         if m[2]:
             closes[tag] -= 1
+            out.append(Node("/" + tag, "", False, tag, True))
             if tag in open_tags:
                 place = len(open_tags) - 1 - open_tags[::-1].index(tag)
                 del open_tags[place:]
-                if hidden and len(open_tags) < hidden:
-                    out.append(Node("/" + tag, "", True, tag, True))
-                    hidden = 0
-                    continue
-            out.append(Node("/" + tag, "", bool(hidden), tag, True))
+                while open_suspects and open_suspects[-1].depth > place:
+                    open_suspects.pop().end = len(out)
             continue
         if tag not in VOID:
             open_tags.append(tag)
-            if not hidden and furniture(tag, m[4]) and closes[tag] > 0:
-                hidden = len(open_tags)
-        out.append(Node(tag, "", bool(hidden), tag))
+            if closes[tag] > 0 and ((found := marks(tag, m[4])) or tag in FURNITURE):
+                suspects.append(Suspect(tag, found, len(out), len(open_tags)))
+                open_suspects.append(suspects[-1])
+        out.append(Node(tag, "", False, tag))
     text(len(page))
+    for x in open_suspects:
+        x.end = len(out)
+    hide(out, suspects)
     return out
 
 
@@ -109,8 +164,7 @@ class TagWeights:
 
     def score(self, node: Node) -> float:
         if node.kind == "#text":
-            words = len(node.text.split())
-            return -WORD * words if node.hidden else WORD * words
+            return -WORD * node.words if node.hidden else (LOWERED if node.lowered else WORD) * node.words
         if node.hidden:
             return -CHEAP
         return -self.cost.get(node.kind, DEAR if node.tag in ("html", "body", *LABELS) else CHEAP if node.tag in INLINE or node.tag == "p" else 0.5)

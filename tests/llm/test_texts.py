@@ -146,6 +146,26 @@ def test_pages(spark):
     assert html_text.extract_text(df.limit(0), html_text.learn_weights(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("begin, end", [
+    ('<div id="page" class="site has-sidebar">', "</div>"), ('<div class="post no-comments">', "</div>"), ('<form id="aspnetForm">', "</form>"), ('<div class="sidebar">', "</div>"),
+    ('<section class="comments">', "</section>"), ('<div data-id="form" title="a class=form">', "</div>")])
+def test_marks_of_what_holds_the_content(begin, end):
+    weights = html_text.TagWeights()
+    text = "One two three.\nFour five six seven eight nine ten eleven twelve thirteen fourteen."
+    paragraphs = "".join(f"<p>{x}</p>" for x in text.split("\n"))
+    for label, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>")):
+        page = f"<html><body><nav>a b c</nav>{begin}{label}{paragraphs}{close}<aside>Read also</aside>{end}<footer>x y</footer></body></html>"
+        assert html_text.main_text(page, weights) == text
+
+
+def test_ids_made_from_headings():
+    weights = html_text.TagWeights()
+    page = ('<article><h2 id="form-of-government">Form of government</h2><p>One two.</p><h2 id="navigation">Navigation</h2><section id="related-work"><h2>Related work</h2>'
+            '<p>Three four.</p></section><section id="related"><p>Five and more words of it.</p></section><div class="section" id="header"><p>Six and more words of it.</p></div></article>'
+            '<div id="comments"><article><p>I love it.</p></article></div>')
+    assert html_text.main_text(page, weights) == "Form of government\nOne two.\nNavigation\nRelated work\nThree four.\nFive and more words of it.\nSix and more words of it."
+
+
 def test_best_run_against_all_runs():
     rng = random.Random(2)
     for _ in range(300):
