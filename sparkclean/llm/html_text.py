@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from sparkclean.llm.common import byte_slices, texts_of
 
 _attributes = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-#: Elements whose text is never shown or is no text, elements of page furniture, and inline elements.
-OPAQUE = "script|style|noscript|template|textarea|iframe|svg|math|title|select|object|canvas|video|audio|head"
+#: Elements that hold no tags and, without an end tag, run to the end of the page; others whose text is never
+#: shown or is no text, where their own end tag follows; elements of the head; elements of page furniture; inline elements.
+RAW = "script|style|textarea|title"
+OPAQUE = frozenset("noscript template iframe svg math select object canvas video audio".split())
+HEAD = frozenset("meta link base basefont bgsound noscript template".split())
 FURNITURE = frozenset("nav header footer aside form button menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,7 +38,9 @@ MARKS = frozenset(
     "promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar "
     "widget widgets".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({OPAQUE})(?=[\s/>]){_attributes}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_attributes})/?>", re.S | re.I)
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?:{RAW})/>|<({RAW})(?=[\s/>]){_attributes}(?:(?<=[\s\"']/)>|>.*?(?:</\1\s*>|\Z))"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_attributes})/?>", re.S | re.I)
+_unquoted = re.compile(r"""=\s*[^\s"'>]+/$""")
 #: Furniture even where it holds most of a page's words.
 ALWAYS = frozenset("nav footer button menu".split())
 #: Marks of readers' answers; each of them is often an article of its own.
@@ -116,16 +121,28 @@ def hide(nodes: list[Node], suspects: list[Suspect]) -> None:
 
 
 def nodes_of(page: str) -> list[Node]:
-    """Tags and texts in order. An end tag closes the elements it is the end of; furniture ends with its element."""
+    """Tags and texts in order. An end tag closes the elements it is the end of; furniture ends with its element.
+
+    Elements of OPAQUE that their own end tag closes leave nothing, unless they hold an article or main; others leave out
+    their tags only. The head leaves nothing and ends with the first text or tag that doesn't belong to it.
+    """
     out: list[Node] = []
     open_tags: list[str] = []
     suspects: list[Suspect] = []
     open_suspects: list[Suspect] = []
+    opaque: list[tuple[int, int]] = []  # place in `open_tags` and first node of open elements of OPAQUE
+    head = False
     at = 0
 
     def text(until: int) -> None:
+        nonlocal head
         if until > at:
-            out.append(Node("#text", page[at:until], words=len(page[at:until].split())))
+            words = len(page[at:until].split())
+            if head and not opaque:
+                if not words:
+                    return
+                head = False
+            out.append(Node("#text", page[at:until], words=words))
 
     closes = Counter(m.lower() for m in re.findall(r"</([a-zA-Z][a-zA-Z0-9:-]*)", page))
     for m in TOKEN.finditer(page):
@@ -136,12 +153,36 @@ def nodes_of(page: str) -> list[Node]:
         tag = m[3].lower()
         if m[2]:
             closes[tag] -= 1
-            out.append(Node("/" + tag, "", False, tag, True))
+            if tag == "head":
+                head = False
+                continue
+            if head and not opaque:
+                continue
+            if tag not in OPAQUE:
+                out.append(Node("/" + tag, "", False, tag, True))
             if tag in open_tags:
                 place = len(open_tags) - 1 - open_tags[::-1].index(tag)
                 del open_tags[place:]
                 while open_suspects and open_suspects[-1].depth > place:
                     open_suspects.pop().end = len(out)
+                while opaque and opaque[-1][0] >= place:
+                    own, begin = opaque.pop()
+                    if own == place and (tag == "template" or not any(n.tag in LABELS for n in out[begin:])):
+                        del out[begin:]
+                        while suspects and suspects[-1].begin >= begin:
+                            suspects.pop()
+            continue
+        if tag == "head":
+            head = True
+            continue
+        if head and (tag == "body" or tag not in HEAD and not opaque):
+            head = False
+        if tag in OPAQUE:
+            if not m[4].endswith("/") or _unquoted.search(m[4]):
+                opaque.append((len(open_tags), len(out)))
+                open_tags.append(tag)
+            continue
+        if head and tag in HEAD:
             continue
         if tag not in VOID:
             open_tags.append(tag)

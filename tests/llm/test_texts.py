@@ -166,6 +166,31 @@ def test_ids_made_from_headings():
     assert html_text.main_text(page, weights) == "Form of government\nOne two.\nNavigation\nRelated work\nThree four.\nFive and more words of it.\nSix and more words of it."
 
 
+@pytest.mark.parametrize("void", [
+    "<svg/>", "<svg class='x' />", "<video src=a />", "<iframe src=a>", "<iframe src=http://a/>", "<select>", "<object data='a'>", "<canvas>", "<noscript>", "<math>", "<audio controls/>",
+    "<title/>", '<style id="x"/>', "<video src=a>later</video><video src=b>", "<noscript><template><svg>"])
+def test_unclosed_elements(void):
+    weights = html_text.TagWeights()
+    long = "Two three four five six seven eight nine ten eleven twelve thirteen fourteen."
+    page = f"<html><body><article><p>{long}</p>{void}<p>{long}</p></article><iframe src=b>not shown</iframe><p>End.</p></body></html>"
+    assert html_text.main_text(page, weights) == f"{long}\n{long}"
+
+
+@pytest.mark.parametrize("head", [
+    "<head><title>t</title>", "<head><meta charset=x><title>t</title><noscript><p>not shown</p></noscript>\n", "<head><link href=a /><style>p{}</style><body>", "<head><noscript><body>"])
+def test_head_without_end_tag(head):
+    weights, text = html_text.TagWeights(), "Two three four five six seven eight nine ten eleven twelve thirteen fourteen."
+    assert html_text.main_text(f"<html>{head}<article><h1>One</h1><p>{text}</p></article></html>", weights) == f"One\n{text}"
+    assert html_text.main_text(f"<html>{head}{text}</html>", weights) == text
+
+
+def test_opaque_elements_stay_hidden():
+    page = ("<html><head><title>t</title><noscript><meta name=a><img src=b></noscript></head><body><article><p>One <svg viewBox='0 0'><title>not</title><text>shown</text></svg>two "
+            "<select class=form><option>a<option>b</select>three.</p><video><p>not shown</p><object>nor this</object></video><noscript><article>shown</article></noscript>"
+            "<template><article>not shown</article></template><script>if (a</b>c) d</script><p>Four five six seven.</p><textarea>not shown</article>")
+    assert html_text.main_text(page, html_text.TagWeights(dict.fromkeys(("article", "/article"), 0.0))) == "One two three.\nshown\nFour five six seven."
+
+
 def test_best_run_against_all_runs():
     rng = random.Random(2)
     for _ in range(300):
