@@ -1,14 +1,15 @@
 """Near-duplicate vectors by spherical-cap filters: structured random product codes, list decoding, verification.
 
 A filter is a direction put together from two code words, one for each half of the rotated vector. Every vector stands
-under all filters whose inner product with it reaches a threshold, which list decoding finds without looking at each
-filter. Near vectors share filters with high probability; pairs under one filter are verified exactly.
+under the filters with the highest inner products, as many for each vector; list decoding finds them without looking at
+each filter. How many they are follows from the number of code words, so that near vectors share one with the wanted
+probability at any size of the table. Pairs under one filter are verified exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 from sparkclean.llm.common import label_components, ragged, written
 from sparkclean.llm.shingle_join import spanning
 
-#: Mean number of filters a vector stands under, and vectors for each filter. More filters find more of the links.
+#: Least number of filters a vector stands under, and vectors for each filter. More filters find more of the links.
 FILTERS, VECTORS_PER_FILTER = 28, 8
+#: Share of random pairs exactly at the least cosine that are to meet under a filter, pairs it is measured with, and the
+#: number of filters beyond which none are added.
+RECALL, PROBES, MOST_FILTERS = 0.998, 1000, 512
 #: Vectors of a chunk; larger sets under one filter are compared chunk by chunk, two a task.
 CHUNK = 1024
 SEED = 7
@@ -33,12 +37,17 @@ class CapFilters:
         self.half = dims // 2
         self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
         self.words = [self._unit(rng, words, n) for n in (self.half, dims - self.half)]
-        probe = rng.standard_normal((512, dims))
-        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        a, b = self._halves(probe)
-        share = min(1.0, FILTERS / words**2)
-        sums = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1) if words <= 64 else a[:, rng.integers(0, words, 4096)] + b[:, rng.integers(0, words, 4096)]
-        self.least = float(np.quantile(sums, 1 - share)) - 1e-9
+        self.dims = dims
+
+    @cached_property
+    def least(self) -> float:
+        """The inner product that FILTERS filters reach in the mean over all directions: the tail of a spherical cap."""
+        share = FILTERS / len(self.words[0]) ** 2
+        if share >= 1 or self.dims < 2:
+            return -2.0
+        angles = np.linspace(0, np.pi, 1 << 17)
+        cap = np.cumsum(np.sin(angles) ** (self.dims - 2))
+        return float(np.sqrt(2) * np.cos(angles[np.searchsorted(cap / cap[-1], share)]))
 
     @staticmethod
     def _unit(rng: np.random.Generator, words: int, dims: int) -> np.ndarray:
@@ -50,6 +59,50 @@ class CapFilters:
         turned = unit @ self.rotation
         return turned[:, : self.half] @ self.words[0].T, turned[:, self.half :] @ self.words[1].T
 
+    def best(self, unit: np.ndarray, n: int) -> np.ndarray:
+        """The n best filters of each vector, or all if they are fewer, best first."""
+        words, rows = len(self.words[0]), max(1, (1 << 18) // len(self.words[0]))
+        n, few = min(n, words**2), min(n, words)
+        # A filter of the i-th and the j-th best word has i * j - 1 others that are at least as good.
+        i, j = np.divmod(np.arange(few * few), few)
+        able = (i + 1) * (j + 1) <= n
+        i, j = i[able], j[able]
+
+        def leading(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.argpartition(x, words - few, axis=1)[:, words - few :]
+            at = np.take_along_axis(at, np.argsort(-np.take_along_axis(x, at, 1), axis=1, kind="stable"), 1)
+            return at, np.take_along_axis(x, at, 1)
+
+        out = np.zeros((len(unit), n), np.int64)
+        for start in range(0, len(unit), rows):
+            a, b = self._halves(unit[start : start + rows])
+            (first, x), (second, y) = leading(a), leading(b)
+            falling = np.argsort(-(x[:, i] + y[:, j]), axis=1, kind="stable")[:, :n]
+            out[start : start + rows] = np.take_along_axis(first, i[falling], 1) * words + np.take_along_axis(second, j[falling], 1)
+        return out
+
+    def enough(self, least: float) -> int:
+        """Filters for each vector so that the share RECALL of pairs at the cosine `least` has one in common; FILTERS at least."""
+        every = min(len(self.words[0]) ** 2, MOST_FILTERS)
+        if every <= FILTERS or self.dims < 2:
+            return every
+        rng, cosine = np.random.default_rng([SEED, self.dims]), min(max(least, -1.0), 1.0)
+        x, y = rng.standard_normal((2, PROBES, self.dims))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y *= np.sqrt(1 - cosine * cosine) / np.linalg.norm(y, axis=1, keepdims=True)
+        n = FILTERS
+        while True:
+            n = min(2 * n, every)
+            needed = np.full(PROBES, every)
+            for k, (p, q) in enumerate(zip(self.best(x, n), self.best(cosine * x + y, n))):
+                common, at, other = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+                if len(common):
+                    needed[k] = np.maximum(at, other).min() + 1
+            wanted = int(np.quantile(needed, RECALL, method="higher"))
+            if wanted <= n or n == every:
+                return max(FILTERS, min(wanted, every))
+
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Filters at or above the threshold of each vector, ascending, one vector after the other; and their numbers."""
         a, b = self._halves(unit)
@@ -66,8 +119,10 @@ class CapFilters:
 
 
 @lru_cache(8)
-def _filters(dims: int, words: int) -> CapFilters:
-    return CapFilters(dims, words)
+def _filters(dims: int, words: int, least: float) -> tuple[CapFilters, int]:
+    """Filters, and under how many of them a vector stands."""
+    filters = CapFilters(dims, words)
+    return filters, filters.enough(least)
 
 
 def words_for(vectors: int, dims: int) -> int:
@@ -81,7 +136,7 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.float64), np.diff(offsets)
 
 
-def _filtered(vectors: DataFrame, total: int) -> DataFrame:
+def _filtered(vectors: DataFrame, total: int, least: float) -> DataFrame:
     """A row for every vector and filter it stands under, with all its filters."""
     names = ["node", "label", "copies", "v", "dims", "filter", "filters"]
     label = vectors.schema["label"].dataType.simpleString()
@@ -96,7 +151,9 @@ def _filtered(vectors: DataFrame, total: int) -> DataFrame:
                     rows = np.flatnonzero(sizes == dims)
                     unit = flat[begins[rows][:, None] + np.arange(dims)]
                     unit = unit / np.linalg.norm(unit / np.abs(unit).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(unit).max(axis=1, keepdims=True)
-                    found, counts = _filters(dims, words_for(total, dims)).decode(unit)
+                    filters, n = _filters(dims, words_for(total, dims), least)
+                    own = np.sort(filters.best(unit, n), axis=1)
+                    found, counts = own.ravel(), np.full(len(own), own.shape[1], np.int64)
                     ends = np.cumsum(counts)
                     take = pa.array(np.repeat(rows, counts))
                     at = np.repeat(np.arange(len(rows)), counts)
@@ -179,7 +236,8 @@ def dedup_vectors(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", ve
     """Per vector: `id_col`, n_links long, component_id, kept boolean (its id is the component's smallest).
 
     Vectors of equal, not null labels and equal numbers of components link when their cosine in double precision is at
-    least `least`; links are found with high probability and none below is taken. A vector that is null, zero or holds
+    least `least`; links are found with high probability (RECALL at `least` itself, more above; less only where MOST_FILTERS
+    don't suffice, as for low cosines) and none below is taken. A vector that is null, zero or holds
     null or non-finite components links with nothing, nor does one with a null id. n_links counts other ids: rows that
     repeat an id and vector count once, and copies under other ids count each. Every input row gives one row; an empty
     table gives none. Other columns are not read.
@@ -191,7 +249,7 @@ def dedup_vectors(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", ve
     rows = rows.withColumn("node", F.when(F.col("able"), F.xxhash64("label", "v")))
     one = rows.where("able").groupBy("node", "label", "v").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("least_id"))
     vectors = written(one, "cap-vectors")
-    found = written(_links(written(_filtered(vectors, vectors.count()), "cap-filters"), least), "cap-links")
+    found = written(_links(written(_filtered(vectors, vectors.count(), least), "cap-filters"), least), "cap-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comp = label_components(found.where("b is not null").select("a", "b"))
     nodes = vectors.select("node", "copies", "least_id").join(counts, "node", "left").join(comp, "node", "left")

@@ -120,3 +120,32 @@ def test_list_decoding():
     a, b = filters._halves(unit)
     plain = [np.flatnonzero((x[:, None] + y[None, :]).ravel() >= filters.least) for x, y in zip(a, b)]
     assert counts.tolist() == [len(p) for p in plain] and found.tolist() == np.concatenate(plain).tolist()
+
+
+def test_best_filters():
+    for dims, words, n in ((10, 16, 30), (9, 7, 100), (1, 2, 28), (64, 40, 28)):
+        filters = vector_dedup.CapFilters(dims, words)
+        unit = np.random.default_rng(3).normal(size=(50, dims))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        a, b = filters._halves(unit)
+        sums = (a[:, :, None] + b[:, None, :]).reshape(50, -1)
+        found = filters.best(unit, n)
+        assert found.shape == (50, min(n, words**2)) and all(len(set(x.tolist())) == len(x) for x in found)
+        assert np.allclose(np.take_along_axis(sums, found, 1), -np.sort(-sums, axis=1)[:, :n])
+
+
+@pytest.mark.parametrize("vectors", [10_256, 1_000_000, 10_000_000])
+def test_recall_does_not_fall_with_size(vectors):
+    """Random pairs just above the least cosine, under the filters of tables of different sizes."""
+    rng, dims, cosine = np.random.default_rng(12), 64, 0.932
+    x, y = rng.normal(size=(2, 500, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = cosine * x + math.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    met = [set() for _ in rows]
+    filters, n = vector_dedup._filters(dims, vector_dedup.words_for(vectors, dims), 0.93)
+    for k, v in rows:
+        met[k].update(filters.best(np.array([v]), n)[0].tolist())
+    assert min(map(len, met)) == n >= vector_dedup.FILTERS
+    assert sum(not a.isdisjoint(b) for a, b in zip(met[:500], met[500:])) >= 0.99 * 500
