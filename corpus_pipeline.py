@@ -27,11 +27,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id, then the first row; null ids come last.
 
-    Texts without words are copies of nothing. Rows are told apart by their place in `docs`, a stored table, so repeated
-    and null ids do no harm.
+    Texts without words are copies of nothing. Rows are told apart by numbers that are written once, so repeated and
+    null ids do no harm.
     """
     row = free_name("row", set(docs.columns))
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")  # a scan may be cut anew each time
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     groups = shingle_join.join_shingles(numbered.select(key.alias("key"), "text"), "key", width=SHINGLE_WORDS, least=LEAST_PERCENT)
     gone = groups.where("key <> component_id").select(F.col("key.row").alias(row))

@@ -50,6 +50,26 @@ def test_stages(spark, tables):
     assert all(not plain(r.text or "") and (r.text is None or r.n_chars == len(r.text)) for r in clean.collect())
 
 
+def test_rows_keep_their_numbers(spark, tables, tmp_path, monkeypatch):
+    """The stored table is cut otherwise after the links are found, as when executors come and go."""
+    spark.read.parquet(f"{tables}/documents.parquet").repartition(5, "text").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(str(tuple(r)) for r in corpus_pipeline.keep_one_of_copies(spark, docs, tables).collect())
+    join = corpus_pipeline.shingle_join.join_shingles
+
+    def join_then_cut(*args, **named):
+        groups = corpus_pipeline.written(join(*args, **named), "groups")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        return groups
+
+    monkeypatch.setattr(corpus_pipeline.shingle_join, "join_shingles", join_then_cut)
+    try:
+        got = sorted(str(tuple(r)) for r in corpus_pipeline.keep_one_of_copies(spark, docs, tables).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
 def test_run(spark, tables):
     library = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
     rows = corpus_pipeline.run(spark, tables).collect()
