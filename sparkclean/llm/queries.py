@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclean.llm import bpe, chat_format, html_text, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup
+from sparkclean.llm import bpe, chat_format, html_text, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup, word_runs
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -79,4 +79,26 @@ def op10_dedup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op5_format_chats, op6_topk_vectors, op7_extract_pages, op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors)}
+def _planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text; the words of a tenth of the documents repeat from one of them on, as the query's contract plants them."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hot = docs.select("doc_id", "text", F.when(crc % 10 == 0, words).alias("words"), F.floor(crc / 10).alias("g"))
+    sized = hot.withColumn("n", F.size("words")).withColumn("a", F.expr("if(n > 0, int(g % n), null)"))
+    sized = sized.withColumn("p", F.expr("if(n > 0, 1 + int((n - a) div (3 + g % 8)), null)"))
+    again = "slice(flatten(array_repeat(slice(words, a + 1, p), int(ceil((n - a) / p)))), 1, n - a)"
+    return sized.select("doc_id", F.expr(f"if(n > 0, array_join(concat(slice(words, 1, a), {again}), ' '), text)").alias("text"))
+
+
+def op12_find_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.find_runs(_planted(_table(spark, sf_dir, "documents")), least=12)
+    best = found.withColumn("best", F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))"))
+    lines = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op5_format_chats, op6_topk_vectors, op7_extract_pages, op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors,
+                                   op12_find_runs)}
