@@ -26,13 +26,15 @@ def _drop_at_end(spark: SparkSession, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _drop_at_end(spark, path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once and return it as a scan of the written table."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    _drop_at_end(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
