@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclean.llm import bpe, chat_format, html_text, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup, word_runs
+from sparkclean.llm import bpe, chat_format, html_text, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup, warc, word_runs
+from sparkclean.sources.scratch import scratch_path
 
 #: Folder of the public tokenizer files; the same on every executor.
 TOKENIZERS = "/opt/tokenizers"
@@ -79,6 +80,21 @@ def op10_dedup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op11_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = _table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    warc.write_warc(warc.page_records(pages), path)
+    return warc.archived_pages(spark, path, pages.schema["page_id"].dataType.simpleString())
+
+
+OP11_SQL = """
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN again THEN least_id END AS refers_to
+    FROM (SELECT *, payload_bytes >= 100 AND page_id > least_id AS again
+          FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                       min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least_id
+                FROM pages))"""
+
+
 def _planted(docs: DataFrame) -> DataFrame:
     """doc_id and text; the words of a tenth of the documents repeat from one of them on, as the query's contract plants them."""
     crc = F.crc32(F.col("doc_id").cast("string"))
@@ -100,5 +116,7 @@ def op12_find_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op5_format_chats, op6_topk_vectors, op7_extract_pages, op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors,
-                                   op12_find_runs)}
+SQL = {"op11_warc_pages": OP11_SQL}
+QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (
+    op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op5_format_chats, op6_topk_vectors, op7_extract_pages,
+    op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors, op11_warc_pages, op12_find_runs)}
