@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclean.llm import bpe, chat_format, html_text, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup, warc, word_runs
+from sparkclean.llm import bpe, chat_format, html_text, packing, quality, secret_scan, shingle_join, token_counts, topk, vector_dedup, warc, whitening, word_runs
 from sparkclean.sources.scratch import scratch_path
 
 #: Folder of the public tokenizer files; the same on every executor.
@@ -116,7 +116,11 @@ def op12_find_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_whiten_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+
+
 SQL = {"op11_warc_pages": OP11_SQL}
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in (
     op1_pack_documents, op2_scan_secrets, op3_quality_scores, op4_count_tokens, op5_format_chats, op6_topk_vectors, op7_extract_pages,
-    op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors, op11_warc_pages, op12_find_runs)}
+    op8_join_shingles, op9_bpe_roundtrip, op10_dedup_vectors, op11_warc_pages, op12_find_runs, op13_whiten_vectors)}
