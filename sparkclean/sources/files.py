@@ -42,7 +42,7 @@ def load_dataset(
         raise ValueError("a secondary dataset needs secondary_name")
     kind = format or FORMATS.get(_suffix(path))
     if kind not in FORMATS.values():
-        raise ValueError(f"Unsupported file format: {format or _suffix(path)}. Expected .csv or .parquet.")
+        raise ValueError(f"{path}: {format or _suffix(path)!r} is neither CSV nor Parquet")
     try:
         df = read_csv(spark, path, multiline) if kind == "csv" else spark.read.parquet(path)
     except AnalysisException as error:

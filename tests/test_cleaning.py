@@ -152,8 +152,8 @@ def test_sales(sales):
     assert dict(result.df.dtypes) == {"customer_name": "string", "sale_amount": "double", "sale_date": "timestamp",
                                       "region": "string", "units_sold": "bigint"}
     assert values(result.df, "sale_amount") == [1200.5, 850.0, 1200.5, None, 3400.0, 920.75]
-    assert result.format_report["Sale Amount"] == ["renamed → 'sale_amount'"]
-    assert result.format_report["sale_amount"] == ["currency stripped → numeric (5 cells)"]
+    assert result.format_report["Sale Amount"] == ["now named sale_amount"]
+    assert result.format_report["sale_amount"] == ["5 amounts of money read as numbers"]
     assert result.log.cells_modified == 5 + 6 + 6 and result.log.confidence == 0.9
     assert result.log.column_lineage.columns_renamed["Units Sold"] == "units_sold"
 
@@ -169,7 +169,7 @@ def test_override_and_share(spark):
     result = standardize_formats(df, column_overrides={"when": "%d.%m.%Y"})
     assert values(result.df.select(F.col("when").cast("string").alias("w")), "w") == [
         "2023-01-22 00:00:00", None, None, "2023-02-01 00:00:00"]
-    assert result.format_report["when"] == ["applied format override '%d.%m.%Y' (2 cells)"]
+    assert result.format_report["when"] == ["2 cells read by the given format %d.%m.%Y"]
     assert dict(result.df.dtypes)["mostly"] == "string"  # 75% is not enough
     with pytest.raises(ValueError, match="directive"):
         standardize_formats(df, column_overrides={"when": "%Q"})

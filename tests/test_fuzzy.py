@@ -125,7 +125,7 @@ def test_known_tables(spark, names, algorithm, threshold, left):
 
 def test_guards(spark):
     df = spark.createDataFrame([("a",)], "name string")
-    assert "skipping" in deduplicate_dataset(df, fuzzy_dedup=True).log.warnings[0]
+    assert "similar rows stay" in deduplicate_dataset(df, fuzzy_dedup=True).log.warnings[0]
     with pytest.raises(ValueError, match="no columns"):
         deduplicate_dataset(df, fuzzy_dedup=True, fuzzy_columns=["nope"])
     with pytest.raises(ValueError, match="no scorer"):

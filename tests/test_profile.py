@@ -26,7 +26,7 @@ def test_employees(employees):
     assert cols["Name"].inferred_type == "categorical"
     assert cols["Name"].top_values == [("Alice", 2), ("Bob", 1), ("Charlie", 1)]
     assert cols["Name"].entropy == 1.5
-    assert p.high_priority_issues == ["Dataset has 1 duplicate rows (20.0%) — consider deduplication."]
+    assert p.high_priority_issues == ["1 rows repeat others (20.0% of the table)"]
 
 
 def test_nan_is_missing_and_infinity_is_not(spark):

@@ -49,7 +49,7 @@ def test_empty_csv_and_round_trip(spark, tmp_path, employees):
 def test_load_errors_and_secondary(spark, tmp_path, departments):
     with pytest.raises(FileNotFoundError):
         load_dataset(spark, str(tmp_path / "missing.csv"))
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="neither CSV"):
         load_dataset(spark, write(tmp_path / "x.json", "{}"))
     path = str(tmp_path / "d.parquet")
     departments.write.parquet(path)

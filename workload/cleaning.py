@@ -288,11 +288,11 @@ def standardize_report(spark, sf):
 
 STANDARDIZE_REPORT_SQL = """
     WITH n AS (SELECT count(*) AS total, count(*) FILTER (o_orderpriority <> '5-LOW') AS priced FROM orders)
-    SELECT 'CustKey' AS name, CAST(1 AS INTEGER) AS change_no, 'renamed → ''cust_key''' AS change
-    UNION ALL SELECT 'Total Price', 1, 'renamed → ''total_price'''
-    UNION ALL SELECT 'cust_key', 1, 'coerced to numeric (' || total || ' cells)' FROM n
-    UNION ALL SELECT 'total_price', 1, 'currency stripped → numeric (' || priced || ' cells)' FROM n
-    UNION ALL SELECT 'order_date', 1, 'parsed as datetime (' || total || ' cells)' FROM n"""
+    SELECT 'CustKey' AS name, CAST(1 AS INTEGER) AS change_no, 'now named cust_key' AS change
+    UNION ALL SELECT 'Total Price', 1, 'now named total_price'
+    UNION ALL SELECT 'cust_key', 1, total || ' texts read as numbers' FROM n
+    UNION ALL SELECT 'total_price', 1, priced || ' amounts of money read as numbers' FROM n
+    UNION ALL SELECT 'order_date', 1, total || ' texts read as times' FROM n"""
 
 # --- deduplication ------------------------------------------------------------------------------
 
