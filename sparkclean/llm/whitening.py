@@ -1,8 +1,9 @@
 """Whitening by an incremental eigendecomposition: centred rank-one updates, merged spectra, Rayleigh-Ritz refinement.
 
-Each task keeps the spectrum of the scatter matrix of what it has read and updates it by every vector: the eigenvalues of
-a diagonal matrix plus a rank-one term are the roots of a secular equation, one between each two old ones, once entries
-that can't move theirs are deflated. Spectra of tasks are combined by updating one with each eigenpair of the other, in a
+Each task keeps the spectrum of the scatter matrix of what it has read and updates it by one direction after the other. The
+eigenvalues of a diagonal matrix plus a rank-one term are the roots of a secular equation, one between each two old ones,
+once entries that can't move theirs are deflated. Many vectors are first turned into as many directions as they have
+dimensions: the triangular factor of the centred vectors has the same scatter as they have. Spectra of tasks are combined by updating one with each eigenpair of the other, in a
 tree of groups of bounded size. A last pass over all rows forms the Rayleigh quotient in the basis found.
 """
 
@@ -21,8 +22,8 @@ from sparkclean.llm.common import written
 
 #: Entries become floor(SCALE * c) + OFFSET.
 SCALE, OFFSET = 1024, 100_000
-#: States combined by one task, and steps for the roots of a secular equation.
-GROUP, STEPS = 16, 100
+#: States combined by one task, steps for the roots of a secular equation, and vectors a dimension that are turned at once.
+GROUP, STEPS, TURNED = 16, 100, 32
 #: Eigenvalues below this share of the trace are rounding, not variance.
 FLAT = 1e-12
 EPS = np.finfo(np.float64).eps
@@ -127,12 +128,26 @@ class Spectrum:
         self.values, self.vectors = np.zeros(dims), np.eye(dims)
 
     def add(self, x: np.ndarray) -> None:
-        """Rows of integers, one centred rank-one update each."""
+        """Rows of integers, by centred rank-one updates."""
         self.sums = [a + b for a, b in zip(self.sums, exact_sums(x))]
-        for row in x.astype(np.float64):
-            self._shifted(row - self.mean, self.n / (self.n + 1))
-            self.n += 1
-            self.mean += (row - self.mean) / self.n
+        size = max(TURNED * x.shape[1], 1)
+        for start in range(0, len(x), size):
+            rows = x[start : start + size].astype(np.float64)
+            if len(rows) > 2 * x.shape[1]:
+                mean = rows.mean(axis=0)
+                for direction in np.linalg.qr(rows - mean, mode="r"):
+                    self._shifted(direction, 1.0)
+                self._joined(mean, len(rows))
+            else:
+                for row in rows:
+                    self._joined(row, 1)
+
+    def _joined(self, mean: np.ndarray, n: int) -> None:
+        """Count in n vectors of the given mean, whose scatter around it is already here."""
+        away = mean - self.mean
+        self._shifted(away, self.n * n / (self.n + n))
+        self.mean = self.mean + away * (n / (self.n + n))
+        self.n += n
 
     def _shifted(self, direction: np.ndarray, weight: float) -> None:
         self.values, self.vectors = rank_one(self.values, self.vectors, direction, weight)
@@ -141,11 +156,8 @@ class Spectrum:
         for value, vector in zip(other.values, other.vectors.T):
             if value > 0:
                 self._shifted(vector, float(value))
-        n = self.n + other.n
-        away = other.mean - self.mean
-        self._shifted(away, self.n * other.n / n)
-        self.mean += away * (other.n / n)
-        self.n, self.sums = n, [a + b for a, b in zip(self.sums, other.sums)]
+        self._joined(other.mean, other.n)
+        self.sums = [a + b for a, b in zip(self.sums, other.sums)]
         return self
 
 
