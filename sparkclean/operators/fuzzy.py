@@ -30,22 +30,26 @@ from sparkclean.functions.keys import composite_key, token_set_key, tokens_of
 from sparkclean.functions.missing import col, nan_to_null
 from sparkclean.functions.names import free_prefix
 from sparkclean.functions.similarity import (
-    PARTIAL_SCALE, PREFIX_FROM, PREFIX_MAX, PREFIX_WEIGHT, SCORERS, TOKEN_SCALE, scorer_udf,
+    PARTIAL_SCALE, PREFIX_FROM, PREFIX_MAX, PREFIX_WEIGHT, SCORERS, TOKEN_SCALE, reaching,
 )
 from sparkclean.sources.scratch import written
 
 # Candidate pairs worked on at once: so many per row, but at least the floor.
 PAIRS_PER_ROW = 500
 MIN_PAIR_BUDGET = 10_000_000
+# Candidate pairs that one task compares.
+PAIRS_PER_TASK = 500_000
 # A signature shared by more pairs than this is spread over a grid of tasks.
 CELL_ROWS = 5_000
 # The element order uses the counts of this many most frequent elements (the broadcast is bounded).
 FREQUENT_ELEMENTS = 50_000
-# Up to this many edges are resolved by one task; beyond, in rounds over the edge list.
-SMALL_EDGES = 500_000
+# Edges among the rows of one prefix of the row order, which one task resolves.
+PREFIX_EDGES = 500_000
 # Sets of this many rows are never split further.
 MIN_SPLIT_ROWS = 200
 EPSILON = 1e-9
+# Scorers of which a call costs more than counting shared elements; the others score every candidate.
+COSTLY = ("partial_ratio", "wratio")
 
 
 @dataclass(frozen=True)
@@ -421,7 +425,7 @@ class Matcher:
     def __init__(self, keys: DataFrame, algorithm: str, threshold: float):
         rules = rules_for(algorithm, threshold)
         self.floor = 100 * threshold - EPSILON
-        self.score = scorer_udf(algorithm)
+        self.algorithm = algorithm
         kinds = sorted({_kind(r) for r in rules})
         self.table = written(element_table(keys, kinds), "fuzzy-elements")
         largest = self.table.agg(*[F.max(F.size(k)).alias(k) for k in kinds]).first()
@@ -437,19 +441,19 @@ class Matcher:
                 low = f"cast(floor({n} * {_number(rule.reach)}) AS int)"
             index.append(f"transform({smaller}, s -> named_struct('sig', s, 'n', {n}))")
             probe.append(f"transform({larger}, s -> named_struct('sig', s, 'low', {low}, 'high', {n}))")
-        self.sides = [F.expr(f"inline(concat({', '.join(cells)}))") for cells in (index, probe) if cells]
-        self.enough = F.expr(" OR ".join(f"({_enough(rule)})" for rule in self.rules) or "false")
+        tests = [f"({_enough(rule)})" for rule in self.rules] if algorithm in COSTLY else []
+        self.enough, self.compared = F.expr(" OR ".join(tests) or "true"), ["rank", "key", "block", *(kinds if tests else [])]
+        # Written once: loads, grids and pairs of every set of keys read the signatures again.
+        part = _word_columns(self.table) if any(isinstance(r, WordCover) for r in self.rules) else self.table
+        self.index, self.probe = (
+            written(part.select("rank", F.expr(f"inline(concat({', '.join(cells)}))")), "fuzzy-signatures") if cells else None for cells in (index, probe))
 
     def _signed(self, ranks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """(rank, sig, n) of the smaller and (rank, sig, low, high) of the larger key of a pair.
-
-        One pass over the table per side emits the signatures of all rules.
-        """
-        part = self.table if ranks is None else self.table.join(ranks.select("rank"), "rank", "left_semi")
-        if any(isinstance(r, WordCover) for r in self.rules):
-            part = _word_columns(part)
-        index, probe = self.sides
-        return part.select("rank", index), part.select("rank", probe)
+        """(rank, sig, n) of the smaller and (rank, sig, low, high) of the larger key of a pair."""
+        if ranks is None:
+            return self.index, self.probe
+        own = ranks.select("rank")
+        return self.index.join(own, "rank", "left_semi"), self.probe.join(own, "rank", "left_semi")
 
     def within(self, ranks: DataFrame | None = None) -> list[tuple[DataFrame, DataFrame]]:
         return [self._signed(ranks)] if self.rules else []
@@ -460,45 +464,59 @@ class Matcher:
         (index_one, probe_one), (index_two, probe_two) = self._signed(first), self._signed(second)
         return [(index_one, probe_two), (index_two, probe_one)]
 
-    def matches(self, work: list[tuple[DataFrame, DataFrame]], hot: list[int]) -> DataFrame:
-        """(a, b, key_a, key_b, score) of the candidate pairs that reach the threshold."""
-        pairs = reduce(DataFrame.union, [_pair_up(i, p, h) for (i, p), h in zip(work, hot)]).distinct()
-        names = self.table.columns
-        left = self.table.toDF(*[f"{c}_a" for c in names])
-        right = self.table.toDF(*[f"{c}_b" for c in names])
+    def matches(self, work: list[tuple[DataFrame, DataFrame]], loads: list[tuple[float, int]]) -> DataFrame:
+        """(a, b, key_a, key_b, score) of the candidate pairs that reach the threshold.
+
+        Pairs are few bytes but much work, so their number of partitions follows their number, not their size.
+        """
+        pairs = reduce(DataFrame.union, [_pair_up(i, p, hot) for (i, p), (_, hot) in zip(work, loads)])
+        default = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(default, ceil(sum(total for total, _ in loads) / PAIRS_PER_TASK))
+        pairs = pairs.repartition(parts, "a", "b").distinct()
+        left, right = (self.table.select(*[F.col(c).alias(f"{c}_{side}") for c in self.compared]) for side in ("a", "b"))
         both = pairs.join(left, F.col("a") == F.col("rank_a")).join(right, F.col("b") == F.col("rank_b"))
         fitting = both.where((F.col("block_a") == F.col("block_b")) & self.enough).select("a", "b", "key_a", "key_b")
-        return fitting.withColumn("score", self.score("key_a", "key_b")).where(F.col("score") >= self.floor)
+        return reaching(fitting, self.algorithm, self.floor)
 
 
 # --- resolution in row order ----------------------------------------------------------------------
 
+def _scan(edges: DataFrame) -> DataFrame:
+    """Rows removed by a scan of the edges in row order, in one task: distinct `rank`. Edges are streamed, sorted by b."""
+    def scan(batches):
+        gone: set[int] = set()
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+                if a not in gone:
+                    gone.add(b)
+        yield pd.DataFrame({"rank": np.fromiter(gone, dtype="int64", count=len(gone))})
+
+    return edges.select("a", "b").coalesce(1).sortWithinPartitions("b", "a").mapInPandas(scan, "rank long")
+
+
 def _removed_by(edges: DataFrame, n_edges: int) -> DataFrame:
-    """Rows removed when the edges (a earlier than b) are resolved in row order: distinct `rank`."""
-    if n_edges <= SMALL_EDGES:
-        def scan(batches):
-            gone: set[int] = set()
-            for batch in batches:
-                for a, b in zip(batch["a"].to_numpy(), batch["b"].to_numpy()):
-                    if a not in gone:
-                        gone.add(b)
-            yield pd.DataFrame({"rank": np.fromiter(gone, dtype="int64", count=len(gone))})
-
-        # At most SMALL_EDGES pairs of numbers, by the count above.
-        return edges.select("a", "b").coalesce(1).sortWithinPartitions("a", "b").mapInPandas(scan, "rank long")
-    removed = []
-    while n_edges:
-        # Rows that no open row precedes are kept; their later neighbours are removed.
-        later = edges.select(F.col("b").alias("a")).distinct()
-        kept = written(edges.select("a").distinct().join(later, "a", "left_anti"), "fuzzy-kept")
-        gone = written(edges.join(kept, "a", "left_semi").select(F.col("b").alias("rank")).distinct(), "fuzzy-gone")
-        removed.append(gone)
-        edges = written(
-            edges.join(kept, "a", "left_anti")
-            .join(gone.select(F.col("rank").alias("a")), "a", "left_anti")
-            .join(gone.select(F.col("rank").alias("b")), "b", "left_anti"), "fuzzy-edges")
+    """Rows removed when the edges (a earlier than b) are resolved in row order: distinct `rank`.
+
+    This is the lexicographically first maximal independent set, taken prefix by prefix: the rows up to a cut below which
+    PREFIX_EDGES edges lie are decided by one scan; their kept rows then remove later neighbours, wherever these are, and
+    only edges between rows that are still undecided go on. In random row order the undecided rows lose most of their
+    edges each time, so prefixes grow and their number grows with the logarithm; a chain takes one prefix for each
+    PREFIX_EDGES of its links, not a round for each.
+    """
+    decided = []
+    while n_edges > PREFIX_EDGES:
+        accuracy = int(min(max(10_000, 4 * n_edges // PREFIX_EDGES), 1_000_000))
+        cut = edges.agg(F.percentile_approx("b", PREFIX_EDGES / n_edges, accuracy)).first()[0]
+        gone = written(_scan(edges.where(F.col("b") <= cut)), "fuzzy-removed")
+        across = edges.where((F.col("a") <= cut) & (F.col("b") > cut)).join(gone.withColumnRenamed("rank", "a"), "a", "left_anti")
+        hit = written(across.select(F.col("b").alias("rank")).distinct(), "fuzzy-removed")
+        decided += [gone, hit]
+        left = edges.where(F.col("a") > cut)
+        for end in ("a", "b"):
+            left = left.join(hit.withColumnRenamed("rank", end), end, "left_anti")
+        edges = written(left.select("a", "b"), "fuzzy-edges")
         n_edges = edges.count()
-    return reduce(DataFrame.union, removed).distinct()
+    return reduce(DataFrame.union, [*decided, _scan(edges)])
 
 
 def _kept(matcher: Matcher, ranks: DataFrame, budget: int | None, min_rows: int) -> DataFrame:
@@ -512,11 +530,11 @@ def _kept(matcher: Matcher, ranks: DataFrame, budget: int | None, min_rows: int)
             break
         work = matcher.within(todo)
         loads = _loads(work, n, n, always=n > min_rows)
-        total, hot = sum(load[0] for load in loads), [load[1] for load in loads]
+        total = sum(load[0] for load in loads)
         limit = budget or max(MIN_PAIR_BUDGET, PAIRS_PER_ROW * n)
         if total <= limit or n <= min_rows:
             if work:
-                edges = written(matcher.matches(work, hot).select("a", "b"), "fuzzy-edges")
+                edges = written(matcher.matches(work, loads).select("a", "b"), "fuzzy-edges")
                 gone = _removed_by(edges, edges.count())
                 todo = written(todo.join(gone, "rank", "left_anti"), "fuzzy-kept")
             kept.append(todo)
@@ -534,9 +552,9 @@ def _kept(matcher: Matcher, ranks: DataFrame, budget: int | None, min_rows: int)
         first = _kept(matcher, head, budget, min_rows)
         kept.append(first)
         across = matcher.between(first, tail)
-        hot = [load[1] for load in _loads(across, first.count(), n)]
+        loads = _loads(across, first.count(), n)
         # All rows of the tail come later, so b is always the one to go.
-        hit = matcher.matches(across, hot).select(F.col("b").alias("rank")).distinct()
+        hit = matcher.matches(across, loads).select(F.col("b").alias("rank")).distinct()
         todo = written(tail.join(hit, "rank", "left_anti"), "fuzzy-tail")
     return reduce(DataFrame.union, kept)
 
@@ -629,5 +647,5 @@ def fuzzy_pairs(
     if not work:
         return df.sparkSession.createDataFrame([], "key_a string, key_b string, score double")
     n = keys.count()
-    found = matcher.matches(work, [load[1] for load in _loads(work, n, n)])
+    found = matcher.matches(work, _loads(work, n, n))
     return found.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "score")

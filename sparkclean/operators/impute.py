@@ -16,6 +16,7 @@ from sparkclean.audit import Lineage, StepLog, StepResult
 from sparkclean.functions.missing import col, is_numeric, is_time, nan_to_null
 from sparkclean.functions.names import free_prefix
 from sparkclean.operators import stats
+from sparkclean.operators.percentiles import percentile_values
 from sparkclean.sources.scratch import written
 
 STRATEGIES = ("mean", "median", "mode", "ffill", "bfill", "drop_row", "constant")
@@ -185,19 +186,17 @@ def fill_values(df: DataFrame, strategies: dict[str, str], accuracy: int | None
     out: dict[str, Any] = {}
 
     def number(c):
-        if is_time(types[c]):
-            return F.unix_micros(col(c).cast("timestamp")).cast("double")
-        return col(c).cast("double")
+        return F.unix_micros(col(c).cast("timestamp")) if is_time(types[c]) else col(c)
 
     measured = [c for c, s in strategies.items() if s in ("mean", "median")]
     numbers = df.select(*[number(c).alias(c) for c in measured])
     means = [c for c in measured if strategies[c] == "mean"]
     if means:
-        row = numbers.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(means)]).first()
+        row = numbers.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(means)]).first()
         out.update({c: row[f"m{i}"] for i, c in enumerate(means)})
     medians = {c: [0.5] for c in measured if strategies[c] == "median"}
     if medians:
-        found = (stats.exact_percentiles(numbers, medians) if accuracy is None
+        found = (percentile_values(numbers, medians) if accuracy is None
                  else stats.approx_percentiles(numbers, medians, accuracy))
         out.update({c: v[0] for c, v in found.items()})
     for c in measured:

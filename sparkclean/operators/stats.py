@@ -1,11 +1,7 @@
-"""Shared statistics: fused per-column aggregates, value frequencies, exact percentiles."""
+"""Shared statistics: fused per-column aggregates, value frequencies, percentiles by sketch."""
 
 from __future__ import annotations
 
-import sys
-from dataclasses import dataclass
-from math import ceil, floor
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +10,6 @@ from pyspark.sql.window import Window
 from sparkclean.audit import row_hash
 from sparkclean.functions.missing import as_text, col, is_numeric
 
-# Up to this many rows one task sorts the distinct values of a column.
-SMALL_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
-
 
 def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     """Row count and NULLs per column, in one pass."""
@@ -80,133 +72,6 @@ def duplicate_rows(df: DataFrame) -> tuple[int, int]:
     return seen["rows"], seen["rows"] - df.groupBy(*keys).agg(F.lit(1)).count()
 
 
-@dataclass
-class _Target:
-    """A wanted order statistic: 0-based rank in a column, and the value range known to hold it."""
-
-    column: str
-    rank: int
-    lo: float
-    hi: float
-    below: int = 0
-    inside: int = 0
-
-
-def exact_percentiles(
-    df: DataFrame, probs: dict[str, list[float]], small_rows: int = SMALL_ROWS, accuracy: int = SKETCH_ACCURACY,
-    known: dict[str, tuple[int, float, float]] | None = None,
-) -> dict[str, list[float | None]]:
-    """Exact, linearly interpolated percentiles of numeric columns.
-
-    The value at a rank is read off the running counts of the distinct values, which one task per column
-    sorts. Beyond `small_rows` rows that would be too many, so the range of values that holds the rank is
-    narrowed first: a mergeable sketch proposes a range, a counting pass confirms it, and this repeats
-    until the range is small. Every pass is a column-pruned scan with map-side aggregation.
-
-    `known` gives (count, min, max) per column if the caller has them.
-    """
-    names = list(probs)
-    if not names:
-        return {}
-    # Added zero folds -0.0 into 0.0.
-    numbers = df.select(*[(col(c).cast("double") + F.lit(0.0)).alias(c) for c in names])
-    if known is None:
-        first = numbers.agg(*[
-            agg for i, c in enumerate(names)
-            for agg in (F.count(col(c)).alias(f"n{i}"), F.min(col(c)).alias(f"lo{i}"), F.max(col(c)).alias(f"hi{i}"))
-        ]).first()
-        known = {c: (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(names)}
-    counts = {c: known[c][0] for c in names}
-    targets: dict[tuple[str, int], _Target] = {}
-    for c in names:
-        n, lowest, highest = known[c]
-        for p in probs[c] if n else []:
-            for rank in {floor(p * (n - 1)), ceil(p * (n - 1))}:
-                targets[c, rank] = _Target(c, rank, lowest, highest, 0, n)
-
-    def wide() -> list[_Target]:
-        return [t for t in targets.values() if t.lo < t.hi and t.inside > small_rows]
-
-    def within(t: _Target) -> Column:
-        return col(t.column).between(t.lo, t.hi)
-
-    while wide():
-        todo = wide()
-        sketches = []
-        for i, t in enumerate(todo):
-            at = (t.rank - t.below) / max(t.inside - 1, 1)
-            around = [max(0.0, at - 3 / accuracy), min(1.0, at + 3 / accuracy)]
-            sketches.append(F.percentile_approx(F.when(within(t), col(t.column)), around, accuracy).alias(f"s{i}"))
-        sketch = numbers.agg(*sketches).first()
-        narrowed = [_Target(t.column, t.rank, *sketch[f"s{i}"]) for i, t in enumerate(todo)]
-        counted = numbers.agg(*[
-            agg for i, t in enumerate(narrowed)
-            for agg in (F.count_if(col(t.column) < t.lo).alias(f"b{i}"), F.count_if(within(t)).alias(f"in{i}"))
-        ]).first()
-        for i, (old, new) in enumerate(zip(todo, narrowed)):
-            new.below, new.inside = counted[f"b{i}"], counted[f"in{i}"]
-            holds = new.below <= new.rank < new.below + new.inside
-            narrower = new.inside < old.inside
-            # Where the sketch cannot narrow the range, it is cut at its middle value instead.
-            targets[new.column, new.rank] = new if holds and narrower else _halved(numbers, old)
-    return _read_off(numbers, probs, counts, targets)
-
-
-def _halved(numbers: DataFrame, t: _Target) -> _Target:
-    """Split a range at its middle value and keep the half that holds the rank (always exact)."""
-    middle = max(t.lo, -sys.float_info.max) / 2 + min(t.hi, sys.float_info.max) / 2
-    if not t.lo <= middle < t.hi:
-        middle = t.lo
-    c = col(t.column)
-    row = numbers.where(c.between(t.lo, t.hi)).agg(
-        F.count_if(c <= middle).alias("left"),
-        F.max(F.when(c <= middle, c)).alias("left_hi"),
-        F.min(F.when(c > middle, c)).alias("right_lo"),
-    ).first()
-    if t.rank < t.below + row["left"]:
-        return _Target(t.column, t.rank, t.lo, row["left_hi"], t.below, row["left"])
-    return _Target(t.column, t.rank, row["right_lo"], t.hi, t.below + row["left"], t.inside - row["left"])
-
-
-def _read_off(numbers, probs, counts, targets) -> dict[str, list[float | None]]:
-    """Read the wanted values from ranges that hold one value or at most `small_rows` rows each."""
-    found = {key: t.lo for key, t in targets.items() if t.lo == t.hi}
-    ranges: dict[tuple[str, float, float], list[_Target]] = {}
-    for key, t in targets.items():
-        if key not in found:
-            ranges.setdefault((t.column, t.lo, t.hi), []).append(t)
-    if ranges:
-        cells = F.array(*[
-            F.struct(F.lit(i).alias("r"), F.when(col(c).between(lo, hi), col(c)).alias("v"))
-            for i, (c, lo, hi) in enumerate(ranges)
-        ])
-        ranks = F.create_map(*[
-            x for i, ts in enumerate(ranges.values())
-            for x in (F.lit(i), F.array(*[F.lit(t.rank - t.below).cast("bigint") for t in ts]))
-        ])
-        values = (
-            numbers.select(F.inline(cells)).where("v IS NOT NULL").groupBy("r", "v").agg(F.count(F.lit(1)).alias("cnt"))
-            .withColumn("upto", F.sum("cnt").over(Window.partitionBy("r").orderBy("v")))
-            .where(F.exists(ranks[F.col("r")], lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("cnt"))))
-        )
-        at = list(ranges.values())
-        for row in values.collect():  # at most one row per wanted rank
-            for t in at[row["r"]]:
-                if row["upto"] - row["cnt"] <= t.rank - t.below < row["upto"]:
-                    found[t.column, t.rank] = row["v"]
-    out: dict[str, list[float | None]] = {}
-    for c, ps in probs.items():
-        out[c] = []
-        for p in ps:
-            if not counts[c]:
-                out[c].append(None)
-                continue
-            position = p * (counts[c] - 1)
-            left, right = found[c, floor(position)], found[c, ceil(position)]
-            out[c].append(left if left == right else left + (right - left) * (position - floor(position)))
-    return out
-
-
 def approx_percentiles(df: DataFrame, probs: dict[str, list[float]], accuracy: int) -> dict[str, list[float | None]]:
     names = list(probs)
     if not names:

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from plain_scores import SCORERS, jaro_winkler, partial_ratio, ratio, token_set_ratio, wratio
 from pyspark.sql import functions as F
 
-from sparkclean.functions.similarity import SCORERS, jaro_winkler, partial_ratio, ratio, token_set_ratio, wratio
+from sparkclean.functions import similarity
 from sparkclean.operators import fuzzy
 from sparkclean.operators.dedup import deduplicate_dataset
 
@@ -79,7 +80,7 @@ def test_pairs_are_complete(spark, algorithm, threshold):
 @pytest.mark.parametrize("keep", ["first", "last"])
 def test_splitting_and_hot_signatures_change_nothing(spark, monkeypatch, keep):
     monkeypatch.setattr(fuzzy, "CELL_ROWS", 3)
-    monkeypatch.setattr(fuzzy, "SMALL_EDGES", 5)
+    monkeypatch.setattr(fuzzy, "PREFIX_EDGES", 5)
     keys = random_keys(70, 11) + [f"Customer#{i:06d}" for i in range(40)]
     found = fuzzy.fuzzy_dedup(
         table(spark, keys), ["name"], 0.85, "token_set_ratio", keep, ["id"], pair_budget=3000, min_rows=12)
@@ -132,3 +133,67 @@ def test_guards(spark):
         deduplicate_dataset(df, fuzzy_dedup=True, fuzzy_columns=["name"], fuzzy_algorithm="soundex")
     empty = df.where(F.lit(False))
     assert deduplicate_dataset(empty, fuzzy_dedup=True, fuzzy_columns=["name"]).df.count() == 0
+
+
+@pytest.mark.parametrize("algorithm", list(SCORERS))
+def test_batch_scores_equal_plain_ones(monkeypatch, algorithm):
+    """Random texts of up to three machine words, with characters beyond the basic plane, in chunks of several sizes."""
+    rng = random.Random(13)
+    texts = random_keys(120, 5) + ["".join(rng.choice("ab c") for _ in range(rng.randrange(150))) for _ in range(60)]
+    texts += ["", " ", "\u00e9\U0001f600 \U0001f600", "\u00e9", "x" * 64, "x" * 65, "y" + "x" * 127, "x" * 128 + "y"]
+    a, b = ([rng.choice(texts) for _ in range(700)] for _ in range(2))
+    plain = [SCORERS[algorithm](x, y) for x, y in zip(a, b)]
+    for size in (similarity.CHUNK_BYTES, 300):
+        monkeypatch.setattr(similarity, "CHUNK_BYTES", size)
+        monkeypatch.setattr(similarity, "WINDOWS", size)
+        assert similarity.score_pairs(algorithm, a, b).tolist() == pytest.approx(plain, rel=1e-12, abs=1e-12)
+    assert similarity.score_pairs(algorithm, [], []).tolist() == []
+
+
+def test_scored_batches_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BATCH_PAIRS", 7)
+    keys = random_keys(40, 8)
+    df = spark.createDataFrame([(i, j, keys[i], keys[j]) for i in range(40) for j in range(i)], "a long, b long, key_a string, key_b string")
+    found = similarity.reaching(df.repartition(3), "jaro_winkler", 80.0).collect()
+    plain = {(i, j): jaro_winkler(keys[i], keys[j]) for i in range(40) for j in range(i)}
+    assert {(r.a, r.b): pytest.approx(r.score) for r in found} == {k: v for k, v in plain.items() if v >= 80}
+
+
+def scan_edges(edges):
+    gone = set()
+    for a, b in sorted(edges, key=lambda e: (e[1], e[0])):
+        if a not in gone:
+            gone.add(b)
+    return gone
+
+
+def prefixes(spark, monkeypatch, edges, size):
+    """What is removed, and by how many scans."""
+    scans = []
+    whole = fuzzy._scan
+    monkeypatch.setattr(fuzzy, "PREFIX_EDGES", size)
+    monkeypatch.setattr(fuzzy, "_scan", lambda e: scans.append(1) or whole(e))
+    df = spark.createDataFrame(edges, "a long, b long")
+    removed = [r["rank"] for r in fuzzy._removed_by(df, len(edges)).collect()]
+    monkeypatch.setattr(fuzzy, "_scan", whole)
+    assert len(removed) == len(set(removed)) and set(removed) == scan_edges(edges)
+    return len(scans)
+
+
+def test_long_chain_takes_few_prefixes(spark, monkeypatch):
+    chain = [(i, i + 1) for i in range(10_000)]
+    assert prefixes(spark, monkeypatch, chain, 500_000) == 1
+    assert prefixes(spark, monkeypatch, chain, 2_500) <= 5
+
+
+def test_prefixes_grow_with_the_logarithm(spark, monkeypatch):
+    """Random graphs of 20 edges a row, 200 edges a prefix: ten times the rows take a few prefixes more."""
+    rng = random.Random(4)
+    scans = {}
+    for rows in (400, 4000):
+        edges = list({(min(x, y), max(x, y)) for x, y in ((rng.randrange(rows), rng.randrange(rows)) for _ in range(20 * rows)) if x != y})
+        scans[rows] = prefixes(spark, monkeypatch, edges, rows // 2)
+    assert scans[4000] <= scans[400] + 4 <= 16
+    star = [(0, k) for k in range(1, 3000)] + [(k, k + 3000) for k in range(1, 3000)]
+    assert prefixes(spark, monkeypatch, star, 1_000) <= 8
+    assert prefixes(spark, monkeypatch, [(a, 900) for a in range(900)] + [(900, 901)], 50) <= 4  # one row with many earlier neighbours

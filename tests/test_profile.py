@@ -1,11 +1,14 @@
+import math
 import random
+import struct
+from decimal import Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkclean.operators import profile as P
-from sparkclean.operators import stats
+from sparkclean.operators import impute, percentiles
 from sparkclean.operators.quality import quality_report, validate_dataset
 
 
@@ -90,7 +93,7 @@ def test_narrowed_percentiles_equal_numpy(spark, seed):
     data = [tuple(None if rng.random() < 0.1 else s() for s in shapes) for _ in range(3000)]
     df = spark.createDataFrame(data, "a double, b double, c double, d double").repartition(5)
     probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
-    found = stats.exact_percentiles(df, {c: probs for c in "abcd"}, small_rows=20, accuracy=100)
+    found = percentiles.exact_percentiles(df, {c: probs for c in "abcd"}, read_rows=20, bits=5)
     for i, c in enumerate("abcd"):
         values = np.array([r[i] for r in data if r[i] is not None])
         assert found[c] == pytest.approx(list(np.quantile(values, probs)), rel=1e-12, abs=1e-12)
@@ -99,7 +102,7 @@ def test_narrowed_percentiles_equal_numpy(spark, seed):
 def test_narrowed_percentiles_with_infinities_and_empty_column(spark):
     data = [(float(i), None) for i in range(200)] + [(float("inf"), None), (float("-inf"), None)]
     df = spark.createDataFrame(data, "a double, e double")
-    found = stats.exact_percentiles(df, {"a": [0.5, 0.25], "e": [0.5]}, small_rows=5, accuracy=20)
+    found = percentiles.exact_percentiles(df, {"a": [0.5, 0.25], "e": [0.5]}, read_rows=5, bits=3)
     assert found == {"a": [99.5, 49.25], "e": [None]}
 
 
@@ -159,3 +162,40 @@ def test_extended_rules(spark):
     assert kinds == {"mixed_types", "high_cardinality"}
     with pytest.raises(ValueError):
         validate_dataset(df, rules="none")
+
+
+def test_percentiles_keep_every_digit(spark):
+    """Integers beyond 2^53, decimals of 18 and of 38 digits, read at once or digit by digit."""
+    rng = random.Random(3)
+    ints = [2**53 + 1] * 3 + [-(2**63), 2**63 - 1] + [rng.randint(-(2**63), 2**63 - 1) for _ in range(300)]
+    narrow = [Decimal(rng.randint(-(10**18) + 1, 10**18 - 1)).scaleb(-2) for _ in ints]
+    wide = [Decimal(rng.randint(-99, 99) if k % 2 else rng.randint(-(10**38) + 1, 10**38 - 1)).scaleb(-10) for k in range(len(ints))]
+    df = spark.createDataFrame(list(zip(ints, narrow, wide)), "i long, n decimal(18,2), w decimal(38,10)").repartition(3)
+    probs = [0.0, 0.25, 0.5, 0.77, 1.0]
+    for how in ({}, {"read_rows": 10, "bits": 4}, {"read_rows": 0, "bits": 9}):
+        found = percentiles.neighbours(df, {c: probs for c in "inw"}, **how)
+        for c, values in zip("inw", (ints, narrow, wide)):
+            values = sorted(values)
+            at = [p * (len(values) - 1) for p in probs]
+            assert found[c] == [(values[math.floor(x)], values[math.ceil(x)], x - math.floor(x)) for x in at]
+    middle = spark.createDataFrame([(2**53 + 1,), (None,), (2**53 + 1,), (5,)], "i long")
+    assert percentiles.percentile_values(middle, {"i": [0.5]}) == {"i": [2**53 + 1]}
+
+
+def test_order_of_doubles(spark):
+    rng = random.Random(5)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, math.inf, -math.inf, 0.1, 1 / 3]
+    values += [v for v in (struct.unpack("<d", rng.randbytes(8))[0] for _ in range(500)) if not math.isnan(v)]
+    values += [s * 2.0**k * (1 + e) for k in range(-1022, 1023, 31) for e in (0, 2**-52, -(2**-53)) for s in (1, -1)]
+    df = spark.createDataFrame([(v,) for v in [*values, math.nan]], "x double")
+    rows = df.select("x", percentiles.order_words("x", df.schema["x"].dataType)[0].alias("k")).collect()
+    assert [r.k for r in rows if math.isnan(r.x)] == [None]
+    assert all(percentiles.value_of((r.k,), df.schema["x"].dataType) == r.x for r in rows if not math.isnan(r.x))
+    known = sorted((r.x, r.k) for r in rows if not math.isnan(r.x))
+    assert [k for _, k in known] == sorted(k for _, k in known)
+
+
+def test_filled_median_keeps_its_digits(spark):
+    df = spark.createDataFrame([(2**53 + 1, Decimal("0.10")), (None, None), (2**53 + 1, Decimal("0.30"))], "i long, d decimal(20,2)")
+    rows = impute.handle_missing_values(df, {"i": "median", "d": "median"}).df.collect()
+    assert {r.i for r in rows} == {2**53 + 1} and sorted(r.d for r in rows) == [Decimal("0.10"), Decimal("0.20"), Decimal("0.30")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkclean.functions.missing import col
 from sparkclean.operators import profile as P
 from sparkclean.operators import quality as Q
+from sparkclean.operators.percentiles import percentile_table
 from workload.tables import dirty, dirty_sql, table
 
 ORDERS = [
@@ -95,6 +96,23 @@ DUPLICATE_SQL = f"""
           GROUP BY l_quantity, l_discount, l_returnflag, l_linestatus)"""
 
 
+BIG = ["o_orderkey * 3 + 9007199254740993 AS big", "CAST(o_totalprice AS DECIMAL(20, 2)) * 1000003 AS amount"]
+
+
+def percentiles_own_type(spark, sf):
+    """Integers beyond 2^53 and wide decimals keep every digit."""
+    return percentile_table(table(spark, sf, "orders").selectExpr(*BIG), {c: [0.1, 0.5, 0.99] for c in ("big", "amount")})
+
+
+_RANKED = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS v, row_number() OVER (ORDER BY {c}) - 1 AS k, count(*) OVER () - 1 AS m FROM b" for c in ("big", "amount"))
+PERCENTILES_SQL = f"""
+    WITH b AS (SELECT {', '.join(BIG)} FROM orders), r AS ({_RANKED}),
+    w AS (SELECT name, p, max(v) FILTER (k = floor(p * m)) AS lower, max(v) FILTER (k = ceil(p * m)) AS upper
+          FROM r CROSS JOIN (SELECT unnest([0.1, 0.5, 0.99])::DOUBLE AS p) GROUP BY name, p)
+    SELECT * FROM w"""
+
+
 def numeric_stats(spark, sf):
     found = P.numeric_stats(dirty(spark, sf, "dirty_orders"))
     return _rounded(found, ["mean", "median", "std", "min", "max", "q25", "q75"], 2)
@@ -355,6 +373,7 @@ QUERIES = {
     "missingness_overview": (missingness_overview, MISSINGNESS_SQL),
     "duplicate_count": (duplicate_count, DUPLICATE_SQL),
     "numeric_stats": (numeric_stats, NUMERIC_SQL),
+    "percentiles_own_type": (percentiles_own_type, PERCENTILES_SQL),
     "top_values": (top_values, TOP_SQL),
     "entropy": (entropy, ENTROPY_SQL),
     "datetime_stats": (datetime_stats, DATETIME_SQL),
