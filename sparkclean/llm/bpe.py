@@ -18,10 +18,31 @@ from sparkclean.llm.common import byte_slices, ragged, texts_of
 
 #: Fixed value: how the byte-level pre-tokenizer cuts words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Code points that newer tables call letters or numbers and the tokenizer libraries (Unicode 16) don't.
+NEWER = (
+    (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F))
 #: Distinct words and word parts whose ids a Python worker keeps; others are encoded anew each time.
 KEPT = 450_000
 
 
+_newer = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
+
+
+def pieces(pattern: regex.Pattern, text: str) -> list[str]:
+    """Matches of a pre-tokenizer's pattern; NEWER code points count as neither letters nor numbers, whatever the tables say."""
+    if text.isascii() or not _newer.search(text):
+        return pattern.findall(text)
+    return [text[m.start() : m.end()] for m in pattern.finditer(_newer.sub("\ue000", text))]
+
+
 def byte_names() -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -131,13 +152,13 @@ class ByteBpe:
 
     def _whole(self, text: str) -> bytes:
         if not any(token in text for token in self.special):
-            return b"".join(map(self.parts.__getitem__, self.word.findall(text)))
+            return b"".join(map(self.parts.__getitem__, pieces(self.word, text)))
         out = []
         for k, piece in enumerate(self.cut.split(text)):
             if k % 2:
                 out.append(array("I", [self.special[piece]]).tobytes())
             else:
-                out += map(self.parts.__getitem__, self.word.findall(piece))
+                out += map(self.parts.__getitem__, pieces(self.word, piece))
         return b"".join(out)
 
     def decode(self, ids: list[bytes]) -> list[str]:

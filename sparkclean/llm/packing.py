@@ -13,12 +13,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from sparkclean.llm.bpe import WORD, ByteBpe, WordSplit
-from sparkclean.llm.common import byte_slices, texts_of
+from sparkclean.llm.common import byte_slices, mapped, texts_of
 
 #: Open bins of a packer, and bytes of token ids that it gathers and sorts by length before placing them.
 OPEN_BINS, GATHERED = 8192, 32 << 20
 #: Pre-tokens of more characters are merged by the priority queue, which takes n log n steps for any text.
 LONG_WORD = 400
+#: Words whose ids a Python worker keeps. The library is fast, so few are enough, and they share the executor's memory.
+KEPT_WORDS = 150_000
 
 
 class LibraryIds:
@@ -31,7 +33,7 @@ class LibraryIds:
         ranks = {x.tobytes(): i for i, x in enumerate(names) if i not in special}
         self.library = tiktoken.Encoding("words", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
         self.own, self.long = own, regex.compile(r"\S{%d}" % LONG_WORD)
-        self.encode = WordSplit(self._whole)
+        self.encode = WordSplit(self._whole, KEPT_WORDS)
 
     def _whole(self, text: str) -> bytes:
         if self.long.search(text) or any(x in text for x in self.own.special):
@@ -134,4 +136,4 @@ def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if rows:
             yield placed()
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return mapped(df.select(id_col, text_col), run, schema)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkclean.llm.common import byte_slices
+from sparkclean.llm.common import byte_slices, mapped
 
 #: Texts are compressed in blocks of so many bytes, so a dictionary counts as much in a long text as in a short one.
 BLOCK, LEVEL, DICTIONARY = 1024, 3, 112_640
@@ -129,4 +129,4 @@ def score_quality(df: DataFrame, model: QualityModel, text_col: str = "text", sc
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fitted.scores(inputs), pa.float64())], [*names, score_col])
 
     fields = df.select(names).schema.add(score_col, "double")
-    return df.select(names).mapInArrow(run, fields)
+    return mapped(df.select(names), run, fields)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from sparkclean.llm.common import byte_slices
+from sparkclean.llm.common import byte_slices, mapped
 
 
 @dataclass(frozen=True)
@@ -354,7 +354,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in scanner.scan(_bytes_of(batch, text_col))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, spans_type)], [id_col, "spans"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, spans {SPANS}")
+    return mapped(df.select(id_col, text_col), run, f"`{id_col}` {kind}, spans {SPANS}")
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -374,7 +374,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]"
             columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:

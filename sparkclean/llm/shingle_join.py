@@ -14,10 +14,10 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkclean.llm.common import byte_slices, label_components, utf8_views, written
+from sparkclean.llm.common import byte_slices, label_components, mapped, utf8_views, written
 from sparkclean.llm.shingles import distinct_by_text, mix, shingle_sets
 
 #: A token that stands in more prefixes is frequent; a rarer one makes at most FREQUENT / 2 pairs a row.
@@ -33,6 +33,8 @@ SLICE = 1 << 20
 SKETCH_BITS, SKETCH_PARTS = 24, 64
 #: Sets of a chunk when all sets under one combination are compared, two chunks a task.
 CHUNK = 512
+#: Links are verified under hashes of another seed than those that found the candidates.
+VERIFY_SEED = 1
 #: Bits of the filter that keeps texts of no candidate from being moved.
 FILTER_BITS = 20
 
@@ -87,10 +89,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     names = ["id", "n", "node", "check", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, id_type = np.zeros(1 << SKETCH_BITS, np.uint32), None
+        counts, id_type = np.zeros(1 << SKETCH_BITS, np.uint16), None
         for batch in byte_slices(batches, text_col, SLICE):
             hashed, sizes = shingle_sets(*utf8_views(batch, text_col), width)
-            np.add.at(counts, (hashed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            bucket, more = np.unique((hashed >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+            counts[bucket] = np.minimum(counts[bucket] + more, np.iinfo(np.uint16).max)
             keys = _keys(hashed, sizes)
             nothing, rows, id_type = pa.nulls(len(sizes)), len(sizes), batch.column(0).type
             yield pa.RecordBatch.from_arrays(
@@ -102,7 +105,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 [pa.nulls(SKETCH_PARTS, id_type), *[pa.nulls(SKETCH_PARTS, pa.int64())] * 3, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(blobs, pa.binary())], names)
 
     schema = f"id {kind}, n long, node long, check long, part int, counts binary"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)), run, schema)
 
 
 def _keys(hashed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -126,9 +129,9 @@ def _classes(sets: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(own)], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    merged = sets.where("part is not null").select("part", "counts").mapInArrow(merge, schema)
+    merged = mapped(sets.where("part is not null").select("part", "counts"), merge, schema)
     out = np.zeros((SKETCH_PARTS, size), np.uint8)
-    for row in merged.repartition(SKETCH_PARTS, "part").mapInArrow(merge, schema).collect():  # SKETCH_PARTS rows
+    for row in mapped(merged.repartition(SKETCH_PARTS, "part"), merge, schema).collect():  # SKETCH_PARTS rows
         out[row["part"]] = np.log2(np.maximum(_unpacked(row["counts"], size), 1))
     return out.ravel()
 
@@ -155,7 +158,7 @@ def _prefixes(docs: DataFrame, text_col: str, width: int, limit: Threshold, clas
                 [pa.array(keys[able, 0]), pa.array(keys[able, 1]), pa.array(sizes[able], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))],
                 ["node", "check", "n", "tokens"])
 
-    rows = docs.select(text_col).mapInArrow(run, "node long, check long, n long, tokens array<long>")
+    rows = mapped(docs.select(text_col), run, "node long, check long, n long, tokens array<long>")
     return rows.groupBy("node", "check").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).drop("check")
 
 
@@ -204,14 +207,18 @@ def _combinations(frequent: DataFrame, limit: Threshold) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found), pa.array(np.full(len(found), node)), pa.array(np.full(len(found), n))], ["token", "node", "n"])
 
-    return lists.select("node", "n", "x").mapInArrow(run, "token long, node long, n long")
+    return mapped(lists.select("node", "n", "x"), run, "token long, node long, n long")
 
 
 def _counted(postings: DataFrame, label: str) -> DataFrame:
-    """Postings under tokens of two sets or more, with the number c of those sets and the smallest, lo."""
-    same = Window.partitionBy("token")
-    counted = postings.withColumns({"c": F.count("*").over(same), "lo": F.min("node").over(same), "lo_n": F.min(F.struct("node", "n")).over(same)["n"]})
-    return written(counted.where("c > 1"), label)
+    """Postings under tokens of two sets or more, with the number c of those sets and the smallest, lo.
+
+    `postings` is read twice: counts are formed before the shuffle, so a token that very many sets share is one row a task,
+    and in the join that brings them back Spark splits the partition of such a token.
+    """
+    counts = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("least")).where("c > 1")
+    counts = counts.select("token", "c", F.col("least.node").alias("lo"), F.col("least.n").alias("lo_n"))
+    return written(postings.join(counts, "token").select("token", *[x for x in postings.columns if x != "token"], "c", "lo", "lo_n"), label)
 
 
 def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -230,7 +237,7 @@ def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text
                 keys = _keys(*shingle_sets(*utf8_views(batch, text_col), width))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), batch.column(text_col)], ["node", "text"])
 
-    found = docs.select(bit(F.col(id_col)).alias("bit"), text_col).mapInArrow(run, "node long, text string")
+    found = mapped(docs.select(bit(F.col(id_col)).alias("bit"), text_col), run, "node long, text string")
     return written(found.join(nodes, "node").groupBy("node").agg(F.min("text").alias("text")), "shingle-texts")
 
 
@@ -238,7 +245,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, limit: Threshold)
     """Those of the pairs a, b whose sets reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text_a", SLICE):
-            (x, nx), (y, ny) = (shingle_sets(*utf8_views(batch, c), width) for c in ("text_a", "text_b"))
+            (x, nx), (y, ny) = (shingle_sets(*utf8_views(batch, c), width, VERIFY_SEED) for c in ("text_a", "text_b"))
             rows = np.arange(len(nx))
             tokens, owner = np.concatenate([x, y]), np.concatenate([np.repeat(rows, nx), np.repeat(rows, ny)])
             order = np.lexsort((tokens, owner))
@@ -249,7 +256,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, limit: Threshold)
 
     rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return mapped(rows.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def linked_within(tokens: np.ndarray, sizes: np.ndarray, limit: Threshold, columns: int = 4096) -> np.ndarray:
@@ -317,7 +324,7 @@ def _dense_links(postings: DataFrame, known: DataFrame, texts: DataFrame, width:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(nodes, texts):
             data = pa.RecordBatch.from_arrays([pa.concat_arrays(texts)], ["text"])
-            tokens, sizes = shingle_sets(*utf8_views(data, "text"), width)
+            tokens, sizes = shingle_sets(*utf8_views(data, "text"), width, VERIFY_SEED)
             ids = np.concatenate(nodes)
             found = np.array(spanning(linked_within(tokens, sizes, limit)), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], ["a", "b"])
@@ -337,7 +344,7 @@ def _dense_links(postings: DataFrame, known: DataFrame, texts: DataFrame, width:
             yield compared(nodes, texts)
 
     rows = cells.join(dealt.select("chunk", "node"), "chunk").join(texts, "node").select("cell", "node", "text")
-    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long")
+    return mapped(rows.repartition("cell").sortWithinPartitions("cell", "node"), run, "a long, b long")
 
 
 def join_shingles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, least: int = 85, parts: int = 100) -> DataFrame:
@@ -352,10 +359,10 @@ def join_shingles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     limit = Threshold(least, parts)
     docs = df.select(F.col(id_col), F.col(text_col))
     sets = written(_sets(docs, id_col, text_col, width), "shingle-sets")
-    prefix = _prefixes(docs, text_col, width, limit, _classes(sets))
+    prefix = written(_prefixes(docs, text_col, width, limit, _classes(sets)), "shingle-prefixes")
     postings = _counted(prefix.select("node", "n", F.posexplode("tokens").alias("pos", "token")), "shingle-postings")
     rare, frequent = postings.where(f"c <= {FREQUENT}"), postings.where(f"c > {FREQUENT}")
-    combined = _counted(_combinations(frequent, limit), "shingle-combined")
+    combined = _counted(written(_combinations(frequent, limit), "shingle-combinations"), "shingle-combined")
     dense = combined.where(f"c > {PAIRED}")
     stars = dense.where("node <> lo").selectExpr("lo as a", "node as b", "lo_n as na", "n as nb")
     further = _pairs_under(combined.where(f"c <= {PAIRED}"), limit).union(stars)

@@ -13,15 +13,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sparkclean.llm.bpe import byte_names
+from sparkclean.llm.bpe import byte_names, pieces
 from sparkclean.llm.common import byte_slices, texts_of
 
 #: Fixed value: the pieces of a lower-cased word that are encoded by themselves.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: the white space that the tokenizer drops. Python's own adds four control characters.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: Lower cases of Unicode 16 that Python does not have yet.
-NEW_LOWER = {0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B, **{0x10D50 + k: 0x10D70 + k for k in range(22)}}
+#: Lower cases of Unicode 16 and 17 that Python does not have yet.
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+             **{0x10D50 + k: 0x10D70 + k for k in range(22)}, **{0x16EA0 + k: 0x16EBB + k for k in range(25)}}
 _controls = re.compile("[\x1c-\x1f]")
 #: Distinct words whose counts a Python worker keeps; others are counted anew in each batch.
 KEPT = 1_000_000
@@ -110,18 +111,18 @@ class WordCounter:
         return text.split() if not _controls.search(text) else [w for w in SPACE.split(text) if w]
 
     def _new(self, words: list[str]) -> dict[str, int]:
-        fixed, pieces, owners = [], [], []
+        fixed, found, owners = [], [], []
         for k, word in enumerate(words):
             parts = self.special.split(word)
             fixed.append(len(parts) - 1)
             for part in parts:
-                found = self.piece.findall(lowered(part))
-                pieces += found
-                owners += [k] * len(found)
+                own = pieces(self.piece, lowered(part))
+                found += own
+                owners += [k] * len(own)
         total = np.array(fixed, np.int64)
-        if pieces:
+        if found:
             of, back = {}, []
-            for x in pieces:
+            for x in found:
                 back.append(of.setdefault(x, len(of)))
             coded = [x.encode() for x in of]
             lengths = np.array([len(x) for x in coded])
