@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 
 from sparkclean.llm.common import parts_for, written
 
-#: Rows of an index block and queries that meet it in one task.
-ROWS, QUERIES = 65_536, 256
-#: Quantised components of this size or more would not leave room for the sum in 64 bits.
-TOO_LARGE = 1 << 24
+#: Rows of an index block; least and most queries that meet it in one task, and meetings wanted for each core.
+ROWS, QUERIES, MOST_QUERIES, MEETINGS = 65_536, 256, 16_384, 4
+#: Quantised components from this size on raise an error: their scores are far beyond a long.
+TOO_LARGE = 1 << 55
 
 
 def signed_digits(value: int) -> list[tuple[int, int]]:
@@ -58,7 +59,7 @@ class SlicedBlock:
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of all rows' scores, least significant first, and what is to be added to each."""
         by_weight: dict[int, list[np.ndarray]] = defaultdict(list)
-        base = int(query @ self.low)
+        base = sum(a * b for a, b in zip(query.tolist(), self.low.tolist()))
         for d, value in enumerate(query.tolist()):
             for place, sign in signed_digits(value):
                 # minus u is the complement of u, minus (2^digits - 1)
@@ -102,7 +103,8 @@ class SlicedBlock:
                 open_rows &= ~own
         rows = np.concatenate([_places(sure), _places(open_rows)[:wanted]])  # those still open have the boundary score
         bits = [(own[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1) for own in slices]
-        return rows, base + sum((b.astype(np.int64) << w for w, b in enumerate(bits)), np.zeros(len(rows), np.int64))
+        kind = np.int64 if len(slices) < 62 and abs(base) < 1 << 62 else object  # Python's integers hold any sum
+        return rows, base + sum((b.astype(kind) << w for w, b in enumerate(bits)), np.zeros(len(rows), kind))
 
 
 def _places(bitmap: np.ndarray) -> np.ndarray:
@@ -110,17 +112,32 @@ def _places(bitmap: np.ndarray) -> np.ndarray:
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id and floor(scale * x) of every vector that can take part, one row an id."""
+    """row, id and floor(scale * x) of every vector that can take part."""
     x = F.col(vector_col)
-    able = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) * scale < TOO_LARGE))
-    ints = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("int"))
-    rows = df.where(F.col(id_col).isNotNull() & x.isNotNull() & able).select(F.col(id_col).alias("id"), ints.alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    able = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
+    def whole(v: Column) -> Column:
+        scaled = F.floor(v.cast("double") * scale)
+        return F.when(F.abs(v.cast("double")) * scale < TOO_LARGE, scaled).otherwise(F.raise_error(F.lit("a component is too large for scores in a long")).cast("long"))
 
-def _blocks(rows: DataFrame, size: int, number: str) -> DataFrame:
-    """Rows gathered into blocks of one dimension: ids in order and their vectors, as binary. One column scan, no groups."""
-    parts = parts_for(rows.count(), size)
+    rows = df.where(F.col(id_col).isNotNull() & x.isNotNull() & able)
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"))
+
+
+def _packed(vectors: np.ndarray) -> bytes:
+    """Rows of whole numbers, four bytes each where they fit."""
+    small = not vectors.size or max(-int(vectors.min()), int(vectors.max())) < 1 << 31
+    return vectors.astype(np.int32 if small else np.int64).tobytes()
+
+
+def _unpacked(data: bytes, rows: int, dims: int) -> np.ndarray:
+    kind = np.int64 if len(data) == 8 * rows * dims else np.int32
+    return np.frombuffer(data, kind).astype(np.int64).reshape(rows, dims)
+
+
+def _blocks(rows: DataFrame, size: int, parts: int, number: str) -> DataFrame:
+    """Rows gathered into blocks of one dimension, by id: row numbers, ids and vectors, as binary. One column scan, no groups."""
+    names = [number, "dims", "rows", "ids", "vectors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,64 +145,67 @@ def _blocks(rows: DataFrame, size: int, number: str) -> DataFrame:
         part, held = TaskContext.get().partitionId(), defaultdict(list)
 
         def block(dims: int) -> pa.RecordBatch:
-            ids = np.concatenate([x for x, _ in held[dims]])
-            vectors = np.concatenate([x for _, x in held.pop(dims)])
-            order = np.argsort(ids, kind="stable")
+            numbers, ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dims)))
+            order = np.lexsort((numbers, ids))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([dims], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()),
-                 pa.array([vectors[order].astype(np.int32).tobytes()], pa.binary())], [number, "dims", "ids", "vectors"])
+                [pa.array([part], pa.int32()), pa.array([dims], pa.int32()), pa.array([numbers[order].tobytes()], pa.binary()),
+                 pa.array([ids[order].tobytes()], pa.binary()), pa.array([_packed(vectors[order])], pa.binary())], names)
 
         for batch in batches:
-            ids, column = batch.column(0).to_numpy(), batch.column(1)
+            numbers, ids, column = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             lengths = np.diff(column.offsets.to_numpy())
             flat, starts = column.values.to_numpy(), column.offsets.to_numpy()[:-1]
             for dims in np.unique(lengths).tolist():
                 mine = np.flatnonzero(lengths == dims)
-                held[dims].append((ids[mine], flat[starts[mine][:, None] + np.arange(dims)].reshape(len(mine), dims)))
-                if sum(len(x) for x, _ in held[dims]) >= size:
+                held[dims].append((numbers[mine], ids[mine], flat[starts[mine][:, None] + np.arange(dims)].reshape(len(mine), dims)))
+                if sum(len(x) for x, _, _ in held[dims]) >= size:
                     yield block(dims)
         for dims in list(held):
             yield block(dims)
 
-    schema = f"{number} int, dims int, ids binary, vectors binary"
-    blocks = rows.select(F.col("id").cast("long"), "v").repartition(parts).mapInArrow(run, schema)
-    return blocks.withColumn("parts", F.lit(parts))
+    schema = f"{number} int, dims int, rows binary, ids binary, vectors binary"
+    return written(rows.repartition(parts).mapInArrow(run, schema), "topk-blocks")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k highest integer inner products of each query with all other rows, ties to the smaller id.
 
     Components become floor(scale * x) of x as double. `is_query` is a condition on `id_col`. Returns query_id long, rank
-    int from 1, `id_col` long, score long. A vector takes no part if it or its id is null, or if it holds a null, a
-    value that isn't finite, or one of 2^24 or more after scaling. Rows that repeat an id count as one, with the
-    smallest vector. Vectors are compared with those of the same number of components. With fewer than k other rows,
-    all are returned; an empty table gives no rows. Other columns are not read.
+    int from 1, `id_col` long, score long. A vector takes no part if it or its id is null, or if it holds a null or a
+    value that isn't finite. Every other row is a candidate of its own, and a query of its own if its id is one: rows that
+    repeat an id are candidates of each other. Vectors are compared with those of the same number of components. With
+    fewer than k other rows, all are returned; an empty table gives no rows. Other columns are not read. Sums are exact
+    whatever their size; a returned score beyond a long raises an error, and so does a component of 2^55 or more.
     """
     rows = written(quantised(df, id_col, vector_col, scale), "topk-rows")
-    index = _blocks(rows, ROWS, "r")
-    queries = _blocks(rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id"), QUERIES, "q")
-    index, queries = written(index, "topk-index"), written(queries, "topk-queries")
-    n_r, n_q = (df_.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0] for df_ in (index, queries))
+    queries = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
+    n_r, wanted = parts_for(rows.count(), ROWS), queries.count()
+    meetings = MEETINGS * df.sparkSession.sparkContext.defaultParallelism
+    size = min(max(QUERIES, wanted * n_r // meetings), MOST_QUERIES)  # more would copy the index less often, fewer use more cores
+    n_q = parts_for(wanted, size)
+    index, asked = _blocks(rows, ROWS, n_r, "r"), _blocks(queries, size, n_q, "q")
     # Every query block meets every index block, each pair under a key of its own.
-    left = index.select("dims", "ids", "vectors", "r", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))
-    right = queries.select("dims", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "q", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("r"))
+    left = index.select("dims", "rows", "ids", "vectors", "r", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))
+    right = asked.select("dims", *[F.col(c).alias(f"q_{c}") for c in ("rows", "ids", "vectors")], "q", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("r"))
+    columns = ["dims", "rows", "ids", "vectors", "q_rows", "q_ids", "q_vectors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dims, ids, vectors, q_ids, q_vectors in zip(*(batch.column(n).to_pylist() for n in ("dims", "ids", "vectors", "q_ids", "q_vectors"))):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                block = SlicedBlock(np.frombuffer(vectors, np.int32).astype(np.int64).reshape(len(ids), dims))
-                asked = np.frombuffer(q_vectors, np.int32).astype(np.int64).reshape(len(q_ids), dims)
-                at = np.searchsorted(ids, q_ids)
-                found = []
-                for row, (query, place) in enumerate(zip(asked, at.tolist())):
-                    own = place if place < len(ids) and ids[place] == q_ids[row] else None
-                    found.append(block.best(query, k, own))
+            for dims, own_rows, ids, vectors, q_rows, q_ids, q_vectors in zip(*(batch.column(n).to_pylist() for n in columns)):
+                own_rows, ids, q_rows, q_ids = (np.frombuffer(x, np.int64) for x in (own_rows, ids, q_rows, q_ids))
+                block, queried = SlicedBlock(_unpacked(vectors, len(ids), dims)), _unpacked(q_vectors, len(q_ids), dims)
+                order = np.argsort(own_rows)
+                at = order[np.minimum(np.searchsorted(own_rows, q_rows, sorter=order), len(order) - 1)]
+                found = [block.best(query, k, place if own_rows[place] == row else None) for query, place, row in zip(queried, at.tolist(), q_rows.tolist())]
                 sizes = [len(x) for x, _ in found]
+                scores = pa.array([Decimal(int(s)) for _, own in found for s in own], pa.decimal128(38, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, sizes)), pa.array(ids[np.concatenate([x for x, _ in found])]), pa.array(np.concatenate([s for _, s in found]))],
-                    ["query_id", id_col, "score"])
-
-    near = left.join(right, ["r", "q", "dims"]).select("dims", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, f"query_id long, `{id_col}` long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+                    [pa.array(np.repeat(q_rows, sizes)), pa.array(np.repeat(q_ids, sizes)), pa.array(ids[np.concatenate([x for x, _ in found])]), scores],
+                    ["row", "query_id", id_col, "score"])
+
+    near = left.join(right, ["r", "q", "dims"]).select(columns).mapInArrow(run, f"row long, query_id long, `{id_col}` long, score decimal(38,0)")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), id_col)
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    fits = F.col("score").between(-(1 << 63), (1 << 63) - 1)
+    score = F.when(fits, F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score is too large for a long")).cast("long"))
+    return best.select("query_id", "rank", id_col, score.alias("score"))

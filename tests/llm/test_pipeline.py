@@ -3,13 +3,14 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
 from sparkclean.llm import quality
-from sparkclean.llm.queries import QUERIES, TOKENIZERS
+from sparkclean.llm.queries import QUERIES
 from test_secrets import plain
 from test_texts import families, plain_components
 
@@ -71,7 +72,7 @@ def test_rows_keep_their_numbers(spark, tables, tmp_path, monkeypatch):
 
 
 def test_run(spark, tables):
-    library = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = corpus_pipeline.run(spark, tables).collect()
     texts = {library.decode(np.frombuffer(r.ids, "<u4")[:-1].tolist(), skip_special_tokens=False) for r in rows}
     assert any("[SECRET]" in t for t in texts) and not any("$$$" in t for t in texts)

@@ -5,15 +5,15 @@ import zlib
 from hashlib import sha256
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sparkclean.llm import bpe, packing, token_counts
-from sparkclean.llm.queries import TOKENIZERS
 
-BYTE, WORD = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PARTS = ["a", "B", " ", "  ", "\n", " \n", "\t", "\x1c", "\x85", "\xa0", "é", "1", "22", "'s", "'re", "!", "<|endoftext|>", "<|startoftext|>",
          "中", "​", "😀", "the", "ing", "\r\n", "Σ", "İ", "é", "́", "aaaaaaa"]
 mixed = st.lists(st.sampled_from(PARTS), max_size=14).map("".join) | st.text(max_size=20)

@@ -27,31 +27,39 @@ def quantised(vector):
 
 
 def plain_top(rows, k):
-    vectors = {}
-    for r in rows:
-        if r[0] is not None and (q := quantised(r[1])) is not None:
-            vectors[r[0]] = min(vectors.get(r[0], q), q)
-    out = set()
-    for a, x in vectors.items():
+    vectors = [(r[0], q) for r in rows if r[0] is not None and (q := quantised(r[1])) is not None]
+    out = []
+    for n, (a, x) in enumerate(vectors):
         if a % 20 == 0:
-            near = sorted((-sum(p * q for p, q in zip(x, y)), b) for b, y in vectors.items() if b != a and len(y) == len(x))
-            out |= {(a, rank, b, -s) for rank, (s, b) in enumerate(near[:k], 1)}
-    return out
+            near = sorted((-sum(p * q for p, q in zip(x, y)), b) for m, (b, y) in enumerate(vectors) if m != n and len(y) == len(x))
+            out += [(a, rank, b, -s) for rank, (s, b) in enumerate(near[:k], 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("k", [3, 200])
 def test_top_k(spark, k):
     rows = odd_rows()
     found = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=k).collect()
-    assert {tuple(r) for r in found} == plain_top(rows, k) and len(found) == len(plain_top(rows, k))
+    assert sorted(map(tuple, found)) == plain_top(rows, k)
 
 
 def test_top_k_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 16)
     monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "MOST_QUERIES", 3)
     rows = odd_rows()
     found = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, k=5).collect()
-    assert {tuple(r) for r in found} == plain_top(rows, 5)
+    assert sorted(map(tuple, found)) == plain_top(rows, 5)
+
+
+def test_top_k_keeps_large_components_and_repeated_ids(spark):
+    rows = [(20, [1.0, 1.0]), (1, [300_000.0, 0.0]), (2, [5.0, 0.0]), (2, [9.0, 0.0]), (20, [-3.0, 2.0]), (3, [-1e9, 4.0]), (4, [2.5e13, -1.0])]
+    rows = [(*r, 1, 2, 3, "x") for r in rows]
+    found = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(map(tuple, found)) == plain_top(rows, 20) and len(found) == 12
+    for bad, text in (([1e15, 0.0], "component"), ([1e14, 0.0], "score")):
+        with pytest.raises(Exception, match=f"{text} is too large"):
+            topk.top_k(spark.createDataFrame([*rows, (5, bad, 1, 2, 3, "x"), (40, [1e13, 0.0], 1, 2, 3, "x")], SCHEMA), F.col("vec_id") % 20 == 0).collect()
 
 
 def test_slices():
