@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import sys
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from sparkclean.functions.names import free_name  # noqa: E402
-from sparkclean.llm import packing, quality, queries, secret_scan, shingle_join  # noqa: E402
+from sparkclean.llm import packing, quality, secret_scan, shingle_join  # noqa: E402
 from sparkclean.sources.scratch import written  # noqa: E402
 
 #: Near copies share four fifths of their five-word shingles.
@@ -45,7 +46,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", keep_good), ("near_copies", keep_one_of_copies), ("secrets", mask_secrets), ("packing", pack)]
