@@ -10,10 +10,10 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
+from itertools import accumulate, islice
 from math import log
 
 import pyarrow as pa
@@ -25,7 +25,7 @@ from sparkclean.llm.common import byte_slices, texts_of
 _attributes = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 #: Elements that hold no tags and, without an end tag, run to the end of the page; others whose text is never
 #: shown or is no text, where their own end tag follows; elements of the head; elements of page furniture; inline elements.
-RAW = "script|style|textarea|title"
+RAW = ("script", "style", "textarea", "title")
 OPAQUE = frozenset("noscript template iframe svg math select object canvas video audio".split())
 HEAD = frozenset("meta link base basefont bgsound noscript template".split())
 FURNITURE = frozenset("nav header footer aside form button menu dialog".split())
@@ -37,9 +37,10 @@ MARKS = frozenset(
     "disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted "
     "promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar "
     "widget widgets".split())
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?:{RAW})/>|<({RAW})(?=[\s/>]){_attributes}(?:(?<=[\s\"']/)>|>.*?(?:</\1\s*>|\Z))"
-    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_attributes})/?>", re.S | re.I)
+_start = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_rest = re.compile(_attributes)
+_special = re.compile(r"""[>"']""")
+_raw_ends = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _unquoted = re.compile(r"""=\s*[^\s"'>]+/$""")
 #: Furniture even where it holds most of a page's words.
 ALWAYS = frozenset("nav footer button menu".split())
@@ -103,6 +104,7 @@ def hide(nodes: list[Node], suspects: list[Suspect]) -> None:
     labels = [i for i, n in enumerate(nodes) if n.tag in LABELS and not n.ends]
     words = list(accumulate((n.words for n in nodes), initial=0))
     reached = 0
+    change = [0] * (len(nodes) + 1)
     for x in suspects:
         if x.begin < reached:
             continue
@@ -113,11 +115,77 @@ def hide(nodes: list[Node], suspects: list[Suspect]) -> None:
             reached = x.end
         if holds and not first:
             continue
-        for n in nodes[x.begin : x.end]:
-            if holds or most:
-                n.lowered = True
-            else:
+        if holds or most:
+            change[x.begin] += 1
+            change[x.end] -= 1
+        else:
+            for n in nodes[x.begin : x.end]:
                 n.hidden = True
+    for n, depth in zip(nodes, accumulate(change)):
+        n.lowered = depth > 0
+
+
+def _tag_ends(page: str, begin: int) -> tuple[list[int], list[int]]:
+    """Places of > and quotes from `begin` on, and where a tag that reaches each outside of quotes ends; -1 if it never does."""
+    places = [m.start() for m in _special.finditer(page, begin)]
+    ends, after = [-1] * (len(places) + 1), {'"': len(places), "'": len(places)}
+    for i in range(len(places) - 1, -1, -1):
+        sign = page[places[i]]
+        if sign == ">":
+            ends[i] = places[i]
+        else:
+            closing = after[sign]
+            ends[i] = ends[closing + 1] if closing < len(places) else -1
+            after[sign] = i
+    return places, ends
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """Begin, end, whether it is an end tag, name in lower case and attributes of every tag; name None for comments,
+    declarations and RAW elements. A tag whose > never comes is text. Goes forward only, whatever the page holds."""
+    at, last = 0, page.rfind(">")
+    places: list[int] = []
+    ends: list[int] | None = None
+    while (at := page.find("<", at)) >= 0:
+        m = _start.match(page, at)
+        if not m:
+            at += 1
+            continue
+        name = m[2]
+        if name is None:
+            closing = page.find("-->", m.end()) if m[0] == "<!--" else -1
+            if m[0] == "<!--":
+                end = closing + 3 if closing >= 0 else len(page)
+            elif m.end() <= last:
+                end = page.find(">", m.end()) + 1
+            else:
+                at += 1
+                continue
+            yield at, end, False, None, ""
+            at = end
+            continue
+        if m.end() > last:
+            at += 1
+            continue
+        if ends is None:
+            end = _rest.match(page, m.end()).end()
+            if page[end : end + 1] != ">":
+                places, ends = _tag_ends(page, m.end())  # from here on, ends are looked up
+        if ends is not None:
+            end = ends[bisect_left(places, m.end())]
+            if end < 0:
+                at += 1
+                continue
+        tag, attributes = name.lower(), page[m.end() : end]
+        end += 1
+        if tag in _raw_ends and not m[1] and (not attributes or attributes[0] in " \t\n\r\f\v/"):
+            if not (attributes.endswith("/") and (attributes == "/" or attributes[-2] in " \t\n\r\f\v\"'/")):
+                closed = _raw_ends[tag].search(page, end)
+                end = closed.end() if closed else len(page)
+            yield at, end, False, None, ""
+        else:
+            yield at, end, bool(m[1]), tag, attributes
+        at = end
 
 
 def nodes_of(page: str) -> list[Node]:
@@ -128,6 +196,8 @@ def nodes_of(page: str) -> list[Node]:
     """
     out: list[Node] = []
     open_tags: list[str] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements
+    labels: list[int] = []  # nodes of LABELS
     suspects: list[Suspect] = []
     open_suspects: list[Suspect] = []
     opaque: list[tuple[int, int]] = []  # place in `open_tags` and first node of open elements of OPAQUE
@@ -145,13 +215,12 @@ def nodes_of(page: str) -> list[Node]:
             out.append(Node("#text", page[at:until], words=words))
 
     closes = Counter(m.lower() for m in re.findall(r"</([a-zA-Z][a-zA-Z0-9:-]*)", page))
-    for m in TOKEN.finditer(page):
-        text(m.start())
-        at = m.end()
-        if not m[3]:
+    for begin, end, closing, tag, attributes in tokens(page):
+        text(begin)
+        at = end
+        if tag is None:
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if closing:
             closes[tag] -= 1
             if tag == "head":
                 head = False
@@ -159,16 +228,21 @@ def nodes_of(page: str) -> list[Node]:
             if head and not opaque:
                 continue
             if tag not in OPAQUE:
+                if tag in LABELS:
+                    labels.append(len(out))
                 out.append(Node("/" + tag, "", False, tag, True))
-            if tag in open_tags:
-                place = len(open_tags) - 1 - open_tags[::-1].index(tag)
-                del open_tags[place:]
+            if places[tag]:
+                place = places[tag][-1]
+                while len(open_tags) > place:
+                    places[open_tags.pop()].pop()
                 while open_suspects and open_suspects[-1].depth > place:
                     open_suspects.pop().end = len(out)
                 while opaque and opaque[-1][0] >= place:
                     own, begin = opaque.pop()
-                    if own == place and (tag == "template" or not any(n.tag in LABELS for n in out[begin:])):
+                    if own == place and (tag == "template" or not labels or labels[-1] < begin):
                         del out[begin:]
+                        while labels and labels[-1] >= begin:
+                            labels.pop()
                         while suspects and suspects[-1].begin >= begin:
                             suspects.pop()
             continue
@@ -178,17 +252,21 @@ def nodes_of(page: str) -> list[Node]:
         if head and (tag == "body" or tag not in HEAD and not opaque):
             head = False
         if tag in OPAQUE:
-            if not m[4].endswith("/") or _unquoted.search(m[4]):
+            if not attributes.endswith("/") or _unquoted.search(attributes):
                 opaque.append((len(open_tags), len(out)))
+                places[tag].append(len(open_tags))
                 open_tags.append(tag)
             continue
         if head and tag in HEAD:
             continue
         if tag not in VOID:
+            places[tag].append(len(open_tags))
             open_tags.append(tag)
-            if closes[tag] > 0 and ((found := marks(tag, m[4])) or tag in FURNITURE):
+            if closes[tag] > 0 and ((found := marks(tag, attributes)) or tag in FURNITURE):
                 suspects.append(Suspect(tag, found, len(out), len(open_tags)))
                 open_suspects.append(suspects[-1])
+        if tag in LABELS:
+            labels.append(len(out))
         out.append(Node(tag, "", False, tag))
     text(len(page))
     for x in open_suspects:
@@ -269,7 +347,11 @@ def labelled_counts(page: str) -> Counter:
 
 
 def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> TagWeights:
-    """Weights of tags from the labelled ones of a bounded sample: the logarithm of how much oftener they lie outside."""
+    """Weights of tags from the labelled ones of a bounded sample: the logarithm of how much oftener they lie outside.
+
+    The sample are the pages with the smallest hashes of the id. Where many pages share the last hash, as null ids do, a task reads `sample`
+    pages at most. An empty table gives no weights.
+    """
     hashed = F.xxhash64(id_col)
     last = pages.select(hashed.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
@@ -277,9 +359,8 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in byte_slices(batches, html_col):
-            for page in texts_of(batch, html_col):
-                total.update(labelled_counts(page))
+        for page in islice((page for batch in byte_slices(batches, html_col) for page in texts_of(batch, html_col)), sample):
+            total.update(labelled_counts(page))
         if total:
             kinds, counts = zip(*total.items())
             names, inside = zip(*kinds)

@@ -1,29 +1,31 @@
 """Near-duplicate vectors by spherical-cap filters: structured random product codes, list decoding, verification.
 
 A filter is a direction put together from two code words, one for each half of the rotated vector. Every vector stands
-under the filters with the highest inner products, as many for each vector; list decoding finds them without looking at
-each filter. How many they are follows from the number of code words, so that near vectors share one with the wanted
-probability at any size of the table. Pairs under one filter are verified exactly.
+under all filters whose inner product exceeds its own threshold, that of its n-th best filter; list decoding finds them
+without looking at each filter. A threshold common to all vectors would need several times as many filters for the same
+recall, since it leaves some vectors under none and puts others under hundreds. n follows from the number of code words,
+so that near vectors share a filter with the wanted probability at any size of the table. Pairs under one filter are
+verified exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkclean.llm.common import label_components, ragged, written
+from sparkclean.llm.common import label_components, written
 from sparkclean.llm.shingle_join import spanning
 
-#: Least number of filters a vector stands under, and vectors for each filter. More filters find more of the links.
-FILTERS, VECTORS_PER_FILTER = 28, 8
+#: Vectors for each filter. Fewer make smaller cells, and more filters and so more copies of a vector.
+VECTORS_PER_FILTER = 96
 #: Share of random pairs exactly at the least cosine that are to meet under a filter, pairs it is measured with, and the
-#: number of filters beyond which none are added.
-RECALL, PROBES, MOST_FILTERS = 0.998, 1000, 512
+#: number of filters of a vector beyond which an error tells that the cosine is too low for this search.
+RECALL, PROBES, MOST_FILTERS = 0.998, 4000, 4096
 #: Vectors of a chunk; larger sets under one filter are compared chunk by chunk, two a task.
 CHUNK = 1024
 SEED = 7
@@ -39,16 +41,6 @@ class CapFilters:
         self.words = [self._unit(rng, words, n) for n in (self.half, dims - self.half)]
         self.dims = dims
 
-    @cached_property
-    def least(self) -> float:
-        """The inner product that FILTERS filters reach in the mean over all directions: the tail of a spherical cap."""
-        share = FILTERS / len(self.words[0]) ** 2
-        if share >= 1 or self.dims < 2:
-            return -2.0
-        angles = np.linspace(0, np.pi, 1 << 17)
-        cap = np.cumsum(np.sin(angles) ** (self.dims - 2))
-        return float(np.sqrt(2) * np.cos(angles[np.searchsorted(cap / cap[-1], share)]))
-
     @staticmethod
     def _unit(rng: np.random.Generator, words: int, dims: int) -> np.ndarray:
         one = rng.standard_normal((-(-words // 2), dims))
@@ -82,18 +74,20 @@ class CapFilters:
         return out
 
     def enough(self, least: float) -> int:
-        """Filters for each vector so that the share RECALL of pairs at the cosine `least` has one in common; FILTERS at least."""
-        every = min(len(self.words[0]) ** 2, MOST_FILTERS)
-        if every <= FILTERS or self.dims < 2:
+        """Filters for each vector so that the share RECALL of pairs at the cosine `least` has one in common."""
+        every = len(self.words[0]) ** 2
+        if every == 1 or self.dims < 2:
             return every
         rng, cosine = np.random.default_rng([SEED, self.dims]), min(max(least, -1.0), 1.0)
         x, y = rng.standard_normal((2, PROBES, self.dims))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         y -= (x * y).sum(axis=1, keepdims=True) * x
         y *= np.sqrt(1 - cosine * cosine) / np.linalg.norm(y, axis=1, keepdims=True)
-        n = FILTERS
+        n = 4
         while True:
             n = min(2 * n, every)
+            if n > MOST_FILTERS:
+                raise ValueError(f"pairs of cosine {least} need more than {MOST_FILTERS} filters of {every} to meet")
             needed = np.full(PROBES, every)
             for k, (p, q) in enumerate(zip(self.best(x, n), self.best(cosine * x + y, n))):
                 common, at, other = np.intersect1d(p, q, assume_unique=True, return_indices=True)
@@ -101,21 +95,7 @@ class CapFilters:
                     needed[k] = np.maximum(at, other).min() + 1
             wanted = int(np.quantile(needed, RECALL, method="higher"))
             if wanted <= n or n == every:
-                return max(FILTERS, min(wanted, every))
-
-    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Filters at or above the threshold of each vector, ascending, one vector after the other; and their numbers."""
-        a, b = self._halves(unit)
-        words, found, counts = a.shape[1], [], []
-        for x, y in zip(a, b):
-            falling = np.argsort(-y, kind="stable")
-            first = np.flatnonzero(x >= self.least - y[falling[0]])
-            n = np.searchsorted(-y[falling], x[first] - self.least, "right")
-            own = np.repeat(first, n) * words + falling[ragged(np.zeros(len(n), np.int64), n)]
-            own.sort()
-            found.append(own)
-            counts.append(len(own))
-        return np.concatenate(found) if found else np.zeros(0, np.int64), np.array(counts, np.int64)
+                return min(wanted, every)
 
 
 @lru_cache(8)
@@ -137,8 +117,8 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filtered(vectors: DataFrame, total: int, least: float) -> DataFrame:
-    """A row for every vector and filter it stands under, with all its filters."""
-    names = ["node", "label", "copies", "v", "dims", "filter", "filters"]
+    """Every vector with the list of its filters, ascending."""
+    names = ["node", "label", "copies", "v", "dims", "filters"]
     label = vectors.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,21 +130,16 @@ def _filtered(vectors: DataFrame, total: int, least: float) -> DataFrame:
                 for dims in np.unique(sizes).tolist():
                     rows = np.flatnonzero(sizes == dims)
                     unit = flat[begins[rows][:, None] + np.arange(dims)]
-                    unit = unit / np.linalg.norm(unit / np.abs(unit).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(unit).max(axis=1, keepdims=True)
+                    unit = unit / np.abs(unit).max(axis=1, keepdims=True)
+                    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
                     filters, n = _filters(dims, words_for(total, dims), least)
                     own = np.sort(filters.best(unit, n), axis=1)
-                    found, counts = own.ravel(), np.full(len(own), own.shape[1], np.int64)
-                    ends = np.cumsum(counts)
-                    take = pa.array(np.repeat(rows, counts))
-                    at = np.repeat(np.arange(len(rows)), counts)
-                    lists = pa.ListArray.from_arrays(
-                        np.concatenate([[0], np.cumsum(counts[at])]).astype(np.int32), pa.array(found[ragged((ends - counts)[at], counts[at])]))
-                    own = [batch.column(n).take(take) for n in names[:4]]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(at), dims, np.int32)), pa.array(found), lists], names)
+                    lists = pa.ListArray.from_arrays(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32), pa.array(own.ravel()))
+                    columns = [batch.column(n).take(pa.array(rows)) for n in names[:4]]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows), dims, np.int32)), lists], names)
 
     kind = vectors.schema["v"].dataType.simpleString()
-    schema = f"node long, label {label}, copies long, v {kind}, dims int, filter long, filters array<long>"
-    return vectors.select(*names[:4]).mapInArrow(run, schema)
+    return vectors.select(*names[:4]).mapInArrow(run, f"node long, label {label}, copies long, v {kind}, dims int, filters array<long>")
 
 
 def cell_links(unit: np.ndarray, copies: np.ndarray, slots: np.ndarray, lists: list[np.ndarray], this: int, least: float):
@@ -190,8 +165,9 @@ def cell_links(unit: np.ndarray, copies: np.ndarray, slots: np.ndarray, lists: l
 def _links(filtered: DataFrame, least: float) -> DataFrame:
     """Rows a, b null, n: n more links of a; and rows a, b, 0: a link."""
     key = ["label", "dims", "filter"]
-    counts = filtered.groupBy(*key).count().where("count > 1")
-    rows = filtered.join(counts, key).withColumn("chunks", F.ceil(F.col("count") / CHUNK))
+    each = filtered.select("*", F.explode("filters").alias("filter"))
+    counts = each.groupBy(*key).count().where("count > 1")
+    rows = each.join(counts, key).withColumn("chunks", F.ceil(F.col("count") / CHUNK))
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("node"), F.col("chunks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     cell = F.xxhash64("label", "dims", "filter", F.least("slot", "other"), F.greatest("slot", "other"))
@@ -236,8 +212,8 @@ def dedup_vectors(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", ve
     """Per vector: `id_col`, n_links long, component_id, kept boolean (its id is the component's smallest).
 
     Vectors of equal, not null labels and equal numbers of components link when their cosine in double precision is at
-    least `least`; links are found with high probability (RECALL at `least` itself, more above; less only where MOST_FILTERS
-    don't suffice, as for low cosines) and none below is taken. A vector that is null, zero or holds
+    least `least`; links are found with high probability (RECALL at `least` itself, more above) and none below is taken. Raises
+    ValueError where that needs more than MOST_FILTERS filters a vector, as for low cosines. A vector that is null, zero or holds
     null or non-finite components links with nothing, nor does one with a null id. n_links counts other ids: rows that
     repeat an id and vector count once, and copies under other ids count each. Every input row gives one row; an empty
     table gives none. Other columns are not read.
@@ -249,7 +225,7 @@ def dedup_vectors(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", ve
     rows = rows.withColumn("node", F.when(F.col("able"), F.xxhash64("label", "v")))
     one = rows.where("able").groupBy("node", "label", "v").agg(F.countDistinct("id").alias("copies"), F.min("id").alias("least_id"))
     vectors = written(one, "cap-vectors")
-    found = written(_links(written(_filtered(vectors, vectors.count(), least), "cap-filters"), least), "cap-links")
+    found = written(_links(written(_filtered(vectors, vectors.count(), least), "cap-lists"), least), "cap-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     comp = label_components(found.where("b is not null").select("a", "b"))
     nodes = vectors.select("node", "copies", "least_id").join(counts, "node", "left").join(comp, "node", "left")

@@ -1,6 +1,7 @@
 """Shingle join, quality classifier, page extraction and chat formatting."""
 
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -240,3 +241,22 @@ def test_viterbi_against_all_paths():
 
     best = max(score(p) for p in np.ndindex(*[6] * 5))
     assert abs(score(model.states(lines)) - best) < 1e-9
+
+
+def test_hostile_pages_take_linear_time():
+    """A megabyte each of what made earlier readers quadratic: tags and quotes that never close, deep nesting."""
+    size, weights = 1 << 20, html_text.TagWeights({"div": 1.0, "p": 0.05})
+    depth = size // 30
+    pages = [k * (size // len(k)) for k in ("<a ", "<a '", "<a \"'", "<p><a>x</a>", "<!", "<svg><article>", "<script ", "</a", "<nav>x", '<a b="')]
+    pages += ["<a " * (size // 3) + "' >", '<div class="sidebar">x ' * depth + "</div>" * depth, "<svg>" * depth + "<article>x</article>" + "</svg>" * depth]
+    for page in pages:
+        began = time.time()
+        html_text.main_text(page, weights)
+        assert time.time() - began < 20, page[:40]
+
+
+def test_tags_that_never_end_are_text():
+    weights = html_text.TagWeights()
+    assert html_text.main_text('a <b class="x>y c', weights) == 'a <b class="x>y c'
+    assert html_text.main_text("one <i title='>'>two</i> <a <b>three</b> <c ' four", weights) == "one two three <c ' four"
+    assert html_text.main_text("x<script>if (a<b) {}</script>y<style/>z", weights) == "xyz"

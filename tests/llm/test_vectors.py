@@ -120,16 +120,6 @@ def test_recall_and_chunks(spark, monkeypatch):
     assert sum(found.values()) >= 0.97 * sum(map(len, linked.values()))
 
 
-def test_list_decoding():
-    filters = vector_dedup.CapFilters(10, 16)
-    unit = np.random.default_rng(2).normal(size=(50, 10))
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    found, counts = filters.decode(unit)
-    a, b = filters._halves(unit)
-    plain = [np.flatnonzero((x[:, None] + y[None, :]).ravel() >= filters.least) for x, y in zip(a, b)]
-    assert counts.tolist() == [len(p) for p in plain] and found.tolist() == np.concatenate(plain).tolist()
-
-
 def test_best_filters():
     for dims, words, n in ((10, 16, 30), (9, 7, 100), (1, 2, 28), (64, 40, 28)):
         filters = vector_dedup.CapFilters(dims, words)
@@ -155,5 +145,11 @@ def test_recall_does_not_fall_with_size(vectors):
     filters, n = vector_dedup._filters(dims, vector_dedup.words_for(vectors, dims), 0.93)
     for k, v in rows:
         met[k].update(filters.best(np.array([v]), n)[0].tolist())
-    assert min(map(len, met)) == n >= vector_dedup.FILTERS
+    assert min(map(len, met)) == n
     assert sum(not a.isdisjoint(b) for a, b in zip(met[:500], met[500:])) >= 0.99 * 500
+
+
+def test_too_low_a_cosine_raises(monkeypatch):
+    monkeypatch.setattr(vector_dedup, "MOST_FILTERS", 16)
+    with pytest.raises(ValueError, match="more than 16 filters"):
+        vector_dedup.CapFilters(48, 30).enough(0.2)
