@@ -116,9 +116,9 @@ def schema_digest(df: DataFrame) -> str:
     return hashlib.md5(json.dumps(dict(df.dtypes), sort_keys=True).encode()).hexdigest()
 
 
-def row_hash(df: DataFrame) -> Column:
-    """64-bit hash of a row. A null flag goes with each cell, as xxhash64 skips nulls."""
-    cells = []
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """64-bit hash of a row. A null flag goes with each cell, as xxhash64 skips nulls. Each seed gives another hash."""
+    cells = [F.lit(seed)] if seed else []
     for f in df.schema:
         value = F.to_json(col(f.name)) if isinstance(f.dataType, NESTED_TYPES) else col(f.name)
         cells += [value, col(f.name).isNull()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,22 +39,36 @@ def currency_to_num(text: Column) -> Column:
     return try_num(F.trim(F.regexp_replace(text, CURRENCY_STRIP, "")))
 
 
-# Dates are read in two parts. Shapes of the day part -> formats to try, in order; slash and dash dates are month-first,
-# day-first where that is impossible. Years of two digits count from 1969 on, as strptime has it.
-_DAY_SHAPES = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d",)),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ("yyyy/M/d",)),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ("M/d/yyyy", "d/M/yyyy")),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("M-d-yyyy", "d-M-yyyy")),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", ("M/d/yy", "d/M/yy")),
-    (r"(?i)^[a-z]{3} \d{1,2},? \d{4}$", ("MMM d[,] yyyy",)),
-    (r"(?i)^[a-z]{3,} \d{1,2},? \d{4}$", ("MMMM d[,] yyyy",)),
-    (r"(?i)^\d{1,2}[ -][a-z]{3}[ -]\d{4}$", ("d MMM yyyy", "d-MMM-yyyy")),
-    (r"(?i)^\d{1,2} [a-z]{3,} \d{4}$", ("d MMMM yyyy",)),
-    (r"^(19|20)\d{2}(0[1-9]|1[0-2])\d{2}$", ("yyyyMMdd",)),
-)
+# A text's shape has 9 for each digit and a for each letter. Formats of days, tried in order; slash and dash dates are
+# month-first, day-first where that is impossible. Years of two digits count from 1969 on, as strptime has it.
+_DAY_FORMATS = (
+    ("yyyy-M-d",), ("yyyy/M/d",), ("M/d/yyyy", "d/M/yyyy"), ("M-d-yyyy", "d-M-yyyy"), ("M/d/yy", "d/M/yy"), ("MMM d[,] yyyy",), ("MMMM d[,] yyyy",),
+    ("d MMM yyyy", "d-MMM-yyyy"), ("d MMMM yyyy",), ("yyyyMMdd",))
+# The shapes that each part of a format reads.
+_PART_SHAPES = {"yyyy": ["9999"], "yy": ["99"], "MM": ["99"], "dd": ["99"], "M": ["9", "99"], "d": ["9", "99"], "MMM": ["aaa"],
+                "MMMM": ["a" * n for n in range(4, 10)], "[,]": ["", ","]}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _shapes(pattern: str) -> list[str]:
+    """All shapes of the texts that a format reads."""
+    parts = re.findall(r"y+|M+|d+|\[,\]|.", pattern)
+    return sorted({"".join(x) for x in product(*(_PART_SHAPES.get(p, [p]) for p in parts))})
+
+
+# Shape -> formats; the first format that has a shape reads it.
+_SHAPE_FORMATS: dict[str, tuple[str, ...]] = {}
+for _formats in _DAY_FORMATS:
+    for _format in _formats:
+        for _shape in _shapes(_format):
+            _SHAPE_FORMATS.setdefault(_shape, ())
+            _SHAPE_FORMATS[_shape] += (_format,)
+# Days and times that Spark's own cast reads, as they are.
+_CAST_SHAPES = ("9999-99-99 99:99:99", "9999-99-99 99:99")
 # What a date can begin with; keeps the costly parts away from other text.
 _LOOKS_LIKE_DATE = r"(?i)^(\d{1,4}[-/]\d{1,2}[-/]\d|[a-z]{3,9}\.?,? [a-z0-9]+|\d{1,2}[ -][a-z]{3}|(19|20)\d{6}$)"
+# Eight digits are a day only in these centuries.
+_PACKED_DAY = r"^(19|20)\d{2}(0[1-9]|1[0-2])\d{2}$"
 # Names of days, which may stand before a date.
 _DAY_NAMES = r"(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?"
 _PARTS = (
@@ -64,13 +81,23 @@ def _recent(day: Column) -> Column:
     return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
 
 
+def _shape(text: Column) -> Column:
+    return F.translate(text, _LETTERS + "0123456789", "a" * len(_LETTERS) + "9" * 10)
+
+
 def _day(text: Column) -> Column:
-    values = []
-    for shape, formats in _DAY_SHAPES:
+    """Day of a text without a time: its shape says which formats can read it, mostly a single one."""
+    shape, by_formats = _shape(text), {}
+    for own, formats in _SHAPE_FORMATS.items():
+        by_formats.setdefault(formats, []).append(own)
+    out = F.lit(None).cast("date")
+    for formats, shapes in reversed(by_formats.items()):
         days = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
         found = F.coalesce(*[_recent(d) if "yyyy" not in f else d for d, f in zip(days, formats)])
-        values.append(F.when(text.rlike(shape), found))
-    return F.coalesce(*values)
+        if formats == ("yyyyMMdd",):
+            found = F.when(text.rlike(_PACKED_DAY), found)
+        out = F.when(shape.isin(*shapes), found).otherwise(out)
+    return out
 
 
 def try_ts(text: Column) -> Column:
@@ -78,12 +105,15 @@ def try_ts(text: Column) -> Column:
 
     A day, with or without a day name, and after a space or T a time: hours of a day or a.m. and p.m., seconds,
     fractions (cut at microseconds) and a zone. Bare years, bare times, 'now' and 'today' are not dates: their meaning
-    would depend on the clock.
+    would depend on the clock. A text whose whole shape is that of a day, or that a cast reads, is parsed once; only
+    others are taken apart.
     """
     t = F.trim(text)
+    shape = _shape(t)
     parts = F.split(F.regexp_replace(t, _PARTS, "\x01".join(f"${k}" for k in range(1, 8))), "\x01")
     # A lambda binds the parts, so they are found once however often they are used.
-    return F.when(t.rlike(_LOOKS_LIKE_DATE), F.get(F.transform(F.array(parts), _at), F.lit(0)))
+    apart = F.when(t.rlike(_LOOKS_LIKE_DATE), F.get(F.transform(F.array(parts), _at), F.lit(0)))
+    return F.when(shape.isin(*_SHAPE_FORMATS), _day(t).cast("timestamp")).when(shape.isin(*_CAST_SHAPES), t.try_cast("timestamp")).otherwise(apart)
 
 
 def _at(parts: Column) -> Column:

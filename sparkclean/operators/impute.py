@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from functools import reduce
 from math import ceil
 from typing import Any
 
@@ -22,6 +23,8 @@ from sparkclean.sources.scratch import written
 STRATEGIES = ("mean", "median", "mode", "ffill", "bfill", "drop_row", "constant")
 # A window holds one partition key in one task; above this many rows the work of a key is split.
 MAX_GROUP_ROWS = 1_000_000
+# Ranges whose carried values one task puts in order.
+SCAN_WIDTH = 1_000
 
 
 @dataclass
@@ -67,7 +70,8 @@ def handle_missing_values(
     _check_columns(df, order + keys)
     df = nan_to_null(df)
     cols_before = len(df.columns)
-    rows, nulls = stats.null_counts(df)
+    masks, names = stats.null_masks(df), df.columns
+    rows, nulls = stats.left_after(masks, names, []) if masks is not None else stats.null_counts(df)
     rows_before, warnings = rows, []
 
     dropped = _sparse(rows, nulls, drop_threshold)
@@ -81,11 +85,12 @@ def handle_missing_values(
     result = ImputeResult(out, StepLog("handle_missing_values", cols_before, 0, 0.95), columns_dropped=dropped)
     steps = _checked(out, strategy_config, constants, order, warnings)
     segment: dict[str, str] = {}
-    stale = False  # rows were dropped since `nulls` was counted
+    cleared: list[str] = []  # columns whose NULLs took their rows along
+    counted = 0  # of these, those that `nulls` knows of
     for c, strategy in steps.items():
-        if stale:
-            rows, nulls = stats.null_counts(out)
-            stale = False
+        if counted < len(cleared):
+            rows, nulls = stats.left_after(masks, names, cleared) if masks is not None else stats.null_counts(out)
+            counted = len(cleared)
         if not nulls[c]:
             continue
         result.cells_targeted[c], result.columns_imputed[c] = nulls[c], strategy
@@ -96,7 +101,7 @@ def handle_missing_values(
         segment = {}
         out = out.where(col(c).isNotNull())
         rows -= nulls[c]
-        stale = True
+        cleared.append(c)
     out = _fill(out, segment, constants, rows, order, keys, accuracy, max_group_rows, result)
 
     before, after = dict(df.dtypes), dict(out.dtypes)
@@ -202,21 +207,10 @@ def fill_values(df: DataFrame, strategies: dict[str, str], accuracy: int | None
     for c in measured:
         if is_time(types[c]) and out[c] is not None:
             out[c] = EpochMicros(out[c])
-    for c, s in strategies.items():
-        if s == "mode":
-            out[c] = mode_value(df, c)
+    out.update(stats.modes(df, [c for c, s in strategies.items() if s == "mode"]))
     return out
 
 
-def mode_value(df: DataFrame, name: str) -> Any:
-    """Most frequent value, the smallest on a tie.
-
-    Counted by a distributed group-by: the built-in mode gathers all distinct values in one task.
-    """
-    counts = df.where(col(name).isNotNull()).groupBy(col(name).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-    return counts.agg(F.min_by("v", F.struct(-F.col("cnt"), F.col("v")))).first()[0]
-
-
 def fill_directional(
     df: DataFrame, strategies: dict[str, str], order_by: list[str], partition_by: list[str],
     rows: int | None = None, max_group_rows: int = MAX_GROUP_ROWS,
@@ -248,18 +242,9 @@ def fill_directional(
     for i, (c, s) in enumerate(strategies.items()):
         pick = F.max_by if s == "ffill" else F.min_by
         carries.append(pick(col(c), F.when(col(c).isNotNull(), place)).alias(f"{own}edge{i}"))
-    edges = ranged.groupBy(*map(col, partition_by), f"{own}range").agg(*carries)
-    across = Window.partitionBy(*map(col, partition_by)).orderBy(f"{own}range")
-    for i, s in enumerate(strategies.values()):
-        earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-        later = across.rowsBetween(1, Window.unboundedFollowing)
-        carried = (F.last(f"{own}edge{i}", ignorenulls=True).over(earlier) if s == "ffill"
-                   else F.first(f"{own}edge{i}", ignorenulls=True).over(later))
-        edges = edges.withColumn(f"{own}carry{i}", carried)
-    renamed = [col(c).alias(f"{own}key{i}") for i, c in enumerate(partition_by)]
-    carry = edges.select(*renamed, F.col(f"{own}range").alias(f"{own}at"), *[f"{own}carry{i}" for i in range(len(strategies))])
-    if not partition_by:
-        carry = F.broadcast(carry)  # one row a range: the rows of the table by max_group_rows
+    keys = [f"{own}key{i}" for i in range(len(partition_by))]
+    edges = ranged.groupBy(*[col(c).alias(k) for c, k in zip(partition_by, keys)], F.col(f"{own}range").alias(f"{own}at")).agg(*carries)
+    carry = _scanned(written(edges, "fill-edges"), ranges, keys, list(strategies.values()), own)
     match = F.col(f"{own}range") == F.col(f"{own}at")
     for i, c in enumerate(partition_by):
         match &= col(c).eqNullSafe(F.col(f"{own}key{i}"))
@@ -272,6 +257,31 @@ def fill_directional(
     return filled.select(*map(col, columns))
 
 
+def _scanned(edges: DataFrame, ranges: int, keys: list[str], strategies: list[str], own: str) -> DataFrame:
+    """keys, `at`, and what is carried into each range: a prefix scan of the ranges' edges on several levels.
+
+    Ranges are taken in groups of SCAN_WIDTH; a group's own edges carry within it, and what is carried into a group comes from
+    the same scan over the groups, until one group is left. So no task orders more rows of a key than that.
+    """
+    at, group = f"{own}at", f"{own}group"
+    n = range(len(strategies))
+    placed = edges.withColumn(group, F.floor(F.col(at) / SCAN_WIDTH).cast("int"))
+    within = Window.partitionBy(*keys, group).orderBy(at)
+    earlier, later = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(1, Window.unboundedFollowing)
+    near = placed.select(*keys, at, group, *[
+        (F.last(f"{own}edge{i}", ignorenulls=True).over(earlier) if s == "ffill" else F.first(f"{own}edge{i}", ignorenulls=True).over(later)).alias(f"{own}carry{i}")
+        for i, s in enumerate(strategies)])
+    groups = ceil(ranges / SCAN_WIDTH)
+    if groups <= 1:
+        return near.drop(group)
+    ends = [(F.max_by if s == "ffill" else F.min_by)(f"{own}edge{i}", F.when(F.col(f"{own}edge{i}").isNotNull(), F.col(at))).alias(f"{own}edge{i}")
+            for i, s in enumerate(strategies)]
+    above = _scanned(written(placed.groupBy(*keys, F.col(group).alias(f"{own}up")).agg(*ends).withColumnRenamed(f"{own}up", at), "fill-edges"), groups, keys, strategies, own)
+    above = above.select(*[F.col(k).alias(f"{k}_up") for k in keys], F.col(at).alias(f"{own}up"), *[F.col(f"{own}carry{i}").alias(f"{own}far{i}") for i in n])
+    match = reduce(lambda m, k: m & F.col(k).eqNullSafe(F.col(f"{k}_up")), keys, F.col(group) == F.col(f"{own}up"))
+    return near.join(above, match, "left").select(*keys, at, *[F.coalesce(f"{own}carry{i}", f"{own}far{i}").alias(f"{own}carry{i}") for i in n])
+
+
 def _window_fill(name: str, strategy: str, partition_by: list[str], order_by: list[str]):
     window = Window.partitionBy(*map(col, partition_by)).orderBy(*map(col, order_by))
     if strategy == "ffill":

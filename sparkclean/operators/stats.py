@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,9 @@ from pyspark.sql.window import Window
 from sparkclean.audit import row_hash
 from sparkclean.functions.missing import as_text, col, is_numeric
 
+# Patterns of NULLs that are counted one by one.
+MASKS = 10_000
+
 
 def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     """Row count and NULLs per column, in one pass."""
@@ -53,23 +58,64 @@ def top_k(freq: DataFrame, k: int = 10) -> DataFrame:
     return freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def null_masks(df: DataFrame, most: int = MASKS) -> dict[str, int] | None:
+    """Rows for each pattern of NULLs, a text with 1 for each NULL cell; None if there are more than `most` patterns.
+
+    One pass: the patterns tell how many rows, and NULLs of each column, are left after rows with a NULL in any other
+    columns are dropped, in any order.
+    """
+    mask = F.concat(F.lit(""), *[F.when(col(c).isNull(), "1").otherwise("0") for c in df.columns])
+    found = df.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    return {r["mask"]: r["n"] for r in found} if len(found) <= most else None
+
+
+def left_after(masks: dict[str, int], names: list[str], dropped: list[str]) -> tuple[int, dict[str, int]]:
+    """Row count and NULLs per column of the rows without a NULL in the `dropped` columns."""
+    gone = [names.index(c) for c in dropped]
+    left = {m: n for m, n in masks.items() if not any(m[i] == "1" for i in gone)}
+    return sum(left.values()), {c: sum(n for m, n in left.items() if m[i] == "1") for i, c in enumerate(names)}
+
+
+def modes(df: DataFrame, names: list[str]) -> dict[str, Any]:
+    """Most frequent value of each column, the smallest on a tie; None for columns without values.
+
+    One shuffle for all columns, on (column, value) after a map-side count, with every value in its own type: the built-in
+    mode gathers all distinct values of a column in one task.
+    """
+    if not names:
+        return {}
+    types, own = {f.name: f.dataType for f in df.schema}, [f"v{i}" for i in range(len(names))]
+    cells = [
+        F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("col_pos"), *[
+            (col(c) if j == i else F.lit(None).cast(types[names[j]])).alias(o) for j, o in enumerate(own)]))
+        for i, c in enumerate(names)]
+    spelled = df.select(F.explode(F.array(*cells)).alias("x")).where("x is not null").select("x.*")
+    counted = spelled.groupBy("col_pos", *own).agg(F.count(F.lit(1)).alias("cnt"))
+    best = counted.groupBy("col_pos").agg(F.min_by(F.struct(*own), F.struct((-F.col("cnt")).alias("n"), *own)).alias("best"))
+    found = {r["col_pos"]: r["best"][r["col_pos"]] for r in best.collect()}
+    return {c: found.get(i) for i, c in enumerate(names)}
+
+
 def duplicate_rows(df: DataFrame) -> tuple[int, int]:
     """Row count, and rows beyond the first of each group of equal rows (NULL equals NULL).
 
-    Rows are counted by a 64-bit hash first, so only 8 bytes per row are shuffled. Equal rows have equal
-    hashes: if no hash repeats there are no duplicates, which is so for any table with a key. Only
-    otherwise are whole rows grouped, with the copies counted before the shuffle.
+    Rows are counted by a 128-bit hash first, so only 16 bytes per row are shuffled, after a map-side count. If no hash
+    repeats there are no duplicates, which is so for any table with a key. Otherwise the rows whose hash repeats, and
+    only those, are grouped by their values, with the copies counted before the shuffle.
     """
-    hashed = df.select(row_hash(df).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("cnt"))
-    seen = hashed.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("rows"), F.max("cnt").alias("most")).first()
-    if (seen["most"] or 0) <= 1:
+    one, other = row_hash(df), row_hash(df, 1)
+    hashed = df.select(one.alias("h"), other.alias("g")).groupBy("h", "g").agg(F.count(F.lit(1)).alias("cnt"))
+    repeats = F.col("cnt") > 1
+    seen = hashed.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(repeats, F.col("cnt"))), F.lit(0)).alias("repeated")).first()
+    if not seen["repeated"]:
         return seen["rows"], 0
     types = {f.name: f.dataType for f in df.schema}
     keys = [
         (F.to_json(col(c)) if isinstance(types[c], T.MapType) else col(c)).alias(f"k{i}")
         for i, c in enumerate(df.columns)
     ]
-    return seen["rows"], seen["rows"] - df.groupBy(*keys).agg(F.lit(1)).count()
+    rows = df.select(*keys, one.alias("h"), other.alias("g")).join(hashed.where(repeats).select("h", "g"), ["h", "g"], "left_semi")
+    return seen["rows"], seen["repeated"] - rows.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.lit(1)).count()
 
 
 def approx_percentiles(df: DataFrame, probs: dict[str, list[float]], accuracy: int) -> dict[str, list[float | None]]:

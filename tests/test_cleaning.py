@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import time
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkclean.functions.names import snake_case, unique_names
 from sparkclean.functions.parsing import java_pattern, parse_with, try_long, try_num, try_ts
-from sparkclean.operators import impute
+from sparkclean.operators import impute, stats
 from sparkclean.operators.dedup import deduplicate_dataset, drop_exact_duplicates
 from sparkclean.operators.impute import fill_directional, handle_missing_values
 from sparkclean.operators.merge import match_stats, merge_datasets
@@ -55,7 +56,7 @@ def test_fill_forward_and_back(spark):
 
 
 @pytest.mark.parametrize("seed,keys", [(1, 0), (2, 3), (3, 1)])
-def test_ranges_equal_one_window(spark, seed, keys):
+def test_ranges_equal_one_window(spark, monkeypatch, seed, keys):
     rng = random.Random(seed)
     rows, run = [], 0
     for i in range(400):
@@ -67,9 +68,13 @@ def test_ranges_equal_one_window(spark, seed, keys):
     strategies = {"v": "ffill", "t": "bfill"}
     plain = impute.fill_directional(df, strategies, ["o"], by, max_group_rows=10**6)
     ranged = impute.fill_directional(df, strategies, ["o"], by, max_group_rows=0)
+    monkeypatch.setattr(impute, "SCAN_WIDTH", 2)  # eight ranges on three levels
+    levels = impute.fill_directional(df, strategies, ["o"], by, max_group_rows=0)
     assert ranged.columns == df.columns
-    assert sorted(map(tuple, ranged.collect())) == sorted(map(tuple, plain.collect())) if not keys else (
-        {r["o"]: tuple(r) for r in ranged.collect()} == {r["o"]: tuple(r) for r in plain.collect()})
+    expected = {r["o"]: tuple(r) for r in plain.collect()}
+    for found in (ranged, levels):
+        assert {r["o"]: tuple(r) for r in found.collect()} == expected and found.count() == len(rows)
+        assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_drop_row_is_a_barrier(spark):
@@ -296,3 +301,36 @@ def test_salted_hot_keys(spark, how):
     plain = left.join(right, "k", "full" if how == "outer" else how).select("k", "a", "b", "_merge1").collect()
     found = merge_datasets(left, right, "k", how, hot_key_rows=10).df.select("k", "a", "b", "_merge1").collect()
     assert sorted(map(str, found)) == sorted(map(str, plain))
+
+
+def test_null_patterns_tell_what_drops_leave(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [tuple(None if rng.random() < 0.3 else rng.randint(0, 2) for _ in range(4)) for _ in range(300)]
+    df = spark.createDataFrame(data, "a int, b int, c int, d int").repartition(3)
+    masks = stats.null_masks(df)
+    for dropped in ([], ["b"], ["d", "a"], ["a", "b", "c", "d"]):
+        left = [r for r in data if all(r["abcd".index(c)] is not None for c in dropped)]
+        assert stats.left_after(masks, df.columns, dropped) == (len(left), {c: sum(r[i] is None for r in left) for i, c in enumerate("abcd")})
+    assert stats.null_masks(df, most=3) is None
+    chain = {"a": "drop_row", "b": "mode", "c": "drop_row", "d": "median"}
+    many = handle_missing_values(df, chain)
+    monkeypatch.setattr(stats, "null_masks", lambda df: None)  # as with too many patterns
+    counted = handle_missing_values(df, chain)
+    assert sorted(map(tuple, many.df.collect())) == sorted(map(tuple, counted.df.collect()))
+    assert (many.cells_targeted, many.log.rows_after, many.fill_values) == (counted.cells_targeted, counted.log.rows_after, counted.fill_values)
+
+
+def test_modes_of_all_types_in_one_go(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1L, 'b', 0.0D, date'2020-01-01', true, 1.50BD, NULL, array(1)), (1L, 'a', -0.0D, date'2019-01-01', NULL, 1.50BD, NULL, array(1)),
+                      (2L, 'b', 7.0D, NULL, true, 2.00BD, NULL, NULL), (NULL, 'a', 7.0D, NULL, false, NULL, NULL, NULL) AS t(i, s, x, d, f, m, n, l)""")
+    found = stats.modes(df, df.columns)
+    assert found == {"i": 1, "s": "a", "x": 0.0, "d": dt.date(2019, 1, 1), "f": True, "m": Decimal("1.50"), "n": None, "l": [1]}
+    assert stats.modes(df, []) == {} and stats.modes(df.limit(0), ["i"]) == {"i": None}
+
+
+def test_only_repeated_rows_are_grouped(spark):
+    rng = random.Random(9)
+    data = [(rng.choice([None, 1, 2]), rng.choice(["x", None]), {"k": rng.randint(0, 1)}) for _ in range(60)] + [(100 + k, "u", {}) for k in range(30)]
+    df = spark.createDataFrame(data, "a int, b string, m map<string,int>").repartition(4)
+    assert stats.duplicate_rows(df) == (90, 90 - len({(a, b, str(m)) for a, b, m in data}))
+    assert stats.duplicate_rows(df.where("a >= 100")) == (30, 0) and stats.duplicate_rows(df.limit(0)) == (0, 0)

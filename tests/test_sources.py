@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,50 @@ def test_all_steps_of_a_plan(spark, tmp_path, sales):
     assert done.results[4].profile is done.results[3].profile  # made once
     assert done.df.count() == 5 and spark.read.option("header", True).csv(store.path(done.results[-1].csv_key)).count() == 5
     assert CleaningPlan([Step("generate_output")]).run(sales).failed_step == 0
+
+
+def test_writers_at_the_same_time_all_get_a_version(spark, tmp_path, employees):
+    def write(k):
+        store = Snapshots(spark, str(tmp_path / "store"))
+        return store.write(StepResult(employees.where(F.lit(k) >= 0), StepLog("load_dataset", 4, 4, 1.0)))
+
+    with ThreadPoolExecutor(4) as pool:
+        keys = list(pool.map(write, range(4)))
+    assert sorted(keys) == [f"load_dataset/v{k}/dataset" for k in (1, 2, 3, 4)]
+    store = Snapshots(spark, str(tmp_path / "store"))
+    assert store.versions().count() == 4 and all(store.read(k).count() == 5 for k in keys)
+    assert store.claim("load_dataset") == 5 and store.claim("load_dataset") == 6  # a dead writer's number stays unused
+    assert store.write(StepResult(employees, StepLog("load_dataset", 4, 4, 1.0))) == "load_dataset/v7/dataset"
+
+
+def test_a_plan_goes_on_where_it_stopped(spark, tmp_path, sales, monkeypatch):
+    from sparkclean.plans import cleaning
+    sales.write.parquet(str(tmp_path / "raw"))
+    store = Snapshots(spark, str(tmp_path / "store"))
+    load = Step("load_dataset", {"path": str(tmp_path / "raw"), "format": "parquet"})
+    fill = Step("handle_missing_values", {"strategy_config": {"sale_amount": "median"}})
+    plan = CleaningPlan([load, Step("standardize_formats"), fill, Step("deduplicate_dataset"), Step("validate_dataset")])
+    whole, calls = dict(cleaning.STEPS), []
+
+    def counted(name):
+        def run(*args, **kwargs):
+            calls.append(name)
+            if name == "deduplicate_dataset" and len(calls) == 4:
+                raise RuntimeError("lost")
+            return whole[name](*args, **kwargs)
+        return run
+
+    monkeypatch.setattr(cleaning, "STEPS", {name: counted(name) for name in whole})
+    first = plan.run(None, store, resume=True)
+    assert first.failed_step == 3 and first.reused == []
+    second = plan.run(None, store, resume=True)
+    assert second.error is None and second.reused == [0, 1, 2] and calls[4:] == ["deduplicate_dataset", "validate_dataset"]
+    third = plan.run(None, store, resume=True)
+    assert third.reused == [0, 1, 2, 3, 4] and len(calls) == 6 and [r.step_name for r in third.logs] == [s.name for s in plan.steps]
+    assert sorted(map(tuple, third.df.collect())) == sorted(map(tuple, second.df.collect()))
+    other = CleaningPlan([load, Step("standardize_formats"), Step("handle_missing_values", {"strategy_config": {"sale_amount": "mean"}})])
+    assert other.run(None, store, resume=True).reused == [0, 1]  # other arguments
+    sales.limit(3).write.mode("append").parquet(str(tmp_path / "raw"))
+    assert plan.run(None, store, resume=True).reused == []  # another input
+    with pytest.raises(ValueError, match="resume"):
+        plan.run(None, None, resume=True)
