@@ -32,6 +32,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing will read any more: what was made from them is itself written."""
+    for table in tables:
+        spark, files = table.sparkSession, table.inputFiles()
+        if files:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once and return it as a scan of the written table."""
     spark = df.sparkSession
