@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sparkclean.sources.scratch import written
+from sparkclean.sources.scratch import drop_written, written
 
-__all__ = ["SLICE_BYTES", "byte_slices", "label_components", "mapped", "ragged", "shuffle_parts", "texts_of", "utf8_views", "written"]
+__all__ = ["SLICE_BYTES", "byte_slices", "drop_written", "label_components", "mapped", "ragged", "shuffle_parts", "texts_of", "utf8_views", "written"]
 
 SLICE_BYTES = 4 << 20
 
@@ -104,7 +104,8 @@ def label_components(links: DataFrame, src: str = "a", dst: str = "b", rounds: i
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v").where("u <> v").distinct()
         )
-        edges = written(small, "links")
+        before, edges = edges, written(small, "links")
+        drop_written(before)
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkclean.llm.common import byte_slices, label_components, mapped, utf8_views, written
+from sparkclean.llm.common import byte_slices, drop_written, label_components, mapped, utf8_views, written
 from sparkclean.llm.shingles import distinct_by_text, mix, shingle_sets
 
 #: A token that stands in more prefixes is frequent; a rarer one makes at most FREQUENT / 2 pairs a row.
@@ -361,16 +361,20 @@ def join_shingles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = written(_sets(docs, id_col, text_col, width), "shingle-sets")
     prefix = written(_prefixes(docs, text_col, width, limit, _classes(sets)), "shingle-prefixes")
     postings = _counted(prefix.select("node", "n", F.posexplode("tokens").alias("pos", "token")), "shingle-postings")
+    drop_written(prefix)
     rare, frequent = postings.where(f"c <= {FREQUENT}"), postings.where(f"c > {FREQUENT}")
-    combined = _counted(written(_combinations(frequent, limit), "shingle-combinations"), "shingle-combined")
+    combinations = written(_combinations(frequent, limit), "shingle-combinations")
+    combined = _counted(combinations, "shingle-combined")
+    drop_written(combinations)
     dense = combined.where(f"c > {PAIRED}")
     stars = dense.where("node <> lo").selectExpr("lo as a", "node as b", "lo_n as na", "n as nb")
     further = _pairs_under(combined.where(f"c <= {PAIRED}"), limit).union(stars)
     pairs = written(_possible(_pairs_under(rare, limit), further, frequent, limit), "shingle-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = _texts(docs, sets, nodes, id_col, text_col, width)
-    links = written(_verified(pairs, texts, width, limit), "shingle-links")
-    links = written(links.union(_dense_links(dense, links, texts, width, limit)), "shingle-links")
+    linked = written(_verified(pairs, texts, width, limit), "shingle-links")
+    links = written(linked.union(_dense_links(dense, linked, texts, width, limit)), "shingle-links")
+    drop_written(postings, combined, pairs, texts, linked)
     own = sets.where("part is null").select("id", "n", "node", "check")
     least_id = own.groupBy("node", "check").agg(F.min("id").alias("least_id"))
     comp = least_id.join(label_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))

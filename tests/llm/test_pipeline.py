@@ -81,4 +81,4 @@ def test_run(spark, tables):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *QUERIES} <= names and sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert {"pipeline", *QUERIES} <= names and sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
