@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -14,6 +18,8 @@ from sparkclean.functions.missing import as_text, col, is_numeric
 
 # Patterns of NULLs that are counted one by one.
 MASKS = 10_000
+# Values of a column that are counted once more at most, and smallest texts that are looked at first beyond that.
+CANDIDATES, SMALLEST = 1_000, 64
 
 
 def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
@@ -24,38 +30,113 @@ def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     return row["rows"], {c: row["rows"] - row[f"c{i}"] for i, c in enumerate(df.columns)}
 
 
-def frequencies(df: DataFrame, names: list[str]) -> DataFrame:
-    """(col_pos, value, cnt) for every distinct non-null value of the columns, values as text.
-
-    One shuffle for all columns, on (col_pos, value) after a map-side count, so a value that fills a
-    third of a column reaches the shuffle as one row per task.
-    """
+def spelled(df: DataFrame, names: list[str]) -> DataFrame:
+    """(col_pos, value) of every cell that isn't NULL, values as text, and two 64-bit hashes of the text."""
     types = {f.name: f.dataType for f in df.schema}
     cells = F.array(*[
         F.struct(F.lit(i).alias("col_pos"), as_text(c, types[c]).alias("value")) for i, c in enumerate(names)
     ])
-    return (
-        df.select(F.inline(cells))
-        .where(F.col("value").isNotNull())
-        .groupBy("col_pos", "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    known = df.select(F.inline(cells)).where(F.col("value").isNotNull())
+    return known.withColumns({"h": F.xxhash64("value"), "g": F.xxhash64(F.lit(1), "value")})
+
+
+def hashed_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """(col_pos, h, g, cnt) for every distinct value: one shuffle for all columns, of 128-bit hashes counted before it.
+
+    No text is moved, and a value that fills a third of a column is one row a task.
+    """
+    return spelled(df, names).groupBy("col_pos", "h", "g").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def entropy_of(cnt: Column) -> Column:
-    """Shannon entropy in bits of a group of counts: log2(N) - sum(c*log2 c)/N."""
-    total = F.sum(cnt)
-    return F.round(F.abs(F.log2(total) - F.sum(cnt * F.log2(cnt)) / total), 4)
+@dataclass(frozen=True)
+class ValueSummary:
+    """Distinct values of a column, their entropy, and how many of them have each of the highest counts."""
 
+    distinct: int = 0
+    entropy: float | None = None
+    counts: tuple[tuple[int, int], ...] = ()
 
-def top_k(freq: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent values per column; equal counts by value.
 
-    The rank filter is applied before the shuffle as well (window group limit), so at most k rows per
-    column and task are moved.
+def value_summaries(df: DataFrame, names: list[str], k: int = 1) -> dict[str, ValueSummary]:
+    """Summaries with the k highest counts, from the number of values that have each count: few rows however many values."""
+    if not names:
+        return {}
+    own = hashed_counts(df, names).groupBy("col_pos", "cnt").agg(F.count(F.lit(1)).alias("m"))
+    cnt, m = F.col("cnt"), F.col("m")
+    total = F.sum(cnt * m)
+    rows = own.groupBy("col_pos").agg(
+        F.sum(m).alias("distinct"), F.round(F.abs(F.log2(total) - F.sum(m * cnt * F.log2(cnt)) / total), 4).alias("entropy"),
+        # Counts differ, so a column of N cells has less than sqrt(2 * N) of them.
+        F.slice(F.sort_array(F.collect_list(F.struct("cnt", "m")), asc=False), 1, k).alias("counts")).collect()
+    found = {names[r["col_pos"]]: ValueSummary(r["distinct"], r["entropy"], tuple((c["cnt"], c["m"]) for c in r["counts"])) for r in rows}
+    return {c: found.get(c, ValueSummary()) for c in names}
+
+
+def _smallest(df: DataFrame, names: list[str], n: int) -> DataFrame:
+    """(col_pos, value): the n smallest distinct texts of each column; every task sends n at most."""
+    types = {f.name: f.dataType for f in df.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [pa.array([], pa.string())] * len(names)
+        for batch in batches:
+            for i in range(len(names)):
+                own = pc.unique(pa.concat_arrays([kept[i], pc.drop_null(batch.column(i)).cast(pa.string())]))
+                kept[i] = own.take(pc.array_sort_indices(own)[:n])
+        for i, own in enumerate(kept):
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.int32()), own], ["col_pos", "value"])
+
+    texts = df.select(*[as_text(c, types[c]).alias(f"t{i}") for i, c in enumerate(names)])
+    least = texts.mapInArrow(run, "col_pos int, value string").distinct()
+    order = Window.partitionBy("col_pos").orderBy("value")
+    return least.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("col_pos", "value")
+
+
+def top_counts(
+    df: DataFrame, names: list[str], k: int, known: dict[str, ValueSummary] | None = None, first: int = SMALLEST,
+) -> dict[str, list[tuple[str, int]]]:
+    """The k most frequent values of each column as text, with their counts; equal counts by value.
+
+    The summaries tell the lowest count that counts, so the hashes at or above it are the candidates and only their texts
+    are counted once more. Where very many values share that lowest count, as in a column of unique texts, the smallest
+    texts of the column are candidates instead, and more of them until enough have that count.
     """
-    order = Window.partitionBy("col_pos").orderBy(F.col("cnt").desc(), F.col("value"))
-    return freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    summaries = known or value_summaries(df, names, k)
+    names = [c for c in names if summaries[c].distinct]
+    if not names:
+        return {}
+    floor, above, many = {}, {}, []
+    for c in names:
+        total = 0
+        for cnt, m in summaries[c].counts:
+            floor[c], above[c] = cnt, total
+            total += m
+            if total >= k:
+                break
+        if total > max(CANDIDATES, k):
+            many.append(c)
+    # At most CANDIDATES hashes a column.
+    limits = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(i), F.lit(floor[c] + (c in many)).cast("bigint"))])
+    rows = hashed_counts(df, names).where(F.col("cnt") >= limits[F.col("col_pos")]).select("col_pos", "h", "g").collect()
+    spark, out = df.sparkSession, {}
+    wanted = spark.createDataFrame([tuple(r) for r in rows], "col_pos int, h long, g long")
+    todo, n = list(names), first
+    while todo:
+        tied = [c for c in todo if c in many]
+        if tied:
+            place = F.create_map(*[x for i, c in enumerate(tied) for x in (F.lit(i), F.lit(names.index(c)))])
+            least = _smallest(df, tied, n).select(place[F.col("col_pos")].alias("col_pos"), F.xxhash64("value").alias("h"), F.xxhash64(F.lit(1), "value").alias("g"))
+            wanted = wanted.union(spark.createDataFrame([tuple(r) for r in least.collect()], wanted.schema)).distinct()  # n a column
+        cells = spelled(df, names).join(F.broadcast(wanted), ["col_pos", "h", "g"])
+        counted: dict[str, list[tuple[str, int]]] = {c: [] for c in names}
+        for r in cells.groupBy("col_pos", "value").agg(F.count(F.lit(1)).alias("cnt")).collect():
+            counted[names[r["col_pos"]]].append((r["value"], r["cnt"]))
+        for c in list(todo):
+            own = sorted((x for x in counted[c] if x[1] >= floor[c]), key=lambda x: (-x[1], x[0]))
+            if c not in many or len(own) >= k or n >= summaries[c].distinct:
+                out[c] = own[:k]
+                todo.remove(c)
+        n *= 16
+    return out
 
 
 def null_masks(df: DataFrame, most: int = MASKS) -> dict[str, int] | None:

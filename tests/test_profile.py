@@ -1,6 +1,7 @@
 import math
 import random
 import struct
+from collections import Counter
 from decimal import Decimal
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkclean.operators import profile as P
-from sparkclean.operators import impute, percentiles
+from sparkclean.operators import impute, percentiles, stats
 from sparkclean.operators.quality import quality_report, validate_dataset
 
 
@@ -122,9 +123,10 @@ def test_partitioning_changes_nothing(spark, employees):
         assert P.numeric_stats(other).select("name", "median", "q25", "q75", "min", "max").collect() == numbers
 
 
-def test_top_values_are_limited_before_the_shuffle(spark):
-    plan = stats.top_k(stats.frequencies(spark.range(100).withColumn("s", F.col("id").cast("string")), ["s"]))
-    assert "WindowGroupLimit" in plan._jdf.queryExecution().toString()
+def test_smallest_texts_are_limited_before_the_shuffle(spark):
+    found = stats._smallest(spark.range(100).withColumn("s", F.col("id").cast("string")).repartition(3), ["s"], 4)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
+    assert sorted(r["value"] for r in found.collect()) == ["0", "1", "10", "11"]
 
 
 # --- validation ---------------------------------------------------------------------------------
@@ -199,3 +201,37 @@ def test_filled_median_keeps_its_digits(spark):
     df = spark.createDataFrame([(2**53 + 1, Decimal("0.10")), (None, None), (2**53 + 1, Decimal("0.30"))], "i long, d decimal(20,2)")
     rows = impute.handle_missing_values(df, {"i": "median", "d": "median"}).df.collect()
     assert {r.i for r in rows} == {2**53 + 1} and sorted(r.d for r in rows) == [Decimal("0.10"), Decimal("0.20"), Decimal("0.30")]
+
+
+@pytest.mark.parametrize("candidates", [1000, 12])
+def test_top_values_without_moving_texts(spark, monkeypatch, candidates):
+    """Ties at the lowest count, unique texts, and tied values that come late in the order."""
+    monkeypatch.setattr(stats, "CANDIDATES", candidates)
+    monkeypatch.setattr(stats, "SMALLEST", 3)
+    rng = random.Random(2)
+    late = [f"a{k:03d}" for k in range(80)] * 2 + [f"z{k}" for k in range(30)] * 3 + ["m"] * 9
+    rng.shuffle(late)
+    n = len(late)
+    rows = [(f"u{rng.random()}", late[i], rng.choice("xyz") if i % 3 else None, rng.randint(0, 40), None) for i in range(n)]
+    df = spark.createDataFrame(rows, "unique string, late string, few string, num int, gone string").repartition(4)
+    found = stats.top_counts(df, df.columns, 10, first=stats.SMALLEST)
+    summaries = stats.value_summaries(df, df.columns, 10)
+    for i, c in enumerate(df.columns):
+        counts = Counter(str(r[i]) for r in rows if r[i] is not None)
+        assert found.get(c, []) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:10]
+        total = sum(counts.values())
+        plain = round(-sum(v / total * math.log2(v / total) for v in counts.values()), 4) if total else None
+        assert summaries[c].distinct == len(counts) and (summaries[c].entropy == pytest.approx(plain, abs=1e-4) if total else summaries[c].entropy is None)
+    assert stats.top_counts(df.limit(0), ["late"], 3) == {} and stats.value_summaries(df, []) == {}
+    plan = stats.hashed_counts(df, ["late"])._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[col_pos" in plan and "value" not in plan[: plan.index("Exchange")]
+
+
+def test_a_profile_takes_few_jobs(spark):
+    df = spark.createDataFrame([(i, f"k{i}", "ab"[i % 2], float(i)) for i in range(200)], "i long, k string, t string, x double")
+    tracker, group = spark.sparkContext.statusTracker(), "profile-jobs"
+    spark.sparkContext.setJobGroup(group, "profile")
+    P.build_profile(df)
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 24  # a shuffle map stage is a job of its own under adaptive execution
