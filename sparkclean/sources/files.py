@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkclean.sources.csv_records import read_split
 from sparkclean.audit import Lineage, StepLog, StepResult
 from sparkclean.functions.missing import col, columns_of, null_tokens
 from sparkclean.functions.parsing import try_bool, try_long, try_num
@@ -67,17 +68,13 @@ def spans_lines(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """CSV with a header row; NA tokens become NULL, then column types are inferred in one pass.
 
-    Fields may hold line breaks, but a file read that way cannot be split between tasks. So by default a
-    cheap pass looks for such fields first, and files without them are split.
+    Fields may hold line breaks. By default a cheap pass looks for such fields first; files that have them are cut at
+    the true ends of their records. `multiline` True reads each file whole in one task, False by lines.
     """
-    if multiline is None:
-        multiline = spans_lines(spark, path)
-    raw = (
-        spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
-        .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    return cast_inferred(null_tokens(raw))
+    split = multiline is None and spans_lines(spark, path)
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    raw = spark.read.options(**options).option("header", True).option("inferSchema", False).option("multiLine", split or bool(multiline)).csv(path)
+    return cast_inferred(null_tokens(read_split(spark, path, raw, options) if split else raw))
 
 
 def inferred_types(df: DataFrame) -> dict[str, str]:

@@ -1,4 +1,5 @@
 import json
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -8,6 +9,7 @@ from sparkclean.audit import StepLog, StepResult, audit_log, schema_digest, tabl
 from sparkclean.operators.impute import handle_missing_values
 from sparkclean.operators.merge import merge_datasets
 from sparkclean.plans.cleaning import CleaningPlan, Step
+from sparkclean.sources.csv_records import inside_after, records
 from sparkclean.sources.files import load_dataset, read_csv, schema_summary, spans_lines, with_row_order
 from sparkclean.sources.report import generate_output, quality_report_markdown
 from sparkclean.sources.snapshots import Snapshots, artifact_key, write_csv
@@ -233,3 +235,47 @@ def test_a_plan_goes_on_where_it_stopped(spark, tmp_path, sales, monkeypatch):
     assert plan.run(None, store, resume=True).reused == []  # another input
     with pytest.raises(ValueError, match="resume"):
         plan.run(None, None, resume=True)
+
+
+def random_csv(rng, rows):
+    """Cells with commas, quotes, line breaks and empty lines inside quotes, and stray quotes inside unquoted cells."""
+    def cell():
+        kind = rng.random()
+        if kind < 0.3:
+            return '"' + "".join(rng.choice(["a", ",", '""', "\n", "b c", "\r\n", "\n\n"]) for _ in range(rng.randint(0, 6))) + '"'
+        return rng.choice(["x", "", "5 in", 'it"s', "12", "NA", "long text " * rng.randint(1, 5)])
+
+    return "id,a,b\n" + "".join(f"{i},{cell()},{cell()}\n" + "\n" * (rng.random() < 0.05) for i in range(rows))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    (tmp_path / "t").mkdir()
+    for k in range(2):
+        write(tmp_path / "t" / f"{k}.csv", random_csv(rng, 300) if k else random_csv(rng, 40) + '99,"' + "one long cell\n" * 400 + '",end')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = read_csv(spark, str(tmp_path / "t"))
+        assert records(spark, str(tmp_path / "t")).rdd.getNumPartitions() > 8
+        rows = sorted(map(tuple, found.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = read_csv(spark, str(tmp_path / "t"), multiline=True)
+    assert found.dtypes == whole.dtypes and rows == sorted(map(tuple, whole.collect()), key=str) and len(rows) == 341
+
+
+def test_lines_that_end_with_a_carriage_return(spark, tmp_path):
+    text = random_csv(random.Random(7), 60).replace("\r\n", "\n").replace("\n", "\r\n")
+    (tmp_path / "t.csv").write_bytes(text.encode())
+    found, whole = (read_csv(spark, str(tmp_path / "t.csv"), multiline=m) for m in (None, True))
+    assert found.dtypes == whole.dtypes and sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
+def test_state_behind_a_line():
+    for line, outside, inside in (("a,b", False, True), ('a,"b', True, False), ('"a,b"', False, True), ('a"b,c', False, False), ('""', False, True),
+                                  ('"a""', True, True), ('x","y', False, True), ('"a"b"c,"d', True, False), ("", False, True)):
+        assert (inside_after(line, False), inside_after(line, True)) == (outside, inside), line
