@@ -179,7 +179,7 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Encode every whole text: `id_col`, ids (binary: little-endian unsigned 32-bit), n_tokens long.
 
     Strings of special tokens inside texts become those tokens. Null and empty texts have no ids. Every input row gives
-    one row, repeated rows and null keys too; other columns are not read. `path` names a tokenizer file that is
+    one row, repeated rows and null keys too; an empty table gives none; other columns are not read. `path` names a tokenizer file that is
     installed on every executor.
     """
     kind = df.schema[id_col].dataType.simpleString()

@@ -48,7 +48,7 @@ class Line:
 
 def lines_of(transcript: str) -> list[Line]:
     """Lines that aren't blank. Their length is that of the block they stand in, up to a blank line or a marker."""
-    out, blank, speakers = [], False, []
+    out, blank, speakers = [], False, {}
     block, size = 0, 0
 
     def close() -> None:
@@ -67,9 +67,8 @@ def lines_of(transcript: str) -> list[Line]:
         if role:
             marker = MARKERS.index(role)
         elif found:
-            if name not in speakers:
-                speakers.append(name)
-            marker = MARKERS.index(("first", "second")[speakers.index(name)] if speakers.index(name) < 2 else "other")
+            place = speakers.setdefault(name, len(speakers))
+            marker = MARKERS.index(("first", "second")[place] if place < 2 else "other")
         else:
             marker = 0
         rest = raw[found.end():] if found else raw
@@ -226,7 +225,8 @@ def fit_chat(df: DataFrame, use: Column | None = None, id_col: str = "conv_id",
 def parse_transcripts(df: DataFrame, model: ChatModel, id_col: str = "id", part_col: str = "part", text_col: str = "transcript") -> DataFrame:
     """Turns of every whole transcript: `id_col`, `part_col`, turn int from 0, role, text, rendered.
 
-    Null, empty and blank transcripts have no turns. Repeated rows each give their turns; other columns are not read.
+    Null, empty and blank transcripts have no turns. Repeated rows each give their turns; an empty table gives none; other
+    columns are not read.
     """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, part_col))
 

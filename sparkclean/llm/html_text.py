@@ -377,7 +377,7 @@ def extract_text(df: DataFrame, weights: TagWeights, id_col: str = "page_id", ur
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by line breaks.
     Null and empty pages, and pages without words, have the empty text. Every input row gives one row, repeated rows and
-    null keys too; other columns are not read.
+    null keys too; an empty table gives none; other columns are not read.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 

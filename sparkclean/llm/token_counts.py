@@ -166,7 +166,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Tokens of every whole text: `id_col`, n_bytes long (UTF-8), n_tokens long, over_limit boolean (above `limit`).
 
     Strings of special tokens count as one token each. Null and empty texts count 0. Every input row gives one row,
-    repeated rows and null keys too; other columns are not read.
+    repeated rows and null keys too; an empty table gives none; other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from sparkclean.llm import chat_format, html_text, quality, shingle_join
@@ -260,3 +261,44 @@ def test_tags_that_never_end_are_text():
     assert html_text.main_text('a <b class="x>y c', weights) == 'a <b class="x>y c'
     assert html_text.main_text("one <i title='>'>two</i> <a <b>three</b> <c ' four", weights) == "one two three <c ' four"
     assert html_text.main_text("x<script>if (a<b) {}</script>y<style/>z", weights) == "xyz"
+
+
+def test_quality_scores_equal_recomputed_ones(labelled):
+    """Sizes by plain compression block by block, the calibration by its own optimum."""
+    held = F.col("doc_id") % 3 == 0
+    labels = labelled.select("doc_id", "quality")
+    model = quality.fit_quality(labelled.drop("quality"), labels, ~held)
+
+    def size(text, data):
+        table = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT if data[:4] == quality.TRAINED else zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=table, write_content_size=False, write_checksum=False, write_dict_id=False)
+        blocks = [text[i : i + quality.BLOCK] for i in range(0, len(text), quality.BLOCK)]
+        return sum(len(packer.compress(b)) - len(packer.compress(b"")) for b in blocks)
+
+    def inputs(text):
+        data = (text or "").encode()
+        good, bad = size(data, model.good), size(data, model.bad)
+        return (bad - good) / (len(data) + 64), (min(good, bad) + 32) / (len(data) + 64)
+
+    for r in quality.score_quality(labelled, model).collect():
+        difference, smaller = inputs(r.text)
+        at = model.weights[0] + model.weights[1] * difference + model.weights[2] * smaller
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(at, -30, 30))), abs=1e-12)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2)) * [0.02, 0.1] + [0.01, 0.4]
+    y = (x[:, 0] * 60 + rng.normal(size=400) > 0.5).astype(int)
+    w = np.array(quality.calibrated(x, y))
+    scale = x.std(0) + 1e-9
+
+    def loss(w):
+        at = w[0] + x @ w[1:]
+        return np.log1p(np.exp(-np.where(y == 1, at, -at))).sum() + 0.5 * 1e-3 * len(x) * ((w[1:] * scale) ** 2).sum()
+
+    for step in np.concatenate([np.eye(3), -np.eye(3)]) * [1e-3, 1e-2, 1e-2]:
+        assert loss(w) <= loss(w + step) + 1e-9
+
+
+def test_many_named_speakers_take_linear_time():
+    began = time.time()
+    lines = chat_format.lines_of("\n".join(f"Speaker{k}: says something" for k in range(40_000)))
+    assert len(lines) == 40_000 and time.time() - began < 10
