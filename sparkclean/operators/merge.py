@@ -16,10 +16,10 @@ JOIN_TYPES = ("left", "right", "inner", "outer")
 # Match rate that brings a warning, and the confidence above a match rate.
 FEW_MATCHES = 0.5
 CONFIDENCE = ((0.9, 1.0), (0.5, 0.75), (-1.0, 0.5))
-# A key with more rows than this on one side is joined apart from the rest.
+# The rows of a key with more rows than this on one side are dealt to several tasks.
 HOT_KEY_ROWS = 1_000_000
-# At most this many keys can be hot; their list is broadcast.
-MAX_HOT_KEYS = 100_000
+# The list of such keys is broadcast: at most so many, and so many bytes.
+MAX_HOT_KEYS, HOT_KEY_BYTES = 100_000, 8 << 20
 
 
 @dataclass
@@ -126,18 +126,11 @@ def merge_datasets(
     left, right = nan_to_null(left), nan_to_null(right)
     right, added = _without_collisions(left, right, join_key)
 
-    counts = key_counts(left, right, join_key).persist()
-    try:
-        s = _statistics(counts).first()
-        limit = max(hot_key_rows, (s["left_rows"] + s["right_rows"]) // MAX_HOT_KEYS)
-        hot = []
-        if s["max_count"] > limit:
-            hot = counts.where(F.greatest("left_count", "right_count") > limit).collect()  # <= MAX_HOT_KEYS rows
-    finally:
-        counts.unpersist()
-
+    counts = key_counts(left, right, join_key)
+    s = _statistics(counts).first()
+    hot = _hot_keys(counts, hot_key_rows) if s["max_count"] > hot_key_rows else []
     if hot:
-        joined = _join_with_hot_keys(left, right, join_key, join_type, hot, counts.schema["key"].dataType, limit)
+        joined = _join_salted(left, right, join_key, join_type, hot, counts.schema["key"].dataType, hot_key_rows)
     else:
         joined = _join(left, right, join_key, join_type)
 
@@ -187,44 +180,49 @@ def _join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     return joined.select(*merged, *[col(c) for c in right.columns if c != key])
 
 
-def _join_with_hot_keys(left, right, key, how, hot, key_type, limit) -> DataFrame:
-    """Join the hot keys apart, so that their rows are not shuffled to one task.
+def _hot_keys(counts: DataFrame, limit: int) -> list:
+    """Keys of more than `limit` rows on a side, the most frequent first: at most MAX_HOT_KEYS, and HOT_KEY_BYTES of their text."""
+    rows = F.greatest("left_count", "right_count")
+    size = F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)) + 32
+    listed = counts.where(rows > limit).select("*", rows.alias("rows"), size.alias("size")).orderBy(F.desc("rows"), "key").limit(MAX_HOT_KEYS)
+    room, out = HOT_KEY_BYTES, []
+    for r in listed.where(F.col("size") <= HOT_KEY_BYTES // 16).collect():
+        room -= r["size"]
+        if room < 0:
+            break
+        out.append(r)
+    return out
+
 
-    Hot keys present on both sides join as an inner join (every such row has a partner), salted: the side with more rows
-    of a key is dealt into chunks of at most about `limit` rows, and the other side's rows meet each chunk. Hot keys
-    present on one side only need no join: their rows are kept with NULLs or left out, as the join type says.
+def _join_salted(left, right, key, how, hot, key_type, limit) -> DataFrame:
+    """One join on the key and a salt, so that the rows of a hot key are not shuffled to one task.
+
+    A key that is hot on both sides: the side with more rows of it is dealt into chunks of about `limit` rows by a hash of
+    the row, the other side's rows go to each chunk. Copies that meet an empty chunk are taken out again; each row has
+    partners in some chunk, so none is lost. A key that only one side has is dealt out without copies. All other rows have
+    salt 0. Each side is read once; the map of hot keys has a bounded size.
     """
     spark, own = left.sparkSession, free_prefix("_merge", [*left.columns, *right.columns])
     schema = T.StructType([
-        T.StructField(f"{own}key", key_type), T.StructField(f"{own}both", T.BooleanType()),
-        T.StructField(f"{own}left", T.IntegerType()), T.StructField(f"{own}right", T.IntegerType())])
+        T.StructField(f"{own}hot", key_type), T.StructField(f"{own}both", T.BooleanType()),
+        T.StructField(f"{own}left", T.BooleanType()), T.StructField(f"{own}chunks", T.IntegerType())])
     listed = F.broadcast(spark.createDataFrame([
-        (r["key"], r["left_count"] > 0 and r["right_count"] > 0,
-         *((-(-r["left_count"] // limit), 1) if r["left_count"] >= r["right_count"] else (1, -(-r["right_count"] // limit)))) for r in hot], schema))
-    helpers = [f.name for f in schema]
-
-    def split(df):
-        cold = df.join(listed, col(key).eqNullSafe(F.col(f"{own}key")), "left_anti")
-        warm = df.join(listed, col(key).eqNullSafe(F.col(f"{own}key")), "inner")
-        return cold, warm.where(f"{own}both"), warm.where(f"NOT {own}both").drop(*helpers)
-
-    def dealt(df, chunks: str, copies: str):
-        """Rows of the larger side of a key in chunks; those of the other side once for each chunk."""
-        mine = F.pmod(F.xxhash64(*[F.to_json(col(f.name)) if isinstance(f.dataType, T.MapType) else col(f.name) for f in df.schema]), F.col(chunks))
-        slots = F.when(F.col(chunks) > 1, F.array(mine)).otherwise(F.sequence(F.lit(0), F.col(copies) - 1).cast("array<bigint>"))
-        return df.withColumn(f"{own}slot", F.explode(slots)).drop(*helpers)
-
-    left_cold, left_both, left_only = split(left)
-    right_cold, right_both, right_only = split(right)
-    l = dealt(left_both, f"{own}left", f"{own}right")
-    r = dealt(right_both, f"{own}right", f"{own}left").withColumnsRenamed({key: f"{own}key", f"{own}slot": f"{own}at"})
-    met = l.join(r, col(key).eqNullSafe(col(f"{own}key")) & (F.col(f"{own}slot") == F.col(f"{own}at")))
-    parts = [_join(left_cold, right_cold, key, how), met.drop(f"{own}slot", f"{own}at", f"{own}key")]
-    if how in ("left", "outer"):
-        parts.append(left_only)
-    if how in ("right", "outer"):
-        parts.append(right_only)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+        (r["key"], r["left_count"] > 0 and r["right_count"] > 0, r["left_count"] >= r["right_count"],
+         -(-max(r["left_count"], r["right_count"]) // limit)) for r in hot], schema))
+
+    def dealt(df: DataFrame, is_left: bool) -> DataFrame:
+        marked = df.join(listed, col(key).eqNullSafe(F.col(f"{own}hot")), "left")
+        chunks, both = F.col(f"{own}chunks"), F.col(f"{own}both")
+        chunk = F.pmod(F.xxhash64(*[F.to_json(col(f.name)) if isinstance(f.dataType, T.MapType) else col(f.name) for f in df.schema]), chunks)
+        dealt_out = ~both | (F.col(f"{own}left") if is_left else ~F.col(f"{own}left"))
+        salts = F.when(chunks.isNull(), F.array(F.lit(0).cast("bigint"))).when(dealt_out, F.array(chunk)).otherwise(
+            F.sequence(F.lit(0).cast("bigint"), chunks.cast("bigint") - 1))
+        return marked.select(*map(col, df.columns), F.coalesce(both, F.lit(False)).alias(f"{own}both"), F.explode(salts).alias(f"{own}salt"))
+
+    other = {key: f"{own}key", f"{own}both": f"{own}both_too", f"{own}salt": f"{own}at"}
+    l, r = dealt(left, True), dealt(right, False).withColumnsRenamed(other)
+    met = l.join(r, col(key).eqNullSafe(F.col(f"{own}key")) & (F.col(f"{own}salt") == F.col(f"{own}at")), how)
+    alone = F.col(f"{own}salt").isNull() | F.col(f"{own}at").isNull()
+    met = met.where(~(alone & (F.coalesce(f"{own}both", F.lit(False)) | F.coalesce(f"{own}both_too", F.lit(False)))))
+    merged = [F.coalesce(col(c), F.col(f"{own}key")).alias(c) if c == key else col(c) for c in left.columns]
+    return met.select(*merged, *[col(c) for c in right.columns if c != key])

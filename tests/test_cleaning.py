@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkclean.functions.names import snake_case, unique_names
 from sparkclean.functions.parsing import java_pattern, parse_with, try_long, try_num, try_ts
-from sparkclean.operators import impute, stats
+from sparkclean.operators import impute, merge, stats
 from sparkclean.operators.dedup import deduplicate_dataset, drop_exact_duplicates
 from sparkclean.operators.impute import fill_directional, handle_missing_values
 from sparkclean.operators.merge import match_stats, merge_datasets
@@ -303,6 +303,20 @@ def test_salted_hot_keys(spark, how):
     assert sorted(map(str, found)) == sorted(map(str, plain))
 
 
+def test_a_salted_join_reads_each_side_once(spark, tmp_path, monkeypatch):
+    spark.range(200).selectExpr("IF(id < 150, 1, id) AS k", "'same' AS a").write.parquet(f"{tmp_path}/l")  # equal rows leave chunks empty
+    spark.range(40).selectExpr("IF(id < 30, 1, id) AS k", "id AS b").write.parquet(f"{tmp_path}/r")
+    left, right = spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r")
+    for how in ("left", "right", "inner", "outer"):
+        found = merge_datasets(left, right, "k", how, hot_key_rows=10).df
+        assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+        plain = left.join(right, "k", "full" if how == "outer" else how).select("k", "a", "b")
+        assert sorted(map(str, found.select("k", "a", "b").collect())) == sorted(map(str, plain.collect()))
+    monkeypatch.setattr(merge, "HOT_KEY_BYTES", 16 * 40)
+    monkeypatch.setattr(merge, "MAX_HOT_KEYS", 1)
+    assert merge_datasets(left, right, "k", "outer", hot_key_rows=10).df.count() == left.join(right, "k", "full").count()
+
+
 def test_null_patterns_tell_what_drops_leave(spark, monkeypatch):
     rng = random.Random(6)
     data = [tuple(None if rng.random() < 0.3 else rng.randint(0, 2) for _ in range(4)) for _ in range(300)]
