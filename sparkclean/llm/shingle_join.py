@@ -210,15 +210,16 @@ def _combinations(frequent: DataFrame, limit: Threshold) -> DataFrame:
     return mapped(lists.select("node", "n", "x"), run, "token long, node long, n long")
 
 
-def _counted(postings: DataFrame, label: str) -> DataFrame:
-    """Postings under tokens of two sets or more, with the number c of those sets and the smallest, lo.
+def _counted(postings: DataFrame, label: str, least: bool) -> DataFrame:
+    """Postings under tokens of two sets or more, with the number c of those sets and, if asked for, the smallest, lo.
 
     `postings` is read twice: counts are formed before the shuffle, so a token that very many sets share is one row a task,
     and in the join that brings them back Spark splits the partition of such a token.
     """
-    counts = postings.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("least")).where("c > 1")
-    counts = counts.select("token", "c", F.col("least.node").alias("lo"), F.col("least.n").alias("lo_n"))
-    return written(postings.join(counts, "token").select("token", *[x for x in postings.columns if x != "token"], "c", "lo", "lo_n"), label)
+    lowest = [F.min(F.struct("node", "n")).alias("least")] if least else []
+    counts = postings.groupBy("token").agg(F.count("*").alias("c"), *lowest).where("c > 1")
+    lo = [F.col("least.node").alias("lo"), F.col("least.n").alias("lo_n")] if least else []
+    return written(postings.join(counts, "token").select("token", *[x for x in postings.columns if x != "token"], "c", *lo), label)
 
 
 def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -360,11 +361,11 @@ def join_shingles(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col), F.col(text_col))
     sets = written(_sets(docs, id_col, text_col, width), "shingle-sets")
     prefix = written(_prefixes(docs, text_col, width, limit, _classes(sets)), "shingle-prefixes")
-    postings = _counted(prefix.select("node", "n", F.posexplode("tokens").alias("pos", "token")), "shingle-postings")
+    postings = _counted(prefix.select("node", "n", F.posexplode("tokens").alias("pos", "token")), "shingle-postings", False)
     drop_written(prefix)
     rare, frequent = postings.where(f"c <= {FREQUENT}"), postings.where(f"c > {FREQUENT}")
     combinations = written(_combinations(frequent, limit), "shingle-combinations")
-    combined = _counted(combinations, "shingle-combined")
+    combined = _counted(combinations, "shingle-combined", True)
     drop_written(combinations)
     dense = combined.where(f"c > {PAIRED}")
     stars = dense.where("node <> lo").selectExpr("lo as a", "node as b", "lo_n as na", "n as nb")
