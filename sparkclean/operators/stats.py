@@ -20,6 +20,8 @@ from sparkclean.functions.missing import as_text, col, is_numeric
 MASKS = 10_000
 # Values of a column that are counted once more at most, and smallest texts that are looked at first beyond that.
 CANDIDATES, SMALLEST = 1_000, 64
+# Smallest texts that are looked at before a column's texts are all counted instead.
+MOST_SMALLEST = 50_000
 
 
 def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
@@ -98,7 +100,8 @@ def top_counts(
 
     The summaries tell the lowest count that counts, so the hashes at or above it are the candidates and only their texts
     are counted once more. Where very many values share that lowest count, as in a column of unique texts, the smallest
-    texts of the column are candidates instead, and more of them until enough have that count.
+    texts of the column are candidates instead, and more of them until enough have that count. If they stand so late in
+    the order that MOST_SMALLEST don't reach them, the texts of that column alone are counted in a shuffle.
     """
     summaries = known or value_summaries(df, names, k)
     names = [c for c in names if summaries[c].distinct]
@@ -121,6 +124,12 @@ def top_counts(
     wanted = spark.createDataFrame([tuple(r) for r in rows], "col_pos int, h long, g long")
     todo, n = list(names), first
     while todo:
+        for c in [c for c in todo if c in many and n > MOST_SMALLEST]:
+            counts = spelled(df, [c]).groupBy("value").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") >= floor[c])
+            out[c] = [(r["value"], r["cnt"]) for r in counts.orderBy(F.desc("cnt"), "value").limit(k).collect()]
+            todo.remove(c)
+        if not todo:
+            break
         tied = [c for c in todo if c in many]
         if tied:
             place = F.create_map(*[x for i, c in enumerate(tied) for x in (F.lit(i), F.lit(names.index(c)))])

@@ -203,11 +203,12 @@ def test_filled_median_keeps_its_digits(spark):
     assert {r.i for r in rows} == {2**53 + 1} and sorted(r.d for r in rows) == [Decimal("0.10"), Decimal("0.20"), Decimal("0.30")]
 
 
-@pytest.mark.parametrize("candidates", [1000, 12])
-def test_top_values_without_moving_texts(spark, monkeypatch, candidates):
+@pytest.mark.parametrize("candidates,most", [(1000, 50_000), (12, 50_000), (12, 10)])
+def test_top_values_without_moving_texts(spark, monkeypatch, candidates, most):
     """Ties at the lowest count, unique texts, and tied values that come late in the order."""
     monkeypatch.setattr(stats, "CANDIDATES", candidates)
     monkeypatch.setattr(stats, "SMALLEST", 3)
+    monkeypatch.setattr(stats, "MOST_SMALLEST", most)
     rng = random.Random(2)
     late = [f"a{k:03d}" for k in range(80)] * 2 + [f"z{k}" for k in range(30)] * 3 + ["m"] * 9
     rng.shuffle(late)
