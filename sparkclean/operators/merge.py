@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,8 +17,10 @@ JOIN_TYPES = ("left", "right", "inner", "outer")
 # Match rate that brings a warning, and the confidence above a match rate.
 FEW_MATCHES = 0.5
 CONFIDENCE = ((0.9, 1.0), (0.5, 0.75), (-1.0, 0.5))
-# The rows of a key with more rows than this on one side are dealt to several tasks.
+# The rows of a key with more rows than this on one side are dealt to several tasks, and those of a key with more pairs of rows than HOT_KEY_PAIRS,
+# of which CELL_PAIRS meet at once: an outer join holds all output rows of one key.
 HOT_KEY_ROWS = 1_000_000
+HOT_KEY_PAIRS, CELL_PAIRS = 200_000, 16_384
 # The list of such keys is broadcast: at most so many, and so many bytes.
 MAX_HOT_KEYS, HOT_KEY_BYTES = 100_000, 8 << 20
 
@@ -77,6 +80,7 @@ def _statistics(counts: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.greatest(F.col("left_count") - 1, F.lit(0))), F.lit(0)).alias("left_duplicates"),
         F.coalesce(F.sum(F.greatest(F.col("right_count") - 1, F.lit(0))), F.lit(0)).alias("right_duplicates"),
         F.coalesce(F.max(F.greatest("left_count", "right_count")), F.lit(0)).alias("max_count"),
+        F.coalesce(F.max(F.col("left_count") * F.col("right_count")), F.lit(0)).alias("max_pairs"),
         F.count_if(known & left).alias("left_keys"),
         F.count_if(known & left & right).alias("matched"),
         F.count_if(known & left & ~right).alias("left_unmatched"),
@@ -128,7 +132,7 @@ def merge_datasets(
 
     counts = key_counts(left, right, join_key)
     s = _statistics(counts).first()
-    hot = _hot_keys(counts, hot_key_rows) if s["max_count"] > hot_key_rows else []
+    hot = _hot_keys(counts, hot_key_rows) if s["max_count"] > hot_key_rows or s["max_pairs"] > HOT_KEY_PAIRS else []
     if hot:
         joined = _join_salted(left, right, join_key, join_type, hot, counts.schema["key"].dataType, hot_key_rows)
     else:
@@ -181,10 +185,12 @@ def _join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
 
 
 def _hot_keys(counts: DataFrame, limit: int) -> list:
-    """Keys of more than `limit` rows on a side, the most frequent first: at most MAX_HOT_KEYS, and HOT_KEY_BYTES of their text."""
-    rows = F.greatest("left_count", "right_count")
+    """Keys of more than `limit` rows on a side or HOT_KEY_PAIRS pairs, the most of these first: at most MAX_HOT_KEYS, and HOT_KEY_BYTES of their text."""
+    pairs = F.col("left_count") * F.col("right_count")
+    rows = F.greatest("left_count", "right_count", pairs)
+    hot = (F.greatest("left_count", "right_count") > limit) | (pairs > HOT_KEY_PAIRS)
     size = F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0)) + 32
-    listed = counts.where(rows > limit).select("*", rows.alias("rows"), size.alias("size")).orderBy(F.desc("rows"), "key").limit(MAX_HOT_KEYS)
+    listed = counts.where(hot).select("*", rows.alias("rows"), size.alias("size")).orderBy(F.desc("rows"), "key").limit(MAX_HOT_KEYS)
     room, out = HOT_KEY_BYTES, []
     for r in listed.where(F.col("size") <= HOT_KEY_BYTES // 16).collect():
         room -= r["size"]
@@ -194,29 +200,48 @@ def _hot_keys(counts: DataFrame, limit: int) -> list:
     return out
 
 
+def _chunks(left_count: int, right_count: int, limit: int) -> tuple[int, int]:
+    """Into how many chunks each side's rows of a key are dealt: no chunk above `limit` rows, no two chunks above CELL_PAIRS pairs."""
+    across, down = -(-left_count // limit), -(-right_count // limit)
+    if left_count * right_count <= HOT_KEY_PAIRS:
+        return max(across, 1), max(down, 1)
+    # Square cells copy the least; a side with fewer rows than the edge stays whole.
+    edge = math.isqrt(CELL_PAIRS)
+    wide, high = min(left_count, edge), min(right_count, edge)
+    wide, high = max(wide, CELL_PAIRS // high), max(high, CELL_PAIRS // wide)
+    return max(across, -(-left_count // wide)), max(down, -(-right_count // high))
+
+
 def _join_salted(left, right, key, how, hot, key_type, limit) -> DataFrame:
     """One join on the key and a salt, so that the rows of a hot key are not shuffled to one task.
 
-    A key that is hot on both sides: the side with more rows of it is dealt into chunks of about `limit` rows by a hash of
-    the row, the other side's rows go to each chunk. Copies that meet an empty chunk are taken out again; each row has
-    partners in some chunk, so none is lost. A key that only one side has is dealt out without copies. All other rows have
-    salt 0. Each side is read once; the map of hot keys has a bounded size.
+    A key that is hot: each side's rows are dealt into chunks, and every chunk of one side meets every chunk of the other in a
+    cell of its own. Copies that meet an empty chunk are taken out again; each row has partners in some chunk, so none is
+    lost. A key that only one side has is dealt out without copies. All other rows have salt 0. Equal rows fall into
+    different chunks: rows are numbered after a sort by their hash, so a task that runs again deals out the same. Each side
+    is read once; the map of hot keys has a bounded size.
     """
     spark, own = left.sparkSession, free_prefix("_merge", [*left.columns, *right.columns])
     schema = T.StructType([
         T.StructField(f"{own}hot", key_type), T.StructField(f"{own}both", T.BooleanType()),
-        T.StructField(f"{own}left", T.BooleanType()), T.StructField(f"{own}chunks", T.IntegerType())])
+        T.StructField(f"{own}across", T.LongType()), T.StructField(f"{own}down", T.LongType())])
     listed = F.broadcast(spark.createDataFrame([
-        (r["key"], r["left_count"] > 0 and r["right_count"] > 0, r["left_count"] >= r["right_count"],
-         -(-max(r["left_count"], r["right_count"]) // limit)) for r in hot], schema))
+        (r["key"], r["left_count"] > 0 and r["right_count"] > 0, *_chunks(r["left_count"], r["right_count"], limit)) for r in hot], schema))
+    across, down, both, number = (F.col(f"{own}{c}") for c in ("across", "down", "both", "number"))
 
     def dealt(df: DataFrame, is_left: bool) -> DataFrame:
+        row = F.xxhash64(*[F.to_json(col(f.name)) if isinstance(f.dataType, T.MapType) else col(f.name) for f in df.schema])
         marked = df.join(listed, col(key).eqNullSafe(F.col(f"{own}hot")), "left")
-        chunks, both = F.col(f"{own}chunks"), F.col(f"{own}both")
-        chunk = F.pmod(F.xxhash64(*[F.to_json(col(f.name)) if isinstance(f.dataType, T.MapType) else col(f.name) for f in df.schema]), chunks)
-        dealt_out = ~both | (F.col(f"{own}left") if is_left else ~F.col(f"{own}left"))
-        salts = F.when(chunks.isNull(), F.array(F.lit(0).cast("bigint"))).when(dealt_out, F.array(chunk)).otherwise(
-            F.sequence(F.lit(0).cast("bigint"), chunks.cast("bigint") - 1))
+        # Sorted by the hot rows' hash only: the others need no number.
+        marked = marked.sortWithinPartitions(F.when(both.isNotNull(), row)).withColumn(f"{own}number", F.xxhash64(F.monotonically_increasing_id()))
+        one = F.lit(0).cast("bigint")
+        if is_left:
+            chunk = F.pmod(number, across) * down
+            salts = F.transform(F.sequence(one, down - 1), lambda i: chunk + i)
+        else:
+            chunk = F.pmod(number, down)
+            salts = F.transform(F.sequence(one, across - 1), lambda i: chunk + i * down)
+        salts = F.when(both.isNull(), F.array(one)).otherwise(salts)
         return marked.select(*map(col, df.columns), F.coalesce(both, F.lit(False)).alias(f"{own}both"), F.explode(salts).alias(f"{own}salt"))
 
     other = {key: f"{own}key", f"{own}both": f"{own}both_too", f"{own}salt": f"{own}at"}

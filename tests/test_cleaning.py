@@ -348,3 +348,19 @@ def test_only_repeated_rows_are_grouped(spark):
     df = spark.createDataFrame(data, "a int, b string, m map<string,int>").repartition(4)
     assert stats.duplicate_rows(df) == (90, 90 - len({(a, b, str(m)) for a, b, m in data}))
     assert stats.duplicate_rows(df.where("a >= 100")) == (30, 0) and stats.duplicate_rows(df.limit(0)) == (0, 0)
+
+
+@pytest.mark.parametrize("how", ["left", "right", "inner", "outer"])
+def test_pairs_of_equal_rows_meet_in_bounded_cells(spark, how, monkeypatch):
+    """Neither side is large, but their pairs are; equal rows must not fall into one cell."""
+    monkeypatch.setattr(merge, "HOT_KEY_PAIRS", 1000)
+    monkeypatch.setattr(merge, "CELL_PAIRS", 400)
+    left = spark.range(203).selectExpr("if(id < 200, null, id) AS k", "'same' AS a")
+    right = spark.range(103).selectExpr("if(id < 100, null, id + 101) AS k", "'same' AS b")
+    done = merge_datasets(left, right, "k", how)
+    wanted = left.join(right.withColumnRenamed("k", "o"), F.col("k").eqNullSafe(F.col("o")), how).select(F.coalesce("k", "o").alias("k"), "a", "b")
+    assert sorted(map(str, done.df.collect())) == sorted(map(str, wanted.collect()))
+    assert "_mergesalt" in done.df._jdf.queryExecution().optimizedPlan().toString()
+    for sizes in ((200, 100), (1, 5000), (5000, 1), (30, 30), (10**6, 20)):
+        across, down = merge._chunks(*sizes, 10**9)
+        assert sizes[0] * sizes[1] <= 1000 or -(-sizes[0] // across) * -(-sizes[1] // down) <= 400
