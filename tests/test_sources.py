@@ -279,3 +279,16 @@ def test_state_behind_a_line():
     for line, outside, inside in (("a,b", False, True), ('a,"b', True, False), ('"a,b"', False, True), ('a"b,c', False, False), ('""', False, True),
                                   ('"a""', True, True), ('x","y', False, True), ('"a"b"c,"d', True, False), ("", False, True)):
         assert (inside_after(line, False), inside_after(line, True)) == (outside, inside), line
+
+
+def test_rows_in_another_order_come_in_parts_of_bounded_size(spark):
+    from workload.files import _shuffled
+
+    df = spark.range(200_000).selectExpr("id % 3 AS k", "id AS v")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    try:
+        moved = _shuffled(df, "k")
+        assert moved.rdd.getNumPartitions() > 7
+        assert table_checksum(moved).first() == table_checksum(df).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
