@@ -1,19 +1,18 @@
 """Exact percentiles by a distributed radix select.
 
 Each value becomes one whole number of 64 bits (several for wide decimals) in the order of the values: integers and times
-as they are, decimals without their point, doubles by exponent and mantissa. A pass counts, for every wanted rank at
-once, the leading digits of the numbers in the range that is known to hold the rank; the digit that holds it is the next
-range. Counts are formed before the shuffle, no value is rounded, and no task sees a whole column.
+as they are, decimals without their point. A pass counts, for every wanted rank at once, the leading digits of the numbers in
+the range that is known to hold the rank; the digit that holds it is the next range. Doubles stay as they are: their digit
+is the place in the range, or, after a pass in which one place held most values, the exponent. Counts are formed before the shuffle, no value is rounded, and no task sees a whole column.
 """
 
 from __future__ import annotations
 
-import struct
 from dataclasses import dataclass
 from decimal import Decimal
 from fractions import Fraction
 from functools import reduce
-from math import ceil, floor
+from math import ceil, floor, frexp, isfinite
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -26,26 +25,12 @@ from sparkclean.functions.missing import FLOAT_TYPES, col
 DIGIT_BITS, READ_ROWS = 12, 20_000
 # Digits of one word of a wide decimal, from the last on.
 WIDE_DIGITS, WIDE_WORDS = 13, 3
-MANTISSA, BIAS = 52, 1023
 
 
-def _double_bits(x: Column) -> Column:
-    """The bits of a double as a whole number, negated for negative ones: in order, with one zero. NULL for NaN."""
-    size = F.abs(x)
-    near = F.greatest(F.floor(F.log2(size)), F.lit(-(BIAS - 1)))
-    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))  # noqa: E731  exact for whole exponents
-    low = F.greatest(near + F.when(size < power(near), -1).when(size / power(near) >= 2, 1).otherwise(0), F.lit(-(BIAS - 1)))
-    part = size / power(low)  # in [1, 2), below 1 for the smallest ones
-    normal = part >= 1
-    mantissa = ((part - F.when(normal, 1.0).otherwise(0.0)) * float(1 << MANTISSA)).cast("bigint")
-    bits = F.when(normal, (low + BIAS).cast("bigint")).otherwise(F.lit(0).cast("bigint")) * F.lit(1 << MANTISSA) + mantissa
-    whole = F.when(size == 0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(2047 << MANTISSA)).otherwise(bits)
-    return F.when(~F.isnan(x), F.when(x < 0, -whole).otherwise(whole))
-
-
-def _double_of(bits: int) -> float:
-    value = struct.unpack("<d", struct.pack("<q", abs(bits)))[0]
-    return -value if bits < 0 else value
+def _steep_digit(x: Column) -> Column:
+    """Sign and exponent of a double as one whole number, in the order of the values."""
+    size = F.floor(F.least(F.coalesce(F.log2(F.abs(x)), F.lit(-1075.0)), F.lit(1024.0))) + 1076
+    return F.when(x < 0, -size).otherwise(size)
 
 
 def is_wide(dtype: T.DataType) -> bool:
@@ -53,10 +38,11 @@ def is_wide(dtype: T.DataType) -> bool:
 
 
 def order_words(name: str, dtype: T.DataType) -> list[Column]:
-    """Whole numbers whose order, the first before the next, is that of the values."""
+    """Whole numbers, or one double without NaN and -0, whose order, the first before the next, is that of the values."""
     c = col(name)
     if isinstance(dtype, FLOAT_TYPES):
-        return [_double_bits(c.cast("double"))]
+        x = c.cast("double")
+        return [F.when(x == 0, F.lit(0.0)).when(~F.isnan(x), x)]
     if is_wide(dtype):
         text = F.replace(F.replace(F.format_number(F.abs(c), dtype.scale), F.lit(","), F.lit("")), F.lit("."), F.lit(""))
         digits = F.lpad(text, WIDE_DIGITS * WIDE_WORDS, "0")
@@ -69,7 +55,7 @@ def order_words(name: str, dtype: T.DataType) -> list[Column]:
 
 def value_of(words: tuple[int, ...], dtype: T.DataType) -> Any:
     if isinstance(dtype, FLOAT_TYPES):
-        return _double_of(words[0])
+        return words[0]
     if isinstance(dtype, T.DecimalType):
         return Decimal(reduce(lambda a, b: a * 10**WIDE_DIGITS + b, words)).scaleb(-dtype.scale)
     return words[0]
@@ -80,11 +66,28 @@ class Range:
     """Values whose earlier words are `fixed` and whose next one is from lo to hi, and the number of those below them."""
 
     column: str
-    fixed: tuple[int, ...]
-    lo: int
-    hi: int
+    fixed: tuple[Any, ...]
+    lo: Any
+    hi: Any
     below: int
     inside: int
+    steep: bool = False
+
+    def digit(self, own: Column, bits: int) -> Column:
+        """A number of about `bits` bits that does not fall where the word rises, and differs between lo and hi."""
+        if not isinstance(self.lo, float):
+            return F.shiftright(own, max(0, (self.hi - self.lo).bit_length() - bits))
+        if self.by_exponent():
+            return _steep_digit(own)
+        # Made large first: no division by a width near the smallest double.
+        up = 2.0**1000 if self.hi - self.lo < 1 else 1.0
+        return F.floor((own - self.lo) * up * ((1 << bits) / ((self.hi - self.lo) * up)))
+
+    def by_exponent(self) -> bool:
+        return not isfinite(self.hi - self.lo) or self.steep and self.spans_exponents()
+
+    def spans_exponents(self) -> bool:
+        return self.lo <= 0 <= self.hi or frexp(self.lo)[1] != frexp(self.hi)[1]
 
 
 def between(left: Any, right: Any, share: float) -> Any:
@@ -138,18 +141,21 @@ def neighbours(
         cells = []
         for i, r in enumerate(todo):
             own = word[r.column][len(r.fixed)]
-            digit = F.shiftright(own, max(0, (r.hi - r.lo).bit_length() - bits))
-            cells.append(F.when(within(r), F.struct(F.lit(i).alias("r"), digit.alias("digit"), own.alias("own"))))
+            whole, real = (own, F.lit(None).cast("double")) if not isinstance(r.lo, float) else (F.lit(None).cast("bigint"), own)
+            cells.append(F.when(within(r), F.struct(F.lit(i).alias("r"), r.digit(own, bits).alias("digit"), whole.alias("whole"), real.alias("real"))))
         spelled = numbers.select(F.explode(F.array(*cells)).alias("x")).where("x is not null").select("x.*")
-        counted = spelled.groupBy("r", "digit").agg(F.count("*").alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).collect()
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("whole", "real") for f in (F.min, F.max)]
+        counted = spelled.groupBy("r", "digit").agg(F.count("*").alias("n"), *ends).collect()
         by: dict[Range, list] = {r: [] for r in todo}
         for row in sorted(counted, key=lambda x: (x["r"], x["digit"])):
-            by[todo[row["r"]]].append(row)
+            kind = "real" if isinstance(todo[row["r"]].lo, float) else "whole"
+            by[todo[row["r"]]].append({"n": row["n"], "lo": row[f"min_{kind}"], "hi": row[f"max_{kind}"]})
         for key, r in targets.items():
             below = r.below
             for row in by.get(r, ()):
                 if key[1] < below + row["n"]:
-                    targets[key] = _opened(Range(r.column, r.fixed, row["lo"], row["hi"], below, row["n"]), last)
+                    crowded = isinstance(r.lo, float) and not r.by_exponent() and 2 * row["n"] > r.inside
+                    targets[key] = _opened(Range(r.column, r.fixed, row["lo"], row["hi"], below, row["n"], crowded), last)
                     break
                 below += row["n"]
     out: dict[str, list[tuple[Any, Any, float]]] = {}
@@ -171,11 +177,16 @@ def _opened(r: Range, last: dict[str, int]) -> Range:
 
 def _read(numbers, targets, todo, word, last, within) -> None:
     """Find the ranks among the distinct values of the open ranges: READ_ROWS rows in all at most."""
-    cells = [F.when(within(r), F.struct(F.lit(i).alias("r"), F.array(*word[r.column]).alias("words"))) for i, r in enumerate(todo)]
+    def cells_of(r: Range) -> list[Column]:
+        if isinstance(r.lo, float):
+            return [F.lit(None).cast("array<bigint>").alias("words"), word[r.column][0].alias("real")]
+        return [F.array(*word[r.column]).alias("words"), F.lit(None).cast("double").alias("real")]
+
+    cells = [F.when(within(r), F.struct(F.lit(i).alias("r"), *cells_of(r))) for i, r in enumerate(todo)]
     spelled = numbers.select(F.explode(F.array(*cells)).alias("x")).where("x is not null").select("x.*")
     values: dict[Range, list] = {r: [] for r in todo}
-    for row in spelled.groupBy("r", "words").agg(F.count("*").alias("n")).collect():
-        values[todo[row["r"]]].append((tuple(row["words"]), row["n"]))
+    for row in spelled.groupBy("r", "words", "real").agg(F.count("*").alias("n")).collect():
+        values[todo[row["r"]]].append(((row["real"],) if row["words"] is None else tuple(row["words"]), row["n"]))
     for own in values.values():
         own.sort()
     for key, r in targets.items():

@@ -236,3 +236,25 @@ def test_a_profile_takes_few_jobs(spark):
     jobs = len(tracker.getJobIdsForGroup(group))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs <= 24  # a shuffle map stage is a job of its own under adaptive execution
+
+
+def test_percentiles_of_doubles_take_few_passes(spark, monkeypatch):
+    """Any spread of doubles: a pass narrows by place, and by exponent where places are crowded."""
+    import random
+
+    rng, probs = random.Random(5), [0.0, 0.25, 0.5, 0.9, 1.0]
+    sets = {
+        "flat": [rng.uniform(-1e3, 1e3) for _ in range(300)], "steep": [rng.choice([-1, 1]) * 2.0 ** rng.uniform(-1070, 1023) for _ in range(300)],
+        "tiny": [5e-324 * rng.randrange(10_000) for _ in range(300)], "wide": [float("-inf"), -1.7e308, 1.7e308, float("inf")] + [rng.random() for _ in range(296)],
+        "near": [2.0 - 2.0**-52, 2.0, 2.0 + 2.0**-51] * 100}
+    df = spark.createDataFrame(list(zip(*sets.values())), ", ".join(f"{c} double" for c in sets))
+    opened = []
+    monkeypatch.setattr(percentiles, "_opened", lambda r, last, own=percentiles._opened: opened.append(r) or own(r, last))
+    found = percentiles.neighbours(df, {c: probs for c in sets}, read_rows=3)
+    for c, values in sets.items():
+        ranked = sorted(values)
+        at = [p * (len(ranked) - 1) for p in probs]
+        assert [x[:2] for x in found[c]] == [(ranked[math.floor(x)], ranked[math.ceil(x)]) for x in at], c
+    assert len(opened) < 5 * 7 * 6
+    plan = df.select(percentiles.order_words("flat", df.schema["flat"].dataType)[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LOG2" not in plan.upper() and len(plan) < 1000
