@@ -16,7 +16,7 @@ least the threshold. Three things make that a Spark job:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from math import ceil, comb
 
@@ -70,6 +70,7 @@ class Overlap:
     contains: bool = False
     min_length: int = 0
     max_length: int | None = None
+    above: int = 0  # pairs whose larger key has no more elements are found by other rules
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,16 @@ class WordCover:
     share: float
 
 
+@dataclass(frozen=True)
+class Remainder:
+    """Keys of these lengths, less `dropped` letters, must be equal: as they stand, or as a bag (letters in any order)."""
+
+    prefix: int
+    bag: bool
+    dropped: int
+    lengths: tuple[int, ...]
+
+
 @dataclass
 class FuzzyResult:
     df: DataFrame
@@ -120,17 +131,69 @@ def _substring(name: str, pairs: str, letters: str, t: float) -> list[Overlap]:
     return out
 
 
+def _jaro_needed(t: float, k: int) -> float:
+    """The Jaro score that a pair with k leading letters in common needs."""
+    return min(t, max((t - PREFIX_WEIGHT * k) / (1 - PREFIX_WEIGHT * k), PREFIX_FROM)) if k else t
+
+
 def _jaro_rules(t: float) -> list[Overlap]:
     """One rule per length of the common prefix: the longer it is, the lower the Jaro score may be."""
     out = []
     for k in range(PREFIX_MAX + 1):
-        needed = (t - PREFIX_WEIGHT * k) / (1 - PREFIX_WEIGHT * k)
-        j = min(t, max(needed, PREFIX_FROM)) if k else t
+        j = _jaro_needed(t, k)
         reach = max(3 * j - 2, 0.0)
         out.append(Overlap(f"jaro-{k}", "letters", (max(3 * j - 1, 0) / 2, 0.0), (reach, 0.0), 0.99 * reach, prefix=k))
     return out
 
 
+# Signatures of one key, and letters left out, up to which keys are met by what is left of them.
+MAX_REMAINDERS, MAX_DROPPED = 300, 3
+# Lengths that are looked at, from the shortest on.
+REMAINDER_LENGTHS = 64
+
+
+def _remainders_of(t: float, small: int, large: int) -> set[tuple[int, bool, int]]:
+    """(prefix, bag, letters left): what keys of two lengths must have in common to reach the threshold.
+
+    Jaro is the mean of m / small, m / large and (m - swaps) / m for m matched letters. Without swaps the matched letters stand
+    in the same order in both keys, so both keys leave the same text of m letters; with swaps they leave the same bag.
+    """
+    out, fewest, fewest_in_bag = set(), small + 1, small + 1
+    for k in range(PREFIX_MAX + 1):
+        least = 3 * _jaro_needed(t, k) - 1e-7
+        able = [m for m in range(1, small + 1) if m / small + m / large + 1 >= least]
+        swapped = [m for m in able if m > 1 and m / small + m / large + (m - 1) / m >= least]
+        if swapped and swapped[0] < fewest_in_bag:  # a shorter prefix that leaves no more finds these pairs as well
+            fewest_in_bag = swapped[0]
+            out.add((k, True, swapped[0]))
+        # All letters of two keys of one length in the same order: the same key.
+        if able and able[0] < min(fewest, fewest_in_bag) and not able[0] == small == large:
+            fewest = able[0]
+            out.add((k, False, able[0]))
+    return out
+
+
+def remainder_rules(t: float, lengths: list[int]) -> tuple[list[Remainder], int]:
+    """Rules for all pairs of the shortest lengths, and the last length for which a key's signatures are few."""
+    own: dict[int, set[tuple[int, bool, int]]] = {}
+    last = 0
+    for n in sorted(x for x in lengths if x > 0):
+        more = {x: set(found) for x, found in own.items()} | {n: set()}
+        for x in list(more):
+            found = _remainders_of(t, x, n)
+            more[x] |= found
+            more[n] |= found
+        if any(x - m > MAX_DROPPED for x, found in more.items() for _, _, m in found) or any(
+                sum(comb(x, m) for _, _, m in found) > MAX_REMAINDERS for x, found in more.items()):
+            break
+        own, last = more, n
+    groups: dict[tuple[int, bool, int], list[int]] = {}
+    for n, found in own.items():
+        for k, bag, m in found:
+            groups.setdefault((k, bag, n - m), []).append(n)
+    return [Remainder(*g, tuple(ns)) for g, ns in groups.items()], last
+
+
 def rules_for(algorithm: str, t: float) -> list[Overlap | WordCover]:
     if algorithm == "token_set_ratio":
         return [WordCover("words", t / (2 - t)), _similar("word-text", "word_pairs", "letters", t)]
@@ -187,6 +250,17 @@ def _elements(kind: str, key: Column) -> Column:
     }[kind]()
 
 
+def _remainder_signatures(rule: Remainder) -> str:
+    letters = "transform(sequence(1, length(key)), i -> substring(key, i, 1))"
+    left = f"array({f'array_join(array_sort({letters}), {chr(39) * 2})' if rule.bag else 'key'})"
+    for _ in range(rule.dropped):
+        left = (f"array_distinct(flatten(transform({left}, s -> transform(sequence(1, length(s)), "
+                "i -> concat(substring(s, 1, i - 1), substring(s, i + 1))))))")
+    tag = f"concat('left/{rule.prefix}/{rule.bag}/', substring(key, 1, {rule.prefix}), '/', block)"
+    mine = f"transform({left}, s -> xxhash64({tag}, s))"
+    return f"CASE WHEN length(key) IN ({', '.join(map(str, rule.lengths))}) AND length(key) >= {rule.prefix} THEN {mine} ELSE {NO_SIGNATURES} END"
+
+
 def _kind(rule: Overlap | WordCover) -> str:
     return "words" if isinstance(rule, WordCover) else rule.elements
 
@@ -300,12 +374,15 @@ def _overlap_signatures(rule: Overlap, largest: int) -> tuple[str, str]:
         fewest = max(1, ceil(rule.small[0] * (low + 1) + rule.small[1] - EPSILON))
         size = _signature_size(rule, low, high, wanted)
         tag = f"concat('{rule.name}/{low}/', {start}, block)"
+        if high <= rule.reach * rule.above:
+            continue
         fits = f"length(key) >= {rule.prefix} AND {n} > {low}"
         mine = _combinations(_first(items, _at_least(rule.small, n), size), size, tag)
-        indexes.append(f"CASE WHEN {fits} AND {n} <= {high} THEN {mine} ELSE {NO_SIGNATURES} END")
+        near = f" AND {n} >= {_number(rule.reach * rule.above)}" if rule.above else ""
+        indexes.append(f"CASE WHEN {fits}{near} AND {n} <= {high} THEN {mine} ELSE {NO_SIGNATURES} END")
         needed = f"greatest({_at_least(rule.large, n)}, {fewest})"
         theirs = _combinations(_first(items, needed, size), size, tag)
-        probes.append(f"CASE WHEN {fits} AND floor({n} * {_number(rule.reach)}) <= {high} THEN {theirs} "
+        probes.append(f"CASE WHEN {fits} AND {n} > {rule.above} AND floor({n} * {_number(rule.reach)}) <= {high} THEN {theirs} "
                       f"ELSE {NO_SIGNATURES} END")
     return f"concat({', '.join(indexes)})", f"concat({', '.join(probes)})"
 
@@ -432,13 +509,25 @@ class Matcher:
         self.rules = [r for r in rules if largest[_kind(r)]]
         # Built once; every set of keys goes through the same expressions.
         index, probe = [], []
+        if algorithm == "jaro_winkler":
+            lengths = self.table.select(F.length("key").alias("n")).distinct().orderBy("n").limit(REMAINDER_LENGTHS).collect()
+            remainders, last = remainder_rules(threshold, [r["n"] for r in lengths])
+            for rule in remainders:
+                # Both keys of a pair have the same signatures: the later one is the index.
+                alike = _remainder_signatures(rule)
+                index.append(f"transform({alike}, s -> named_struct('sig', s, 'n', rank))")
+                probe.append(f"transform({alike}, s -> named_struct('sig', s, 'low', rank + 1, 'high', {2**63 - 1}L))")
+            self.rules = [replace(r, above=last) for r in self.rules if largest["letters"] > last]
+            self.able = bool(index or self.rules)
+        else:
+            self.able = bool(self.rules)
         for rule in self.rules:
             if isinstance(rule, WordCover):
-                (smaller, larger), n, low = _word_signatures(rule), "0", "0"
+                (smaller, larger), n, low = _word_signatures(rule), "0L", "0L"
             else:
                 smaller, larger = _overlap_signatures(rule, largest[rule.elements])
-                n = f"size({rule.elements})"
-                low = f"cast(floor({n} * {_number(rule.reach)}) AS int)"
+                n = f"cast(size({rule.elements}) AS bigint)"
+                low = f"cast(floor({n} * {_number(rule.reach)}) AS bigint)"
             index.append(f"transform({smaller}, s -> named_struct('sig', s, 'n', {n}))")
             probe.append(f"transform({larger}, s -> named_struct('sig', s, 'low', {low}, 'high', {n}))")
         tests = [f"({_enough(rule)})" for rule in self.rules] if algorithm in COSTLY else []
@@ -456,10 +545,10 @@ class Matcher:
         return self.index.join(own, "rank", "left_semi"), self.probe.join(own, "rank", "left_semi")
 
     def within(self, ranks: DataFrame | None = None) -> list[tuple[DataFrame, DataFrame]]:
-        return [self._signed(ranks)] if self.rules else []
+        return [self._signed(ranks)] if self.able else []
 
     def between(self, first: DataFrame, second: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-        if not self.rules:
+        if not self.able:
             return []
         (index_one, probe_one), (index_two, probe_two) = self._signed(first), self._signed(second)
         return [(index_one, probe_two), (index_two, probe_one)]

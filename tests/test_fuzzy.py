@@ -197,3 +197,24 @@ def test_prefixes_grow_with_the_logarithm(spark, monkeypatch):
     star = [(0, k) for k in range(1, 3000)] + [(k, k + 3000) for k in range(1, 3000)]
     assert prefixes(spark, monkeypatch, star, 1_000) <= 8
     assert prefixes(spark, monkeypatch, [(a, 900) for a in range(900)] + [(900, 901)], 50) <= 4  # one row with many earlier neighbours
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.9, 0.94, 0.97])
+def test_what_is_left_of_names_finds_all_pairs(spark, threshold):
+    """Numbered names of several lengths, and longer ones that other rules find: all pairs, and few candidates."""
+    rng = random.Random(9)
+    keys = {f"Supplier#{rng.randrange(10**4):0{rng.choice([4, 6])}d}" for _ in range(150)}
+    keys |= {"".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))) for _ in range(40)}
+    keys |= {"long name " * 3 + f"{rng.randrange(10**4):0{rng.choice([4, 20])}d}" for _ in range(40)}
+    found = fuzzy.fuzzy_pairs(table(spark, sorted(keys)), ["name"], threshold, "jaro_winkler").collect()
+    pairs = [(a, b) for a in sorted(keys) for b in sorted(keys) if a < b]
+    scores = similarity.score_pairs("jaro_winkler", *map(list, zip(*pairs)))
+    assert sorted((r.key_a, r.key_b) for r in found) == [p for p, s in zip(pairs, scores) if s >= 100 * threshold - 1e-9]
+
+
+def test_candidates_of_numbered_names_follow_the_pairs(spark):
+    rows = spark.range(3000).selectExpr("id AS rank", "format_string('Supplier#%09d', id) AS key", "'' AS block")
+    matcher = fuzzy.Matcher(rows, "jaro_winkler", 0.97)
+    found = fuzzy.fuzzy_pairs(rows.select(F.col("key").alias("name")), ["name"], 0.97, "jaro_winkler").count()
+    candidates = fuzzy._pair_up(*matcher.within()[0], 0).distinct().count()
+    assert found <= candidates < 3 * found
