@@ -124,23 +124,40 @@ class WordSplit:
         return self.encode(first) + b"".join(map(self.words.__getitem__, rest))
 
 
-class ByteBpe:
-    """Encoder and decoder of one tokenizer file (model BPE, byte-level pre-tokenizer, no normalizer)."""
+class Vocabulary:
+    """Decoder of one tokenizer file (model BPE, byte-level pre-tokenizer, no normalizer)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         names, vocab = byte_names(), spec["model"]["vocab"]
         of_name = {c: b for b, c in enumerate(names)}
-        self.ids = [vocab[c] for c in names]
-        pairs = (pair.split(" ") if isinstance(pair, str) else pair for pair in spec["model"]["merges"])
-        self.merges = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], 1 + max(vocab.values()))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         strings = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in [*vocab.items(), *self.special.items()]:
             strings[i] = bytes(of_name[c] for c in token) if all(c in of_name for c in token) else token.encode()
         self.lengths = np.array([len(x) for x in strings])
         self.starts, self.strings = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(strings), np.uint8)
+        self._read(names, vocab, spec["model"]["merges"])
+
+    def _read(self, names: list[str], vocab: dict[str, int], merges: list) -> None:
+        """What only an encoder needs; a worker that decodes has no memory for it."""
+
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """Vocabulary strings put together; bytes that are no UTF-8 become replacement characters."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = self.lengths[flat]
+        data = self.strings[ragged(self.starts[flat], sizes)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0] + [len(x) // 4 for x in ids])].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+
+class ByteBpe(Vocabulary):
+    """Encoder and decoder of one tokenizer file."""
+
+    def _read(self, names: list[str], vocab: dict[str, int], merges: list) -> None:
+        self.ids = [vocab[c] for c in names]
+        pairs = (pair.split(" ") if isinstance(pair, str) else pair for pair in merges)
+        self.merges = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], 1 + max(vocab.values()))
         self.word = regex.compile(WORD)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.parts = Kept(self._part)
@@ -152,7 +169,10 @@ class ByteBpe:
 
     def _whole(self, text: str) -> bytes:
         if not any(token in text for token in self.special):
-            return b"".join(map(self.parts.__getitem__, pieces(self.word, text)))
+            found = pieces(self.word, text)
+            if len(found) == 1:  # kept as a word already
+                return self.parts.get(text) or self._part(text)
+            return b"".join(map(self.parts.__getitem__, found))
         out = []
         for k, piece in enumerate(self.cut.split(text)):
             if k % 2:
@@ -161,20 +181,17 @@ class ByteBpe:
                 out += map(self.parts.__getitem__, pieces(self.word, piece))
         return b"".join(out)
 
-    def decode(self, ids: list[bytes]) -> list[str]:
-        """Vocabulary strings put together; bytes that are no UTF-8 become replacement characters."""
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = self.lengths[flat]
-        data = self.strings[ragged(self.starts[flat], sizes)].tobytes()
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0] + [len(x) // 4 for x in ids])].tolist()
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-
 
 @lru_cache(2)
 def _model(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@lru_cache(2)
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text: `id_col`, ids (binary: little-endian unsigned 32-bit), n_tokens long.
 
@@ -199,7 +216,7 @@ def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(path)
+        model = _vocabulary(path)
         for batch in byte_slices(batches, ids_col):
             ids = [x or b"" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

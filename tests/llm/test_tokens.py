@@ -158,3 +158,12 @@ def test_packed_documents(odd_documents, library):
     total = sum(r.length for r in rows)
     assert len(by_sequence) <= -(-total // 64) + 8
     assert all(isinstance(zlib.crc32(r.ids), int) for r in rows[:3])
+
+
+def test_a_word_is_kept_once_and_a_decoder_has_no_merges():
+    model = bpe.ByteBpe(BYTE)
+    ids = model.encode("the first words don't stand here 12 times")
+    assert {"words", "stand", "here"} <= set(model.encode.words) and " words" not in model.parts
+    decoder = bpe.Vocabulary(BYTE)
+    assert decoder.decode([ids]) == model.decode([ids]) == ["the first words don't stand here 12 times"]
+    assert not hasattr(decoder, "merges") and not hasattr(decoder, "parts")
