@@ -196,7 +196,8 @@ def remainder_rules(t: float, lengths: list[int]) -> tuple[list[Remainder], int]
 
 def rules_for(algorithm: str, t: float) -> list[Overlap | WordCover]:
     if algorithm == "token_set_ratio":
-        return [WordCover("words", t / (2 - t)), _similar("word-text", "word_pairs", "letters", t)]
+        # At 1 the texts of the different words would have to be equal, so only common words can reach it.
+        return [WordCover("words", t / (2 - t)), *([_similar("word-text", "word_pairs", "letters", t)] if t < 1 else [])]
     if algorithm == "partial_ratio":
         return _substring("part", "inner_pairs", "letters", t)
     if algorithm == "jaro_winkler":

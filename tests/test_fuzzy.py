@@ -218,3 +218,14 @@ def test_candidates_of_numbered_names_follow_the_pairs(spark):
     found = fuzzy.fuzzy_pairs(rows.select(F.col("key").alias("name")), ["name"], 0.97, "jaro_winkler").count()
     candidates = fuzzy._pair_up(*matcher.within()[0], 0).distinct().count()
     assert found <= candidates < 3 * found
+
+
+@pytest.mark.parametrize("threshold", [1.0])
+def test_candidates_of_numbered_names_with_words_follow_the_pairs(spark, threshold):
+    rows = spark.range(6000).selectExpr(
+        "id AS rank", "concat(if(id % 3 = 0, 'AUTOMOBILE', if(id % 3 = 1, 'BUILDING', 'FURNITURE')), ' Customer#', lpad(id, 9, '0')) AS key", "'' AS block")
+    rows = rows.union(spark.createDataFrame([(6000, "src1", ""), (6001, "en src1", "")], rows.schema))
+    matcher = fuzzy.Matcher(rows, "token_set_ratio", threshold)
+    found = fuzzy.fuzzy_pairs(rows.select(F.col("key").alias("name")), ["name"], threshold, "token_set_ratio").count()
+    candidates = fuzzy._pair_up(*matcher.within()[0], 0).distinct().count()
+    assert 0 < found <= candidates < 3 * found
