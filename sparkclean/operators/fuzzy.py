@@ -16,6 +16,7 @@ least the threshold. Three things make that a Spark job:
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from math import ceil, comb
@@ -91,6 +92,14 @@ class Remainder:
     lengths: tuple[int, ...]
 
 
+@dataclass(frozen=True)
+class WordRemainder:
+    """Keys of these lengths, less `dropped` letters or spaces, must consist of the same words."""
+
+    dropped: int
+    lengths: tuple[int, ...]
+
+
 @dataclass
 class FuzzyResult:
     df: DataFrame
@@ -194,6 +203,68 @@ def remainder_rules(t: float, lengths: list[int]) -> tuple[list[Remainder], int]
     return [Remainder(*g, tuple(ns)) for g, ns in groups.items()], last
 
 
+# Shapes (letters in alphabetical order, any digit as 0) up to which keys are told apart by shape, not by length alone.
+MAX_SHAPES = 200
+
+
+def _shapes(keys: DataFrame) -> DataFrame:
+    alike = keys.select(F.translate("key", "123456789", "0" * 9).alias("text")).distinct()
+    return alike.select(F.array_join(F.array_sort(_pieces(F.col("text"), 1)), "").alias("shape")).distinct()
+
+
+def _apart(a: str, b: str) -> int:
+    """Letters that one of two shapes has more often than the other."""
+    x, y = Counter(a), Counter(b)
+    return (x - y).total() + (y - x).total()
+
+
+def word_remainder_rules(t: float, shapes: dict[int, list[str]], words: dict[int, int]) -> tuple[list[WordRemainder], int]:
+    """Rules for all pairs of the shortest lengths, and the last length for which a key's signatures are few.
+
+    A pair scores by its texts (not by its common words alone) if at most 1 - t of both lengths stand outside a common
+    subsequence of what their different words spell. Less these letters and spaces, both keys consist of the same words:
+    the common ones, and the pieces of that subsequence. `shapes` and `words` give the shapes and the most words of the
+    keys of each length; no shapes: any.
+    """
+    own: dict[int, set[int]] = {}
+    last = 0
+    for n in sorted(words):
+        more = {x: set(found) for x, found in own.items()} | {n: set()}
+        for x in more:
+            outside = int((1 - t) * (n + x) + 1e-6)
+            # Two keys of one length less nothing: the same key.
+            if outside >= (n - x or 2) and (not shapes or any(_apart(a, b) <= outside for a in shapes[x] for b in shapes[n])):
+                from_shorter = (outside - (n - x)) // 2
+                more[x].add(from_shorter)
+                more[n].add(from_shorter + n - x)
+        steps = {x: x - (w - 1) + comb(w, 2) for x, w in words.items()}
+        if any(sum(comb(steps[x], d) for d in found) > MAX_REMAINDERS or max(found, default=0) > MAX_DROPPED for x, found in more.items()):
+            break
+        own, last = more, n
+    groups: dict[int, list[int]] = {}
+    for n, found in own.items():
+        for d in found:
+            groups.setdefault(d, []).append(n)
+    return [WordRemainder(d, tuple(ns)) for d, ns in groups.items()], last
+
+
+def _word_remainders(keys: DataFrame, t: float) -> tuple[list[WordRemainder], int, int]:
+    """The rules for these keys, the last length that they cover, and the largest length."""
+    size = F.length("key")
+    longest = keys.agg(F.max(size)).first()[0] or 0
+    if not PAIRS_FROM <= t < 1:
+        return [], 0, longest
+    # Beyond this length two keys of one length may lack more letters than are ever dropped.
+    short = keys.where((size > 0) & (size < (MAX_DROPPED + 1) / (1 - t)))
+    words = {r["n"]: r["w"] for r in short.groupBy(size.alias("n")).agg(F.max(F.size(tokens_of(F.col("key")))).alias("w")).collect()}
+    found = [r["shape"] for r in _shapes(short).limit(MAX_SHAPES + 1).collect()]
+    shapes: dict[int, list[str]] = {}
+    if len(found) <= MAX_SHAPES:
+        for shape in found:
+            shapes.setdefault(len(shape), []).append(shape)
+    return *word_remainder_rules(t, shapes, words), longest
+
+
 def rules_for(algorithm: str, t: float) -> list[Overlap | WordCover]:
     if algorithm == "token_set_ratio":
         # At 1 the texts of the different words would have to be equal, so only common words can reach it.
@@ -262,6 +333,23 @@ def _remainder_signatures(rule: Remainder) -> str:
     return f"CASE WHEN length(key) IN ({', '.join(map(str, rule.lengths))}) AND length(key) >= {rule.prefix} THEN {mine} ELSE {NO_SIGNATURES} END"
 
 
+def _word_remainder_signatures(rule: WordRemainder) -> str:
+    """A hash of the words that are left, in any order. A dropped space joins any two words: others may stand between them."""
+    texts, parts = "array(key)", []
+    for spaces in range(rule.dropped + 1):
+        left = texts
+        for _ in range(rule.dropped - spaces):
+            left = (f"array_distinct(flatten(transform({left}, s -> transform(filter(sequence(1, length(s)), i -> substring(s, i, 1) <> ' '), "
+                    "i -> concat(substring(s, 1, i - 1), substring(s, i + 1))))))")
+        parts.append(left)
+        joined = ("transform(sequence(1, size(w) - 1), i -> transform(sequence(i + 1, size(w)), j -> array_join(concat("
+                  "slice(w, 1, i - 1), array(concat(w[i - 1], w[j - 1])), slice(w, i + 1, j - i - 1), slice(w, j + 1, size(w))), ' ')))")
+        one = _let("w", "split(s, ' ')", f"CASE WHEN size(w) > 1 THEN flatten({joined}) ELSE cast(array() AS array<string>) END")
+        texts = f"array_distinct(flatten(transform({texts}, s -> {one})))"
+    mine = f"transform(concat({', '.join(parts)}), s -> aggregate(split(s, ' '), xxhash64('left', block), (h, w) -> h ^ xxhash64(w)))"
+    return f"CASE WHEN length(key) IN ({', '.join(map(str, rule.lengths))}) THEN array_distinct({mine}) ELSE {NO_SIGNATURES} END"
+
+
 def _kind(rule: Overlap | WordCover) -> str:
     return "words" if isinstance(rule, WordCover) else rule.elements
 
@@ -502,6 +590,12 @@ class Matcher:
 
     def __init__(self, keys: DataFrame, algorithm: str, threshold: float):
         rules = rules_for(algorithm, threshold)
+        word_remainders: list[WordRemainder] = []
+        if algorithm == "token_set_ratio":
+            word_remainders, last, longest = _word_remainders(keys, threshold)
+            # A key has one letter pair more than letters. Where no key is longer, its letter pairs are not spelled out.
+            rules = [replace(r, above=last + (r.elements == "word_pairs")) if isinstance(r, Overlap) else r
+                     for r in rules if isinstance(r, WordCover) or longest > last]
         self.floor = 100 * threshold - EPSILON
         self.algorithm = algorithm
         kinds = sorted({_kind(r) for r in rules})
@@ -513,15 +607,11 @@ class Matcher:
         if algorithm == "jaro_winkler":
             lengths = self.table.select(F.length("key").alias("n")).distinct().orderBy("n").limit(REMAINDER_LENGTHS).collect()
             remainders, last = remainder_rules(threshold, [r["n"] for r in lengths])
-            for rule in remainders:
-                # Both keys of a pair have the same signatures: the later one is the index.
-                alike = _remainder_signatures(rule)
-                index.append(f"transform({alike}, s -> named_struct('sig', s, 'n', rank))")
-                probe.append(f"transform({alike}, s -> named_struct('sig', s, 'low', rank + 1, 'high', {2**63 - 1}L))")
+            alike = [_remainder_signatures(rule) for rule in remainders]
             self.rules = [replace(r, above=last) for r in self.rules if largest["letters"] > last]
-            self.able = bool(index or self.rules)
         else:
-            self.able = bool(self.rules)
+            alike = [_word_remainder_signatures(rule) for rule in word_remainders]
+        self.able = bool(alike or self.rules)
         for rule in self.rules:
             if isinstance(rule, WordCover):
                 (smaller, larger), n, low = _word_signatures(rule), "0L", "0L"
@@ -535,8 +625,14 @@ class Matcher:
         self.enough, self.compared = F.expr(" OR ".join(tests) or "true"), ["rank", "key", "block", *(kinds if tests else [])]
         # Written once: loads, grids and pairs of every set of keys read the signatures again.
         part = _word_columns(self.table) if any(isinstance(r, WordCover) for r in self.rules) else self.table
-        self.index, self.probe = (
-            written(part.select("rank", F.expr(f"inline(concat({', '.join(cells)}))")), "fuzzy-signatures") if cells else None for cells in (index, probe))
+        sides = [[written(part.select("rank", F.expr(f"inline(concat({', '.join(cells)}))")), "fuzzy-signatures")] if cells else []
+                 for cells in (index, probe)]
+        if alike:
+            # Both keys of a pair have the same signatures: the later one is the index.
+            both = written(part.select("rank", F.expr(f"explode(concat({', '.join(alike)}))").alias("sig")), "fuzzy-signatures")
+            sides[0].append(both.select("rank", "sig", F.col("rank").alias("n")))
+            sides[1].append(both.select("rank", "sig", (F.col("rank") + 1).alias("low"), F.lit(2**63 - 1).alias("high")))
+        self.index, self.probe = (reduce(DataFrame.union, side) if side else None for side in sides)
 
     def _signed(self, ranks: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """(rank, sig, n) of the smaller and (rank, sig, low, high) of the larger key of a pair."""

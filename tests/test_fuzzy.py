@@ -220,7 +220,26 @@ def test_candidates_of_numbered_names_follow_the_pairs(spark):
     assert found <= candidates < 3 * found
 
 
-@pytest.mark.parametrize("threshold", [1.0])
+def worded_keys(rng):
+    """Numbered names of several lengths with a word beside them, words of few letters, joined and split words, and longer texts."""
+    keys = {f"{rng.choice(['FURNITURE', 'BUILDING', 'tools'])} Customer#{rng.randrange(10**4):0{rng.choice([4, 9])}d}" for _ in range(150)}
+    keys |= {" ".join(sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 4))})) for _ in range(60)}
+    keys |= {k for a, b, c in (rng.sample(WORDS, 3) for _ in range(25)) for k in (f"{a}{b} {c} hall", f"{a} {b} {c} hall", f"{a}{c} {b} hall")}
+    keys |= {" ".join(sorted(rng.sample(WORDS, 8))) + f" number{rng.randrange(100)}" for _ in range(40)}
+    return sorted({" ".join(sorted(set(k.split()))) for k in keys})
+
+
+@pytest.mark.parametrize("threshold,shapes", [(0.75, 200), (0.85, 200), (0.9, 200), (0.9, 0), (0.95, 200), (0.95, 0)])
+def test_what_is_left_of_words_finds_all_pairs(spark, monkeypatch, threshold, shapes):
+    monkeypatch.setattr(fuzzy, "MAX_SHAPES", shapes)
+    keys = worded_keys(random.Random(17))
+    found = fuzzy.fuzzy_pairs(table(spark, keys), ["name"], threshold, "token_set_ratio").collect()
+    pairs = [(a, b) for a in keys for b in keys if a < b]
+    scores = similarity.score_pairs("token_set_ratio", *map(list, zip(*pairs)))
+    assert sorted((r.key_a, r.key_b) for r in found) == [p for p, s in zip(pairs, scores) if s >= 100 * threshold - 1e-9]
+
+
+@pytest.mark.parametrize("threshold", [0.95, 1.0])
 def test_candidates_of_numbered_names_with_words_follow_the_pairs(spark, threshold):
     rows = spark.range(6000).selectExpr(
         "id AS rank", "concat(if(id % 3 = 0, 'AUTOMOBILE', if(id % 3 = 1, 'BUILDING', 'FURNITURE')), ' Customer#', lpad(id, 9, '0')) AS key", "'' AS block")
